@@ -36,84 +36,59 @@ def parse_boolean(c: Column) -> Column:
     return F.when(token.isin(K.TRUE_TOKENS), True).when(token.isin(K.FALSE_TOKENS), False)
 
 
-# Two families of numeric dates; a clock time with optional AM/PM may follow.
-_CLOCK = r"(?:[T\s]+(\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,9})?)?\s*([AaPp][Mm])?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?$"
-YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _CLOCK
-YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + _CLOCK
-SHORT_YEAR = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})" + _CLOCK
-YEAR_MONTH = r"^(\d{4})[-/.](\d{1,2})$"
-NAMED_MONTH = r"(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
-NAMED_FORMATS = [
-    "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy",
-    "d-MMM-yy", "MMM d yyyy", "MMMM d yyyy", "MMM yyyy", "MMMM yyyy",
-    "MMM d, yyyy HH:mm:ss", "d MMM yyyy HH:mm:ss",
+# A longer text is none of the date forms below.
+_DATE_LENGTH = 64
+_SEP = r"[-/.]"
+# Rewrites that bring a numeric date to year-month-day, applied in turn.
+_REORDER = [
+    # Two-digit years: 00-68 are 2000-2068, 69-99 are 1969-1999.
+    (rf"^(\d{{1,2}}{_SEP}\d{{1,2}}{_SEP})([0-5]\d|6[0-8])(?!\d)", "$120$2"),
+    (rf"^(\d{{1,2}}{_SEP}\d{{1,2}}{_SEP})(\d\d)(?!\d)", "$119$2"),
+    # Month first, or day first where the first number cannot be a month.
+    (rf"^(1[3-9]|2\d|3[01]){_SEP}(\d{{1,2}}){_SEP}(\d{{4}})(?!\d)", "$3-$2-$1"),
+    (rf"^(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(\d{{4}})(?!\d)", "$3-$1-$2"),
+    (rf"^(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})(?!\d)", "$1-$2-$3"),
+    # A zone suffix after the clock time.
+    (r"(:\d\d(?:\.\d+)?)\s*(?:Z|UTC|[+-]\d\d:?\d\d)$", "$1"),
 ]
-
-
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group)
-
-
-def _assemble(text: Column, pattern: str, year: Column, month: Column, day: Column) -> Column:
-    hour = F.coalesce(_part(text, pattern, 4).try_cast("int"), F.lit(0))
-    meridiem = F.lower(_part(text, pattern, 8))
-    hour = (
-        F.when((meridiem != "") & ~hour.between(1, 12), F.lit(99))
-        .when(meridiem == "pm", hour % 12 + 12)
-        .when(meridiem == "am", hour % 12)
-        .otherwise(hour)
-    )
-    minute = F.coalesce(_part(text, pattern, 5).try_cast("int"), F.lit(0))
-    second = F.coalesce(_part(text, pattern, 6).try_cast("int"), F.lit(0))
-    iso = F.format_string(
-        "%04d-%02d-%02d %02d:%02d:%02d", year, month, day, hour, minute, second
-    )
-    return F.concat(iso, F.substring(_part(text, pattern, 7), 1, 7)).try_cast("timestamp_ntz")
+_NUMERIC_DATE = r"^\d{4}-\d{1,2}(-\d{1,2}([T ]+\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?)?$"
+_HALF_DAY = r"(?i)^\d{4}-\d{1,2}-\d{1,2} +\d{1,2}:\d{2}(:\d{2})? *[ap]m$"
+_MONTH_NAME = (
+    r"(?i)\b(?:(jan)uary|(feb)ruary|(mar)ch|(apr)il|(jun)e|(jul)y|(aug)ust|(sep)t(?:ember)?"
+    r"|(oct)ober|(nov)ember|(dec)ember)\b"
+)
+_HAS_MONTH = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+_NAMED_FORMATS = ["MMM d yyyy[ H:m[:s]]", "d MMM yyyy[ H:m[:s]]", "MMM yyyy", "d MMM yy"]
 
 
 def parse_date(c: Column) -> Column:
     """Text to `timestamp_ntz`, each value on its own.
 
     Takes year-first, month-first (day-first where the first number exceeds 12)
-    and named-month dates, with an optional clock time. Zone suffixes are
-    dropped and the wall time kept. Bare numbers and bare clock times are not
-    dates.
+    and named-month dates, with an optional clock time. Zone suffixes are dropped
+    and the wall time kept. Bare numbers and bare clock times are not dates.
     """
     text = strip(c)
-
-    def number(pattern: str, group: int) -> Column:
-        return _part(text, pattern, group).try_cast("int")
-
-    def ordered(pattern: str, year: Column) -> Column:
-        first, second = number(pattern, 1), number(pattern, 2)
-        day_first = first > 12
-        return _assemble(
-            text, pattern, year,
-            F.when(day_first, second).otherwise(first),
-            F.when(day_first, first).otherwise(second),
-        )
-
-    short = number(SHORT_YEAR, 3)
-    title = F.initcap(F.lower(F.regexp_replace(text, r"(?i)(\d)(st|nd|rd|th)\b", "$1")))
-    named = F.coalesce(
-        *[F.try_to_timestamp(title, F.lit(fmt)).cast("timestamp_ntz") for fmt in NAMED_FORMATS]
+    numeric = text
+    for pattern, replacement in _REORDER:
+        numeric = F.regexp_replace(numeric, pattern, replacement)
+    half_day = F.try_to_timestamp(
+        F.regexp_replace(F.upper(numeric), r" *([AP]M)$", " $1"), F.lit("yyyy-M-d h:mm[:ss] a")
     )
-    return (
-        F.when(
-            text.rlike(YEAR_FIRST),
-            _assemble(text, YEAR_FIRST, *[number(YEAR_FIRST, g) for g in (1, 2, 3)]),
-        )
-        .when(text.rlike(YEAR_LAST), ordered(YEAR_LAST, number(YEAR_LAST, 3)))
-        .when(
-            text.rlike(SHORT_YEAR),
-            ordered(SHORT_YEAR, F.when(short < 69, short + 2000).otherwise(short + 1900)),
-        )
-        .when(
-            text.rlike(YEAR_MONTH),
-            F.concat(F.translate(text, "/.", "--"), F.lit("-01")).try_cast("timestamp_ntz"),
-        )
-        .when(text.rlike(NAMED_MONTH), named)
+    named = F.initcap(F.regexp_replace(
+        F.regexp_replace(F.regexp_replace(text, _MONTH_NAME, "$1$2$3$4$5$6$7$8$9$10$11"),
+                         r"(?i)(\d)(?:st|nd|rd|th)\b", "$1"),
+        r"[-,/\s]+", " ",
+    ))
+    parsed = (
+        F.when(text.rlike(_HAS_MONTH), F.coalesce(
+            *[F.try_to_timestamp(named, F.lit(fmt)) for fmt in _NAMED_FORMATS]
+        ).cast("timestamp_ntz"))
+        .when(numeric.rlike(_NUMERIC_DATE), numeric.try_cast("timestamp_ntz"))
+        .when(numeric.rlike(_HALF_DAY), half_day.cast("timestamp_ntz"))
     )
+    # Without a digit there is no date; this spares most text the patterns above.
+    return F.when((F.length(text) <= _DATE_LENGTH) & text.rlike(r"\d"), parsed)
 
 
 def finite(c: Column) -> Column:

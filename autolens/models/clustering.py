@@ -16,6 +16,7 @@ from ..functions.scalars import finite
 from ..operators.sampling import stable_sample
 from ..operators.staging import stage
 from .screening import ModelResult, feature_columns
+from ..operators.local import collected, local_table
 
 MAX_CLUSTERS = 8
 ROWS_PER_CLUSTER = 20
@@ -64,18 +65,17 @@ def cluster(df: DataFrame, types: dict[str, str], restarts: int = RESTARTS) -> M
     summary = assigned.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("count"), *[F.avg(f).alias(c) for f, c in zip(names, features)]
     )
-    rows_out = summary.collect()  # one row per cluster
-    table = df.sparkSession.createDataFrame(rows_out, summary.schema)
+    table = collected(summary)[1]  # one row per cluster
     sample = stable_sample(
         assigned.select(*names, "cluster"), names, K.CLUSTER_PLOT_POINTS
     ).select(F.col("f0").alias("x"), F.col("f1").alias("y"), "cluster")
-    scatter = df.sparkSession.createDataFrame(sample.collect(), sample.schema)
+    scatter = collected(sample)[1]
     result.used = True
     result.model_type = "clustering:kmeans"
     result.features = features
     result.metrics = {"n_clusters": k, "silhouette": score}
     result.tables = {
-        "elbow": df.sparkSession.createDataFrame(elbow, "k int, inertia double"),
+        "elbow": local_table(df.sparkSession, elbow, "k int, inertia double"),
         "cluster_distribution": table.select("cluster", "count"),
         "cluster_summary": table.drop("count"),
         "scatter": scatter,

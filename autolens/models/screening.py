@@ -12,6 +12,7 @@ from ..functions.names import is_class_target_name, is_identifier_name, is_metri
 from ..operators import schema as S
 from ..operators.column_types import of_type
 from ..operators.frequency import summarize_counts, value_counts
+from ..operators.local import local_table
 
 # Sizes of targets and features.
 CLASS_VALUES = (2, 12)
@@ -39,7 +40,7 @@ class ModelResult:
 
     def metric_table(self) -> DataFrame:
         rows = [(k, None if v is None else float(v)) for k, v in self.metrics.items()]
-        return self.session.createDataFrame(rows, "metric string, value double")
+        return local_table(self.session, rows, "metric string, value double")
 
 
 def category_sizes(df: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -61,8 +62,7 @@ def screen_targets(df: DataFrame, types: dict[str, str]) -> DataFrame:
     name, n, rows = F.col("column"), F.col("n_values"), F.col("n_rows")
     id_like = name_in(name, [c for c in df.columns if is_identifier_name(c)])
     metric = name_in(name, [c for c in numbers if is_metric_name(c)])
-    result = df.sparkSession.createDataFrame(
-        [], "column string, role string, eligible boolean, preferred boolean, reason string"
+    result = local_table(df.sparkSession, [], "column string, role string, eligible boolean, preferred boolean, reason string"
     )
     if categories:
         sized = category_sizes(df, types)
@@ -89,7 +89,7 @@ def screen_targets(df: DataFrame, types: dict[str, str]) -> DataFrame:
             )
         )
     if numbers:
-        listing = df.sparkSession.createDataFrame([(c,) for c in numbers], "column string")
+        listing = local_table(df.sparkSession, [(c,) for c in numbers], "column string")
         result = result.unionByName(
             listing.select(
                 "column", F.lit("regression_target").alias("role"), F.lit(True).alias("eligible"),

@@ -24,6 +24,7 @@ from ..operators.grouping import numeric_value
 from ..operators.sampling import stable_sample
 from ..operators.staging import stage
 from .screening import ModelResult, feature_columns
+from ..operators.local import collected, local_table
 
 TRAIN_SHARE = 0.75
 FOREST_TREES = 100
@@ -96,8 +97,7 @@ def feature_importance(
             totals[name] += weights[attribute["idx"]]
     whole = sum(totals.values()) or 1.0
     ranked = sorted(totals.items(), key=lambda item: (-item[1], item[0]))[:TOP_FEATURES]
-    return prepared.sparkSession.createDataFrame(
-        [(name, round(weight / whole, 4)) for name, weight in ranked], "feature string, importance double"
+    return local_table(prepared.sparkSession, [(name, round(weight / whole, 4)) for name, weight in ranked], "feature string, importance double"
     )
 
 
@@ -182,8 +182,7 @@ def classify(
     result.features = numeric + categories
     result.metrics = scores
     result.importance = feature_importance(model, prepared, numeric_used, categories)
-    result.tables["confusion_matrix"] = session.createDataFrame(
-        matrix, "actual string, predicted string, count bigint"
+    result.tables["confusion_matrix"] = local_table(session, matrix, "actual string, predicted string, count bigint"
     )
     result.tables["prediction_distribution"] = (
         result.tables["confusion_matrix"].groupBy(F.col("predicted").alias("class"))
@@ -235,7 +234,7 @@ def regress(
         F.col("label").alias("actual"), F.col("prediction").alias("predicted"), error.alias("residual")
     )
     shown = stable_sample(predictions, ["actual", "predicted"], K.RESIDUAL_POINTS)
-    points = df.sparkSession.createDataFrame(shown.collect(), shown.schema)
+    points = collected(shown)[1]
     result.used = True
     result.model_type = f"regression:{name}"
     result.features = numeric + categories

@@ -11,6 +11,7 @@ from ..functions.names import col, is_date_name, is_identifier_name, name_in
 from ..functions.scalars import parse_date, parse_number, strip
 from . import schema as S
 from .frequency import value_counts
+from .local import local_table
 
 _TOKENS = K.TRUE_TOKENS + K.FALSE_TOKENS
 
@@ -102,8 +103,7 @@ def _rules(df: DataFrame) -> Column:
 
 
 def _typed(df: DataFrame, counts: DataFrame) -> DataFrame:
-    listing = df.sparkSession.createDataFrame(
-        [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],
+    listing = local_table(df.sparkSession, [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],
         "position int, column string, dtype string",
     )
     zero = {

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.names import col
 from ..functions.scalars import correlation_direction, correlation_strength, finite
+from .local import local_table
 
 # Pairs per job: each is a handful of aggregation buffers in generated code.
 PAIRS_PER_PASS = 120
@@ -18,11 +19,24 @@ PAIRS_PER_PASS = 120
 _EMPTY = "column_1 string, column_2 string, r double, same boolean"
 
 
+def _correlation(a: str, b: str) -> Column:
+    """Pearson r over the rows that have both; null where either side is constant there.
+
+    `corr` would divide by zero for an exact constant, which stops a job in ANSI mode,
+    and give noise for one whose running mean is off by a bit.
+    """
+    def varies(one: str, other: str) -> Column:
+        value = F.when(F.col(other).isNotNull(), F.col(one))
+        return F.min(value) < F.max(value)
+
+    r = F.signum(F.covar_pop(a, b)) * F.sqrt(F.regr_r2(a, b))
+    return F.when(varies(a, b) & varies(b, a), r)
+
+
 def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """`(column_1, column_2, r, same)` for every pair of the first 40 columns.
 
-    `corr` skips the rows where either side is null; a constant column has no
-    correlation. One map-side aggregation per batch of pairs: nothing but the
+    One map-side aggregation per batch of pairs: nothing but the
     running sums is shuffled.
     """
     pairs = list(combinations(list(columns)[: K.CORRELATION_COLUMNS], 2))
@@ -35,7 +49,7 @@ def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.struct(
                 F.lit(a).alias("column_1"),
                 F.lit(b).alias("column_2"),
-                F.corr(index[a], index[b]).alias("r"),
+                _correlation(index[a], index[b]).alias("r"),
                 F.bool_and(F.col(index[a]).eqNullSafe(F.col(index[b]))).alias("same"),
             )
             for a, b in batch
@@ -47,7 +61,7 @@ def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
         result = part if result is None else result.unionByName(part)
     if result is None:
-        result = df.sparkSession.createDataFrame([], _EMPTY)
+        result = local_table(df.sparkSession, [], _EMPTY)
     return result.where(F.col("r").isNotNull() & ~F.isnan("r"))
 
 

@@ -11,6 +11,7 @@ from ..functions import constants as K
 from ..functions.names import col
 from .grouping import numeric_value
 from .quantiles import quantiles
+from .local import local_table
 
 QUARTILES = {"q25": 0.25, "median": 0.50, "q75": 0.75}
 
@@ -39,8 +40,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = K.HISTOGRAM_BIN
             F.least(F.floor((v - low) / F.lit(width)), F.lit(count - 1)) if width > 0
             else F.when(v.isNotNull(), 0)
         ).cast("int")
-    layout = df.sparkSession.createDataFrame(
-        frame, "i int, column string, low double, width double, bins int"
+    layout = local_table(df.sparkSession, frame, "i int, column string, low double, width double, bins int"
     ).select("i", "column", "low", "width", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
     if not cells:
         counts = layout.select("i", "bin", F.lit(0).cast("bigint").alias("count"))

@@ -15,6 +15,7 @@ from ..functions.names import col
 from ..functions.scalars import as_ntz
 from . import schema as S
 from .frequency import top_values, value_counts
+from .local import local_table
 
 
 def _moment(value: Any) -> Column:
@@ -91,7 +92,7 @@ def filter_options(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     dates = [c for c in known if S.is_date(df.schema[c].dataType)]
     others = [c for c in known if c not in dates]
     shape = "column string, type string, rank int, value string, count bigint, min string, max string"
-    result = df.sparkSession.createDataFrame([], shape)
+    result = local_table(df.sparkSession, [], shape)
     if dates:
         ranges = [
             F.struct(

@@ -15,6 +15,7 @@ from .column_types import of_type
 from .frequency import summarize_counts, value_counts
 from .grouping import numeric_value
 from .quantiles import quantiles
+from .local import local_table
 
 
 @dataclass(frozen=True)
@@ -47,8 +48,7 @@ def compute_kpis(df: DataFrame, kpis: Sequence[Kpi]) -> DataFrame:
             v = numeric_value(df, kpi.column)
             total = F.coalesce(F.sum(v), F.lit(0.0))
             plain[i] = {"mean": F.avg(v), "min": F.min(v), "max": F.max(v)}.get(kpi.how, total)
-    listing = spark.createDataFrame(
-        [(i, k.name, k.column, k.how) for i, k in enumerate(kpis)],
+    listing = local_table(spark, [(i, k.name, k.column, k.how) for i, k in enumerate(kpis)],
         "position int, name string, column string, aggregation string",
     )
     rows = F.count(F.lit(1))
@@ -56,7 +56,7 @@ def compute_kpis(df: DataFrame, kpis: Sequence[Kpi]) -> DataFrame:
         F.struct(F.lit(i).alias("position"), F.when(rows > 0, e.cast("double")).alias("value"))
         for i, e in plain.items()
     ]
-    values = spark.createDataFrame([], "position int, value double")
+    values = local_table(spark, [], "position int, value double")
     if cells:
         values = values.unionByName(df.agg(F.array(*cells).alias("v")).select(F.inline("v")))
     if distinct:
@@ -92,8 +92,7 @@ def eligibility(df: DataFrame, types: dict[str, str], counts: DataFrame | None =
     """What each column may be used for in a dashboard, one row per column."""
     categories = of_type(types, "categorical", "boolean", "text", "numerical")
     counts = counts if counts is not None else value_counts(df, categories)
-    listing = df.sparkSession.createDataFrame(
-        [(i, c, types[c]) for i, c in enumerate(df.columns)],
+    listing = local_table(df.sparkSession, [(i, c, types[c]) for i, c in enumerate(df.columns)],
         "position int, column string, inferred_type string",
     )
     kind, n = F.col("inferred_type"), F.col("n_values")

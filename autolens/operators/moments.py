@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import col
 from ..functions.scalars import finite
+from .local import local_table
 
 # Aggregates per job; wider aggregations would leave generated code behind.
 COLUMNS_PER_PASS = 40
@@ -52,8 +53,7 @@ def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             )
         )
     if not structs:
-        return df.sparkSession.createDataFrame(
-            [],
+        return local_table(df.sparkSession, [],
             "column string, count bigint, missing bigint, sum double, mean double, min double, "
             "max double, std double, variance double, skewness double",
         )

@@ -12,6 +12,7 @@ from ..functions.names import col
 from ..functions.scalars import finite
 from .moments import moments
 from .quantiles import quantiles
+from .local import collected, local_table
 
 
 def fences(stats: DataFrame, quarts: DataFrame) -> DataFrame:
@@ -23,7 +24,8 @@ def fences(stats: DataFrame, quarts: DataFrame) -> DataFrame:
     spread = F.col("q75") - F.col("q25")
     usable_std = F.col("std") > 0
     return (
-        stats.join(F.broadcast(quarts.select("column", "q25", "q75")), "column")
+        stats.select("column", "count", "mean", "std")
+        .join(F.broadcast(quarts.select("column", "q25", "q75")), "column")
         .where(F.col("count") >= K.OUTLIER_MIN_VALUES)
         .select(
             "column",
@@ -44,17 +46,13 @@ def outlier_counts(
 ) -> DataFrame:
     """`(column, n, method, lower, upper, count, percentage)` for every column with 8 values or more."""
     if not columns:
-        return df.sparkSession.createDataFrame(
-            [], "column string, n bigint, method string, lower double, upper double, count bigint, percentage double"
+        return local_table(df.sparkSession, [], "column string, n bigint, method string, lower double, upper double, count bigint, percentage double"
         )
     stats = stats if stats is not None else moments(df, columns)
     quarts = quarts if quarts is not None else quantiles(df, columns, {"q25": 0.25, "q75": 0.75})
-    bounds = fences(stats, quarts).collect()
+    bounds, table = collected(fences(stats, quarts))
+    table = table.drop("mean", "std")
     found = [_flag(r).cast("bigint") for r in bounds]
-    table = df.sparkSession.createDataFrame(
-        [(r["column"], r["n"], r["method"], r["lower"], r["upper"]) for r in bounds],
-        "column string, n bigint, method string, lower double, upper double",
-    )
     if not bounds:
         return table.select("*", F.lit(0).cast("bigint").alias("count"), F.lit(0.0).alias("percentage"))
     pairs = [

@@ -8,31 +8,19 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.names import col
-from ..functions.scalars import as_ntz, elapsed_days, finite, iso_timestamp
+from ..functions.scalars import as_ntz, elapsed_days, iso_timestamp
 from . import schema as S
 from .column_types import infer_types, of_type
 from .frequency import distinct_rows, summarize_counts, top_values, value_counts
 from .moments import moments
 from .outliers import outlier_counts
 from .quantiles import quantiles
+from .staging import stage
+from .local import local_table, pinned
 
 QUARTILES = {"q25": 0.25, "median": 0.50, "q75": 0.75}
 
 
-def missing_counts(df: DataFrame) -> DataFrame:
-    """`(column, rows, missing)` in one scan; NaN counts as missing."""
-    present = [
-        F.count(finite(col(f.name)) if S.is_numeric(f.dataType) else col(f.name)).alias(f"n{i}")
-        for i, f in enumerate(df.schema.fields)
-    ]
-    counted = df.agg(F.count(F.lit(1)).alias("rows"), *present)
-    pairs = [
-        F.struct(F.lit(c).alias("column"), "rows", (F.col("rows") - F.col(f"n{i}")).alias("missing"))
-        for i, c in enumerate(df.columns)
-    ]
-    return counted.select(F.inline(F.array(*pairs)))
-
-
 def profile_counts(df: DataFrame, types: dict[str, str], counts: DataFrame | None = None) -> DataFrame:
     """Missing and distinct values of every column, and the mode of categories."""
     usable = S.supported_columns(df)
@@ -51,7 +39,7 @@ def profile_counts(df: DataFrame, types: dict[str, str], counts: DataFrame | Non
 
 def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """Range, mean, deviation, quartiles and number of outliers."""
-    stats = moments(df, columns)
+    stats = pinned(moments(df, columns))
     quarts = quantiles(df, columns, QUARTILES).drop("n")
     outliers = outlier_counts(df, columns, stats, quarts).select(
         "column", F.col("count").alias("outlier_count")
@@ -66,7 +54,7 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def profile_categorical(df: DataFrame, columns: list[str], counts: DataFrame | None = None) -> DataFrame:
     """The ten most frequent values per column with their share of non-null rows."""
-    counts = counts if counts is not None else value_counts(df, columns)
+    counts = counts if counts is not None else stage(value_counts(df, columns))
     totals = summarize_counts(counts).select("column", "non_null")
     return (
         top_values(counts, K.PROFILE_TOP_VALUES, columns)
@@ -89,8 +77,7 @@ def profile_date(df: DataFrame, columns: list[str]) -> DataFrame:
         for c in columns
     ]
     if not parts:
-        return df.sparkSession.createDataFrame(
-            [], "column string, minimum_date string, maximum_date string, date_range_days bigint"
+        return local_table(df.sparkSession, [], "column string, minimum_date string, maximum_date string, date_range_days bigint"
         )
     return (
         df.agg(F.array(*parts).alias("d"))
@@ -108,8 +95,7 @@ def profile_date(df: DataFrame, columns: list[str]) -> DataFrame:
 def profile(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     """One wide row per column: type, missing, distinct, range, centre, spread, mode."""
     types = types or infer_types(df)
-    listing = df.sparkSession.createDataFrame(
-        [(i, f.name, f.dataType.simpleString(), types[f.name]) for i, f in enumerate(df.schema.fields)],
+    listing = local_table(df.sparkSession, [(i, f.name, f.dataType.simpleString(), types[f.name]) for i, f in enumerate(df.schema.fields)],
         "position int, column string, dtype string, inferred_type string",
     )
     numeric = [c for c in of_type(types, "numerical") if S.is_numeric(df.schema[c].dataType)]
@@ -124,50 +110,79 @@ def profile(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     )
 
 
-def dataset_summary(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
-    """One row: rows, columns, columns per semantic type, missing cells, duplicate rows."""
+def dataset_summary(
+    df: DataFrame, types: dict[str, str] | None = None, found: DataFrame | None = None
+) -> DataFrame:
+    """One row: rows, columns, columns per semantic type, missing cells, duplicate rows.
+
+    `found` is the result of `quality`, if it is known already.
+    """
     types = types or infer_types(df)
-    return distinct_rows(df).select(
+    found = found if found is not None else _size(df)
+    return found.select(
         "rows",
-        F.lit(len(df.columns)).cast("bigint").alias("columns"),
+        "columns",
         *[
             F.lit(len(of_type(types, t))).cast("bigint").alias(f"{t}_variables")
             for t in K.SEMANTIC_TYPES
         ],
-        F.col("missing_cells").alias("missing_values"),
-        (F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows"),
+        "missing_values",
+        "duplicate_rows",
     )
 
 
-def quality(df: DataFrame) -> DataFrame:
-    """One row: size, missing cells and their share, duplicate rows, constant columns."""
-    constants = {r["column"] for r in constant_columns(df).collect()}
-    cells = F.greatest(F.col("rows") * max(len(df.columns), 1), F.lit(1))
+def _size(df: DataFrame) -> DataFrame:
+    """One row `(rows, columns, missing_values, duplicate_rows)`."""
     return distinct_rows(df).select(
         "rows",
         F.lit(len(df.columns)).cast("bigint").alias("columns"),
         F.col("missing_cells").alias("missing_values"),
-        (100.0 * F.col("missing_cells") / cells).alias("missing_percentage"),
         (F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows"),
-        F.lit(", ".join(c for c in df.columns if c in constants)).alias("constant_columns"),
     )
 
 
+def column_facts(df: DataFrame) -> DataFrame:
+    """`(column, rows, missing, constant)` in one scan.
+
+    A column is constant when its least value equals its greatest, or it has none:
+    no distinct count is needed.
+    """
+    cells = []
+    for f in df.schema.fields:
+        c = col(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.when(~F.isnan(c), c)
+        constant = F.min(c).eqNullSafe(F.max(c)) if S.is_supported(f.dataType) else F.lit(False)
+        cells.append(
+            F.struct(
+                F.lit(f.name).alias("column"),
+                F.count(F.lit(1)).alias("rows"),
+                (F.count(F.lit(1)) - F.count(c)).alias("missing"),
+                constant.alias("constant"),
+            )
+        )
+    return df.agg(F.array(*cells).alias("facts")).select(F.inline("facts"))
+
+
 def constant_columns(df: DataFrame) -> DataFrame:
-    """Columns with at most one distinct value: least equals greatest, no distinct count needed."""
-    usable = S.supported_columns(df)
-    fields = {f.name: f.dataType for f in df.schema.fields}
+    """Columns with at most one distinct value."""
+    return column_facts(df).where("constant").select("column")
 
-    def value(c: str):
-        if isinstance(fields[c], (T.DoubleType, T.FloatType)):
-            return F.when(~F.isnan(col(c)), col(c))
-        return col(c)
 
-    flags = [
-        F.struct(
-            F.lit(c).alias("column"),
-            (F.min(value(c)).eqNullSafe(F.max(value(c)))).alias("constant"),
-        )
-        for c in usable
-    ]
-    return df.agg(F.array(*flags).alias("f")).select(F.inline("f")).where("constant").select("column")
+def missing_counts(df: DataFrame) -> DataFrame:
+    """`(column, rows, missing)`; NaN counts as missing."""
+    return column_facts(df).select("column", "rows", "missing")
+
+
+def quality(df: DataFrame) -> DataFrame:
+    """One row: size, missing cells and their share, duplicate rows, constant columns."""
+    constants = {r["column"] for r in constant_columns(df).collect()}
+    cells = F.greatest(F.col("rows") * F.col("columns"), F.lit(1))
+    return pinned(_size(df)).select(
+        "rows",
+        "columns",
+        "missing_values",
+        (100.0 * F.col("missing_values") / cells).alias("missing_percentage"),
+        "duplicate_rows",
+        F.lit(", ".join(c for c in df.columns if c in constants)).alias("constant_columns"),
+    )

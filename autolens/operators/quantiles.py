@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.names import col
 from ..functions.scalars import finite
 from .staging import stage
+from .local import collected
 
 BUCKETS_PER_OCTAVE = 256
 SMALLEST_EXPONENT = 1075
@@ -121,8 +122,8 @@ def quantiles(
         probability, and comes to the driver; otherwise it is staged.
         """
         if few:
-            rows = picked.collect()
-            table = df.sparkSession.createDataFrame(rows, picked.schema)
+            rows, table = collected(picked)
+            table = table.coalesce(1)
             spans: dict[str, set] = {}
             for r in rows:
                 if r["low"] < r["high"]:

@@ -6,11 +6,21 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+def scratch_path(spark: SparkSession) -> str | None:
+    """A new folder name in the shared folder, or None where there is no such folder."""
+    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    if folder is None:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            return None
+        folder = tempfile.mkdtemp(prefix="autolens-")
+    return f"{folder.rstrip('/')}/autolens-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` once as parquet in the cluster's shared folder and read it back.
 
@@ -20,12 +30,8 @@ def stage(df: DataFrame) -> DataFrame:
     folder, and any other session persists the frame on the executors, which
     Spark rebuilds from the lineage when one is lost.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    if folder is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
-        folder = tempfile.mkdtemp(prefix="autolens-")
-    path = f"{folder.rstrip('/')}/autolens-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
+    if path is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

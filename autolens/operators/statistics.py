@@ -13,6 +13,8 @@ from ..functions.scalars import as_ntz, elapsed_days, iso_timestamp, month_label
 from .frequency import summarize_counts, top_values, value_counts
 from .moments import moments
 from .quantiles import approximate_quantiles, quantiles
+from .staging import stage
+from .local import local_table
 
 QUANTILES = {"q05": 0.05, "q25": 0.25, "median": 0.50, "q75": 0.75, "q95": 0.95}
 
@@ -45,7 +47,7 @@ def categorical_distribution(
     df: DataFrame, columns: Sequence[str], counts: DataFrame | None = None, k: int = K.CHART_CATEGORIES
 ) -> DataFrame:
     """The k most frequent categories per column with their share."""
-    counts = counts if counts is not None else value_counts(df, columns)
+    counts = counts if counts is not None else stage(value_counts(df, columns))
     totals = summarize_counts(counts).select("column", "non_null")
     return (
         top_values(counts, k, columns)
@@ -154,8 +156,7 @@ def important_columns(
         )
     named = [("date", i, c) for i, c in enumerate(dates[: K.IMPORTANT_DATES])]
     named += [("identifier", i, c) for i, c in enumerate(identifiers)]
-    result = spark.createDataFrame(
-        [(kind, i + 1, c) for kind, i, c in named], "kind string, rank int, column string"
+    result = local_table(spark, [(kind, i + 1, c) for kind, i, c in named], "kind string, rank int, column string"
     )
     for part in parts:
         # One row per column of the table.

@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.names import col
 from ..functions.scalars import finite, month_label, month_start
+from .local import pinned
+
+
+def monthly_sums(df: DataFrame, date: str, metrics: Sequence[str]) -> DataFrame:
+    """Sums of the first eight metrics per month, `(metric, month, value)`.
+
+    Both trend tables derive from it; the months of a calendar are few enough to pin.
+    """
+    metrics = list(metrics)[: K.TREND_METRICS]
+    return pinned(_long(_metric_sums(df, date, metrics), metrics))
 
 
 def _metric_sums(df: DataFrame, date: str, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -24,13 +34,14 @@ def _long(sums: DataFrame, metrics: Sequence[str]) -> DataFrame:
     pairs = [
         F.struct(F.lit(m).alias("metric"), F.col(f"m{i}").alias("value")) for i, m in enumerate(metrics)
     ]
-    return sums.select("month", F.inline(F.array(*pairs)))
+    return sums.select("month", F.inline(F.array(*pairs))).select("metric", "month", "value")
 
 
-def trend_points(df: DataFrame, date: str, metrics: Sequence[str]) -> DataFrame:
+def trend_points(
+    df: DataFrame, date: str, metrics: Sequence[str], sums: DataFrame | None = None
+) -> DataFrame:
     """The last 36 monthly sums of the first eight metrics: `(metric, period, value)`."""
-    metrics = list(metrics)[: K.TREND_METRICS]
-    rows = _long(_metric_sums(df, date, metrics), metrics)
+    rows = sums if sums is not None else monthly_sums(df, date, metrics)
     latest = Window.partitionBy("metric").orderBy(F.desc("month"))  # calendar months only
     return (
         rows.withColumn("age", F.row_number().over(latest))
@@ -40,14 +51,15 @@ def trend_points(df: DataFrame, date: str, metrics: Sequence[str]) -> DataFrame:
     )
 
 
-def trend_summary(df: DataFrame, date: str, metrics: Sequence[str]) -> DataFrame:
+def trend_summary(
+    df: DataFrame, date: str, metrics: Sequence[str], sums: DataFrame | None = None
+) -> DataFrame:
     """Best and worst month and the change from the first to the last, per metric.
 
     The earliest month wins a tie. The change is relative to |first| and null
     where the first month is 0. Metrics with fewer than two months are left out.
     """
-    metrics = list(metrics)[: K.TREND_METRICS]
-    rows = _long(_metric_sums(df, date, metrics), metrics)
+    rows = sums if sums is not None else monthly_sums(df, date, metrics)
     label, value = month_label(F.col("month")), F.col("value")
     first, last = F.min_by("value", "month"), F.max_by("value", "month")
     return (

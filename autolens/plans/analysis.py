@@ -16,8 +16,10 @@ from ..operators.statistics import (
     analyze_dates, analyze_numerical, business_metrics, categorical_distribution,
     categorical_summary, date_counts, important_columns,
 )
-from ..operators.trends import trend_points, trend_summary
+from ..operators.staging import stage
+from ..operators.trends import monthly_sums, trend_points, trend_summary
 from . import insights as I
+from ..operators.local import local_table, pinned
 
 
 class Columns:
@@ -33,38 +35,41 @@ class Columns:
 def analyze(df: DataFrame, types: dict[str, str] | None = None, approx: bool = False) -> dict[str, DataFrame]:
     """Every analysis section as a table.
 
-    Sections that do not apply (no dates, one numerical column, ...) are missing.
+    Sections that do not apply (no dates, one numerical column, ...) are missing. Each
+    part of the table is scanned once: the sections share pinned statistics.
     """
     types = types or infer_types(df)
     columns = Columns(df, types)
-    result = {"dataset_summary": dataset_summary(df, types), "quality": quality(df)}
+    found = quality(df)
+    result = {"dataset_summary": dataset_summary(df, types, found), "quality": found}
     stats = None
     if columns.numerical:
-        stats = analyze_numerical(df, columns.numerical, approx)
+        stats = pinned(analyze_numerical(df, columns.numerical, approx))
         result["numerical_analysis"] = stats
-        result["outliers"] = outlier_counts(
-            df, columns.numerical, stats, stats.select("column", "q25", "q75")
-        ).where("count > 0")
+        result["outliers"] = pinned(
+            outlier_counts(df, columns.numerical, stats, stats.select("column", "q25", "q75")).where("count > 0")
+        )
         result["business_metrics"] = business_metrics(df, columns.numerical, stats)
     summary = None
     if columns.categories:
-        counts = value_counts(df, columns.categories)
-        summary = categorical_summary(df, columns.categories, counts)
+        counts = stage(value_counts(df, columns.categories))
+        summary = pinned(categorical_summary(df, columns.categories, counts))
         result["categorical_summary"] = summary
         result["categorical_distribution"] = categorical_distribution(df, columns.categories, counts)
     if columns.dates:
         result["date_analysis"] = analyze_dates(df, columns.dates)
         result["date_counts"] = date_counts(df, columns.dates)
     if len(columns.numerical) >= 2:
-        pairs = correlations(df, columns.numerical)
+        pairs = pinned(correlations(df, columns.numerical))
         result["correlations"] = pairs
         result["strong_correlations"] = strong_correlations(pairs)
     if columns.dates and columns.numerical:
-        result["trends"] = trend_summary(df, columns.dates[0], columns.numerical)
-        result["trend_points"] = trend_points(df, columns.dates[0], columns.numerical)
+        sums = monthly_sums(df, columns.dates[0], columns.numerical)
+        result["trends"] = trend_summary(df, columns.dates[0], columns.numerical, sums)
+        result["trend_points"] = trend_points(df, columns.dates[0], columns.numerical, sums)
     if stats is not None or summary is not None:
-        filler = df.sparkSession.createDataFrame([], "column string, count bigint, mean double, std double")
-        none = df.sparkSession.createDataFrame([], "column string, n_categories bigint")
+        filler = local_table(df.sparkSession, [], "column string, count bigint, mean double, std double")
+        none = local_table(df.sparkSession, [], "column string, n_categories bigint")
         result["important_columns"] = important_columns(
             stats if stats is not None else filler, summary if summary is not None else none,
             columns.dates, columns.identifiers, columns.numerical, columns.categories,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.scalars import display_number, display_percent
 from ..operators.column_types import of_type
+from ..operators.local import local_table
 
 SHAPE = "part int, pos array<double>, type string, subject string, value double, message string"
 HIGH_CONCENTRATION = 60.0
@@ -248,7 +249,7 @@ def model_insights(result) -> DataFrame | None:
         if named:
             facts.append(("features", None, f"Top predictive features: {named}."))
     rows = [(7, [float(i)], "ml", s, v, m) for i, (s, v, m) in enumerate(facts)]
-    return result.session.createDataFrame(rows, SHAPE)
+    return local_table(result.session, rows, SHAPE)
 
 
 def insight_package(parts: Sequence[DataFrame | None], limit: int = K.MAX_INSIGHTS) -> DataFrame:
