@@ -20,7 +20,7 @@ from ..operators.local import collected, local_table
 
 MAX_CLUSTERS = 8
 ROWS_PER_CLUSTER = 20
-RESTARTS = 3
+RESTARTS = 2
 
 
 def complete_rows(df: DataFrame, features: list[str]) -> DataFrame:
@@ -67,8 +67,8 @@ def cluster(df: DataFrame, types: dict[str, str], restarts: int = RESTARTS) -> M
     )
     table = collected(summary)[1]  # one row per cluster
     sample = stable_sample(
-        assigned.select(*names, "cluster"), names, K.CLUSTER_PLOT_POINTS
-    ).select(F.col("f0").alias("x"), F.col("f1").alias("y"), "cluster")
+        assigned.select(F.col("f0").alias("x"), F.col("f1").alias("y"), "cluster"), K.CLUSTER_PLOT_POINTS
+    )
     scatter = collected(sample)[1]
     result.used = True
     result.model_type = "clustering:kmeans"

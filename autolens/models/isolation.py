@@ -154,7 +154,7 @@ def detect_anomalies(
     result.metrics = {"anomaly_count": count, "anomaly_rate": count / max(n, 1)}
     result.tables = {
         "scores": scored.select(*[F.col(f).alias(c) for f, c in zip(names, features)], "score", "anomaly"),
-        "scatter": anomaly_plot_rows(scored, "anomaly", names).select(
+        "scatter": anomaly_plot_rows(scored, "anomaly").select(
             F.col("f0").alias("x"), F.col("f1").alias("y"), "anomaly", "score"
         ),
     }

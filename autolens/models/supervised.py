@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -128,9 +129,13 @@ def weighted_scores(confusion: list[tuple[float, float, int]]) -> dict[str, floa
 
 
 def classify(
-    df: DataFrame, types: dict[str, str], target: str, boost_rounds: int = BOOST_ROUNDS
+    df: DataFrame, types: dict[str, str], target: str, boost_rounds: int = BOOST_ROUNDS,
+    models: Sequence[str] | None = None,
 ) -> ModelResult:
-    """Train four classifiers on three quarters of the rows and keep the best weighted F1."""
+    """Train four classifiers on three quarters of the rows and keep the best weighted F1.
+
+    `models` restricts the candidates by name.
+    """
     result = ModelResult(df.sparkSession, "classification", target=target)
     numeric, categories = feature_columns(df, types, target)
     if not numeric + categories:
@@ -166,6 +171,8 @@ def classify(
     }
     best = None
     for name, estimator in candidates.items():
+        if models is not None and name not in models:
+            continue
         model = estimator.fit(train)
         cells = model.transform(test).groupBy("label", "prediction").count().collect()
         scores = weighted_scores([(r["label"], r["prediction"], r["count"]) for r in cells])
@@ -196,9 +203,13 @@ def classify(
 
 
 def regress(
-    df: DataFrame, types: dict[str, str], target: str, boost_rounds: int = BOOST_ROUNDS
+    df: DataFrame, types: dict[str, str], target: str, boost_rounds: int = BOOST_ROUNDS,
+    models: Sequence[str] | None = None,
 ) -> ModelResult:
-    """Train three regressors on three quarters of the rows and keep the best R²."""
+    """Train three regressors on three quarters of the rows and keep the best R².
+
+    `models` restricts the candidates by name.
+    """
     result = ModelResult(df.sparkSession, "regression", target=target)
     numeric, categories = feature_columns(df, types, target)
     if not numeric + categories:
@@ -220,6 +231,8 @@ def regress(
     error = F.col("label") - F.col("prediction")
     best = None
     for name, estimator in candidates.items():
+        if models is not None and name not in models:
+            continue
         model = estimator.fit(train)
         row = model.transform(test).agg(
             F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"),
@@ -233,7 +246,7 @@ def regress(
     predictions = model.transform(test).select(
         F.col("label").alias("actual"), F.col("prediction").alias("predicted"), error.alias("residual")
     )
-    shown = stable_sample(predictions, ["actual", "predicted"], K.RESIDUAL_POINTS)
+    shown = stable_sample(predictions, K.RESIDUAL_POINTS)
     points = collected(shown)[1]
     result.used = True
     result.model_type = f"regression:{name}"

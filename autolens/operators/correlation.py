@@ -12,67 +12,104 @@ from ..functions import constants as K
 from ..functions.names import col
 from ..functions.scalars import correlation_direction, correlation_strength, finite
 from .local import local_table
+from .moments import moments
 
-# Pairs per job: each is a handful of aggregation buffers in generated code.
-PAIRS_PER_PASS = 120
+# Pairs per job: each is a few sums in generated code.
+PAIRS_PER_PASS = 200
 
-_EMPTY = "column_1 string, column_2 string, r double, same boolean"
+_PAIRS = "column_1 string, column_2 string, r double"
 
 
-def _correlation(a: str, b: str) -> Column:
-    """Pearson r over the rows that have both; null where either side is constant there.
-
-    `corr` would divide by zero for an exact constant, which stops a job in ANSI mode,
-    and give noise for one whose running mean is off by a bit.
-    """
-    def varies(one: str, other: str) -> Column:
-        value = F.when(F.col(other).isNotNull(), F.col(one))
-        return F.min(value) < F.max(value)
-
-    r = F.signum(F.covar_pop(a, b)) * F.sqrt(F.regr_r2(a, b))
-    return F.when(varies(a, b) & varies(b, a), r)
+def _pair_sums(a: Column, b: Column, complete: bool) -> Column:
+    """Sums that give r, of centred values. Where gaps differ, each pair needs its own."""
+    if complete:
+        return F.struct(F.sum(a * b).alias("xy"))
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.struct(
+        F.sum(a * b).alias("xy"), F.count(a * b).alias("n"),
+        F.sum(x).alias("x"), F.sum(y).alias("y"),
+        F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"),
+        (F.min(x) < F.max(x)).alias("x_varies"), (F.min(y) < F.max(y)).alias("y_varies"),
+    )
 
 
-def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """`(column_1, column_2, r, same)` for every pair of the first 40 columns.
+def pair_correlations(
+    df: DataFrame, columns: Sequence[str], stats: DataFrame | None = None
+) -> DataFrame:
+    """`(column_1, column_2, r)` for every pair of the first 40 columns, computed now.
 
-    One map-side aggregation per batch of pairs: nothing but the
-    running sums is shuffled.
+    Values are centred on their mean (`stats` from `moments`, found in a first scan if
+    not given), so that plain sums are accurate. Columns without gaps share their own
+    sums and need one product per pair; nothing but running sums is shuffled. A column
+    that is constant, also on just the rows a pair has in common, has no correlation.
     """
-    pairs = list(combinations(list(columns)[: K.CORRELATION_COLUMNS], 2))
-    result = None
+    wanted = list(columns)[: K.CORRELATION_COLUMNS]
+    known = stats if stats is not None else moments(df, wanted)
+    facts = {r["column"]: r for r in known.collect()}
+    varying = [c for c in wanted if c in facts and facts[c]["count"] and facts[c]["min"] < facts[c]["max"]]
+    full = {c for c in varying if not facts[c]["missing"]}
+    index = {c: f"c{i}" for i, c in enumerate(varying)}
+    pairs = list(combinations(varying, 2))
+    result = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         batch = pairs[start : start + PAIRS_PER_PASS]
         used = list(dict.fromkeys(c for pair in batch for c in pair))
-        index = {c: f"c{i}" for i, c in enumerate(used)}
-        cells = [
-            F.struct(
-                F.lit(a).alias("column_1"),
-                F.lit(b).alias("column_2"),
-                _correlation(index[a], index[b]).alias("r"),
-                F.bool_and(F.col(index[a]).eqNullSafe(F.col(index[b]))).alias("same"),
-            )
-            for a, b in batch
+        own = [
+            F.struct(F.sum(index[c]).alias("x"), F.sum(F.col(index[c]) * F.col(index[c])).alias("xx")).alias(index[c])
+            for c in used
+        ]
+        both = [
+            _pair_sums(F.col(index[a]), F.col(index[b]), a in full and b in full).alias(f"p{i}")
+            for i, (a, b) in enumerate(batch)
         ]
-        part = (
-            df.select(*[finite(col(c)).alias(index[c]) for c in used])
-            .agg(F.array(*cells).alias("pairs"))
-            .select(F.inline("pairs"))
+        row = (
+            df.select(*[(finite(col(c)) - F.lit(float(facts[c]["mean"]))).alias(index[c]) for c in used])
+            .agg(*own, *both)
+            .first()
         )
-        result = part if result is None else result.unionByName(part)
-    if result is None:
-        result = local_table(df.sparkSession, [], _EMPTY)
-    return result.where(F.col("r").isNotNull() & ~F.isnan("r"))
+        for i, (a, b) in enumerate(batch):
+            pair = row[f"p{i}"].asDict()
+            if a in full and b in full:
+                n = facts[a]["count"]
+                x, xx = row[index[a]]["x"], row[index[a]]["xx"]
+                y, yy = row[index[b]]["x"], row[index[b]]["xx"]
+            else:
+                if not (pair["x_varies"] and pair["y_varies"]):
+                    continue
+                n, x, y, xx, yy = (pair[k] for k in ("n", "x", "y", "xx", "yy"))
+            spread = (xx - x * x / n) * (yy - y * y / n)
+            if spread > 0:
+                r = (pair["xy"] - x * y / n) / spread**0.5
+                result.append((a, b, max(-1.0, min(1.0, r))))
+    return local_table(df.sparkSession, result, _PAIRS)
+
+
+def _copies(df: DataFrame, pairs: DataFrame) -> set[tuple[str, str]]:
+    """Pairs of columns that are equal in every row; only near-perfect pairs are looked at."""
+    near = pairs.where(F.abs("r") >= K.DUPLICATE_CORRELATION).collect()
+    if not near:
+        return set()
+    row = df.agg(
+        *[
+            F.bool_and(finite(col(p["column_1"])).eqNullSafe(finite(col(p["column_2"])))).alias(f"p{i}")
+            for i, p in enumerate(near)
+        ]
+    ).first()
+    return {(p["column_1"], p["column_2"]) for i, p in enumerate(near) if row[f"p{i}"]}
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def correlations(
+    df: DataFrame, columns: Sequence[str], stats: DataFrame | None = None
+) -> DataFrame:
     """Ranked pairs with strength and direction; copies of a column are skipped."""
     r = F.col("r")
+    pairs = pair_correlations(df, columns, stats)
+    for a, b in _copies(df, pairs):
+        pairs = pairs.where(~((F.col("column_1") == a) & (F.col("column_2") == b)))
     # At most 780 pairs.
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc(F.abs("correlation")), "column_1", "column_2")
     return (
-        pair_correlations(df, columns)
-        .where(~((F.abs(r) >= K.DUPLICATE_CORRELATION) & F.col("same")))
+        pairs.coalesce(1)
         .select(
             "column_1", "column_2",
             F.round(r, 4).alias("correlation"),
@@ -89,9 +126,11 @@ def strong_correlations(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("absolute_correlation") >= K.STRONG_CORRELATION)
 
 
-def correlation_heatmap(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def correlation_heatmap(
+    df: DataFrame, columns: Sequence[str], stats: DataFrame | None = None
+) -> DataFrame:
     """Long-form matrix `(row, column, correlation)`: both triangles and the diagonal."""
-    pairs = pair_correlations(df, columns).select("column_1", "column_2", "r")
+    pairs = pair_correlations(df, columns, stats).coalesce(1)
     varying = pairs.select(F.explode(F.array("column_1", "column_2")).alias("c")).distinct()
     return (
         pairs.select(F.col("column_1").alias("row"), F.col("column_2").alias("column"), F.col("r").alias("correlation"))

@@ -198,6 +198,21 @@ def category_extremes(df: DataFrame, categories: Sequence[str], metric: str) ->
     )
 
 
+def _axis(df: DataFrame, x: str) -> Column:
+    """The finest of raw date, month and year that has at most 120 points.
+
+    A sketch rules out axes with very many points, so they are not counted exactly.
+    """
+    at = as_ntz(col(x))
+    month = F.trunc(at, "month")
+    sketch = df.agg(
+        F.approx_count_distinct(at).alias("raw"), F.count_distinct(month).alias("months")
+    ).first()
+    if sketch["raw"] <= 2 * K.LINE_POINTS and df.select(at).distinct().count() <= K.LINE_POINTS:
+        return at
+    return month if sketch["months"] <= K.LINE_POINTS else F.trunc(at, "year")
+
+
 def line_series(
     df: DataFrame, x: str, y: str | None = None, how: str = "sum", strict: bool = False
 ) -> DataFrame:
@@ -209,13 +224,8 @@ def line_series(
     if S.is_date(df.schema[x].dataType):
         df = df.where(col(x).isNotNull())
         if not strict:
-            for unit in (None, "month", "year"):
-                at = as_ntz(col(x)) if unit is None else F.trunc(as_ntz(col(x)), unit)
-                bucketed = df.withColumn(x, at)
-                points = bucketed.select(col(x)).distinct().limit(K.LINE_POINTS + 1).count()
-                if points <= K.LINE_POINTS:
-                    break
-            return group_aggregate(bucketed, x, y, how).orderBy(col(x)).limit(K.LINE_POINTS)
+            bucketed = df.withColumn(x, _axis(df, x))
+            return group_aggregate(bucketed, x, y, how).orderBy(col(x))
     return (
         top_groups(df, x, y, how, top_n=K.LINE_POINTS, other="summed")
         .orderBy(col(x))

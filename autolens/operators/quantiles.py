@@ -1,14 +1,14 @@
 """Exact quantiles without gathering a column in one task.
 
 Spark's `percentile` merges every distinct value of a group in one reducer. Here
-each value goes to a bucket that grows with it, a pass counts the buckets, and
-the next pass opens only the buckets that hold a wanted rank. A count per bucket
-combines on the map side, so three scans shuffle a few thousand rows per column
-whatever the size or skew of the table. Buckets first follow the logarithm
-(256 per factor of two, about a third of a percent wide), then divide the range
-between the smallest and largest value seen in a bucket into 2^22 parts, twice:
-together that is finer than the 52 bits of a double, so the result is exact. A
-pass that settles every rank is the last one.
+each value goes to a bucket that grows with it, a pass counts the buckets, and the
+next pass opens only the buckets that hold a wanted rank. Counts per bucket combine
+on the map side, so a scan shuffles a few thousand rows per column and task whatever
+the size or skew of the table. Buckets first follow the logarithm (256 per factor of
+two, about a third of a percent wide); after that the range between the smallest and
+the largest value seen in a bucket is divided into 4096 parts until a bucket holds
+one value. Both mappings are monotone, so the result is exact. Prices and whole
+numbers settle in one or two passes; doubles of full precision take up to five.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from ..functions.names import col
 from ..functions.scalars import finite
-from .staging import stage
 from .local import collected
+from .staging import stage
 
 BUCKETS_PER_OCTAVE = 256
 SMALLEST_EXPONENT = 1075
-PARTS = 1 << 22
+PARTS = 4096
 # Disjoint ranges a re-read filters one column by; more are joined into one span.
 MAX_RANGES = 32
 # The opened buckets are broadcast only while they are provably this few.
@@ -38,8 +38,8 @@ def _log_bucket(v: Column) -> Column:
 
 
 def _part(v: Column, low: Column, high: Column) -> Column:
-    share = (v - low) / F.when(high > low, high - low)
-    return F.least(F.floor(share * PARTS), F.lit(PARTS - 1)).cast("bigint")
+    """Place of v between low and high; low is part 0 and high the last part."""
+    return F.least(F.floor((v - low) / (high - low) * PARTS), F.lit(PARTS - 1)).cast("int")
 
 
 def _wanted_ranks(probabilities: Sequence[float], total: Column) -> Column:
@@ -49,9 +49,13 @@ def _wanted_ranks(probabilities: Sequence[float], total: Column) -> Column:
     return F.array_distinct(F.array(*[r.cast("bigint") for r in ranks]))
 
 
-def _count_buckets(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+def _count(rows: DataFrame, path: list[str], bucket: str) -> DataFrame:
+    """Rows, range and rows below, per bucket; a path has a bounded number of buckets."""
+    order = Window.partitionBy(*path).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        rows.groupBy(*path, bucket)
+        .agg(F.sum("n").alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
+        .withColumn("before", F.sum("n").over(order) - F.col("n"))
     )
 
 
@@ -61,12 +65,6 @@ def _at_most(spans: list[tuple[float, float]], limit: int) -> list[tuple[float,
     return [(min(low for low, _ in spans), max(high for _, high in spans))]
 
 
-def _rows_before(path: list[str], level: str) -> Column:
-    """Rows in the buckets below this one; a path has at most PARTS buckets."""
-    order = Window.partitionBy(*path).orderBy(level).rowsBetween(Window.unboundedPreceding, 0)
-    return F.sum("n").over(order) - F.col("n")
-
-
 def quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -87,7 +85,7 @@ def quantiles(
     keys = [*groups, "c"]
 
     def long_rows(ranges: dict[str, list[tuple[float, float]]]) -> DataFrame:
-        """`(group keys, c, v, n)` for the given columns, cut to the given ranges."""
+        """`(group keys, c, v, n, b1)` for the given columns, cut to the given ranges."""
         values = []
         for label, spans in ranges.items():
             v = finite(col(columns[int(label[1:])]))
@@ -102,10 +100,10 @@ def quantiles(
             .unpivot(groups, list(ranges), "c", "v")
             .where(F.col("v").isNotNull())
             .withColumn("n", F.lit(1).cast("bigint"))
+            .withColumn("b1", _log_bucket(F.col("v")))
         )
 
     rows = long_rows({f"c{i}": [] for i in range(len(columns))})
-
     few = not by
     if by:
         if max_groups is None:
@@ -113,99 +111,78 @@ def quantiles(
         few = max_groups * len(columns) * 2 * len(probs) <= BROADCAST_ROWS
         if not few:
             # Equal values become one row, so no join key is hot.
-            rows = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+            rows = stage(rows.groupBy(*keys, "v", "b1").agg(F.sum("n").alias("n")))
 
-    def settle(picked: DataFrame):
-        """Run a pass: settled ranks, open buckets or None, and the open ranges.
+    def joined(rows: DataFrame, small: DataFrame, path: list[str], inside: Column | None = None):
+        """Inner join on the bucket; group keys may be null."""
+        right = small.select(*[F.col(c).alias(f"r_{c}") if c in path else F.col(c) for c in small.columns])
+        match = inside
+        for k in path:
+            same = F.col(k).eqNullSafe(F.col(f"r_{k}")) if k in groups else F.col(k) == F.col(f"r_{k}")
+            match = same if match is None else match & same
+        return rows.join(F.broadcast(right) if few else right, match, "inner")
 
-        With few groups the result is at most two rows per group, column and
-        probability, and comes to the driver; otherwise it is staged.
-        """
+    # First pass: logarithmic buckets.
+    picked = (
+        _count(rows, keys, "b1")
+        .withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+        .withColumn(
+            "rank",
+            F.explode(
+                F.filter(
+                    _wanted_ranks(probs, F.col("total")),
+                    lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")),
+                )
+            ),
+        )
+        .withColumn("offset", F.col("rank") - F.col("before"))
+        .select(*keys, "b1", "rank", "total", "offset", F.col("first").alias("low"), F.col("last").alias("high"))
+    )
+    settled = None
+    while True:
+        # A pass leaves at most two rows per group, column and probability. They come to
+        # the driver with few groups, and are staged otherwise.
         if few:
-            rows, table = collected(picked)
+            found, table = collected(picked)
             table = table.coalesce(1)
             spans: dict[str, set] = {}
-            for r in rows:
+            for r in found:
                 if r["low"] < r["high"]:
                     spans.setdefault(r["c"], set()).add((r["low"], r["high"]))
             is_open = bool(spans)
-            ranges = {c: _at_most(sorted(s), MAX_RANGES) for c, s in spans.items()}
         else:
             table = stage(picked)
             is_open = not table.where("low < high").isEmpty()
-            ranges = None
-        done = table.where("low = high") if is_open else table
-        return (
-            done.select(*keys, "rank", "total", F.col("low").alias("v")),
-            table.where("low < high") if is_open else None,
-            ranges,
-        )
-
-    def joined(rows: DataFrame, small: DataFrame, path: list[str]) -> DataFrame:
-        """Inner join on the bucket path; group keys may be null."""
-        right = small.select(*[F.col(c).alias(f"r_{c}") if c in path else F.col(c) for c in small.columns])
-        match = [
-            F.col(k).eqNullSafe(F.col(f"r_{k}")) if k in groups else F.col(k) == F.col(f"r_{k}")
-            for k in path
-        ]
-        return rows.join(F.broadcast(right) if few else right, match, "inner")
-
-    # Pass 1: logarithmic buckets.
-    path = [*keys, "b1"]
-    rows = rows.withColumn("b1", _log_bucket(F.col("v")))
-    whole = Window.partitionBy(*keys)
-    counted = (
-        _count_buckets(rows, path)
-        .withColumn("before", _rows_before(keys, "b1"))
-        .withColumn("total", F.sum("n").over(whole))
-    )
-    picked = counted.withColumn(
-        "rank",
-        F.explode(
-            F.filter(
-                _wanted_ranks(probs, F.col("total")),
-                lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")),
-            )
-        ),
-    ).select(*path, "rank", "total", (F.col("rank") - F.col("before")).alias("offset"), "low", "high")
-    ranks, open_ranks, ranges = settle(picked)
-
-    # Passes 2 and 3: divide the open buckets.
-    for level in ("b2", "b3"):
-        if open_ranks is None:
+        done = table.where("low = high").select(*keys, "rank", "total", F.col("low").alias("v"))
+        settled = done if settled is None else settled.unionByName(done)
+        if not is_open:
             break
-        if ranges is not None:
-            # Read again only the open columns, and of them only the open ranges.
-            rows = long_rows(ranges).withColumn("b1", _log_bucket(F.col("v")))
-            if level == "b3":
-                rows = joined(rows, first_buckets, [*keys, "b1"]).withColumn(
-                    "b2", _part(F.col("v"), F.col("low"), F.col("high"))
-                ).drop("low", "high")
-        buckets = open_ranks.select(*path, "low", "high").distinct()
-        if level == "b2":
-            first_buckets = buckets
-        rows = joined(rows, buckets, path).select(
-            *path, "v", "n", _part(F.col("v"), F.col("low"), F.col("high")).alias(level)
+        # Further passes: divide the open buckets. With few groups only the open columns
+        # are read again, and of them only the open ranges.
+        still = table.where("low < high")
+        if few:
+            rows = long_rows({c: _at_most(sorted(s), MAX_RANGES) for c, s in spans.items()})
+        path = [*keys, "b1"]
+        bucket = [*path, "low", "high"]
+        inside = F.col("v").between(F.col("low"), F.col("high"))
+        parts = joined(rows, still.select(*bucket).distinct(), path, inside).select(
+            *bucket, "v", "n", _part(F.col("v"), F.col("low"), F.col("high")).alias("part")
         )
-        counted = _count_buckets(rows, [*path, level]).withColumn("before", _rows_before(path, level))
-        wanted = open_ranks.groupBy(*path).agg(
+        wanted = still.groupBy(*bucket).agg(
             F.collect_list(F.struct("rank", "offset")).alias("wanted"), F.first("total").alias("total")
         )
         picked = (
-            joined(counted, wanted, path)
+            joined(_count(parts, bucket, "part"), wanted, bucket)
             .withColumn("w", F.explode("wanted"))
             .where("w.offset >= before and w.offset < before + n")
             .select(
-                *path, level, F.col("w.rank").alias("rank"), "total",
-                (F.col("w.offset") - F.col("before")).alias("offset"), "low", "high",
+                *path, F.col("w.rank").alias("rank"), "total",
+                (F.col("w.offset") - F.col("before")).alias("offset"),
+                F.col("first").alias("low"), F.col("last").alias("high"),
             )
         )
-        path = [*path, level]
-        done, open_ranks, ranges = settle(picked)
-        ranks = ranks.unionByName(done)
-    if open_ranks is not None:
-        # Neighbouring doubles that rounding put in one part.
-        ranks = ranks.unionByName(open_ranks.select(*keys, "rank", "total", F.col("low").alias("v")))
+    if few:
+        settled = settled.coalesce(1)
 
     def interpolated(p: float) -> Column:
         position = (F.col("total") - 1) * F.lit(float(p))
@@ -214,7 +191,7 @@ def quantiles(
         share = F.max(position - F.floor(position))
         return below + (above - below) * share
 
-    result = ranks.groupBy(*keys).agg(
+    result = settled.groupBy(*keys).agg(
         F.max("total").alias("n"), *[interpolated(p).alias(n) for n, p in zip(names, probs)]
     )
     label = F.element_at(F.array(*[F.lit(c) for c in columns]), F.substring("c", 2, 10).cast("int") + 1)

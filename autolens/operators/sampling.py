@@ -12,18 +12,37 @@ from ..functions.names import col
 from .grouping import numeric_value
 
 
+_DRAW = "autolens_draw"
+
+
 def preview(df: DataFrame, n: int = K.PREVIEW_ROWS) -> DataFrame:
     return df.limit(n)
 
 
-def stable_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = K.SEED) -> DataFrame:
-    """n rows with the smallest hash of the key columns.
+def stable_sample(df: DataFrame, n: int, key: Sequence[str] = (), seed: int = K.SEED) -> DataFrame:
+    """n rows drawn with equal chances.
 
-    The same rows whatever the partitioning or file order, when the key tells
-    rows apart. Each task keeps its best n, so n rows per task are merged.
+    With a `key` that tells rows apart the draw goes by its hash: the same rows
+    whatever the partitioning or file order. Without one it goes by a seeded random
+    number, the same for the same files. The rows are counted first, so that only a
+    few more than n leave the tasks.
     """
-    order = [F.xxhash64(F.lit(seed), *[col(c) for c in key]), *[col(c) for c in key]]
-    return df.orderBy(*order).limit(n)
+    total = df.count()
+    if total <= n:
+        return df
+    if key:
+        bits = F.xxhash64(F.lit(seed), *[col(c) for c in key]).bitwiseAND(F.lit((1 << 53) - 1))
+        drawn = df.withColumn(_DRAW, bits / float(1 << 53))
+        order = [F.col(_DRAW), *[col(c) for c in key]]
+    else:
+        drawn = df.withColumn(_DRAW, F.rand(seed))
+        order = [F.col(_DRAW)]
+    # Eight standard deviations above n.
+    chosen = drawn.where(F.col(_DRAW) < (n + 8.0 * n**0.5 + 32.0) / total)
+    if key and chosen.limit(n).count() < n:
+        # The key repeats so much that its hashes are not spread evenly.
+        chosen = drawn
+    return chosen.orderBy(*order).limit(n).drop(_DRAW)
 
 
 def scatter_points(
@@ -36,15 +55,13 @@ def scatter_points(
     pairs = df.select(
         numeric_value(df, x).alias(x), numeric_value(df, y).alias(y), *extra, *[col(k) for k in kept]
     ).where(col(x).isNotNull() & col(y).isNotNull())
-    sample = stable_sample(pairs, list(key) or [x, y], n, seed)
+    sample = stable_sample(pairs, n, key, seed)
     return sample.select(col(x), col(y), *extra)
 
 
-def anomaly_plot_rows(
-    df: DataFrame, flag: str, key: Sequence[str], normals: int = K.ANOMALY_PLOT_NORMALS
-) -> DataFrame:
+def anomaly_plot_rows(df: DataFrame, flag: str, normals: int = K.ANOMALY_PLOT_NORMALS) -> DataFrame:
     """Every flagged row and a sample of the others."""
-    return df.where(col(flag)).unionByName(stable_sample(df.where(~col(flag)), key, normals))
+    return df.where(col(flag)).unionByName(stable_sample(df.where(~col(flag)), normals))
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

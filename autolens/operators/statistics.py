@@ -26,7 +26,7 @@ def analyze_numerical(df: DataFrame, columns: Sequence[str], approx: bool = Fals
     return (
         moments(df, columns)
         .where("count > 0")
-        .select("column", "count", "mean", "min", "max", "std", "variance", "skewness", "sum")
+        .select("column", "count", "missing", "mean", "min", "max", "std", "variance", "skewness", "sum")
         .join(F.broadcast(quants), "column")  # one row per column
     )
 

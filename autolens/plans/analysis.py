@@ -60,7 +60,7 @@ def analyze(df: DataFrame, types: dict[str, str] | None = None, approx: bool = F
         result["date_analysis"] = analyze_dates(df, columns.dates)
         result["date_counts"] = date_counts(df, columns.dates)
     if len(columns.numerical) >= 2:
-        pairs = pinned(correlations(df, columns.numerical))
+        pairs = pinned(correlations(df, columns.numerical, stats))
         result["correlations"] = pairs
         result["strong_correlations"] = strong_correlations(pairs)
     if columns.dates and columns.numerical:

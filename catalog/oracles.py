@@ -461,7 +461,7 @@ ORACLES["cleaning_report"] = f"""
 
 
 def numeric_sql(source: str, c: str) -> str:
-    return f"""SELECT '{c}' AS "column", COUNT({c}) AS count, {r(f'AVG({c})')} AS mean,
+    return f"""SELECT '{c}' AS "column", COUNT({c}) AS count, COUNT(*) - COUNT({c}) AS missing, {r(f'AVG({c})')} AS mean,
         CAST(MIN({c}) AS DOUBLE) AS min, CAST(MAX({c}) AS DOUBLE) AS max, {r(f'STDDEV_SAMP({c})')} AS std,
         {r(f'VAR_SAMP({c})', 3)} AS variance,
         CASE WHEN COUNT({c}) < 3 THEN NULL WHEN VAR_SAMP({c}) = 0 THEN 0 ELSE {r(f'SKEWNESS({c})')} END AS skewness,

@@ -752,10 +752,7 @@ def importance(spark, folder):
     from autolens.models.supervised import regress as train
 
     lines = table(spark, folder, "lineitem")
-    result = train(lines, types_of(lines), "l_extendedprice")
-    if result.importance is None:
-        return spark.createDataFrame([(result.model_type, None)], "feature string, importance double")
-    return result.importance
+    return train(lines, types_of(lines), "l_extendedprice", models=["random_forest"]).importance
 
 
 @query
