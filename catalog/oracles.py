@@ -754,6 +754,48 @@ ORACLES["insight_outlier"] = f"""
     FROM ({ORACLES['outliers_iqr']}) WHERE count > 0
 """
 
+
+
+def place(column: str, names: list[str]) -> str:
+    return f"list_position([{', '.join(repr(n) for n in names)}], {column})"
+
+
+ORDER_STATS = f"({union([numeric_sql('orders', c) for c in NUMERIC['orders']])})"
+ORDER_CATEGORY = ORACLES["categorical_analysis"]
+ORACLES["insight_package"] = f"""
+    WITH facts AS (
+        SELECT 1 AS part, 1 AS p, 1 AS q, 'dataset' AS type, CAST(NULL AS VARCHAR) AS subject,
+               CAST(COUNT(*) AS DOUBLE) AS value FROM orders
+        UNION ALL SELECT 1, 2, 1, 'quality', NULL, 0.0
+        UNION ALL SELECT 2, {place('"column"', CATEGORIES['orders'])}, 1, 'concentration', "column", dominant_percentage
+            FROM ({ORDER_CATEGORY})
+        UNION ALL SELECT 2, {place('"column"', CATEGORIES['orders'])}, 2, 'concentration', "column", dominant_percentage
+            FROM ({ORDER_CATEGORY}) WHERE dominant_percentage >= 60
+        UNION ALL SELECT 2, {place('"column"', CATEGORIES['orders'])}, 3, 'top_category', "column", top_value
+            FROM ({ORDER_EXTREMES})
+        UNION ALL SELECT 2, {place('"column"', CATEGORIES['orders'])}, 4, 'bottom_category', "column", bottom_value
+            FROM ({ORDER_EXTREMES})
+        UNION ALL SELECT 2, {place('"column"', CATEGORIES['orders'])}, 5, 'concentration', "column", top3_share
+            FROM ({ORDER_EXTREMES}) WHERE top3_share IS NOT NULL
+        UNION ALL SELECT 3, {place('"column"', NUMERIC['orders'])}, 1, 'metric', "column", mean FROM {ORDER_STATS}
+        UNION ALL SELECT 3, {place('"column"', NUMERIC['orders'])}, 2, 'distribution', "column", skewness
+            FROM {ORDER_STATS} WHERE ABS(skewness) >= 1
+        UNION ALL SELECT 3, {place('"column"', NUMERIC['orders'])}, 3, 'metric', "column", sum
+            FROM {ORDER_STATS} WHERE ABS(sum) > ABS(mean)
+        UNION ALL SELECT 4, rank, 1, 'correlation', column_1 || ' / ' || column_2, correlation
+            FROM ({correlations_sql('orders', NUMERIC['orders'])})
+            WHERE rank = 1 OR (rank <= 6 AND ABS(correlation) >= 0.5)
+        UNION ALL SELECT 5, {place('metric', NUMERIC['orders'])}, 1, 'trend', metric, best_value FROM ({TRENDS})
+        UNION ALL SELECT 5, {place('metric', NUMERIC['orders'])}, 2, 'trend', metric, worst_value FROM ({TRENDS})
+        UNION ALL SELECT 5, {place('metric', NUMERIC['orders'])}, 3, 'trend', metric, pct_change_first_to_last
+            FROM ({TRENDS}) WHERE pct_change_first_to_last IS NOT NULL
+        UNION ALL SELECT 6, {place('"column"', NUMERIC['orders'])}, 1, 'outlier', "column", CAST(count AS DOUBLE)
+            FROM ({outliers_sql('orders', NUMERIC['orders'])}) WHERE count > 0
+    )
+    SELECT ROW_NUMBER() OVER (ORDER BY part, p, q) AS seq, type, subject, ROUND(value + 1e-5, 2) AS value
+    FROM facts QUALIFY seq <= 40
+"""
+
 # --- series and models ----------------------------------------------------------
 
 MONTH_GAPS = f"({as_sql('month_gaps')})"
@@ -817,3 +859,34 @@ ORACLES["json_round_trip"] = f"""
     SELECT event_type, COUNT(*) AS rows, ROUND(SUM(value) + 1e-5, 2) AS total, {iso('MIN(ts)')} AS first_ts
     FROM events GROUP BY event_type
 """
+
+ORACLES["report_sections"] = f"""
+    SELECT 'dataset_summary' AS section, CAST(1 AS BIGINT) AS rows UNION ALL SELECT 'quality', 1
+    UNION ALL SELECT 'numerical_analysis', 3 UNION ALL SELECT 'business_metrics', 3
+    UNION ALL SELECT 'outliers', COUNT(*) FROM ({outliers_sql('orders', NUMERIC['orders'])}) WHERE count > 0
+    UNION ALL SELECT 'categorical_summary', 2
+    UNION ALL SELECT 'categorical_distribution', COUNT(DISTINCT o_orderstatus) + COUNT(DISTINCT o_orderpriority) FROM orders
+    UNION ALL SELECT 'date_analysis', 1
+    UNION ALL SELECT 'date_counts', COUNT(*) FROM ({ORACLES['date_counts']})
+    UNION ALL SELECT 'correlations', 3
+    UNION ALL SELECT 'strong_correlations', COUNT(*) FROM ({correlations_sql('orders', NUMERIC['orders'])})
+        WHERE absolute_correlation >= 0.5
+    UNION ALL SELECT 'trends', 3
+    UNION ALL SELECT 'trend_points', COUNT(*) FROM ({ORACLES['monthly_trend']})
+    UNION ALL SELECT 'important_columns', 3 + 2 + 1
+"""
+# A column with more than 60 % missing after the duplicates are gone is left as it is.
+ORACLES["cleaning_actions"] = f"""
+    {CLEANING}
+    SELECT * FROM (VALUES (NULL, 'drop_empty_columns'), (NULL, 'drop_duplicates'), ('money', 'convert'),
+        ('flag', 'convert'), ('shipped', 'convert'), ('quantity', 'impute_median'), ('money', 'impute_median'),
+        ('returnflag', 'impute_mode'), (NULL, 'flag_constant'), ('shipped', 'date_gaps'),
+        (NULL, 'constant_columns')) AS t("column", action)
+    UNION ALL SELECT 'sparse', CASE WHEN fill_sparse THEN 'impute_median' ELSE 'left_missing' END FROM med
+    UNION ALL SELECT NULL, 'flag_outliers' FROM (
+        SELECT SUM(count) AS n FROM ({union([fence_sql('fin', x) for x in ('quantity', 'sparse', 'money', 'k')])})
+    ) WHERE n > 0
+"""
+ORACLES["scatter_pairs"] = """
+    SELECT CAST(p_size AS DOUBLE) AS p_size, ROUND(p_retailprice, 6) AS p_retailprice, p_brand FROM part
+"""

@@ -628,6 +628,12 @@ def scatter_sample(spark, folder):
     )
 
 
+@query
+def scatter_pairs(spark, folder):
+    """`part` has fewer rows than a plot takes at the scale the SQL runs at."""
+    return tidy(sampling.scatter_points(table(spark, folder, "part"), "p_size", "p_retailprice", "p_brand", ["p_partkey"]))
+
+
 # --- insights -----------------------------------------------------------------
 
 
