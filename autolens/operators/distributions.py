@@ -36,10 +36,9 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = K.HISTOGRAM_BIN
         width = (high - low) / bins
         count = bins if width > 0 else 1
         frame.append((i, c, low, width, count))
-        cells[f"b{i}"] = (
-            F.least(F.floor((v - low) / F.lit(width)), F.lit(count - 1)) if width > 0
-            else F.when(v.isNotNull(), 0)
-        ).cast("int")
+        place = F.least(F.floor((v - low) / F.lit(width)), F.lit(count - 1)) if width > 0 else F.lit(0)
+        # `least` passes over nulls.
+        cells[f"b{i}"] = F.when(v.isNotNull(), place).cast("int")
     layout = local_table(df.sparkSession, frame, "i int, column string, low double, width double, bins int"
     ).select("i", "column", "low", "width", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
     if not cells:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from decimal import Decimal, InvalidOperation
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -50,8 +51,22 @@ def equals_any(c: Column, data_type: T.DataType, values: Sequence[Any]) -> Colum
     if S.is_boolean(data_type):
         words = {"true": True, "false": False}
         return c.isin([words[str(v).lower()] for v in values if str(v).lower() in words] or [None])
-    wanted = [F.lit(str(v)).try_cast(data_type) for v in values]
-    return c.isin(*wanted)
+    if S.is_numeric(data_type):
+        numbers = [_number(v, S.is_integer(data_type)) for v in values]
+        return c.isin([n for n in numbers if n is not None] or [None])
+    return c.isin(*[F.lit(str(v)).try_cast(data_type) for v in values])
+
+
+def _number(value: Any, whole: bool) -> int | float | None:
+    try:
+        number = Decimal(str(value).strip())
+    except InvalidOperation:
+        return None
+    if not number.is_finite():
+        return None
+    if whole:
+        return int(number) if number == number.to_integral_value() else None
+    return float(number)
 
 
 def predicate(df: DataFrame, state: Mapping[str, Any], inclusive_day: bool = False) -> Column | None:

@@ -134,7 +134,7 @@ def forecast_linear(df: DataFrame, date: str, metric: str, by: Sequence[str] = (
     fit = (
         series.withColumn("slope", F.regr_slope(y, t).over(group))
         .withColumn("intercept", F.regr_intercept(y, t).over(group))
-        .groupBy(*keys)
+        .groupBy(*(keys or [F.lit(1)]))  # no row for no series
         .agg(
             F.max("n").alias("n"),
             F.max("month").alias("last"),
@@ -177,10 +177,11 @@ def forecast_metrics(df: DataFrame, date: str, metric: str, by: Sequence[str] =
     error = held_y - (F.col("intercept") + F.col("slope") * F.col("t"))
     held = F.count(held_y)
     spread = F.var_pop(held_y) * held
-    return fitted.groupBy(*keys).agg(
+    result = fitted.groupBy(*(keys or [F.lit(1)])).agg(  # no row for no series
         F.max("n").alias("months"),
         _horizon(F.max("n")).alias("horizon_months"),
         F.avg(F.abs(error)).alias("mae"),
         F.sqrt(F.avg(error * error)).alias("rmse"),
         F.when((held > 1) & (spread > 0), 1 - F.sum(error * error) / spread).alias("r2"),
     )
+    return result.select(*keys, "months", "horizon_months", "mae", "rmse", "r2")
