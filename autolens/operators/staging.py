@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+def _shared_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
+
+
 def scratch_path(spark: SparkSession) -> str | None:
     """A new folder name in the shared folder, or None where there is no such folder."""
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    folder = _shared_folder(spark)
     if folder is None:
         if not spark.conf.get("spark.master", "").startswith("local"):
             return None

@@ -9,11 +9,12 @@ from autolens.session import builder  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         builder("tests").master("local[4]")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -25,10 +26,3 @@ def spark():
 def folder():
     return "/root/testdata/sf0.001"
 
-
-def as_dicts(df):
-    return [r.asDict() for r in df.collect()]
-
-
-def by(df, key):
-    return {r[key]: r.asDict() for r in df.collect()}
