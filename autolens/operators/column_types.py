@@ -27,24 +27,34 @@ def text_statistics(counts: DataFrame, text_columns: list[str]) -> DataFrame:
     is_long = F.col("long_length").isNotNull()
     token = F.array_position(F.array(*[F.lit(t) for t in _TOKENS]), F.lower(strip(value)))
 
-    def weight(flag: Column, long_flag: Column) -> Column:
-        hit = F.when(is_long, long_flag).otherwise(flag)
-        return F.sum(F.when(is_text & present & hit, n).otherwise(0))
+    def weight(hit: Column) -> Column:
+        return F.sum(F.when(hit, n).otherwise(0))
+
+    # Parsed once per distinct value, ahead of the aggregation.
+    counts = counts.withColumns({
+        "is_number": is_text & present & F.when(is_long, F.col("long_numeric")).otherwise(parse_number(value).isNotNull()),
+        "is_separated": is_text & present & F.when(is_long, F.col("long_separator")).otherwise(
+            strip(value).rlike(K.DATE_SEPARATOR_PATTERN)
+        ),
+        "is_date": is_text & present & parse_date(F.when(is_long, F.col("long_probe")).otherwise(value)).isNotNull(),
+        "token": F.when(present & ~is_long, token),
+    })
+    token = F.col("token")
 
     length = F.coalesce(F.col("long_length"), F.length(value))
     stats = counts.groupBy("column").agg(
         F.sum(F.when(present, n).otherwise(0)).alias("non_null"),
         F.sum(F.when(present, 0).otherwise(n)).alias("missing"),
         F.count("value").alias("nunique"),
-        weight(parse_number(value).isNotNull(), F.col("long_numeric")).alias("numeric_hits"),
-        weight(strip(value).rlike(K.DATE_SEPARATOR_PATTERN), F.col("long_separator")).alias("separator_hits"),
-        weight(parse_date(value).isNotNull(), F.col("long_date")).alias("date_hits"),
+        weight(F.col("is_number")).alias("numeric_hits"),
+        weight(F.col("is_separated")).alias("separator_hits"),
+        weight(F.col("is_date")).alias("date_hits"),
         F.sum(F.when(present, n * length)).alias("characters"),
         # Which of the tokens occur, as a bit set; another value sets bit 62.
         F.bit_or(
             F.when(
                 present,
-                F.when((token > 0) & ~is_long, F.call_function("shiftleft", F.lit(1).cast("bigint"), token.cast("int")))
+                F.when(token > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), token.cast("int")))
                 .otherwise(F.lit(1 << 62)),
             )
         ).alias("tokens"),

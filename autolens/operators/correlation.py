@@ -20,17 +20,19 @@ PAIRS_PER_PASS = 200
 _PAIRS = "column_1 string, column_2 string, r double"
 
 
-def _pair_sums(a: Column, b: Column, complete: bool) -> Column:
+def _pair_sums(a: str, b: str, complete: bool, name: str) -> list[Column]:
     """Sums that give r, of centred values. Where gaps differ, each pair needs its own."""
+    product = F.col(a) * F.col(b)
     if complete:
-        return F.struct(F.sum(a * b).alias("xy"))
-    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.struct(
-        F.sum(a * b).alias("xy"), F.count(a * b).alias("n"),
-        F.sum(x).alias("x"), F.sum(y).alias("y"),
-        F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"),
-        (F.min(x) < F.max(x)).alias("x_varies"), (F.min(y) < F.max(y)).alias("y_varies"),
-    )
+        return [F.sum(product).alias(f"{name}xy")]
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return [
+        F.sum(product).alias(f"{name}xy"), F.count(product).alias(f"{name}n"),
+        F.sum(x).alias(f"{name}x"), F.sum(y).alias(f"{name}y"),
+        F.sum(x * x).alias(f"{name}xx"), F.sum(y * y).alias(f"{name}yy"),
+        F.min(x).alias(f"{name}x_low"), F.max(x).alias(f"{name}x_high"),
+        F.min(y).alias(f"{name}y_low"), F.max(y).alias(f"{name}y_high"),
+    ]
 
 
 def pair_correlations(
@@ -54,32 +56,31 @@ def pair_correlations(
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         batch = pairs[start : start + PAIRS_PER_PASS]
         used = list(dict.fromkeys(c for pair in batch for c in pair))
-        own = [
-            F.struct(F.sum(index[c]).alias("x"), F.sum(F.col(index[c]) * F.col(index[c])).alias("xx")).alias(index[c])
-            for c in used
-        ]
-        both = [
-            _pair_sums(F.col(index[a]), F.col(index[b]), a in full and b in full).alias(f"p{i}")
-            for i, (a, b) in enumerate(batch)
-        ]
+        sums = []
+        for c in used:
+            value = F.col(index[c])
+            sums += [F.sum(value).alias(f"{index[c]}x"), F.sum(value * value).alias(f"{index[c]}xx")]
+        for i, (a, b) in enumerate(batch):
+            sums += _pair_sums(index[a], index[b], a in full and b in full, f"p{i}")
         row = (
             df.select(*[(finite(col(c)) - F.lit(float(facts[c]["mean"]))).alias(index[c]) for c in used])
-            .agg(*own, *both)
+            .agg(*sums)
             .first()
         )
         for i, (a, b) in enumerate(batch):
-            pair = row[f"p{i}"].asDict()
             if a in full and b in full:
                 n = facts[a]["count"]
-                x, xx = row[index[a]]["x"], row[index[a]]["xx"]
-                y, yy = row[index[b]]["x"], row[index[b]]["xx"]
+                x, xx = row[f"{index[a]}x"], row[f"{index[a]}xx"]
+                y, yy = row[f"{index[b]}x"], row[f"{index[b]}xx"]
             else:
-                if not (pair["x_varies"] and pair["y_varies"]):
+                n, x, y, xx, yy, *ends = (
+                    row[f"p{i}{k}"] for k in ("n", "x", "y", "xx", "yy", "x_low", "x_high", "y_low", "y_high")
+                )
+                if not n or not (ends[0] < ends[1] and ends[2] < ends[3]):
                     continue
-                n, x, y, xx, yy = (pair[k] for k in ("n", "x", "y", "xx", "yy"))
             spread = (xx - x * x / n) * (yy - y * y / n)
             if spread > 0:
-                r = (pair["xy"] - x * y / n) / spread**0.5
+                r = (row[f"p{i}xy"] - x * y / n) / spread**0.5
                 result.append((a, b, max(-1.0, min(1.0, r))))
     return local_table(df.sparkSession, result, _PAIRS)
 

@@ -1,5 +1,5 @@
-"""The value-frequency table: one shuffle that answers distinct counts, missing
-counts, modes, top-k lists and parse ratios for every column at once.
+"""The value-frequency table: a count per column and value that answers distinct
+counts, missing counts, modes, top-k lists and parse ratios for all columns at once.
 
 `groupBy(column, value)` combines on the map side, so a value that fills a third
 of the table costs one row per task, and the pairs spread over all reducers.
@@ -15,47 +15,82 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.names import col
-from ..functions.scalars import parse_date, parse_number, strip
+from ..functions.scalars import parse_number, strip
 
 # Longer strings are grouped by their SHA-256 with the facts we need of them, so
 # that whole texts are looked at but not shuffled.
 LONG_TEXT = 256
+# A long string that is mostly white space may still be a date.
+LONG_PROBE = 64
 
 
-def _as_text(name: str, data_type: T.DataType) -> Column:
-    c = col(name)
+def _family(data_type: T.DataType) -> str:
+    """Columns of a family are counted together, in their own type."""
+    if isinstance(data_type, T.IntegralType):
+        return "bigint"
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        c = F.when(~F.isnan(c), c + F.lit(0.0))
-    return c.cast("string").alias(name)
+        return "double"
+    if isinstance(data_type, (T.CharType, T.VarcharType)):
+        return "string"
+    return data_type.simpleString()
+
+
+def _counted(df: DataFrame, columns: Sequence[str], family: str) -> DataFrame:
+    """Counts of one family; text for display is made of the distinct values only."""
+    values = []
+    for i, c in enumerate(columns):
+        v = col(c).cast(family)
+        if family == "double":
+            v = F.when(~F.isnan(v), v + F.lit(0.0))
+        values.append(v.alias(f"v{i}"))
+    names = F.array(*[F.lit(c) for c in columns])
+    rows = df.select(*values).unpivot([], [f"v{i}" for i in range(len(columns))], "v", "value")
+    keys: list[Column] = [F.col("v")]
+    value = F.col("value")
+    if family == "string":
+        is_long = F.length(value) > LONG_TEXT
+        stripped = strip(value)
+        facts = F.struct(
+            F.length(value).alias("length"),
+            parse_number(value).isNotNull().alias("numeric"),
+            stripped.rlike(K.DATE_SEPARATOR_PATTERN).alias("separator"),
+            F.when(F.length(stripped) <= LONG_PROBE, stripped).alias("probe"),
+        )
+        keys += [
+            F.when(is_long, F.sha2(value, 256)).otherwise(value).alias("value"),
+            F.when(is_long, facts).alias("long"),
+        ]
+    else:
+        keys.append(value)
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    long = counted["long"] if family == "string" else None
+    nothing = {"length": "int", "numeric": "boolean", "separator": "boolean", "probe": "string"}
+    return counted.select(
+        F.element_at(names, F.substring("v", 2, 9).cast("int") + 1).alias("column"),
+        value.cast("string").alias("value"),
+        *[
+            (long[k] if long is not None else F.lit(None).cast(t)).alias(f"long_{k}")
+            for k, t in nothing.items()
+        ],
+        "n",
+    )
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """`(column, value, long_length, long_numeric, long_date, n)`; null is a value.
+    """`(column, value, long_length, long_numeric, long_separator, long_probe, n)`; null is a value.
 
-    The three `long_*` fields are set only where `value` is a digest.
+    The `long_*` fields are set only where `value` is a digest. Columns of one type
+    share a scan and a shuffle, so numbers and times travel as such and not as text.
     """
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    rows = df.select(*[_as_text(c, fields[c]) for c in columns]).unpivot(
-        [], [col(c) for c in columns], "column", "value"
-    )
-    value = F.col("value")
-    is_long = F.length(value) > LONG_TEXT
-
-    def if_long(c: Column) -> Column:
-        return F.when(is_long, c)
-
-    return (
-        rows.select(
-            "column",
-            F.when(is_long, F.sha2(value, 256)).otherwise(value).alias("value"),
-            if_long(F.length(value)).alias("long_length"),
-            if_long(parse_number(value).isNotNull()).alias("long_numeric"),
-            if_long(parse_date(value).isNotNull()).alias("long_date"),
-            if_long(strip(value).rlike(K.DATE_SEPARATOR_PATTERN)).alias("long_separator"),
-        )
-        .groupBy("column", "value", "long_length", "long_numeric", "long_date", "long_separator")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    families: dict[str, list[str]] = {}
+    for f in df.schema.fields:
+        if f.name in columns:
+            families.setdefault(_family(f.dataType), []).append(f.name)
+    parts = [_counted(df, names, family) for family, names in families.items()]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
 
 
 def shown_value() -> Column:

@@ -34,27 +34,35 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    structs = []
-    for name in columns:
-        v = finite(col(name))
-        n = F.count(v)
-        structs.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                n.alias("count"),
-                (F.count(F.lit(1)) - n).alias("missing"),
-                F.sum(v).alias("sum"),
-                F.avg(v).alias("mean"),
-                F.min(v).alias("min"),
-                F.max(v).alias("max"),
-                F.stddev_samp(v).alias("std"),
-                F.var_samp(v).alias("variance"),
-                sample_skewness(n.cast("double"), F.skewness(v), F.var_samp(v)).alias("skewness"),
-            )
-        )
-    if not structs:
-        return local_table(df.sparkSession, [],
+    if not columns:
+        return local_table(
+            df.sparkSession, [],
             "column string, count bigint, missing bigint, sum double, mean double, min double, "
             "max double, std double, variance double, skewness double",
         )
-    return df.agg(F.array(*structs).alias("stats")).select(F.inline("stats"))
+    # Flat aggregates over plain columns; anything else leaves the generated code.
+    values = df.select(*[finite(col(c)).alias(f"v{i}") for i, c in enumerate(columns)])
+    sums = []
+    for i in range(len(columns)):
+        sums += [
+            F.count(f"v{i}").alias(f"n{i}"), F.sum(f"v{i}").alias(f"sum{i}"),
+            F.min(f"v{i}").alias(f"min{i}"), F.max(f"v{i}").alias(f"max{i}"),
+            F.var_samp(f"v{i}").alias(f"var{i}"), F.skewness(f"v{i}").alias(f"skew{i}"),
+        ]
+    row = values.agg(F.count(F.lit(1)).alias("rows"), *sums)
+    structs = [
+        F.struct(
+            F.lit(name).alias("column"),
+            F.col(f"n{i}").alias("count"),
+            (F.col("rows") - F.col(f"n{i}")).alias("missing"),
+            F.col(f"sum{i}").alias("sum"),
+            F.try_divide(f"sum{i}", f"n{i}").alias("mean"),
+            F.col(f"min{i}").alias("min"),
+            F.col(f"max{i}").alias("max"),
+            F.sqrt(f"var{i}").alias("std"),
+            F.col(f"var{i}").alias("variance"),
+            sample_skewness(F.col(f"n{i}").cast("double"), F.col(f"skew{i}"), F.col(f"var{i}")).alias("skewness"),
+        )
+        for i, name in enumerate(columns)
+    ]
+    return row.select(F.inline(F.array(*structs)))

@@ -147,21 +147,29 @@ def column_facts(df: DataFrame) -> DataFrame:
     A column is constant when its least value equals its greatest, or it has none:
     no distinct count is needed.
     """
-    cells = []
-    for f in df.schema.fields:
+    fields = df.schema.fields
+    values, sums = [], []
+    for i, f in enumerate(fields):
         c = col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.when(~F.isnan(c), c)
-        constant = F.min(c).eqNullSafe(F.max(c)) if S.is_supported(f.dataType) else F.lit(False)
-        cells.append(
-            F.struct(
-                F.lit(f.name).alias("column"),
-                F.count(F.lit(1)).alias("rows"),
-                (F.count(F.lit(1)) - F.count(c)).alias("missing"),
-                constant.alias("constant"),
-            )
+        values.append(c.alias(f"v{i}"))
+        sums.append(F.count(f"v{i}").alias(f"n{i}"))
+        if S.is_supported(f.dataType):
+            sums += [F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}")]
+    row = df.select(*values).agg(F.count(F.lit(1)).alias("rows"), *sums)
+    cells = [
+        F.struct(
+            F.lit(f.name).alias("column"),
+            "rows",
+            (F.col("rows") - F.col(f"n{i}")).alias("missing"),
+            (
+                F.col(f"lo{i}").eqNullSafe(F.col(f"hi{i}")) if S.is_supported(f.dataType) else F.lit(False)
+            ).alias("constant"),
         )
-    return df.agg(F.array(*cells).alias("facts")).select(F.inline("facts"))
+        for i, f in enumerate(fields)
+    ]
+    return row.select(F.inline(F.array(*cells)))
 
 
 def constant_columns(df: DataFrame) -> DataFrame:

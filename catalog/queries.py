@@ -23,7 +23,7 @@ from autolens.operators import (
 from autolens.operators.staging import scratch_path
 from autolens.plans import analysis, insights
 from autolens.plans.dashboard import TableSpec, dashboard
-from autolens.sources.read import read_table, spread
+from autolens.sources.read import read_table
 from autolens.sources.write import write_csv, write_json, write_report
 
 from . import dirt
@@ -48,7 +48,7 @@ def query(function: Query) -> Query:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def dirty(spark: SparkSession, folder: str, name: str) -> DataFrame:

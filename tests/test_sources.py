@@ -103,7 +103,3 @@ def test_stage_uses_the_shared_folder(spark):
     assert len(set(glob.glob(f"{folder}/autolens-*")) - before) == 1
     assert staged.columns == ["a b", "c.d", "e"] and staged.count() == 1
 
-
-def test_spread_leaves_big_tables_alone(spark):
-    assert read.spread(spark.range(0, 100, 1, 9)).rdd.getNumPartitions() == 9
-    assert read.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
