@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
-from ..functions.names import col
+from ..functions.names import col, name_in
 from ..functions.scalars import parse_number, strip
 
 # Longer strings are grouped by their SHA-256 with the facts we need of them, so
@@ -101,14 +101,19 @@ def shown_value() -> Column:
 
 
 def summarize_counts(counts: DataFrame) -> DataFrame:
-    """`(column, non_null, missing, nunique, mode, mode_count)` from a frequency table."""
+    """`(column, non_null, missing, nunique)` from a frequency table."""
     present = F.col("value").isNotNull()
     return counts.groupBy("column").agg(
         F.sum(F.when(present, F.col("n")).otherwise(0)).alias("non_null"),
         F.sum(F.when(present, 0).otherwise(F.col("n"))).alias("missing"),
         F.count("value").alias("nunique"),
-        F.min_by(shown_value(), F.when(present, F.struct(-F.col("n"), F.col("value")))).alias("mode"),
-        F.max(F.when(present, F.col("n"))).alias("mode_count"),
+    )
+
+
+def modes(counts: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """`(column, mode, mode_count)`: the most frequent value, the smallest of equals."""
+    return top_values(counts, 1, columns).select(
+        "column", F.col("value").alias("mode"), F.col("count").alias("mode_count")
     )
 
 
@@ -120,7 +125,7 @@ def top_values(counts: DataFrame, k: int, columns: Sequence[str] | None = None)
     """
     present = counts.where(F.col("value").isNotNull())
     if columns is not None:
-        present = present.where(F.col("column").isin(list(columns)))
+        present = present.where(name_in(F.col("column"), columns))
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
     return (
         present.select("column", "n", "value", shown_value().alias("shown"))

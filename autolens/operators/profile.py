@@ -11,7 +11,7 @@ from ..functions.names import col
 from ..functions.scalars import as_ntz, elapsed_days, iso_timestamp
 from . import schema as S
 from .column_types import infer_types, of_type
-from .frequency import distinct_rows, summarize_counts, top_values, value_counts
+from .frequency import distinct_rows, modes, summarize_counts, top_values, value_counts
 from .moments import moments
 from .outliers import outlier_counts
 from .quantiles import quantiles
@@ -24,16 +24,17 @@ QUARTILES = {"q25": 0.25, "median": 0.50, "q75": 0.75}
 def profile_counts(df: DataFrame, types: dict[str, str], counts: DataFrame | None = None) -> DataFrame:
     """Missing and distinct values of every column, and the mode of categories."""
     usable = S.supported_columns(df)
-    counts = counts if counts is not None else value_counts(df, usable)
+    counts = counts if counts is not None else stage(value_counts(df, usable))
     categories = of_type(types, "categorical", "boolean")
     rows = F.greatest(F.col("non_null") + F.col("missing"), F.lit(1))
-    return summarize_counts(counts).select(
+    frequent = modes(counts, categories)  # one row per column
+    return summarize_counts(counts).join(F.broadcast(frequent), "column", "left").select(
         "column",
         F.col("missing").alias("missing_count"),
         (100.0 * F.col("missing") / rows).alias("missing_percentage"),
         F.col("nunique").alias("unique_count"),
         (100.0 * F.col("nunique") / rows).alias("unique_percentage"),
-        F.when(F.col("column").isin(categories), F.col("mode")).alias("mode"),
+        "mode",
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.names import col, is_average_name, is_metric_name, name_in
 from ..functions.scalars import as_ntz, elapsed_days, iso_timestamp, month_label
-from .frequency import summarize_counts, top_values, value_counts
+from .frequency import modes, summarize_counts, top_values, value_counts
 from .moments import moments
 from .quantiles import approximate_quantiles, quantiles
 from .staging import stage
@@ -33,8 +33,9 @@ def analyze_numerical(df: DataFrame, columns: Sequence[str], approx: bool = Fals
 
 def categorical_summary(df: DataFrame, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """Number of categories and the dominant one with its count and share."""
-    counts = counts if counts is not None else value_counts(df, columns)
-    return summarize_counts(counts).where("non_null > 0").select(
+    counts = counts if counts is not None else stage(value_counts(df, columns))
+    frequent = modes(counts, columns)  # one row per column
+    return summarize_counts(counts).join(F.broadcast(frequent), "column").select(
         "column",
         F.col("nunique").alias("n_categories"),
         F.col("mode").alias("dominant_category"),
