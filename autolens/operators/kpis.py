@@ -80,11 +80,11 @@ def compute_kpis(df: DataFrame, kpis: Sequence[Kpi]) -> DataFrame:
 
 def default_kpis(types: dict[str, str]) -> list[Kpi]:
     """Rows, total and mean of the first numerical column, categories of the first categorical one."""
-    kpis = [Kpi("Total Records", None, "count")]
+    kpis = [Kpi(K.KPI_NAMES["rows"], None, "count")]
     for c in of_type(types, "numerical")[:1]:
-        kpis += [Kpi(f"Total {c}", c, "sum"), Kpi(f"Avg {c}", c, "mean")]
+        kpis += [Kpi(K.KPI_NAMES[how].format(c), c, how) for how in ("sum", "mean")]
     for c in of_type(types, "categorical")[:1]:
-        kpis.append(Kpi(f"Unique {c}", c, "nunique"))
+        kpis.append(Kpi(K.KPI_NAMES["nunique"].format(c), c, "nunique"))
     return kpis
 
 

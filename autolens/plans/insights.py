@@ -47,8 +47,8 @@ def _facts(df: DataFrame, *facts: Column) -> DataFrame:
     return df.select(F.inline(F.array_compact(F.array(*facts))))
 
 
-def _text(template: str, *values: Column) -> Column:
-    return F.format_string(template, *values)
+def _text(sentence: str, *values: Column) -> Column:
+    return F.format_string(K.SENTENCES[sentence], *values)
 
 
 def dataset_insights(summary: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -60,14 +60,14 @@ def dataset_insights(summary: DataFrame, types: dict[str, str]) -> DataFrame:
         _fact(
             1, [F.lit(1)], "dataset", F.lit(None), F.col("rows"),
             _text(
-                "Dataset contains %s rows and %d columns (%d numerical, %d categorical, %d date).",
+                "size",
                 F.format_number("rows", 0), F.col("columns"),
                 *[F.lit(len(of_type(types, t))) for t in ("numerical", "categorical", "date")],
             ),
         ),
         _fact(
             1, [F.lit(2)], "quality", F.lit(None), missing,
-            _text("Overall missing-value rate is %s of all cells.", display_percent(missing)),
+            _text("missing", display_percent(missing)),
         ),
     )
 
@@ -89,14 +89,14 @@ def category_insights(
         _fact(
             2, [at, F.lit(1)], "concentration", name, share,
             _text(
-                "In '%s', '%s' is the dominant category (%s of records, %d categories total).",
+                "dominant",
                 name, F.col("dominant_category"), display_percent(share), F.col("n_categories"),
             ),
         ),
         _fact(
             2, [at, F.lit(2)], "concentration", name, share,
             _text(
-                "Values in '%s' are highly concentrated: '%s' alone accounts for %s.",
+                "concentrated",
                 name, F.col("dominant_category"), display_percent(share),
             ),
             when=share >= HIGH_CONCENTRATION,
@@ -108,7 +108,7 @@ def category_insights(
             _fact(
                 2, [at, F.lit(3)], "top_category", name, F.col("top_value"),
                 _text(
-                    "Highest '%s' by '%s' is '%s' at %s (%s of total).",
+                    "highest",
                     F.lit(metric), name, F.col("top_key"), display_number(F.col("top_value")),
                     display_percent(F.col("top_share")),
                 ),
@@ -117,7 +117,7 @@ def category_insights(
             _fact(
                 2, [at, F.lit(4)], "bottom_category", name, F.col("bottom_value"),
                 _text(
-                    "Lowest '%s' by '%s' is '%s' at %s.",
+                    "lowest",
                     F.lit(metric), name, F.col("bottom_key"), display_number(F.col("bottom_value")),
                 ),
                 when=known,
@@ -125,7 +125,7 @@ def category_insights(
             _fact(
                 2, [at, F.lit(5)], "concentration", name, F.col("top3_share"),
                 _text(
-                    "Top 3 '%s' values contribute %s of total '%s'.",
+                    "top_three",
                     name, display_percent(F.col("top3_share")), F.lit(metric),
                 ),
                 when=F.col("top3_share").isNotNull(),
@@ -143,21 +143,21 @@ def numerical_insights(stats: DataFrame, order: Sequence[str]) -> DataFrame:
         _fact(
             3, [at, F.lit(1)], "metric", name, F.col("mean"),
             _text(
-                "'%s' averages %s (median %s, range %s–%s).",
+                "average",
                 name, *[display_number(F.col(c)) for c in ("mean", "median", "min", "max")],
             ),
         ),
         _fact(
             3, [at, F.lit(2)], "distribution", name, skew,
             _text(
-                "'%s' is %s-skewed (skewness=%.2f), so extremes may influence averages.",
+                "skewed",
                 name, F.when(skew > 0, "right").otherwise("left"), skew,
             ),
             when=F.abs(skew) >= NOTABLE_SKEW,
         ),
         _fact(
             3, [at, F.lit(3)], "metric", name, F.col("sum"),
-            _text("Total '%s' across the dataset is %s.", name, display_number(F.col("sum"))),
+            _text("total", name, display_number(F.col("sum"))),
             when=F.abs("sum") > F.abs("mean"),
         ),
     )
@@ -174,7 +174,7 @@ def correlation_insights(pairs: DataFrame) -> DataFrame:
         _fact(
             4, [F.col("rank")], "correlation", subject, r,
             _text(
-                "Strongest relationship is between '%s' and '%s' (Pearson r=%s, %s %s).",
+                "strongest",
                 a, b, number, F.col("strength"), F.col("direction"),
             ),
             when=F.col("rank") == 1,
@@ -182,7 +182,7 @@ def correlation_insights(pairs: DataFrame) -> DataFrame:
         _fact(
             4, [F.col("rank")], "correlation", subject, r,
             _text(
-                "'%s' and '%s' show a %s %s correlation (r=%s).",
+                "correlated",
                 a, b, F.col("strength"), F.col("direction"), number,
             ),
             when=(F.col("rank") > 1) & strong,
@@ -198,16 +198,16 @@ def trend_insights(trends: DataFrame, order: Sequence[str]) -> DataFrame:
         trends,
         _fact(
             5, [at, F.lit(1)], "trend", name, F.col("best_value"),
-            _text("Best month for '%s' is %s (%s).", name, F.col("best_period"), display_number(F.col("best_value"))),
+            _text("best_month", name, F.col("best_period"), display_number(F.col("best_value"))),
         ),
         _fact(
             5, [at, F.lit(2)], "trend", name, F.col("worst_value"),
-            _text("Worst month for '%s' is %s (%s).", name, F.col("worst_period"), display_number(F.col("worst_value"))),
+            _text("worst_month", name, F.col("worst_period"), display_number(F.col("worst_value"))),
         ),
         _fact(
             5, [at, F.lit(3)], "trend", name, change,
             _text(
-                "'%s' %s by %s from the first to the latest period.",
+                "change",
                 name, F.when(change >= 0, "increased").otherwise("declined"), display_percent(F.abs(change)),
             ),
             when=change.isNotNull(),
@@ -223,7 +223,7 @@ def outlier_insights(outliers: DataFrame, order: Sequence[str]) -> DataFrame:
         _fact(
             6, [_position(name, order)], "outlier", name, F.col("count"),
             _text(
-                "Detected %d unusual values in '%s' (%s via %s). Outliers were flagged, not removed.",
+                "outliers",
                 F.col("count"), name, display_percent(F.col("percentage")), F.col("method"),
             ),
         ),
@@ -234,20 +234,20 @@ def model_insights(result) -> DataFrame | None:
     """Model, headline quality and the most important features of a model run."""
     if result is None or not result.used:
         return None
-    facts = [("model", None, f"Machine learning ({result.model_type}) was applied"
-              + (f" with target '{result.target}'." if result.target else "."))]
+    ending = f" with target '{result.target}'." if result.target else "."
+    facts = [("model", None, K.SENTENCES["model"] % result.model_type + ending)]
     metrics = result.metrics
     if "accuracy" in metrics:
-        facts.append(("accuracy", metrics["accuracy"], f"Classification accuracy: {100 * metrics['accuracy']:.1f}%."))
+        facts.append(("accuracy", metrics["accuracy"], K.SENTENCES["accuracy"] % f"{100 * metrics['accuracy']:.1f}%"))
     if metrics.get("r2") is not None:
-        facts.append(("r2", metrics["r2"], f"Regression R²: {metrics['r2']:.3f}."))
+        facts.append(("r2", metrics["r2"], K.SENTENCES["r2"] % metrics["r2"]))
     if "silhouette" in metrics:
-        facts.append(("silhouette", metrics["silhouette"], f"Clustering silhouette score: {metrics['silhouette']:.3f}."))
+        facts.append(("silhouette", metrics["silhouette"], K.SENTENCES["silhouette"] % metrics["silhouette"]))
     if result.importance is not None:
         best = result.importance.orderBy(F.desc("importance"), "feature").limit(5).collect()
         named = ", ".join(f"{r['feature']} ({100 * r['importance']:.1f}%)" for r in best)
         if named:
-            facts.append(("features", None, f"Top predictive features: {named}."))
+            facts.append(("features", None, K.SENTENCES["features"] % named))
     rows = [(7, [float(i)], "ml", s, v, m) for i, (s, v, m) in enumerate(facts)]
     return local_table(result.session, rows, SHAPE)
 

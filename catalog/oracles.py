@@ -147,6 +147,11 @@ COLUMNS = {
     "customer": [("c_custkey", "n"), ("c_name", "s"), ("c_nationkey", "n"), ("c_acctbal", "f"), ("c_mktsegment", "s")],
     "supplier": [("s_suppkey", "n"), ("s_name", "s"), ("s_nationkey", "n"), ("s_acctbal", "f")],
     "nation": [("n_nationkey", "n"), ("n_name", "s"), ("n_regionkey", "n")],
+    "region": [("r_regionkey", "n"), ("r_name", "s")],
+    "part": [("p_partkey", "n"), ("p_name", "s"), ("p_brand", "s"), ("p_type", "s"), ("p_size", "n"), ("p_retailprice", "f")],
+    "embeddings": [("vec_id", "n"), ("embedding", "u"), ("label", "n")],
+    "pages": [("page_id", "n"), ("url", "s"), ("html", "s")],
+    "benchmark": [("item_id", "n"), ("text", "s")],
     "conversations": [("conv_id", "n"), ("turn", "n"), ("role", "s"), ("text", "s")],
     "lineitem": [("l_orderkey", "n"), ("l_partkey", "n"), ("l_suppkey", "n"), ("l_linenumber", "n"),
                  ("l_quantity", "f"), ("l_extendedprice", "f"), ("l_discount", "f"), ("l_tax", "f"),
@@ -171,7 +176,11 @@ def date_sql(c: str) -> str:
 
 
 def column_type_sql(source: str, name: str, kind: str) -> str:
-    """One row of type statistics; kind: n whole number, f fraction, d date, s text."""
+    """One row of type statistics; kind: n whole number, f fraction, d date, s text, u nested."""
+    if kind == "u":
+        return f"""SELECT '{name}' AS "column", 'unsupported' AS inferred_type, CAST(0 AS BIGINT) AS nunique,
+            0.0::DOUBLE AS unique_ratio, 0.0::DOUBLE AS numeric_ratio, 0.0::DOUBLE AS date_ratio,
+            0.0::DOUBLE AS separator_ratio, 0.0::DOUBLE AS avg_len"""
     text = f"CAST({name} AS VARCHAR)"
     numeric = f"CASE WHEN regexp_matches('{name}', '{ID_NAME}') AND ratio >= 0.95 THEN 'identifier' ELSE 'numerical' END"
     zero = "CAST(0 AS BIGINT)"

@@ -39,7 +39,10 @@ NUMERIC = {
     "orders": ["o_orderkey", "o_custkey", "o_totalprice"],
 }
 CATEGORIES = {"lineitem": ["l_returnflag", "l_linestatus"], "orders": ["o_orderstatus", "o_orderpriority"]}
-TYPED_TABLES = ["events", "documents", "orders", "labels", "customer", "supplier", "nation", "conversations"]
+TYPED_TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+]
 
 
 def query(function: Query) -> Query:
