@@ -61,6 +61,11 @@ _HAS_MONTH = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 _NAMED_FORMATS = ["MMM d yyyy[ H:m[:s]]", "d MMM yyyy[ H:m[:s]]", "MMM yyyy", "d MMM yy"]
 
 
+def _once(value: Column, function) -> Column:
+    """`function(value)` with `value` evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), function), 1)
+
+
 def parse_date(c: Column) -> Column:
     """Text to `timestamp_ntz`, each value on its own.
 
@@ -68,27 +73,34 @@ def parse_date(c: Column) -> Column:
     and named-month dates, with an optional clock time. Zone suffixes are dropped
     and the wall time kept. Bare numbers and bare clock times are not dates.
     """
-    text = strip(c)
-    numeric = text
-    for pattern, replacement in _REORDER:
-        numeric = F.regexp_replace(numeric, pattern, replacement)
-    half_day = F.try_to_timestamp(
-        F.regexp_replace(F.upper(numeric), r" *([AP]M)$", " $1"), F.lit("yyyy-M-d h:mm[:ss] a")
-    )
-    named = F.initcap(F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(text, _MONTH_NAME, "$1$2$3$4$5$6$7$8$9$10$11"),
-                         r"(?i)(\d)(?:st|nd|rd|th)\b", "$1"),
-        r"[-,/\s]+", " ",
-    ))
-    parsed = (
-        F.when(text.rlike(_HAS_MONTH), F.coalesce(
-            *[F.try_to_timestamp(named, F.lit(fmt)) for fmt in _NAMED_FORMATS]
-        ).cast("timestamp_ntz"))
-        .when(numeric.rlike(_NUMERIC_DATE), numeric.try_cast("timestamp_ntz"))
-        .when(numeric.rlike(_HALF_DAY), half_day.cast("timestamp_ntz"))
-    )
-    # Without a digit there is no date; this spares most text the patterns above.
-    return F.when((F.length(text) <= _DATE_LENGTH) & text.rlike(r"\d"), parsed)
+
+    def numeric_date(text: Column) -> Column:
+        half_day = F.try_to_timestamp(
+            F.regexp_replace(F.upper(text), r" *([AP]M)$", " $1"), F.lit("yyyy-M-d h:mm[:ss] a")
+        )
+        return F.when(text.rlike(_NUMERIC_DATE), text.try_cast("timestamp_ntz")).when(
+            text.rlike(_HALF_DAY), half_day.cast("timestamp_ntz")
+        )
+
+    def named_date(text: Column) -> Column:
+        return F.coalesce(
+            *[F.try_to_timestamp(text, F.lit(fmt)) for fmt in _NAMED_FORMATS]
+        ).cast("timestamp_ntz")
+
+    def date(text: Column) -> Column:
+        numeric = text
+        for pattern, replacement in _REORDER:
+            numeric = F.regexp_replace(numeric, pattern, replacement)
+        named = F.regexp_replace(text, _MONTH_NAME, "$1$2$3$4$5$6$7$8$9$10$11")
+        named = F.regexp_replace(named, r"(?i)(\d)(?:st|nd|rd|th)\b", "$1")
+        named = F.initcap(F.regexp_replace(named, r"[-,/\s]+", " "))
+        # Without a digit there is no date; this spares most text the patterns above.
+        return F.when(
+            (F.length(text) <= _DATE_LENGTH) & text.rlike(r"\d"),
+            F.when(text.rlike(_HAS_MONTH), _once(named, named_date)).otherwise(_once(numeric, numeric_date)),
+        )
+
+    return _once(strip(c), date)
 
 
 def finite(c: Column) -> Column:

@@ -16,49 +16,18 @@ from .local import local_table
 _TOKENS = K.TRUE_TOKENS + K.FALSE_TOKENS
 
 
-def text_statistics(counts: DataFrame, text_columns: list[str]) -> DataFrame:
-    """Per-column facts for the type rules, from a frequency table.
+# Stands for "some other value" in the bit set of tokens.
+_OTHER_TOKEN = 1 << 62
 
-    Each distinct value of a text column is parsed once and weighted by its count.
-    """
-    is_text = name_in(F.col("column"), text_columns)
-    value, n = F.col("value"), F.col("n")
-    present = value.isNotNull()
-    is_long = F.col("long_length").isNotNull()
-    token = F.array_position(F.array(*[F.lit(t) for t in _TOKENS]), F.lower(strip(value)))
-
-    def weight(hit: Column) -> Column:
-        return F.sum(F.when(hit, n).otherwise(0))
-
-    # Parsed once per distinct value, ahead of the aggregation.
-    counts = counts.withColumns({
-        "is_number": is_text & present & F.when(is_long, F.col("long_numeric")).otherwise(parse_number(value).isNotNull()),
-        "is_separated": is_text & present & F.when(is_long, F.col("long_separator")).otherwise(
-            strip(value).rlike(K.DATE_SEPARATOR_PATTERN)
-        ),
-        "is_date": is_text & present & parse_date(F.when(is_long, F.col("long_probe")).otherwise(value)).isNotNull(),
-        "token": F.when(present & ~is_long, token),
-    })
-    token = F.col("token")
-
-    length = F.coalesce(F.col("long_length"), F.length(value))
-    stats = counts.groupBy("column").agg(
-        F.sum(F.when(present, n).otherwise(0)).alias("non_null"),
-        F.sum(F.when(present, 0).otherwise(n)).alias("missing"),
-        F.count("value").alias("nunique"),
-        weight(F.col("is_number")).alias("numeric_hits"),
-        weight(F.col("is_separated")).alias("separator_hits"),
-        weight(F.col("is_date")).alias("date_hits"),
-        F.sum(F.when(present, n * length)).alias("characters"),
-        # Which of the tokens occur, as a bit set; another value sets bit 62.
-        F.bit_or(
-            F.when(
-                present,
-                F.when(token > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), token.cast("int")))
-                .otherwise(F.lit(1 << 62)),
-            )
-        ).alias("tokens"),
-    )
+
+def _token_bit(value: Column) -> Column:
+    """The bit of a boolean token; any other value has a bit beyond all tokens."""
+    place = F.array_position(F.array(*[F.lit(t) for t in _TOKENS]), F.lower(strip(value))).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+    return F.when(place > 0, bit).when(place == 0, F.lit(_OTHER_TOKEN))
+
+
+def _ratios(stats: DataFrame) -> DataFrame:
     rows = F.greatest(F.col("non_null"), F.lit(1))
     return stats.select(
         "column", "non_null", "missing", "nunique",
@@ -66,14 +35,111 @@ def text_statistics(counts: DataFrame, text_columns: list[str]) -> DataFrame:
         (F.col("numeric_hits") / rows).alias("numeric_ratio"),
         (F.col("separator_hits") / rows).alias("separator_ratio"),
         (F.col("date_hits") / rows).alias("date_ratio"),
-        (F.col("date_hits") / (F.col("non_null") + F.col("missing"))).alias("date_row_ratio"),
+        (F.col("date_hits") / F.greatest(F.col("non_null") + F.col("missing"), F.lit(1))).alias("date_row_ratio"),
         F.coalesce(F.col("characters") / rows, F.lit(0.0)).alias("avg_len"),
         F.coalesce(
-            (F.col("tokens") < F.lit(1 << 62)) & (F.bit_count("tokens") <= 2), F.lit(False)
+            (F.col("tokens") < F.lit(_OTHER_TOKEN)) & (F.bit_count("tokens") <= 2), F.lit(False)
         ).alias("boolean_like"),
     )
 
 
+def text_statistics(counts: DataFrame, text_columns: list[str]) -> DataFrame:
+    """Per-column facts for the type rules, from a frequency table.
+
+    Each distinct value of a text column is parsed once and weighted by its count.
+    """
+    value, n = F.col("value"), F.col("n")
+    parsed = name_in(F.col("column"), text_columns) & value.isNotNull()
+    is_long = F.col("long_length").isNotNull()
+    facts = counts.select(
+        "column", "value", "n",
+        F.coalesce(F.col("long_length"), F.length(value)).alias("length"),
+        (parsed & F.when(is_long, F.col("long_numeric")).otherwise(parse_number(value).isNotNull())).alias("is_number"),
+        (
+            parsed & F.when(is_long, F.col("long_separator")).otherwise(strip(value).rlike(K.DATE_SEPARATOR_PATTERN))
+        ).alias("is_separated"),
+        (parsed & parse_date(F.when(is_long, F.col("long_probe")).otherwise(value)).isNotNull()).alias("is_date"),
+        F.when(is_long, F.lit(_OTHER_TOKEN)).otherwise(_token_bit(value)).alias("token"),
+    )
+
+    def weight(hit: str) -> Column:
+        return F.sum(F.when(F.col(hit), n).otherwise(0))
+
+    return _ratios(
+        facts.groupBy("column").agg(
+            F.sum(F.when(value.isNotNull(), n).otherwise(0)).alias("non_null"),
+            F.sum(F.when(value.isNull(), n).otherwise(0)).alias("missing"),
+            F.count("value").alias("nunique"),
+            weight("is_number").alias("numeric_hits"),
+            weight("is_separated").alias("separator_hits"),
+            weight("is_date").alias("date_hits"),
+            F.sum(n * F.col("length")).alias("characters"),
+            F.bit_or("token").alias("tokens"),
+        )
+    )
+
+
+# Text columns parsed in one scan; the code of more does not compile to one method.
+TEXT_COLUMNS_PER_PASS = 2
+# 2^16 registers estimate distinct values to within half a percent.
+SKETCH_BITS = 16
+
+
+def approximate_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The facts of `text_statistics` by scans without a shuffle of values.
+
+    Only the number of distinct values is an estimate; it decides the tag of a text
+    column near the thresholds, and nothing else.
+    """
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    text = [c for c in columns if S.is_text(fields[c])]
+    other = [c for c in columns if c not in text]
+    batches = [text[i : i + TEXT_COLUMNS_PER_PASS] for i in range(0, len(text), TEXT_COLUMNS_PER_PASS)]
+    result = None
+    for batch in ([other] if other else []) + batches:
+        part = _scan(df, batch, fields)
+        result = part if result is None else result.unionByName(part)
+    return _ratios(result)
+
+
+def _scan(df: DataFrame, columns: list[str], fields: dict) -> DataFrame:
+    marks, sums, cells = [], [F.count(F.lit(1)).alias("rows")], []
+    for i, c in enumerate(columns):
+        value = F.when(~F.isnan(col(c)), col(c)) if fields[c].typeName() in ("double", "float") else col(c)
+        parsed = S.is_text(fields[c])
+        marks.append((value.cast("bigint") if S.is_integer(fields[c]) else value.cast("string")).alias(f"v{i}"))
+        sums += [
+            F.count(f"v{i}").alias(f"n{i}"),
+            F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(f"v{i}", SKETCH_BITS)), F.lit(0)).alias(f"nu{i}"),
+        ]
+        zero = F.lit(0).cast("bigint")
+        if parsed or S.is_integer(fields[c]):
+            marks.append(_token_bit(value.cast("string")).alias(f"token{i}"))
+            sums.append(F.bit_or(f"token{i}").alias(f"token{i}"))
+        if parsed:
+            marks += [
+                F.length(value).alias(f"chars{i}"),
+                parse_number(value).isNotNull().cast("int").alias(f"number{i}"),
+                strip(value).rlike(K.DATE_SEPARATOR_PATTERN).cast("int").alias(f"separated{i}"),
+                parse_date(value).isNotNull().cast("int").alias(f"date{i}"),
+            ]
+            sums += [F.sum(f"{m}{i}").alias(f"{m}{i}") for m in ("chars", "number", "separated", "date")]
+        cells.append(
+            F.struct(
+                F.lit(c).alias("column"),
+                F.col(f"n{i}").alias("non_null"),
+                (F.col("rows") - F.col(f"n{i}")).alias("missing"),
+                F.least(F.col(f"nu{i}"), F.col(f"n{i}")).alias("nunique"),
+                *[
+                    (F.coalesce(F.col(f"{m}{i}"), zero) if parsed else zero).alias(name)
+                    for m, name in (("number", "numeric_hits"), ("separated", "separator_hits"), ("date", "date_hits"), ("chars", "characters"))
+                ],
+                (F.col(f"token{i}") if parsed or S.is_integer(fields[c]) else F.lit(_OTHER_TOKEN)).alias("tokens"),
+            )
+        )
+    return df.select(*marks).agg(*sums).select(F.inline(F.array(*cells)))
+
+
 def _rules(df: DataFrame) -> Column:
     """The ordered type rules; the first hit wins."""
     kind = {
@@ -112,7 +178,7 @@ def _rules(df: DataFrame) -> Column:
     )
 
 
-def _typed(df: DataFrame, counts: DataFrame) -> DataFrame:
+def _typed(df: DataFrame, statistics: DataFrame) -> DataFrame:
     listing = local_table(df.sparkSession, [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],
         "position int, column string, dtype string",
     )
@@ -122,18 +188,25 @@ def _typed(df: DataFrame, counts: DataFrame) -> DataFrame:
         "boolean_like": False,
     }
     # Both sides have one row per column of the table.
-    stats = listing.join(F.broadcast(text_statistics(counts, S.columns_where(df, S.is_text))), "column", "left").fillna(zero)
+    stats = listing.join(F.broadcast(statistics), "column", "left").fillna(zero)
     return stats.withColumn("inferred_type", _rules(df))
 
 
-def column_types(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """`(position, column, dtype, inferred_type, nunique, unique_ratio, numeric_ratio, ...)`."""
+def column_types(df: DataFrame, counts: DataFrame | None = None, approx: bool = False) -> DataFrame:
+    """`(position, column, dtype, inferred_type, nunique, unique_ratio, numeric_ratio, ...)`.
+
+    `approx=True` estimates the numbers of distinct values, so that near-unique
+    columns are not shuffled.
+    """
+    usable = S.supported_columns(df)
+    if approx:
+        return _typed(df, approximate_statistics(df, usable))
     if counts is None:
-        counts = value_counts(df, S.supported_columns(df))
-    return _typed(df, counts)
+        counts = value_counts(df, usable)
+    return _typed(df, text_statistics(counts, S.columns_where(df, S.is_text)))
 
 
-def infer_with_statistics(df: DataFrame) -> tuple[dict[str, str], dict[str, dict]]:
+def infer_with_statistics(df: DataFrame, approx: bool = False) -> tuple[dict[str, str], dict[str, dict]]:
     """Column -> semantic type, and the statistics of the counted columns.
 
     One row per column reaches the driver. Values are counted only where a rule
@@ -159,7 +232,7 @@ def infer_with_statistics(df: DataFrame) -> tuple[dict[str, str], dict[str, dict
             types[f.name] = "numerical"
     if counted:
         part = df.select(*[col(c) for c in counted])
-        for row in column_types(part).collect():
+        for row in column_types(part, approx=approx).collect():
             statistics[row["column"]] = row.asDict()
             types[row["column"]] = row["inferred_type"]
     ranged = [f.name for f in fields if S.is_integer(f.dataType) and types[f.name] == "numerical"]
@@ -174,9 +247,9 @@ def infer_with_statistics(df: DataFrame) -> tuple[dict[str, str], dict[str, dict
     return types, statistics
 
 
-def infer_types(df: DataFrame) -> dict[str, str]:
+def infer_types(df: DataFrame, approx: bool = False) -> dict[str, str]:
     """Column -> semantic type, on the driver (one entry per column)."""
-    return infer_with_statistics(df)[0]
+    return infer_with_statistics(df, approx)[0]
 
 
 def of_type(types: dict[str, str], *wanted: str) -> list[str]:

@@ -35,16 +35,31 @@ def _family(data_type: T.DataType) -> str:
     return data_type.simpleString()
 
 
-def _counted(df: DataFrame, columns: Sequence[str], family: str) -> DataFrame:
-    """Counts of one family; text for display is made of the distinct values only."""
+def families(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """The columns by family, in table order."""
+    result: dict[str, list[str]] = {}
+    for f in df.schema.fields:
+        if f.name in columns:
+            result.setdefault(_family(f.dataType), []).append(f.name)
+    return result
+
+
+def family_rows(df: DataFrame, columns: Sequence[str], family: str) -> tuple[DataFrame, Column]:
+    """`(v, value)` with a row per cell, and the name of the column that `v` stands for."""
     values = []
     for i, c in enumerate(columns):
         v = col(c).cast(family)
         if family == "double":
             v = F.when(~F.isnan(v), v + F.lit(0.0))
         values.append(v.alias(f"v{i}"))
-    names = F.array(*[F.lit(c) for c in columns])
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.substring("v", 2, 9).cast("int") + 1)
     rows = df.select(*values).unpivot([], [f"v{i}" for i in range(len(columns))], "v", "value")
+    return rows, name
+
+
+def _counted(df: DataFrame, columns: Sequence[str], family: str) -> DataFrame:
+    """Counts of one family; text for display is made of the distinct values only."""
+    rows, name = family_rows(df, columns, family)
     keys: list[Column] = [F.col("v")]
     value = F.col("value")
     if family == "string":
@@ -66,7 +81,7 @@ def _counted(df: DataFrame, columns: Sequence[str], family: str) -> DataFrame:
     long = counted["long"] if family == "string" else None
     nothing = {"length": "int", "numeric": "boolean", "separator": "boolean", "probe": "string"}
     return counted.select(
-        F.element_at(names, F.substring("v", 2, 9).cast("int") + 1).alias("column"),
+        name.alias("column"),
         value.cast("string").alias("value"),
         *[
             (long[k] if long is not None else F.lit(None).cast(t)).alias(f"long_{k}")
@@ -82,11 +97,7 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     The `long_*` fields are set only where `value` is a digest. Columns of one type
     share a scan and a shuffle, so numbers and times travel as such and not as text.
     """
-    families: dict[str, list[str]] = {}
-    for f in df.schema.fields:
-        if f.name in columns:
-            families.setdefault(_family(f.dataType), []).append(f.name)
-    parts = [_counted(df, names, family) for family, names in families.items()]
+    parts = [_counted(df, names, family) for family, names in families(df, columns).items()]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

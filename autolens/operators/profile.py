@@ -10,7 +10,7 @@ from ..functions import constants as K
 from ..functions.names import col
 from ..functions.scalars import as_ntz, elapsed_days, iso_timestamp
 from . import schema as S
-from .column_types import infer_types, of_type
+from .column_types import approximate_statistics, infer_types, of_type
 from .frequency import distinct_rows, modes, summarize_counts, top_values, value_counts
 from .moments import moments
 from .outliers import outlier_counts
@@ -21,14 +21,28 @@ from .local import local_table, pinned
 QUARTILES = {"q25": 0.25, "median": 0.50, "q75": 0.75}
 
 
-def profile_counts(df: DataFrame, types: dict[str, str], counts: DataFrame | None = None) -> DataFrame:
-    """Missing and distinct values of every column, and the mode of categories."""
+def profile_counts(
+    df: DataFrame, types: dict[str, str], counts: DataFrame | None = None, approx: bool = False
+) -> DataFrame:
+    """Missing and distinct values of every column, and the mode of categories.
+
+    With `approx=True` distinct values are estimated, and only categories are counted
+    value by value.
+    """
     usable = S.supported_columns(df)
-    counts = counts if counts is not None else stage(value_counts(df, usable))
     categories = of_type(types, "categorical", "boolean")
+    if approx:
+        summary = approximate_statistics(df, usable).select("column", "non_null", "missing", "nunique")
+        counts = value_counts(df, categories) if categories else None
+    else:
+        counts = counts if counts is not None else stage(value_counts(df, usable))
+        summary = summarize_counts(counts)
     rows = F.greatest(F.col("non_null") + F.col("missing"), F.lit(1))
-    frequent = modes(counts, categories)  # one row per column
-    return summarize_counts(counts).join(F.broadcast(frequent), "column", "left").select(
+    if counts is None:
+        frequent = local_table(df.sparkSession, [], "column string, mode string, mode_count bigint")
+    else:
+        frequent = modes(counts, categories)  # one row per column
+    return summary.join(F.broadcast(frequent), "column", "left").select(
         "column",
         F.col("missing").alias("missing_count"),
         (100.0 * F.col("missing") / rows).alias("missing_percentage"),
@@ -93,16 +107,16 @@ def profile_date(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
+def profile(df: DataFrame, types: dict[str, str] | None = None, approx: bool = False) -> DataFrame:
     """One wide row per column: type, missing, distinct, range, centre, spread, mode."""
-    types = types or infer_types(df)
+    types = types or infer_types(df, approx)
     listing = local_table(df.sparkSession, [(i, f.name, f.dataType.simpleString(), types[f.name]) for i, f in enumerate(df.schema.fields)],
         "position int, column string, dtype string, inferred_type string",
     )
     numeric = [c for c in of_type(types, "numerical") if S.is_numeric(df.schema[c].dataType)]
     dates = [c for c in of_type(types, "date") if S.is_date(df.schema[c].dataType)]
     # Every table joined here has at most one row per column of `df`.
-    result = listing.join(F.broadcast(profile_counts(df, types)), "column", "left")
+    result = listing.join(F.broadcast(profile_counts(df, types, approx=approx)), "column", "left")
     result = result.join(F.broadcast(profile_numeric(df, numeric)), "column", "left")
     result = result.join(F.broadcast(profile_date(df, dates)), "column", "left")
     return result.withColumn(

@@ -38,7 +38,7 @@ def analyze(df: DataFrame, types: dict[str, str] | None = None, approx: bool = F
     Sections that do not apply (no dates, one numerical column, ...) are missing. Each
     part of the table is scanned once: the sections share pinned statistics.
     """
-    types = types or infer_types(df)
+    types = types or infer_types(df, approx)
     columns = Columns(df, types)
     found = quality(df)
     result = {"dataset_summary": dataset_summary(df, types, found), "quality": found}

@@ -238,6 +238,13 @@ ORACLES["column_types_dirty"] = f"""
     SELECT "column", inferred_type, nunique, numeric_ratio, date_ratio, separator_ratio
     FROM ({types_sql(STRINGS, COLUMNS['strings'])})
 """
+ORACLES["column_types_approx"] = union(
+    [
+        f"""SELECT '{t}' AS table_name, "column", inferred_type, numeric_ratio, date_ratio, separator_ratio
+            FROM ({types_sql(STRINGS if t == 'strings' else t, COLUMNS[t])})"""
+        for t in ("orders", "events", "documents", "part", "strings")
+    ]
+)
 ORACLES["numeric_parse_ratio"] = f"""
     SELECT "column", numeric_ratio, inferred_type
     FROM ({types_sql(STRINGS, [(c, 's') for c in ('money', 'percent', 'parsed_80', 'parsed_90', 'padded')])})

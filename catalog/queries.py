@@ -224,6 +224,19 @@ def column_types_lineitem(spark, folder):
     )
 
 
+@query
+def column_types_approx(spark, folder):
+    """Types from estimated distinct counts, which agree away from the thresholds."""
+    result = None
+    for name in ("orders", "events", "documents", "part", "strings"):
+        df = dirty(spark, folder, name) if name == "strings" else table(spark, folder, name)
+        part = column_types.column_types(df, approx=True).select(
+            F.lit(name).alias("table_name"), "column", "inferred_type", "numeric_ratio", "date_ratio", "separator_ratio"
+        )
+        result = part if result is None else result.unionByName(part)
+    return tidy(result)
+
+
 @query
 def column_types_dirty(spark, folder):
     strings = dirty(spark, folder, "strings")

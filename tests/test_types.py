@@ -53,6 +53,11 @@ def test_rules(spark):
     assert listed == expected
 
 
+def test_approximate_types_agree(spark):
+    df = table(spark).drop("mostly_number_80")
+    assert infer_types(df, approx=True) == {k: v for k, v in EXPECTED.items() if k in df.columns}
+
+
 def test_long_text_uses_whole_values(spark):
     prefix = "p" * 300
     df = spark.range(60).select(F.concat(F.lit(prefix), F.col("id")).alias("v"))
