@@ -109,7 +109,8 @@ def _forest(homes: np.ndarray, others: np.ndarray) -> list[tuple[int, int]]:
     step = max(1, (1 << 22) // max(1, len(homes)))
     for at in range(0, len(others), step):
         part = others[at : at + step]
-        near = np.bitwise_count(part[:, None] ^ homes[None, :]) <= BITS
+        # Of a signed number numpy would count the bits of the absolute value.
+        near = np.bitwise_count((part[:, None] ^ homes[None, :]).view(np.uint64)) <= BITS
         rows, cols = np.nonzero(near)
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else []
         ends = np.r_[starts[1:], len(rows)] if len(rows) else []

@@ -16,10 +16,11 @@ from .common import Recent, Stage, fold_of, plain_text
 
 #: The one bound on training: at most so many labelled rows, picked by a hash of the id.
 MAX_LABELLED = 20_000
-#: Lexicon voters that are mined, and entries looked at for that.
-MAX_VOTERS, MAX_CANDIDATES = 256, 20_000
-#: A voter must be this many standard errors more frequent in rows with label 1.
-MIN_Z = 3.0
+#: Lexicon voters that are mined, and entries looked at for that: by count, then by strength.
+MAX_VOTERS, MAX_COUNTED, MAX_CANDIDATES = 96, 20_000, 1_000
+#: A voter must be that strongly tied to label 1 (signed root of the likelihood ratio),
+#: and so many times as frequent there as in rows with label 0.
+MIN_Z, MIN_RATIO = 4.0, 20
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 KEPT_CHUNKS = 200_000
@@ -121,31 +122,60 @@ def _term_counts(rows: DataFrame, only: frozenset[str] | None = None) -> DataFra
     return rows.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def mine_lexicon(rows: DataFrame) -> dict[str, tuple[float, int, int]]:
-    """Terms over-represented in rows with label 1: `{term: (z, toxic rows, clean rows)}`.
+def _strength(a: int, b: int, p: int, n: int) -> float:
+    """Signed root of the likelihood ratio of a term in `a` of `p` rows against `b` of `n`."""
+    share = (a + b) / (p + n)
+    total = 0.0
+    for seen, rows in ((a, p), (b, n)):
+        for count, expected in ((seen, rows * share), (rows - seen, rows * (1 - share))):
+            if count:
+                total += count * np.log(count / expected)
+    return float(np.sign(a * n - b * p) * np.sqrt(max(0.0, 2 * total)))
 
-    Candidates are the terms most frequent among toxic rows (at most MAX_CANDIDATES,
-    sorted by count on the cluster); only those are then counted among clean rows.
+
+def candidate_terms(rows: DataFrame) -> dict[str, float]:
+    """Terms over-represented in rows with label 1, the strongest first.
+
+    The terms most frequent among toxic rows (at most MAX_COUNTED, sorted by count on
+    the cluster) are counted among clean rows too.
     """
-    toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, n = totals.get(1, 0), totals.get(0, 0)
-    least = max(3, p // 200)
-    counted = _term_counts(toxic).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES)
-    first = {r["term"]: r["n"] for r in counted.collect()}
-    wanted = frozenset(first)
-    second = {r["term"]: r["n"] for r in _term_counts(clean, wanted).collect()}
+    if not p or not n:
+        return {}
+    counted = _term_counts(rows.where("toxic = 1")).where(F.col("n") >= max(3, p // 400))
+    first = {r["term"]: r["n"] for r in counted.orderBy(F.desc("n"), "term").limit(MAX_COUNTED).collect()}
+    second = {r["term"]: r["n"] for r in _term_counts(rows.where("toxic = 0"), frozenset(first)).collect()}
     found = {}
     for term, a in first.items():
         b = second.get(term, 0)
-        odds = np.log((a + 0.5) / (p - a + 0.5)) - np.log((b + 0.5) / (n - b + 0.5))
-        error = np.sqrt(1 / (a + 0.5) + 1 / (p - a + 0.5) + 1 / (b + 0.5) + 1 / (n - b + 0.5))
-        if odds / error >= MIN_Z and a * max(n, 1) >= 5 * b * p:
-            found[term] = (float(odds / error), a, b)
-    best = sorted(found, key=lambda t: (-found[t][0], t))[:MAX_VOTERS]
+        strength = _strength(a, b, p, n)
+        if strength >= MIN_Z and a * n >= MIN_RATIO * b * p:
+            found[term] = strength
+    best = sorted(found, key=lambda t: (-found[t], t))[:MAX_CANDIDATES]
     return {t: found[t] for t in best}
 
 
+def choose_voters(x: np.ndarray, toxic: np.ndarray) -> list[int]:
+    """Columns of the hit matrix that together cover the toxic rows.
+
+    Greedily the column with the most toxic rows less clean rows among those with fewer
+    than two voters, the stronger (earlier) one of equals, while that gains two rows.
+    """
+    open_rows = np.full(len(x), 2)
+    sign = np.where(toxic == 1, 1, -MIN_RATIO)
+    chosen: list[int] = []
+    while len(chosen) < min(MAX_VOTERS, x.shape[1]):
+        gain = (sign * (open_rows > 0)) @ x
+        gain[chosen] = 0
+        j = int(np.argmax(gain))
+        if gain[j] < 2:
+            break
+        chosen.append(j)
+        open_rows = open_rows - x[:, j]
+    return chosen
+
+
 def fit_label_model(
     votes: np.ndarray, fires: np.ndarray, share: float, rounds: int = 30, strength: float = 30.0
 ) -> np.ndarray:
@@ -242,29 +272,30 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Mode
     """
     held = training_rows(docs, labels, bound)
     rows = held.read()
-    lexicon = mine_lexicon(rows)
-    index = {t: i for i, t in enumerate(lexicon)}
-    draft = Model(index, np.zeros(0), 0.0)
+    terms = list(candidate_terms(rows))
+    draft = Model({t: i for i, t in enumerate(terms)}, np.zeros(0), 0.0)
 
-    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = draft.chunk_cache()
         for batch in batches:
-            hits = [sorted(draft.features(t.as_py(), cache)) for t in batch.column(0)]
-            yield pa.record_batch([pa.array(hits, pa.list_(pa.int32())), batch.column(1)], names=["hits", "toxic"])
+            found = [sorted(draft.features(t.as_py(), cache)) for t in batch.column(0)]
+            yield pa.record_batch([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["hits", "toxic"])
 
-    # Hit lists of at most `bound` rows: small integers, a few per row.
-    got = rows.select("text", "toxic").mapInArrow(votes, "hits array<int>, toxic int").toPandas()
+    # Hit lists of at most `bound` rows: small integers, few in a row.
+    got = rows.select("doc_id", "text", "toxic").orderBy("doc_id").select("text", "toxic")
+    got = got.mapInArrow(hits, "hits array<int>, toxic int").toPandas()
     held.drop()
-    voters = len(index) + 1 + len(PATTERNS)
-    x = np.zeros((len(got), voters), np.float32)
-    for i, hits in enumerate(got["hits"]):
-        x[i, list(hits)] = 1
+    fixed = 1 + len(PATTERNS)
+    x = np.zeros((len(got), len(terms) + fixed), np.float32)
+    for i, found in enumerate(got["hits"]):
+        x[i, list(found)] = 1
     toxic = got["toxic"].to_numpy()
     p, n = int((toxic == 1).sum()), int((toxic == 0).sum())
     if not p or not n:
-        weights = np.zeros(voters)
-        weights[len(index)] = 6.0
-        return Model(index, weights, -4.0)
+        return Model({}, np.r_[6.0, np.zeros(len(PATTERNS))], -4.0)
+    chosen = choose_voters(x[:, : len(terms)], toxic)
+    index = {terms[j]: i for i, j in enumerate(chosen)}
+    x = np.hstack([x[:, chosen], x[:, len(terms) :]])
     guess = np.stack([(x[toxic == y].sum(axis=0) + 0.5) / (k + 1.0) for y, k in ((0, n), (1, p))], axis=1)
     post = fit_label_model(x, guess, p / (p + n))
     weights, bias = fit_linear(x, post)
