@@ -6,14 +6,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_groups
+from .huffman import round_trip
 from .packing import pack
+from .sentencepiece_bpe import digests
 from .simhash import near_components
+from .topk import top_k
 from .toxicity import toxicity
+from .url_filter import verdicts
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,6 +35,18 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), BYTE_TOKENIZER)
 
 
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return verdicts(table(spark, folder, "pages"))
+
+
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return digests(table(spark, folder, "documents"), PIECE_MODEL)
+
+
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(table(spark, folder, "documents"), WORD_TOKENIZER)
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(table(spark, folder, "documents"), digest_all=True)
 
@@ -33,5 +56,9 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_packing, op8_exact_dedup, op9_toxicity)
+    f.__name__: f
+    for f in (
+        op1_topk, op2_simhash, op3_packing, op4_url_filter, op5_sentencepiece, op7_token_files, op8_exact_dedup,
+        op9_toxicity,
+    )
 }

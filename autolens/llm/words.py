@@ -67,7 +67,7 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         if self.ending:
             word = word.lower()
-        shown = word.encode().decode("latin-1").translate(self.table) + self.ending
+        shown = word.encode().decode("latin-1").translate(self.table)  # the model marks the word's end
         return np.array([t.id for t in self.library.model.tokenize(shown)], dtype="<u4").tobytes()
 
     def _chunk(self, chunk: str, before: str) -> bytes:
