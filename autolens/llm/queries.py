@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_groups
 from .huffman import round_trip
+from .licenses import license_passages
 from .packing import pack
 from .sentencepiece_bpe import digests
+from .sharding import shard_report
 from .simhash import near_components
 from .topk import top_k
 from .toxicity import toxicity
@@ -43,6 +45,10 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return digests(table(spark, folder, "documents"), PIECE_MODEL)
 
 
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return license_passages(table(spark, folder, "documents"))
+
+
 def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip(table(spark, folder, "documents"), WORD_TOKENIZER)
 
@@ -55,10 +61,14 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_topk, op2_simhash, op3_packing, op4_url_filter, op5_sentencepiece, op7_token_files, op8_exact_dedup,
-        op9_toxicity,
+        op1_topk, op2_simhash, op3_packing, op4_url_filter, op5_sentencepiece, op6_licenses, op7_token_files,
+        op8_exact_dedup, op9_toxicity, op10_sharding,
     )
 }

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import plain_text, shared_folder
+from .common import shared_folder
 
 SHARDS = 40
 SEED = 20_24
@@ -20,8 +21,9 @@ BUCKET_BYTES = 32 << 20
 ROW_BYTES = 16
 
 
-def size_of(text: str = "text") -> Column:
-    return F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("bigint") + ROW_BYTES
+def size_of(text: Column) -> Column:
+    """UTF-8 bytes of the text, none for null, and a fixed amount for the row."""
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + ROW_BYTES
 
 
 def permutation(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -34,27 +36,27 @@ def permutation(n: int, seed: int, bucket: int) -> np.ndarray:
     return np.array(places, np.int64)
 
 
+def whole(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("it")
+
+
 def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
     """`(it, place)`: every row as a struct with its place in one random order, and the row count.
 
-    Pass 1 scatters rows to buckets with a hash of seed, doc_id and text, drawn
-    uniformly. Pass 2 takes a bucket in the order of that hash and puts it in Fisher-Yates
-    order. Buckets lie one behind the other, so a place is the bucket's first place plus
-    the place within. Everything derives from the seed and the rows themselves: a task
-    that runs again gives the same places.
-
-    Rows that are equal in doc_id and text hash alike; a second salt from their number
-    among the rows read spreads them, so that no bucket gets a large group of copies.
+    Pass 1 scatters rows to buckets with a hash of the seed, the doc_id and the row's
+    number in the input, so copies spread like other rows and no bucket is larger than
+    chance makes it. Pass 2 takes a bucket in the order of that hash and puts it in
+    Fisher-Yates order. Buckets lie one behind the other: a place is the bucket's first
+    place plus the place within. All derives from the seed and the input, which has to
+    read the same way each time, as a table does; a task that runs again gives the same
+    places.
     """
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("it"), size_of().alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), F.monotonically_increasing_id().alias("n"),
+        whole(docs), size_of(F.col("text")).alias("size"),
+        F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id()).alias("k"),
     )
     total = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).first()
-    if not total["rows"]:
-        return rows.select("it", F.col("n").alias("place")), 0
-    buckets = max(1, -(-total["bytes"] // bucket_bytes))
-    rows = rows.withColumn("k", F.xxhash64(F.lit(seed), "h", F.col("n")))
+    buckets = max(1, -(-(total["bytes"] or 0) // bucket_bytes))
     rows = rows.withColumn("bucket", F.pmod("k", F.lit(buckets)).cast("int"))
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
     # One number for each bucket of some megabytes: the list of files of the shuffle.
@@ -76,9 +78,9 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
                 done += b - a
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate(out))], names=["it", "place"])
 
-    kind = rows.schema["it"].dataType.simpleString()
+    kind = T.StructType([rows.schema["it"], T.StructField("place", T.LongType())])
     laid = rows.select("it", "bucket", "k").repartition(min(buckets, 10_000), "bucket").sortWithinPartitions("bucket", "k")
-    return laid.select("it", "bucket").mapInArrow(run, f"it {kind}, place bigint"), total["rows"]
+    return laid.select("it", "bucket").mapInArrow(run, kind), total["rows"]
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
@@ -106,14 +108,11 @@ def shard_report(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Dat
     read from the shards written. A null text counts as empty."""
     path = f"{shared_folder(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
     write_shards(docs, path, shards, seed)
-    it = next(f for f in docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("it")).schema)
-    written = docs.sparkSession.read.schema(f"it {it.dataType.simpleString()}, slot bigint, shard int").parquet(path)
-    return written.select(
-        F.col("it.doc_id").cast("bigint").alias("doc_id"), size_of_struct().alias("size"),
-        F.crc32(F.coalesce(F.col("it.text"), F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
+    it = docs.select(whole(docs)).schema["it"]
+    kind = T.StructType([it, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
+    text = F.col("it.text")
+    return docs.sparkSession.read.schema(kind).parquet(path).select(
+        F.col("it.doc_id").cast("bigint").alias("doc_id"), size_of(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
-
-
-def size_of_struct() -> Column:
-    return F.coalesce(F.octet_length("it.text"), F.lit(0)).cast("bigint") + ROW_BYTES

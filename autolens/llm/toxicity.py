@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Recent, Stage, fold_of, plain_text
 
@@ -319,8 +320,7 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
             scores = 1 / (1 + np.exp(-np.clip(np.array(sums, np.float64), -50, 50)))
             yield pa.record_batch([batch.column(0), pa.array(scores)], names=[name, "score"])
 
-    kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"{name} {kind}, score double")
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("score", T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
