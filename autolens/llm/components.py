@@ -36,7 +36,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """`(node, root)` for every node of the links `(u, v)`; root is the lowest node reachable.
+    """`(node, root)` for the nodes of the links `(u, v)` that reach a lower one; root is the
+    lowest they reach, and has no row itself.
 
     Rounds of large and small stars until nothing changes; each is written to the
     shared folder. Only a count and a checksum of the links come to the driver.

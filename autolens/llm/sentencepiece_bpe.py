@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 import re
@@ -281,8 +282,12 @@ class PieceCodec:
         return result
 
 
+codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
+
 def plain(raw: bytes) -> str:
-    return raw.removeprefix(b" ").decode("utf-8", "replace")
+    """The text of a document's bytes: without the space put before it, U+FFFD for each broken byte."""
+    return raw.removeprefix(b" ").decode("utf-8", "each-byte")
 
 
 @functools.lru_cache(maxsize=2)

@@ -18,12 +18,14 @@ from .common import Recent, Stage, fold_of, plain_text
 #: The one bound on training: at most so many labelled rows, picked by a hash of the id.
 MAX_LABELLED = 20_000
 #: Lexicon voters that are mined, and entries looked at for that: by count, then by strength.
-MAX_VOTERS, MAX_COUNTED, MAX_CANDIDATES = 96, 20_000, 1_000
+MAX_VOTERS, MAX_COUNTED, MAX_CANDIDATES = 96, 40_000, 1_000
 #: A voter must be that strongly tied to label 1 (signed root of the likelihood ratio),
 #: and so many times as frequent there as in rows with label 0.
 MIN_Z, MIN_RATIO = 4.0, 20
 THRESHOLD = 0.3
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
+#: A term is looked at as occurring so many times or more.
+LEVELS = (1, 2, 3)
 KEPT_CHUNKS = 200_000
 
 #: Fixed list: plain insults, a voter of its own beside the mined lexicon.
@@ -59,31 +61,39 @@ def pattern_hits(text: str) -> list[int]:
 
 @dataclass(frozen=True)
 class Model:
-    """`index` numbers the lexicon terms; then come the insult list and the patterns."""
+    """`levels` has for each lexicon term the features it gives: `(least count, feature)`.
+    Behind those `terms_end` features come the insult list and the patterns."""
 
-    index: dict[str, int]
+    levels: dict[str, list[tuple[int, int]]]
+    terms_end: int
     weights: np.ndarray
     bias: float
 
-    @property
-    def insult(self) -> int:
-        return len(self.index)
+    @staticmethod
+    def of(names: list[tuple[str, int]], weights: np.ndarray, bias: float) -> Model:
+        levels: dict[str, list[tuple[int, int]]] = {}
+        for feature, (term, least) in enumerate(names):
+            levels.setdefault(term, []).append((least, feature))
+        return Model(levels, len(names), weights, bias)
 
     def features(self, text: str, cache: Recent) -> set[int]:
-        found: set[int] = set()
-        for hit in map(cache.__getitem__, set(text.split())):
-            if hit:
-                found.update(hit)
-        found.update(self.insult + 1 + i for i in pattern_hits(text))
+        counts: Counter[str] = Counter()
+        for chunk, n in Counter(text.split()).items():
+            for term in cache[chunk]:
+                counts[term] += n
+        found = {f for term, n in counts.items() if term for least, f in self.levels[term] if n >= least}
+        if "" in counts:
+            found.add(self.terms_end)
+        found.update(self.terms_end + 1 + i for i in pattern_hits(text))
         return found
 
     def chunk_cache(self) -> Recent:
-        def look(chunk: str) -> tuple[int, ...]:
+        """Chunks with the lexicon terms in them; the empty term stands for an insult."""
+
+        def look(chunk: str) -> tuple[str, ...]:
             terms = terms_of(chunk)
-            hits = {self.index[t] for t in terms if t in self.index}
-            if not INSULTS.isdisjoint(terms):
-                hits.add(self.insult)
-            return tuple(hits)
+            hits = [t for t in terms if t in self.levels]
+            return (*hits, *([] if INSULTS.isdisjoint(terms) else [""]))
 
         return Recent(look, KEPT_CHUNKS)
 
@@ -104,23 +114,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED)
 
 
 def _term_counts(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
-    """`(term, n)`: documents with the term, added up in each task before the shuffle."""
+    """`(term, least, n)`: documents that have the term so many times or more, added up in
+    each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def keep(chunk: str) -> list[str]:
-            return [t for t in terms_of(chunk) if only is None or t in only]
-
-        cache = Recent(keep, KEPT_CHUNKS)
+        cache = Recent(lambda chunk: [t for t in terms_of(chunk) if only is None or t in only], KEPT_CHUNKS)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                counts: Counter[str] = Counter()
+                counts: Counter[tuple[str, int]] = Counter()
                 for text in batch.column(0).slice(at, 200):
-                    counts.update({t for c in set(text.as_py().split()) for t in cache[c]})
+                    here: Counter[str] = Counter()
+                    for chunk, n in Counter(text.as_py().split()).items():
+                        for term in cache[chunk]:
+                            here[term] += n
+                    counts.update((t, least) for t, n in here.items() for least in LEVELS if n >= least)
+                terms, levels = zip(*counts, strict=True) if counts else ((), ())
                 yield pa.record_batch(
-                    [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"]
+                    [pa.array(terms, pa.string()), pa.array(levels, pa.int32()), pa.array(list(counts.values()), pa.int64())],
+                    names=["term", "least", "n"],
                 )
 
-    return rows.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    found = rows.select("text").mapInArrow(run, "term string, least int, n bigint")
+    return found.groupBy("term", "least").agg(F.sum("n").alias("n"))
 
 
 def _strength(a: int, b: int, p: int, n: int) -> float:
@@ -134,27 +149,28 @@ def _strength(a: int, b: int, p: int, n: int) -> float:
     return float(np.sign(a * n - b * p) * np.sqrt(max(0.0, 2 * total)))
 
 
-def candidate_terms(rows: DataFrame) -> dict[str, float]:
-    """Terms over-represented in rows with label 1, the strongest first.
+def candidate_terms(rows: DataFrame) -> list[tuple[str, int]]:
+    """Terms with a least count over-represented in rows with label 1, the strongest first.
 
-    The terms most frequent among toxic rows (at most MAX_COUNTED, sorted by count on
-    the cluster) are counted among clean rows too.
+    The ones most frequent among toxic rows (at most MAX_COUNTED, sorted by count on the
+    cluster) are counted among clean rows too.
     """
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, n = totals.get(1, 0), totals.get(0, 0)
     if not p or not n:
-        return {}
+        return []
     counted = _term_counts(rows.where("toxic = 1")).where(F.col("n") >= max(3, p // 400))
-    first = {r["term"]: r["n"] for r in counted.orderBy(F.desc("n"), "term").limit(MAX_COUNTED).collect()}
-    second = {r["term"]: r["n"] for r in _term_counts(rows.where("toxic = 0"), frozenset(first)).collect()}
+    first = counted.orderBy(F.desc("n"), "term", "least").limit(MAX_COUNTED).collect()
+    only = frozenset(r["term"] for r in first)
+    second = {(r["term"], r["least"]): r["n"] for r in _term_counts(rows.where("toxic = 0"), only).collect()}
     found = {}
-    for term, a in first.items():
-        b = second.get(term, 0)
+    for r in first:
+        name, a = (r["term"], r["least"]), r["n"]
+        b = second.get(name, 0)
         strength = _strength(a, b, p, n)
         if strength >= MIN_Z and a * n >= MIN_RATIO * b * p:
-            found[term] = strength
-    best = sorted(found, key=lambda t: (-found[t], t))[:MAX_CANDIDATES]
-    return {t: found[t] for t in best}
+            found[name] = strength
+    return sorted(found, key=lambda t: (-found[t], t))[:MAX_CANDIDATES]
 
 
 def choose_voters(x: np.ndarray, toxic: np.ndarray) -> list[int]:
@@ -273,8 +289,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Mode
     """
     held = training_rows(docs, labels, bound)
     rows = held.read()
-    terms = list(candidate_terms(rows))
-    draft = Model({t: i for i, t in enumerate(terms)}, np.zeros(0), 0.0)
+    terms = candidate_terms(rows)
+    draft = Model.of(terms, np.zeros(0), 0.0)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = draft.chunk_cache()
@@ -293,14 +309,13 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Mode
     toxic = got["toxic"].to_numpy()
     p, n = int((toxic == 1).sum()), int((toxic == 0).sum())
     if not p or not n:
-        return Model({}, np.r_[6.0, np.zeros(len(PATTERNS))], -4.0)
+        return Model.of([], np.r_[6.0, np.zeros(len(PATTERNS))], -4.0)
     chosen = choose_voters(x[:, : len(terms)], toxic)
-    index = {terms[j]: i for i, j in enumerate(chosen)}
     x = np.hstack([x[:, chosen], x[:, len(terms) :]])
     guess = np.stack([(x[toxic == y].sum(axis=0) + 0.5) / (k + 1.0) for y, k in ((0, n), (1, p))], axis=1)
     post = fit_label_model(x, guess, p / (p + n))
     weights, bias = fit_linear(x, post)
-    return Model(index, weights, bias)
+    return Model.of([terms[j] for j in chosen], weights, bias)
 
 
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
