@@ -87,17 +87,18 @@ def longest_increasing(places: Sequence[int]) -> list[int]:
 def align(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
     """Pairs of places of equal words in `a` and `b`, rising in both.
 
-    Equal ends are matched first; words unique to both are the anchors, of which the
-    longest increasing subsequence is kept, and the gaps between are aligned the same way.
+    Words unique to both are the anchors, of which the longest increasing subsequence is
+    kept. A gap next to an anchor first matches what is equal beside the anchor, then is
+    aligned the same way. The outer ends are tied to nothing, since the text goes on there.
     """
     pairs: list[tuple[int, int]] = []
-    waiting = [(0, len(a), 0, len(b))]
+    waiting = [(0, len(a), 0, len(b), False, False)]
     while waiting:
-        i, j, k, m = waiting.pop()
-        while i < j and k < m and a[i] == b[k]:
+        i, j, k, m, from_left, from_right = waiting.pop()
+        while from_left and i < j and k < m and a[i] == b[k]:
             pairs.append((i, k))
             i, k = i + 1, k + 1
-        while i < j and k < m and a[j - 1] == b[m - 1]:
+        while from_right and i < j and k < m and a[j - 1] == b[m - 1]:
             j, m = j - 1, m - 1
             pairs.append((j, m))
         if i >= j or k >= m:
@@ -109,7 +110,11 @@ def align(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
         pairs += kept
         if kept:
             edges = [(i - 1, k - 1), *kept, (j, m)]
-            waiting += [(p + 1, q, r + 1, s) for (p, r), (q, s) in zip(edges, edges[1:], strict=False)]
+            last = len(edges) - 2
+            waiting += [
+                (p + 1, q, r + 1, s, from_left or e > 0, from_right or e < last)
+                for e, ((p, r), (q, s)) in enumerate(zip(edges, edges[1:], strict=False))
+            ]
     return sorted(pairs)
 
 
