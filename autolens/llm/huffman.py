@@ -26,8 +26,6 @@ MAX_BITS = 16
 STEP = 128
 #: Ids of a block, unless one document has more.
 BLOCK_IDS = 1 << 17
-#: Ids coded or decoded together.
-WORK_IDS = 1 << 20
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -135,8 +133,8 @@ def decode_ids(data: np.ndarray, at: np.ndarray, counts: np.ndarray, symbols: np
     return out
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """`(doc_id, ids)`: little-endian unsigned 32-bit ids with the end id, as binary."""
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
+    """`(doc_id, ids)`: little-endian unsigned ids of `width` bytes with the end id, as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
@@ -144,7 +142,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [encode(t.as_py()) + end for t in part.column(1)]
+                ids = [np.frombuffer(encode(t.as_py()) + end, "<u4").astype(f"<u{width}").tobytes() for t in part.column(1)]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_text().alias("text")).mapInArrow(
@@ -152,14 +150,14 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     )
 
 
-def id_counts(rows: DataFrame) -> np.ndarray:
+def id_counts(rows: DataFrame, width: int) -> np.ndarray:
     """How often each id occurs: every task counts its own, so at most the vocabulary leaves it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                here = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
+                here = np.bincount(np.frombuffer(x.as_buffer(), f"<u{width}"))
                 if len(here) > len(total):
                     total = np.r_[total, np.zeros(len(here) - len(total), np.int64)]
                 total[: len(here)] += here
@@ -172,92 +170,69 @@ def id_counts(rows: DataFrame) -> np.ndarray:
     return counts
 
 
-CODED = "doc_id bigint, ids bigint, data binary, offsets array<int>"
 BLOCKS = (
     "part int, block int, first bigint, n_ids bigint, doc_ids array<bigint>, counts array<bigint>, "
     "sizes array<bigint>, data binary, offsets array<int>"
 )
 
 
-def coded(rows: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """Each document's ids as code: `(doc_id, ids, data, offsets)`, offsets in bits."""
-    codes = canonical_codes(lengths)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a = 0
-            sizes = np.array([len(x.as_buffer()) // 4 for x in batch.column(1)], np.int64)
-            while a < batch.num_rows:
-                b = a + max(1, int(np.searchsorted(np.cumsum(sizes[a:]), WORK_IDS, side="right")))
-                ids = np.frombuffer(b"".join([x.as_buffer() for x in batch.column(1).slice(a, b - a)]), "<u4")
-                n = sizes[a:b]
-                starts = np.cumsum(n) - n
-                data, bytes_, before = encode_ids(ids, starts, lengths, codes)
-                ends = np.cumsum(bytes_)
-                offsets = [before[s : s + k : STEP].astype(np.int32) for s, k in zip(starts, n, strict=True)]
-                yield pa.record_batch(
-                    [
-                        batch.column(0).slice(a, b - a), pa.array(n, pa.int64()),
-                        pa.array([data[e - x : e].tobytes() for e, x in zip(ends, bytes_, strict=True)], pa.binary()),
-                        pa.array(offsets, pa.list_(pa.int32())),
-                    ],
-                    names=["doc_id", "ids", "data", "offsets"],
-                )
-                a = b
-
-    return rows.select("doc_id", "ids").mapInArrow(run, CODED)
-
-
-def blocks(documents: DataFrame, block_ids: int) -> DataFrame:
-    """Documents in ascending order of doc_id, gathered to blocks of whole documents.
+def blocks(tokens: DataFrame, lengths: np.ndarray, width: int, block_ids: int) -> DataFrame:
+    """Blocks of whole documents in ascending order of doc_id, in code.
 
-    `first` counts the ids before the block in its own file.
+    `first` counts the ids before the block in its own file, `offsets` are bits within
+    the document, `sizes` the bytes of each document.
     """
+    codes = canonical_codes(lengths)
+    arrow = pa.schema(
+        [("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+         ("counts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary()), ("offsets", pa.list_(pa.int32()))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, first = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple] = []
+        held: list[tuple[int | None, bytes]] = []
         waiting = 0
 
         def block() -> pa.RecordBatch:
-            doc_ids, counts, data, offsets = zip(*held, strict=True)
-            row = [part, number, first, sum(counts), list(doc_ids), list(counts), [len(d) for d in data], b"".join(data), np.concatenate(offsets)]
+            ids = np.frombuffer(b"".join([x for _, x in held]), f"<u{width}")
+            counts = np.array([len(x) // width for _, x in held])
+            starts = np.cumsum(counts) - counts
+            data, sizes, before = encode_ids(ids, starts, lengths, codes)
+            offsets = np.concatenate([before[s : s + n : STEP] for s, n in zip(starts, counts, strict=True)])
+            row = [part, number, first, len(ids), [d for d, _ in held], counts, sizes, data.tobytes(), offsets.astype(np.int32)]
             return pa.record_batch([pa.array([x], f.type) for x, f in zip(row, arrow, strict=True)], schema=arrow)
 
-        arrow = pa.schema(
-            [("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
-             ("counts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary()), ("offsets", pa.list_(pa.int32()))]
-        )
         for batch in batches:
-            for i in range(batch.num_rows):
-                held.append((
-                    batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), batch.column(3)[i].values.to_numpy(),
-                ))
-                waiting += held[-1][1]
+            for doc_id, ids in zip(*batch.columns, strict=True):
+                held.append((doc_id.as_py(), ids.as_py()))
+                waiting += len(held[-1][1]) // width
                 if waiting >= block_ids:
                     yield block()
                     number, first, held, waiting = number + 1, first + waiting, [], 0
         if held:
             yield block()
 
-    # Rows that share a doc_id, or have none, spread by the hash of their code.
+    # Rows that share a doc_id, or have none, spread by the hash of their ids.
     order = [F.asc_nulls_first("doc_id"), F.asc("h")]
-    ordered = documents.withColumn("h", F.xxhash64("data")).repartitionByRange(*order).sortWithinPartitions(*order)
-    return ordered.drop("h").mapInArrow(run, BLOCKS)
+    ordered = tokens.withColumn("h", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.select("doc_id", "ids").mapInArrow(run, BLOCKS)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, max_bits: int = MAX_BITS, block_ids: int = BLOCK_IDS) -> None:
     """Token files of all documents under `path`: `blocks` and the code lengths in `code`.
 
-    Texts are tokenized once, to a written table from which the ids are counted; the
-    code words of single documents, a third of the text, are what is put in order.
+    Texts are tokenized once, to a written table from which the ids are counted and which
+    is then put in order, two bytes an id where the vocabulary allows.
     """
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
-    tokens = Stage(tokenized(docs, tokenizer, end_id))
-    lengths = code_lengths(id_counts(tokens.read()), max_bits)
+    width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    tokens = Stage(tokenized(docs, tokenizer, end_id, width))
+    lengths = code_lengths(id_counts(tokens.read(), width), max_bits)
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(used.tolist(), lengths[used].tolist(), max_bits)], "ids array<bigint>, lengths array<int>, max_bits int").coalesce(1).write.parquet(f"{path}/code")
-    blocks(coded(tokens.read(), lengths), block_ids).write.option("compression", "none").parquet(f"{path}/blocks")
+    blocks(tokens.read(), lengths, width, block_ids).write.option("compression", "none").parquet(f"{path}/blocks")
     tokens.drop()
 
 

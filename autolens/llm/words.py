@@ -11,16 +11,17 @@ import functools
 import json
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 from .common import Recent
 
-#: Letters that every tokenizer's rules take as letters, and marks that always end a word.
-LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-PLAIN = re.compile(rf"([{LETTERS}]+)([,.!?;:|]*)")
+#: Letters beside ASCII that every tokenizer's rules take as letters.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Marks that are neither letters nor numbers; the apostrophe has rules of its own.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Entries of one generation; a worker process holds two of each kind.
-KEPT_CHUNKS, KEPT_WORDS = 120_000, 200_000
+KEPT_CHUNKS, KEPT_WORDS = 180_000, 260_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -41,6 +42,8 @@ class WordEncoder:
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise RuntimeError("ids are kept as little-endian 32-bit integers")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -54,6 +57,7 @@ class WordEncoder:
             and pre.get("use_regex") and not pre.get("add_prefix_space")
         )
         dropping = bool(self.ending) and parts == ["Split", "ByteLevel"] and bool(norm)
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.by_word = bool(self.spaced or dropping) and not model.get("dropout")
         self.table = _byte_letters()
         self.inner = Recent(self._inner, KEPT_CHUNKS)
@@ -62,21 +66,32 @@ class WordEncoder:
         self.marks = Recent(self._whole, 10_000)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
+        """Letters, with the space before them where the tokenizer keeps it."""
         if self.ending:
             word = word.lower()
-        shown = word.encode().decode("latin-1").translate(self.table)  # the model marks the word's end
-        return np.array([t.id for t in self.library.model.tokenize(shown)], dtype="<u4").tobytes()
+        if word.isascii():
+            shown = "\u0120" + word[1:] if word[0] == " " else word
+        else:
+            shown = word.encode().decode("latin-1").translate(self.table)
+        # The model itself marks the word's end.
+        return array("I", [t.id for t in self.library.model.tokenize(shown)]).tobytes()
 
     def _chunk(self, chunk: str, before: str) -> bytes:
-        plain = PLAIN.fullmatch(chunk)
-        if not plain:
+        """A run of characters other than white space: marks, letters, marks, or whatever else."""
+        core = chunk.rstrip(MARKS)
+        letters = core.lstrip(MARKS)
+        if letters and not (letters.isalpha() if letters.isascii() else LATIN.fullmatch(letters)):
+            return self._whole(before + chunk)
+        if letters != chunk and any(x in chunk for x in self.special):
             return self._whole(before + chunk)
-        letters, marks = plain.groups()
-        ids = self.words[before + letters]
-        return ids + self.marks[marks] if marks else ids
+        ahead, behind = core[: len(core) - len(letters)], chunk[len(core) :]
+        if not letters:
+            return self.marks[before + chunk]
+        ids = self.marks[before + ahead] + self.words[letters] if ahead else self.words[before + letters]
+        return ids + self.marks[behind] if behind else ids
 
     def _inner(self, chunk: str) -> bytes:
         """A chunk after a space."""
