@@ -45,10 +45,6 @@ def is_geo_name(name: str) -> bool:
     return _has_word(name, K.GEO_WORDS)
 
 
-def is_dimension_name(name: str) -> bool:
-    return _has_word(name, K.DIMENSION_WORDS)
-
-
 def is_class_target_name(name: str) -> bool:
     return _has_word(name, K.CLASS_TARGET_WORDS)
 

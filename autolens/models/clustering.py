@@ -37,11 +37,11 @@ def cluster(df: DataFrame, types: dict[str, str], restarts: int = RESTARTS) -> M
     result = ModelResult(df.sparkSession, "clustering")
     features, _ = feature_columns(df, types)
     if len(features) < 2:
-        raise ValueError("Need at least 2 numerical features for clustering.")
+        raise ValueError(K.MODEL_SENTENCES["no_cluster_features"])
     rows = stage(complete_rows(df, features))
     n = rows.count()
     if n < K.ML_MIN_ROWS:
-        raise ValueError("Too few complete rows for clustering.")
+        raise ValueError(K.MODEL_SENTENCES["few_cluster_rows"])
     names = [f"f{i}" for i in range(len(features))]
     scaling = Pipeline(stages=[
         VectorAssembler(inputCols=names, outputCol="raw"),

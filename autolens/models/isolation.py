@@ -11,7 +11,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,21 +40,19 @@ def mean_path(n) -> float:
 def draw_samples(rows: DataFrame, n: int, trees: int, size: int, seed: int) -> DataFrame:
     """`(tree, features...)` with `size` distinct random rows per tree.
 
-    A big table gives every tree rows of its own: one draw of trees * size rows,
-    dealt out by a second random number. A table smaller than that is drawn from
-    anew for each tree.
+    Every tree draws from all rows: each row has its own chance for each tree, somewhat
+    above size / n, so that few more than `size` rows of a tree leave the tasks, of which
+    the lowest draws are kept. The rule is the same for any number of rows.
     """
-    wanted = trees * size
-    if n >= wanted:
-        share = min(1.0, 1.5 * wanted / n + 20.0 * math.sqrt(wanted) / n)
-        drawn = (
-            rows.withColumn("r", F.rand(seed)).where(F.col("r") < share).orderBy("r").limit(wanted)
-        )
-        # At most trees * size rows from here on.
-        order = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("r"))
-        return drawn.withColumn("tree", (order % trees).cast("int")).drop("r")
-    copies = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "r", F.rand(seed)
+    share = min(1.0, (size + 8.0 * math.sqrt(size) + 32.0) / max(n, 1))
+    draws = F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.struct(t.alias("tree"), (F.xxhash64(F.col("_at"), t, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("r")),
+    )
+    copies = (
+        rows.withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("draw", F.explode(F.filter(draws, lambda d: d["r"] < share)))
+        .select(*[F.col(f"`{c}`") for c in rows.columns], F.col("draw.tree").alias("tree"), F.col("draw.r").alias("r"))
     )
     return (
         copies.withColumn("place", F.row_number().over(Window.partitionBy("tree").orderBy("r")))
@@ -137,16 +134,16 @@ def detect_anomalies(
     result = ModelResult(df.sparkSession, "anomaly")
     features, _ = feature_columns(df, types)
     if len(features) < 2:
-        raise ValueError("Need numerical features for anomaly detection.")
+        raise ValueError(K.MODEL_SENTENCES["no_anomaly_features"])
     rows = stage(complete_rows(df, features))
     n = rows.count()
     if n < K.ML_MIN_ROWS:
-        raise ValueError("Too few rows for anomaly detection.")
+        raise ValueError(K.MODEL_SENTENCES["few_anomaly_rows"])
     size = min(SAMPLE, n)
     names = [f"f{i}" for i in range(len(features))]
     nodes = grow_trees(draw_samples(rows, n, trees, size, seed), names, size, seed).toPandas()
     scored = score_rows(rows, names, nodes, size).withColumn("anomaly", F.col("score") > THRESHOLD)
-    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+    scored = stage(scored)
     count = scored.agg(F.coalesce(F.sum(F.col("anomaly").cast("bigint")), F.lit(0))).first()[0]
     result.used = True
     result.model_type = "anomaly:isolation_forest"

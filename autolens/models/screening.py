@@ -18,8 +18,6 @@ from ..operators.local import local_table
 CLASS_VALUES = (2, 12)
 CLASS_ROW_SHARE = 0.2
 FEATURE_VALUES = (2, 30)
-NUMERIC_FEATURES = 20
-CATEGORICAL_FEATURES = 12
 
 
 @dataclass
@@ -107,9 +105,13 @@ def screen_targets(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def feature_columns(
-    df: DataFrame, types: dict[str, str], target: str | None = None
+    df: DataFrame, types: dict[str, str], target: str | None = None,
+    max_numeric: int | None = None, max_categorical: int | None = None,
 ) -> tuple[list[str], list[str]]:
-    """Up to 20 numeric and 12 categorical features; identifiers by type or name are out."""
+    """Numeric and categorical features; identifiers by type or name are out.
+
+    All of them, or the first `max_numeric` and `max_categorical` in table order.
+    """
     usable = {
         c for c in df.columns
         if c != target and types.get(c) != "identifier" and not is_identifier_name(c)
@@ -122,4 +124,4 @@ def feature_columns(
         sizes = {r["column"]: r["n_values"] for r in category_sizes(df, {c: types[c] for c in categories}).collect()}
         low, high = FEATURE_VALUES
         categories = [c for c in categories if low <= sizes.get(c, 0) <= high]
-    return numeric[:NUMERIC_FEATURES], categories[:CATEGORICAL_FEATURES]
+    return numeric[:max_numeric], categories[:max_categorical]

@@ -14,7 +14,7 @@ from pyspark.ml.feature import (
     Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -37,15 +37,48 @@ TOP_FEATURES = 15
 MAX_CLASSES = 100
 
 
-def _feature_rows(df: DataFrame, numeric: list[str], categories: list[str], label) -> DataFrame:
-    """`(n0.., k0.., label, train)` staged once, so that the random split stays put
-    when a task is run again."""
+def hash_fraction(columns: Sequence[Column]) -> Column:
+    """A number in [0, 1) from the md5 of the columns as text, null as empty."""
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
+
+
+def split(rows: DataFrame, key: Sequence[str], by: str | None = None) -> DataFrame:
+    """`rows` with `train`, true for three quarters by the hash of the key columns.
+
+    The split is the same in any order and partitioning. With `by`, a class whose hashes
+    all lie on one side gives its row of the lowest hash to the test, or keeps the one of
+    the highest for training, so that every class of two different rows is on both sides.
+    Only the lowest and highest hash of a class are gathered.
+    """
+    h = F.col("_hash")
+    hashed = rows.withColumn("_hash", hash_fraction([col(k) for k in key]))
+    if by is None:
+        return hashed.withColumn("train", h >= 1 - TRAIN_SHARE).drop("_hash")
+    ends = hashed.groupBy(col(by).alias("_class")).agg(F.min("_hash").alias("_low"), F.max("_hash").alias("_high"))
+    test = (h < F.greatest(F.lit(1 - TRAIN_SHARE), F.col("_low"))) | (h == F.col("_low"))
+    return (
+        hashed.join(F.broadcast(ends), col(by) == F.col("_class"))  # one row per class
+        .withColumn("train", ~(test & (h < F.col("_high")))).drop("_hash", "_class", "_low", "_high")
+    )
+
+
+def _feature_rows(
+    df: DataFrame, numeric: list[str], categories: list[str], label, key: Sequence[str] = (), stratified: bool = False
+) -> DataFrame:
+    """`(n0.., k0.., label, train)`, staged once.
+
+    The split goes by the key columns, which should tell rows apart; without a key by
+    all features and the label, so that equal rows are on one side.
+    """
+    names = [f"key{i}" for i in range(len(key))]
     rows = df.select(
         *[finite(col(c)).alias(f"n{i}") for i, c in enumerate(numeric)],
         *[F.coalesce(col(c).cast("string"), F.lit("(missing)")).alias(f"k{i}") for i, c in enumerate(categories)],
+        *[col(c).alias(n) for c, n in zip(key, names)],
         label.alias("label"),
     ).where(F.col("label").isNotNull())
-    return stage(rows.withColumn("train", F.rand(K.SEED) < TRAIN_SHARE))
+    return stage(split(rows, names or rows.columns, "label" if stratified else None).drop(*names))
 
 
 def _preparation(rows: DataFrame, numeric: list[str], categories: list[str]) -> PipelineModel:
@@ -130,32 +163,33 @@ def weighted_scores(confusion: list[tuple[float, float, int]]) -> dict[str, floa
 
 def classify(
     df: DataFrame, types: dict[str, str], target: str, boost_rounds: int = BOOST_ROUNDS,
-    models: Sequence[str] | None = None,
+    models: Sequence[str] | None = None, max_classes: int = MAX_CLASSES, key: Sequence[str] = (),
 ) -> ModelResult:
     """Train four classifiers on three quarters of the rows and keep the best weighted F1.
 
-    `models` restricts the candidates by name.
+    `models` restricts the candidates by name. A target of more than `max_classes`
+    values is refused, since the matrix of classes comes to the driver.
     """
     result = ModelResult(df.sparkSession, "classification", target=target)
     numeric, categories = feature_columns(df, types, target)
     if not numeric + categories:
-        raise ValueError("Insufficient features for classification.")
+        raise ValueError(K.MODEL_SENTENCES["no_class_features"])
     label = col(target).cast("string")
     sizes = (
         df.where(label.isNotNull()).groupBy(label.alias("c")).count()
-        .where(F.col("count") >= K.ML_MIN_CLASS_ROWS).limit(MAX_CLASSES + 1).collect()
+        .where(F.col("count") >= K.ML_MIN_CLASS_ROWS).limit(max_classes + 1).collect()
     )
     classes = sorted(r["c"] for r in sizes)
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"Target has more than {MAX_CLASSES} classes.")
+    if len(classes) > max_classes:
+        raise ValueError(f"Target has more than {max_classes} classes.")
     if len(classes) < 2:
-        raise ValueError("Target does not have enough class diversity.")
+        raise ValueError(K.MODEL_SENTENCES["few_classes"])
     n = sum(r["count"] for r in sizes)
     if n < K.ML_MIN_ROWS:
-        raise ValueError("Too few rows after dropping missing targets.")
+        raise ValueError(K.MODEL_SENTENCES["few_class_rows"])
     # Class numbers in alphabetical order; rare classes have none and drop out.
     number = F.array_position(F.array(*[F.lit(c) for c in classes]), label)
-    rows = _feature_rows(df, numeric, categories, F.when(number > 0, (number - 1).cast("double")))
+    rows = _feature_rows(df, numeric, categories, F.when(number > 0, (number - 1).cast("double")), key, stratified=True)
     numeric_used = _numeric_present(rows, numeric)
     preparation = _preparation(rows, numeric, categories)
     prepared = preparation.transform(rows).select("features", "label", "train").persist(
@@ -204,7 +238,7 @@ def classify(
 
 def regress(
     df: DataFrame, types: dict[str, str], target: str, boost_rounds: int = BOOST_ROUNDS,
-    models: Sequence[str] | None = None,
+    models: Sequence[str] | None = None, key: Sequence[str] = (),
 ) -> ModelResult:
     """Train three regressors on three quarters of the rows and keep the best R².
 
@@ -213,10 +247,10 @@ def regress(
     result = ModelResult(df.sparkSession, "regression", target=target)
     numeric, categories = feature_columns(df, types, target)
     if not numeric + categories:
-        raise ValueError("Insufficient features for regression.")
-    rows = _feature_rows(df, numeric, categories, numeric_value(df, target))
+        raise ValueError(K.MODEL_SENTENCES["no_regression_features"])
+    rows = _feature_rows(df, numeric, categories, numeric_value(df, target), key)
     if rows.count() < K.ML_MIN_ROWS:
-        raise ValueError("Too few rows for regression.")
+        raise ValueError(K.MODEL_SENTENCES["few_regression_rows"])
     numeric_used = _numeric_present(rows, numeric)
     preparation = _preparation(rows, numeric, categories)
     prepared = preparation.transform(rows).select("features", "label", "train").persist(

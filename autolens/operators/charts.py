@@ -19,7 +19,7 @@ from .grouping import detail_table, dimension_metrics, geo_breakdown, line_serie
 from .sampling import scatter_points
 
 # How many metrics and categories a density combines.
-DENSITY = {"balanced": 4, "detailed": 8, "maximum": 12}
+DENSITY = {"balanced": 4, "detailed": 8, "maximum": 12, "all": None}
 DATE_AXES = 2
 
 
@@ -33,6 +33,9 @@ class ChartSpec:
     how: str = "sum"
     color: str | None = None
     columns: tuple[str, ...] = ()
+    grain: str = "month"
+    rows: int | None = K.TABLE_ROWS
+    key: tuple[str, ...] = ()
 
 
 def chart_data(df: DataFrame, spec: ChartSpec) -> DataFrame | None:
@@ -41,7 +44,7 @@ def chart_data(df: DataFrame, spec: ChartSpec) -> DataFrame | None:
     y = spec.y if spec.y in df.columns else None
     kind = spec.type.lower()
     if kind == "table":
-        return detail_table(df, spec.columns or [c for c in (spec.x, spec.y) if c])
+        return detail_table(df, spec.columns or [c for c in (spec.x, spec.y) if c], limit=spec.rows)
     if kind == "heatmap":
         numeric = [c for c in spec.columns if c in df.columns] or S.columns_where(df, S.is_numeric)
         return correlation_heatmap(df, numeric) if len(numeric) >= 2 else None
@@ -56,19 +59,22 @@ def chart_data(df: DataFrame, spec: ChartSpec) -> DataFrame | None:
     if kind in ("pie", "donut"):
         return top_groups(df, x, y, spec.how, top_n=K.PIE_CATEGORIES)
     if kind in ("line", "area"):
-        return line_series(df, x, y, spec.how)
+        return line_series(df, x, y, spec.how, spec.grain)
     if kind == "map":
         return geo_breakdown(df, x, y, spec.how)
     if kind == "scatter" and y:
-        return scatter_points(df, x, y, spec.color)
+        return scatter_points(df, x, y, spec.color, spec.key)
     return None
 
 
 def chart_columns(
-    df: DataFrame, types: dict[str, str], density: str = "balanced"
+    df: DataFrame, types: dict[str, str], density: str = "balanced", date_axes: int | None = DATE_AXES
 ) -> dict[str, list[str]]:
     """Columns worth charting: metric-like numbers first, categories with 2 to 60 values,
-    those with at most 8 values, places, and up to two date axes."""
+    those with at most 8 values, places, and date axes.
+
+    `density` says how many metrics and categories are combined, `all` for no limit.
+    """
     width = DENSITY.get(density, DENSITY["balanced"])
     numeric = of_type(types, "numerical")
     metrics = sorted(numeric, key=lambda c: not is_metric_name(c))[:width]
@@ -83,7 +89,7 @@ def chart_columns(
         "categories": usable[:width],
         "pies": [c for c in usable[:width] if sizes[c] <= K.PIE_CATEGORIES],
         "places": [c for c in usable if is_geo_name(c)],
-        "dates": [c for c in of_type(types, "date") if S.is_date(df.schema[c].dataType)][:DATE_AXES],
+        "dates": [c for c in of_type(types, "date") if S.is_date(df.schema[c].dataType)][:date_axes],
         "numeric": numeric,
     }
 
@@ -124,7 +130,7 @@ def chart_datasets(
             )
     if len(chosen["numeric"]) >= 2:
         result["heatmap"] = correlation_heatmap(df, chosen["numeric"])
-    result["table"] = detail_table(df, chosen["dates"][:1] + categories[:3] + metrics[:4])
+    result["table"] = detail_table(df, chosen["dates"][:1] + categories[:3] + metrics[:4], limit=K.TABLE_ROWS)
     return result
 
 

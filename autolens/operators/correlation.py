@@ -36,16 +36,17 @@ def _pair_sums(a: str, b: str, complete: bool, name: str) -> list[Column]:
 
 
 def pair_correlations(
-    df: DataFrame, columns: Sequence[str], stats: DataFrame | None = None
+    df: DataFrame, columns: Sequence[str], stats: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:
-    """`(column_1, column_2, r)` for every pair of the first 40 columns, computed now.
+    """`(column_1, column_2, r)` for every pair of the columns, computed now; with `limit`
+    of the first so many columns.
 
     Values are centred on their mean (`stats` from `moments`, found in a first scan if
     not given), so that plain sums are accurate. Columns without gaps share their own
     sums and need one product per pair; nothing but running sums is shuffled. A column
     that is constant, also on just the rows a pair has in common, has no correlation.
     """
-    wanted = list(columns)[: K.CORRELATION_COLUMNS]
+    wanted = list(columns)[:limit]
     known = stats if stats is not None else moments(df, wanted)
     facts = {r["column"]: r for r in known.collect()}
     varying = [c for c in wanted if c in facts and facts[c]["count"] and facts[c]["min"] < facts[c]["max"]]
@@ -100,14 +101,14 @@ def _copies(df: DataFrame, pairs: DataFrame) -> set[tuple[str, str]]:
 
 
 def correlations(
-    df: DataFrame, columns: Sequence[str], stats: DataFrame | None = None
+    df: DataFrame, columns: Sequence[str], stats: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:
     """Ranked pairs with strength and direction; copies of a column are skipped."""
     r = F.col("r")
-    pairs = pair_correlations(df, columns, stats)
+    pairs = pair_correlations(df, columns, stats, limit)
     for a, b in _copies(df, pairs):
         pairs = pairs.where(~((F.col("column_1") == a) & (F.col("column_2") == b)))
-    # At most 780 pairs.
+    # A row for each pair of columns.
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc(F.abs("correlation")), "column_1", "column_2")
     return (
         pairs.coalesce(1)
@@ -128,10 +129,10 @@ def strong_correlations(pairs: DataFrame) -> DataFrame:
 
 
 def correlation_heatmap(
-    df: DataFrame, columns: Sequence[str], stats: DataFrame | None = None
+    df: DataFrame, columns: Sequence[str], stats: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:
     """Long-form matrix `(row, column, correlation)`: both triangles and the diagonal."""
-    pairs = pair_correlations(df, columns, stats).coalesce(1)
+    pairs = pair_correlations(df, columns, stats, limit).coalesce(1)
     varying = pairs.select(F.explode(F.array("column_1", "column_2")).alias("c")).distinct()
     return (
         pairs.select(F.col("column_1").alias("row"), F.col("column_2").alias("column"), F.col("r").alias("correlation"))

@@ -52,21 +52,27 @@ def equals_any(c: Column, data_type: T.DataType, values: Sequence[Any]) -> Colum
         words = {"true": True, "false": False}
         return c.isin([words[str(v).lower()] for v in values if str(v).lower() in words] or [None])
     if S.is_numeric(data_type):
-        numbers = [_number(v, S.is_integer(data_type)) for v in values]
-        return c.isin([n for n in numbers if n is not None] or [None])
+        # As literals of the column's own type: `0.1` is a FLOAT for a FLOAT column and an
+        # exact decimal for a DECIMAL one, and the filter reaches the scan.
+        known = [n for v in values if (n := _number(v, data_type)) is not None]
+        return c.isin(*[F.lit(n).try_cast(data_type) for n in known]) if known else F.lit(False) & c.isNotNull()
     return c.isin(*[F.lit(str(v)).try_cast(data_type) for v in values])
 
 
-def _number(value: Any, whole: bool) -> int | float | None:
+def _number(value: Any, data_type: T.DataType) -> str | None:
+    """The number as text, to be cast to the column's type; None if it cannot be one of its values."""
     try:
         number = Decimal(str(value).strip())
     except InvalidOperation:
         return None
     if not number.is_finite():
         return None
-    if whole:
-        return int(number) if number == number.to_integral_value() else None
-    return float(number)
+    if S.is_integer(data_type) or isinstance(data_type, T.DecimalType):
+        # A cast would round to a value that was not asked for.
+        places = getattr(data_type, "scale", 0)
+        if number.normalize().as_tuple().exponent < -places:
+            return None
+    return str(int(number)) if S.is_integer(data_type) else f"{number:f}"
 
 
 def predicate(df: DataFrame, state: Mapping[str, Any], inclusive_day: bool = False) -> Column | None:
@@ -100,9 +106,9 @@ def apply_filters(df: DataFrame, state: Mapping[str, Any], inclusive_day: bool =
     return df if condition is None else df.where(condition)
 
 
-def filter_options(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def filter_options(df: DataFrame, columns: Sequence[str], limit: int = K.FILTER_VALUES) -> DataFrame:
     """`(column, type, rank, value, count, min, max)`: the range of date columns, and
-    the 100 most frequent values of all others."""
+    the `limit` most frequent values of all others."""
     known = [c for c in columns if c in df.columns]
     dates = [c for c in known if S.is_date(df.schema[c].dataType)]
     others = [c for c in known if c not in dates]
@@ -124,7 +130,7 @@ def filter_options(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
     if others:
         result = result.unionByName(
-            top_values(value_counts(df, others), K.FILTER_VALUES).withColumn("type", F.lit("categorical")),
+            top_values(df, value_counts(df, others), limit).withColumn("type", F.lit("categorical")),
             allowMissingColumns=True,
         )
     return result

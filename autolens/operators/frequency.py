@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import constants as K
 from ..functions.names import col, name_in
 from ..functions.scalars import parse_number, strip
+from .local import collected
 
 # Longer strings are grouped by their SHA-256 with the facts we need of them, so
 # that whole texts are looked at but not shuffled.
@@ -94,7 +95,8 @@ def _counted(df: DataFrame, columns: Sequence[str], family: str) -> DataFrame:
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """`(column, value, long_length, long_numeric, long_separator, long_probe, n)`; null is a value.
 
-    The `long_*` fields are set only where `value` is a digest. Columns of one type
+    The `long_*` fields are set only where `value` is a digest; `top_values` gives the
+    strings themselves. Columns of one type
     share a scan and a shuffle, so numbers and times travel as such and not as text.
     """
     parts = [_counted(df, names, family) for family, names in families(df, columns).items()]
@@ -104,13 +106,6 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return result
 
 
-def shown_value() -> Column:
-    """A value for display; a digest is marked as such."""
-    return F.when(
-        F.col("long_length").isNotNull(), F.concat(F.lit("sha256:"), F.col("value"))
-    ).otherwise(F.col("value"))
-
-
 def summarize_counts(counts: DataFrame) -> DataFrame:
     """`(column, non_null, missing, nunique)` from a frequency table."""
     present = F.col("value").isNotNull()
@@ -121,29 +116,41 @@ def summarize_counts(counts: DataFrame) -> DataFrame:
     )
 
 
-def modes(counts: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def modes(df: DataFrame, counts: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """`(column, mode, mode_count)`: the most frequent value, the smallest of equals."""
-    return top_values(counts, 1, columns).select(
+    return top_values(df, counts, 1, columns).select(
         "column", F.col("value").alias("mode"), F.col("count").alias("mode_count")
     )
 
 
-def top_values(counts: DataFrame, k: int, columns: Sequence[str] | None = None) -> DataFrame:
-    """The k most frequent values per column, ties in value order.
+def top_values(df: DataFrame, counts: DataFrame, k: int, columns: Sequence[str] | None = None) -> DataFrame:
+    """The k most frequent values per column of `df`, computed now; ties in value order.
 
     `rank <= k` on a row number lets Spark cut each partition to k rows per column
-    before the shuffle.
+    before the shuffle. Long strings tie by their digest; of those that made it, at
+    most k in a column, the strings themselves are fetched from `df`.
     """
     present = counts.where(F.col("value").isNotNull())
     if columns is not None:
         present = present.where(name_in(F.col("column"), columns))
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    return (
-        present.select("column", "n", "value", shown_value().alias("shown"))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("column", "rank", F.col("shown").alias("value"), F.col("n").alias("count"))
+    rows, winners = collected(
+        present.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        .select("column", "rank", "value", F.col("n").alias("count"), F.col("long_length").isNotNull().alias("is_long"))
+    )
+    long = sorted({r["column"] for r in rows if r["is_long"]})
+    if not long:
+        return winners.drop("is_long")
+    cells, name = family_rows(df, long, "string")
+    digests = winners.where("is_long").select("column", F.col("value").alias("digest"))
+    texts = (
+        cells.where(F.length("value") > LONG_TEXT)
+        .select(name.alias("column"), "value", F.sha2("value", 256).alias("digest"))
+        .join(F.broadcast(digests), ["column", "digest"], "left_semi")
+        .groupBy("column", "digest").agg(F.first("value").alias("text"))
     )
+    found = winners.join(texts, (winners["column"] == texts["column"]) & (winners["value"] == texts["digest"]) & F.col("is_long"), "left")
+    return found.select(winners["column"], "rank", F.coalesce("text", "value").alias("value"), "count")
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:

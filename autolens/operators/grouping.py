@@ -12,6 +12,7 @@ from ..functions import constants as K
 from ..functions.names import col
 from ..functions.scalars import as_ntz, finite, month_start, to_number
 from . import schema as S
+from .local import pinned
 from .quantiles import quantiles
 
 OTHER = "Other"
@@ -64,11 +65,12 @@ def top_groups(
     df: DataFrame, x: str, y: str | None = None, how: str = "sum",
     top_n: int = K.CHART_CATEGORIES, other: str = "pooled",
 ) -> DataFrame:
-    """`(x, value, is_other)`: the largest groups, the rest as "Other" for a text x.
+    """`(x, value, is_other)`: the largest groups, and the rest in one row with `is_other`.
 
+    The rest is called "Other" for a text x and has no key for other types.
     `other="pooled"` aggregates the remaining rows together; `"summed"` adds up
     the remaining group values whatever the aggregation. They agree for sums and
-    counts. An "Other" of zero is left out.
+    counts. A rest of zero is left out.
     """
     if y is None:
         how = "count"
@@ -77,50 +79,49 @@ def top_groups(
     # At most top_n rows: chosen per partition, merged on the driver side.
     top = groups.orderBy(F.desc("value"), F.asc("x")).limit(top_n)
     kept = top.select(F.col("x").alias("x"), "value", F.lit(False).alias("is_other"))
-    if S.is_text(df.schema[x].dataType):
-        keys = F.broadcast(top.select(F.col("x").alias("top_x"), F.lit(True).alias("is_top")))
-        outside = F.col("is_top").isNull()
-
-        def rest_of(table: DataFrame) -> DataFrame:
-            return table.join(keys, F.col("x").eqNullSafe(F.col("top_x")), "left").where(outside)
-
-        if how in ("sum", "count") or other == "summed":
-            rest = rest_of(groups).agg(F.sum("value").alias("value"))
-        else:
-            pooled = rest_of(rows).select(F.lit(OTHER).alias("x"), "y")
-            rest = _grouped(pooled, how, ["x"], max_groups=1).select("value")
-        rest = rest.where(F.col("value").isNotNull() & (F.col("value") != 0)).select(
-            F.lit(OTHER).alias("x"), "value", F.lit(True).alias("is_other")
-        )
-        kept = kept.unionByName(rest)
-    return kept.select(F.col("x").alias(x), "value", "is_other").orderBy(
+    data_type = df.schema[x].dataType
+    label = F.lit(OTHER) if S.is_text(data_type) else F.lit(None).cast(data_type)
+    keys = F.broadcast(top.select(F.col("x").alias("top_x"), F.lit(True).alias("is_top")))
+
+    def rest_of(table: DataFrame) -> DataFrame:
+        return table.join(keys, F.col("x").eqNullSafe(F.col("top_x")), "left").where(F.col("is_top").isNull())
+
+    if how in ("sum", "count") or other == "summed":
+        rest = rest_of(groups).agg(F.sum("value").alias("value"))
+    else:
+        pooled = rest_of(rows).select(F.lit(OTHER).alias("x"), "y")
+        rest = _grouped(pooled, how, ["x"], max_groups=1).select("value")
+    rest = rest.where(F.col("value").isNotNull() & (F.col("value") != 0)).select(
+        label.alias("x"), "value", F.lit(True).alias("is_other")
+    )
+    return kept.unionByName(rest).select(F.col("x").alias(x), "value", "is_other").orderBy(
         "is_other", F.desc("value"), F.asc(x) if x.isidentifier() else F.asc(f"`{x}`")
     )
 
 
-def geo_breakdown(df: DataFrame, x: str, y: str | None = None, how: str = "sum") -> DataFrame:
-    """`(x, value)`: thirty largest of the top 50 places and "Other"; without y, rows per place."""
-    if y is None:
-        return (
-            df.where(col(x).isNotNull())
-            .groupBy(col(x))
-            .agg(F.count(F.lit(1)).alias("value"))
-            .orderBy(F.desc("value"), col(x).asc())
-            .limit(K.CHART_CATEGORIES)
-        )
-    places = top_groups(df, x, y, how, top_n=K.GEO_GROUPS)
-    return places.orderBy(F.desc("value"), col(x).asc()).limit(K.CHART_CATEGORIES).select(col(x), "value")
+def geo_breakdown(
+    df: DataFrame, x: str, y: str | None = None, how: str = "sum", top_n: int = K.CHART_CATEGORIES
+) -> DataFrame:
+    """`(x, value, is_other)`: the `top_n` largest places and all others in one row; without y,
+    rows per place that is known."""
+    return top_groups(df if y else df.where(col(x).isNotNull()), x, y, how, top_n)
 
 
-def grouped_table(df: DataFrame, by: str, columns: Sequence[str], how: str) -> DataFrame:
-    """One aggregate of every numeric column per key, in key order, at most 200 rows.
+def grouped_table(
+    df: DataFrame, by: str, columns: Sequence[str], how: str, limit: int | None = None
+) -> DataFrame:
+    """One aggregate of every numeric column per key, in key order; the first `limit` keys.
 
-    Null keys are dropped. Without a numeric column the rows themselves are shown.
+    Null keys are dropped. Without a numeric column the rows themselves are shown. With a
+    limit the keys are chosen first, so that medians are found for those only.
     """
     numeric = [c for c in columns if c != by and S.is_numeric(df.schema[c].dataType)]
     if not numeric:
-        return detail_table(df, columns)
+        return detail_table(df, columns, limit=limit)
     keyed = df.where(col(by).isNotNull())
+    if limit is not None and how == "median":
+        first = pinned(keyed.select(col(by).alias("_key")).distinct().orderBy("_key").limit(limit))
+        keyed = keyed.join(F.broadcast(first), col(by) == F.col("_key"), "left_semi")
     if how == "median":
         cells = quantiles(keyed, numeric, {"v": 0.5}, by=[by])
         result = cells.groupBy(col(by)).agg(
@@ -130,14 +131,19 @@ def grouped_table(df: DataFrame, by: str, columns: Sequence[str], how: str) -> D
         result = keyed.groupBy(col(by)).agg(
             *[_aggregate_column(how, col(c)).alias(c) for c in numeric]
         )
-    return result.orderBy(col(by)).limit(K.TABLE_ROWS)
+    result = result.orderBy(col(by))
+    return result if limit is None else result.limit(limit)
 
 
-def detail_table(df: DataFrame, columns: Sequence[str] = (), order_by: Sequence[str] = ()) -> DataFrame:
-    """Up to 200 rows of the wanted columns; unknown columns are ignored, eight by default."""
-    wanted = [c for c in columns if c in df.columns] or df.columns[: K.TABLE_COLUMNS]
+def detail_table(
+    df: DataFrame, columns: Sequence[str] = (), order_by: Sequence[str] = (), limit: int | None = None
+) -> DataFrame:
+    """The wanted columns of the rows, of the first `limit` rows; unknown columns are
+    ignored, and without a known one all are shown."""
+    wanted = [c for c in columns if c in df.columns] or df.columns
     ordered = df.orderBy(*[col(c) for c in order_by]) if order_by else df
-    return ordered.select(*[col(c) for c in wanted]).limit(K.TABLE_ROWS)
+    shown = ordered.select(*[col(c) for c in wanted])
+    return shown if limit is None else shown.limit(limit)
 
 
 def top_k(df: DataFrame, by: str, k: int, ties: Sequence[str] = ()) -> DataFrame:
@@ -198,39 +204,31 @@ def category_extremes(df: DataFrame, categories: Sequence[str], metric: str) ->
     )
 
 
-def _axis(df: DataFrame, x: str) -> Column:
-    """The finest of raw date, month and year that has at most 120 points.
-
-    A sketch rules out axes with very many points, so they are not counted exactly.
-    """
-    at = as_ntz(col(x))
-    month = F.trunc(at, "month")
-    sketch = df.agg(
-        F.approx_count_distinct(at).alias("raw"), F.count_distinct(month).alias("months")
-    ).first()
-    if sketch["raw"] <= 2 * K.LINE_POINTS and df.select(at).distinct().count() <= K.LINE_POINTS:
-        return at
-    return month if sketch["months"] <= K.LINE_POINTS else F.trunc(at, "year")
+GRAINS = ("raw", "day", "month", "year")
 
 
 def line_series(
-    df: DataFrame, x: str, y: str | None = None, how: str = "sum", strict: bool = False
+    df: DataFrame, x: str, y: str | None = None, how: str = "sum", grain: str = "month",
+    points: int | None = None,
 ) -> DataFrame:
-    """`(x, value)` in x order, at most 120 points.
+    """`(x, value)` in x order.
 
-    A date axis with more points is bucketed to months, then years, so that every
-    row still counts. `strict=True` keeps the 120 points of highest value instead.
+    A date axis is bucketed to `grain` (`raw`, or the first date of each `day`, `month` or
+    `year`), whatever the number of points; rows without a date are left out. With `points` only the so many
+    points of highest value are shown, and for a text x the rest as "Other".
     """
+    if grain not in GRAINS:
+        raise ValueError(f"Unknown grain: {grain}")
     if S.is_date(df.schema[x].dataType):
         df = df.where(col(x).isNotNull())
-        if not strict:
-            bucketed = df.withColumn(x, _axis(df, x))
-            return group_aggregate(bucketed, x, y, how).orderBy(col(x))
-    return (
-        top_groups(df, x, y, how, top_n=K.LINE_POINTS, other="summed")
-        .orderBy(col(x))
-        .select(col(x), "value")
-    )
+        if grain != "raw":
+            df = df.withColumn(x, F.trunc(as_ntz(col(x)), grain) if grain != "day" else as_ntz(col(x)).cast("date"))
+    if points is None:
+        return group_aggregate(df, x, y, how).orderBy(col(x))
+    chosen = top_groups(df, x, y, how, top_n=points, other="summed")
+    if not S.is_text(df.schema[x].dataType):
+        chosen = chosen.where(~F.col("is_other"))
+    return chosen.orderBy(col(x)).select(col(x), "value")
 
 
 def dimension_metrics(

@@ -41,7 +41,7 @@ def profile_counts(
     if counts is None:
         frequent = local_table(df.sparkSession, [], "column string, mode string, mode_count bigint")
     else:
-        frequent = modes(counts, categories)  # one row per column
+        frequent = modes(df, counts, categories)  # one row per column
     return summary.join(F.broadcast(frequent), "column", "left").select(
         "column",
         F.col("missing").alias("missing_count"),
@@ -72,7 +72,7 @@ def profile_categorical(df: DataFrame, columns: list[str], counts: DataFrame | N
     counts = counts if counts is not None else stage(value_counts(df, columns))
     totals = summarize_counts(counts).select("column", "non_null")
     return (
-        top_values(counts, K.PROFILE_TOP_VALUES, columns)
+        top_values(df, counts, K.PROFILE_TOP_VALUES, columns)
         .join(F.broadcast(totals), "column")
         .select(
             "column", "rank", "value", "count",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark import StorageLevel
@@ -18,11 +17,7 @@ def _shared_folder(spark: SparkSession) -> str | None:
 def scratch_path(spark: SparkSession) -> str | None:
     """A new folder name in the shared folder, or None where there is no such folder."""
     folder = _shared_folder(spark)
-    if folder is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            return None
-        folder = tempfile.mkdtemp(prefix="autolens-")
-    return f"{folder.rstrip('/')}/autolens-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/autolens-{uuid.uuid4().hex}" if folder else None
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -30,9 +25,8 @@ def stage(df: DataFrame) -> DataFrame:
 
     The folder is the session's `spark.checkpoint.dir`. A written table cuts the
     lineage, survives lost executors and lets later passes read only their
-    columns. Without the setting a local session writes to its own temporary
-    folder, and any other session persists the frame on the executors, which
-    Spark rebuilds from the lineage when one is lost.
+    columns. Without the setting the frame is persisted on the executors, and Spark
+    rebuilds from the lineage what is lost.
     """
     path = scratch_path(df.sparkSession)
     if path is None:

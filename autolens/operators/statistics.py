@@ -34,7 +34,7 @@ def analyze_numerical(df: DataFrame, columns: Sequence[str], approx: bool = Fals
 def categorical_summary(df: DataFrame, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """Number of categories and the dominant one with its count and share."""
     counts = counts if counts is not None else stage(value_counts(df, columns))
-    frequent = modes(counts, columns)  # one row per column
+    frequent = modes(df, counts, columns)  # one row per column
     return summarize_counts(counts).join(F.broadcast(frequent), "column").select(
         "column",
         F.col("nunique").alias("n_categories"),
@@ -51,7 +51,7 @@ def categorical_distribution(
     counts = counts if counts is not None else stage(value_counts(df, columns))
     totals = summarize_counts(counts).select("column", "non_null")
     return (
-        top_values(counts, k, columns)
+        top_values(df, counts, k, columns)
         .join(F.broadcast(totals), "column")  # one row per column
         .select("column", "rank", "value", "count", (100.0 * F.col("count") / F.col("non_null")).alias("percentage"))
     )
@@ -124,9 +124,11 @@ def business_metrics(df: DataFrame, columns: Sequence[str], stats: DataFrame | N
 
 def important_columns(
     stats: DataFrame, categories: DataFrame, dates: Sequence[str], identifiers: Sequence[str],
-    numerical: Sequence[str], categorical: Sequence[str],
+    numerical: Sequence[str], categorical: Sequence[str], k: int | None = None, k_dates: int | None = None,
 ) -> DataFrame:
-    """`(kind, rank, column)`: ten numerical, ten categorical, five date and all identifier columns.
+    """`(kind, rank, column)`: numerical, categorical, date and identifier columns by importance.
+
+    `k` cuts the numerical and the categorical ranking, `k_dates` the date columns.
 
     Numerical columns come metric-like first, then by |mean| + |std|; categories
     with 2 to 60 values come in ascending number of values.
@@ -155,15 +157,15 @@ def important_columns(
                 ).alias("key"),
             )
         )
-    named = [("date", i, c) for i, c in enumerate(dates[: K.IMPORTANT_DATES])]
+    named = [("date", i, c) for i, c in enumerate(dates[:k_dates])]
     named += [("identifier", i, c) for i, c in enumerate(identifiers)]
     result = local_table(spark, [(kind, i + 1, c) for kind, i, c in named], "kind string, rank int, column string"
     )
     for part in parts:
         # One row per column of the table.
         order = Window.partitionBy("kind").orderBy("key")
-        ranked = part.withColumn("rank", F.row_number().over(order)).where(
-            F.col("rank") <= K.IMPORTANT_COLUMNS
-        )
+        ranked = part.withColumn("rank", F.row_number().over(order))
+        if k is not None:
+            ranked = ranked.where(F.col("rank") <= k)
         result = result.unionByName(ranked.select("kind", "rank", "column"))
     return result

@@ -14,11 +14,10 @@ from .local import pinned
 
 
 def monthly_sums(df: DataFrame, date: str, metrics: Sequence[str]) -> DataFrame:
-    """Sums of the first eight metrics per month, `(metric, month, value)`.
+    """Sums of the metrics per month, `(metric, month, value)`.
 
     Both trend tables derive from it; the months of a calendar are few enough to pin.
     """
-    metrics = list(metrics)[: K.TREND_METRICS]
     return pinned(_long(_metric_sums(df, date, metrics), metrics))
 
 
@@ -38,15 +37,16 @@ def _long(sums: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 
 def trend_points(
-    df: DataFrame, date: str, metrics: Sequence[str], sums: DataFrame | None = None
+    df: DataFrame, date: str, metrics: Sequence[str], sums: DataFrame | None = None,
+    months: int | None = K.TREND_MONTHS,
 ) -> DataFrame:
-    """The last 36 monthly sums of the first eight metrics: `(metric, period, value)`."""
+    """The last `months` monthly sums of each metric: `(metric, period, value)`; all with None."""
     rows = sums if sums is not None else monthly_sums(df, date, metrics)
     latest = Window.partitionBy("metric").orderBy(F.desc("month"))  # calendar months only
     return (
         rows.withColumn("age", F.row_number().over(latest))
         .withColumn("months", F.count(F.lit(1)).over(Window.partitionBy("metric")))
-        .where((F.col("age") <= K.TREND_MONTHS) & (F.col("months") >= 2))
+        .where((F.lit(months is None) | (F.col("age") <= F.lit(months))) & (F.col("months") >= 2))
         .select("metric", month_label(F.col("month")).alias("period"), "value")
     )
 

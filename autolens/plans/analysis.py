@@ -87,7 +87,7 @@ def primary_metric(sections: dict[str, DataFrame]) -> str | None:
 
 def insights(
     df: DataFrame, types: dict[str, str], sections: dict[str, DataFrame] | None = None,
-    model=None, limit: int = K.MAX_INSIGHTS,
+    model=None, limit: int | None = K.MAX_INSIGHTS,
 ) -> DataFrame:
     """The insight package of a table: `(seq, type, subject, value, message)`."""
     sections = sections if sections is not None else analyze(df, types)

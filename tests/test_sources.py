@@ -61,7 +61,8 @@ def test_bad_inputs(spark, tmp_path):
 
 
 def test_size_label():
-    assert [read.size_label(n) for n in (5, 2048, 3 * 1024**2)] == ["5 B", "2.0 KB", "3.00 MB"]
+    assert [read.size_label(n) for n in (0, 5, 2048, 3 * 1024**2, 100 * 1024**4, 2**70)] == [
+        "0 B", "5 B", "2.0 KB", "3.00 MB", "100.00 TB", "1048576.00 PB"]
 
 
 def test_multiline(spark, tmp_path):

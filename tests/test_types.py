@@ -83,7 +83,7 @@ def test_scale_changes_tag(spark):
 def test_value_counts_and_ties(spark):
     df = spark.createDataFrame([("b", 1.0), ("a", 1.0), (None, 2.0), ("a", float("nan")), ("b", -0.0), ("c", 0.0)], "s string, x double")
     counts = value_counts(df, ["s", "x"])
-    top = [(r["value"], r["count"]) for r in top_values(counts, 2, ["s"]).orderBy("rank").collect()]
+    top = [(r["value"], r["count"]) for r in top_values(df, counts, 2, ["s"]).orderBy("rank").collect()]
     assert top == [("a", 2), ("b", 2)]
     numbers = {r["value"]: r["n"] for r in counts.where("column = 'x'").collect()}
     assert numbers == {"1.0": 2, "2.0": 1, None: 1, "0.0": 2}
