@@ -10,7 +10,7 @@ from ..functions import constants as K
 from ..functions.names import col
 from ..functions.scalars import as_ntz, elapsed_days, iso_timestamp
 from . import schema as S
-from .column_types import approximate_statistics, infer_types, of_type
+from .column_types import approximate_statistics, column_types, infer_types, of_type
 from .frequency import distinct_rows, modes, summarize_counts, top_values, value_counts
 from .moments import moments
 from .outliers import outlier_counts
@@ -109,6 +109,11 @@ def profile_date(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def profile(df: DataFrame, types: dict[str, str] | None = None, approx: bool = False) -> DataFrame:
     """One wide row per column: type, missing, distinct, range, centre, spread, mode."""
+    counts = None
+    if not types and not approx:
+        # The distinct numbers need a count of all values, which also settles the types.
+        counts = stage(value_counts(df, S.supported_columns(df)))
+        types = {r["column"]: r["inferred_type"] for r in column_types(df, counts).collect()}
     types = types or infer_types(df, approx)
     listing = local_table(df.sparkSession, [(i, f.name, f.dataType.simpleString(), types[f.name]) for i, f in enumerate(df.schema.fields)],
         "position int, column string, dtype string, inferred_type string",
@@ -116,7 +121,7 @@ def profile(df: DataFrame, types: dict[str, str] | None = None, approx: bool = F
     numeric = [c for c in of_type(types, "numerical") if S.is_numeric(df.schema[c].dataType)]
     dates = [c for c in of_type(types, "date") if S.is_date(df.schema[c].dataType)]
     # Every table joined here has at most one row per column of `df`.
-    result = listing.join(F.broadcast(profile_counts(df, types, approx=approx)), "column", "left")
+    result = listing.join(F.broadcast(profile_counts(df, types, counts, approx)), "column", "left")
     result = result.join(F.broadcast(profile_numeric(df, numeric)), "column", "left")
     result = result.join(F.broadcast(profile_date(df, dates)), "column", "left")
     return result.withColumn(

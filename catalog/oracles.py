@@ -129,6 +129,30 @@ ORACLES["correlations_wide"] = f"""
     p AS (SELECT unnest([{", ".join(f"{{'a': 'c{i}', 'b': 'c{j}', 'r': corr(c{i}, c{j})}}" for i in WIDE for j in WIDE if i < j)}]) AS p FROM w)
     SELECT p.a AS column_1, p.b AS column_2, {r('p.r', 3)} AS r FROM p
 """
+ORACLES["header_repair"] = union([
+    f"SELECT '{name}' AS header, COUNT(DISTINCT {c}) AS n FROM part"
+    for name, c in (("P key", "p_partkey"), ("name", "p_name"), ("NAME_1", "p_brand"), ("name_2", "p_type"),
+                    ("column", "p_size"), ("size_1", "p_retailprice"))
+])
+ORACLES["display_values"] = """
+    WITH e AS (SELECT event_id, abs(value) * power(10, event_id % 11 - 1) + 0.00071 AS v FROM events)
+    SELECT event_id,
+           CASE WHEN v >= 1e9 THEN printf('%.2fB', v / 1e9) WHEN v >= 1e6 THEN printf('%.2fM', v / 1e6)
+                WHEN v >= 1e3 THEN printf('%.2fK', v / 1e3) WHEN v >= 100 THEN printf('%.0f', v)
+                ELSE printf('%.2f', v) END AS number,
+           printf('%.1f%%', v) AS percent
+    FROM e
+"""
+ORACLES["csv_separators"] = union([
+    f"""SELECT '{written}' AS written, 'é' || lang AS tag, COUNT(*) AS n, CAST(SUM(n_chars) AS BIGINT) AS chars,
+               MAX(source || ',' || lang) AS pair FROM documents GROUP BY lang"""
+    for written in ("59 UTF-8", "9 UTF-8", "124 UTF-8", "44 UTF-8", "59 ISO-8859-1")
+])
+ORACLES["scatter_counts"] = """
+    SELECT LEAST(1500, COUNT(*)) AS points, LEAST(1500, COUNT(*)) AS known FROM lineitem
+    WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL
+"""
+ORACLES["fingerprint_changes"] = "SELECT COUNT(*) AS n, TRUE AS same, TRUE AS differs FROM lineitem"
 ORACLES["filter_options_apply"] = "SELECT MAX(n) AS n FROM (SELECT COUNT(*) AS n FROM documents GROUP BY text)"
 ORACLES["filter_float"] = """
     SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem

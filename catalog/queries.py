@@ -399,6 +399,64 @@ def impute_mode(spark, folder):
     return tidy(cleaning.impute_modes(gaps, ["returnflag"]))
 
 
+@query
+def header_repair(spark, folder):
+    """Headers with spaces, repeats in any case and a blank one; distinct values tell columns apart."""
+    part = table(spark, folder, "part").toDF("  P  key", "name", "NAME", "name ", "", "size_1")
+    cleaned = cleaning.clean_headers(part)
+    cells = [F.struct(F.lit(c).alias("header"), F.count_distinct(col(c)).alias("n")) for c in cleaned.columns]
+    return cleaned.agg(F.array(*cells).alias("h")).select(F.inline("h"))
+
+
+@query
+def display_values(spark, folder):
+    value = F.expr("abs(value) * power(10D, event_id % 11 - 1) + 0.00071")
+    events = table(spark, folder, "events").select("event_id", value.alias("v"))
+    return events.select("event_id", scalars.display_number(F.col("v")).alias("number"), scalars.display_percent(F.col("v")).alias("percent"))
+
+
+@query
+def csv_separators(spark, folder):
+    """Written with several separators and encodings, and read back without a hint."""
+    documents = table(spark, folder, "documents").selectExpr(
+        "doc_id", "concat('é', lang) AS tag", "concat(source, ',', lang) AS pair", "n_chars"
+    )
+    result = None
+    for separator, encoding in ((";", "UTF-8"), ("\t", "UTF-8"), ("|", "UTF-8"), (",", "UTF-8"), (";", "ISO-8859-1")):
+        path = scratch(spark, ".csv")
+        documents.write.option("header", True).option("sep", separator).option("encoding", encoding).csv(path)
+        back, _ = read_table(spark, path)
+        part = back.groupBy("tag").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("n_chars").cast("bigint").alias("chars"), F.max("pair").alias("pair")
+        ).select(F.lit(f"{ord(separator)} {encoding}").alias("written"), "*")
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+@query
+def scatter_counts(spark, folder):
+    """As many points as the limit allows, and each of them a row of the table."""
+    lines = table(spark, folder, "lineitem")
+    points = sampling.scatter_points(lines, "l_quantity", "l_extendedprice", key=["l_orderkey", "l_linenumber"], n=1500)
+    known = lines.select("l_quantity", "l_extendedprice").distinct().withColumn("known", F.lit(1))
+    return points.join(known, ["l_quantity", "l_extendedprice"], "left").agg(
+        F.count(F.lit(1)).alias("points"), F.count("known").alias("known")
+    )
+
+
+@query
+def fingerprint_changes(spark, folder):
+    """Equal for the same rows in another order, different after a change to one of them."""
+    lines = table(spark, folder, "lineitem")
+    whole = sampling.fingerprint(lines).first()["fingerprint"]
+    moved = sampling.fingerprint(lines.repartition(7, "l_partkey").sortWithinPartitions("l_tax")).first()["fingerprint"]
+    first = F.expr("l_orderkey = 1 AND l_linenumber = 1")
+    changed = sampling.fingerprint(lines.withColumn("l_tax", F.when(first, F.col("l_tax") + 1).otherwise(F.col("l_tax")))).first()["fingerprint"]
+    return lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(first).alias("touched")).select(
+        "n", F.lit(whole == moved).alias("same"), (F.lit(whole != changed) == (F.col("touched") > 0)).alias("differs")
+    )
+
+
 @query
 def impute_mode_long(spark, folder):
     """Every seventh text is missing; the most frequent one is longer than the digests' limit."""
