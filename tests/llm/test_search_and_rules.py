@@ -10,7 +10,9 @@ from helpers import texts_of
 from pyspark.sql import functions as F
 
 from autolens.llm import licenses, sharding, topk, url_filter
+from autolens.llm.oracles import ORACLES
 from autolens.llm.queries import QUERIES
+from tools.check import compare, connect
 
 
 # -- top-k ---------------------------------------------------------------------------
@@ -288,3 +290,9 @@ def test_permutations_are_uniform():
     assert len(seen) == 6 and min(seen.values()) > 850
     assert sorted(sharding.permutation(1000, 1, 2).tolist()) == list(range(1000))
     assert len(sharding.permutation(0, 1, 2)) == 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_agree_with_sql(spark, folder, name):
+    verdict, _ = compare(spark, connect(folder), folder, name)
+    assert verdict.startswith("ok"), verdict
