@@ -1,10 +1,4 @@
-"""The named queries against their SQL at the smallest scale.
-
-Set AUTOLENS_ALL_QUERIES=1 to run every query; `tools/check.py` does the same for
-any scale.
-"""
-
-import os
+"""The named queries against their SQL at the smallest scale; `tools/check.py` does the same for any."""
 
 import pytest
 
@@ -12,15 +6,6 @@ import __spark_entry__ as contract
 from catalog.queries import QUERIES
 from tools.check import compare, connect
 
-QUICK = [
-    "topn_other", "topn_other_mean", "topn_pie_null_group", "topn_numeric_key", "geo_breakdown", "category_extremes",
-    "column_types_dirty", "profile_numeric", "dataset_summary", "quality", "dedup_rows", "parse_dates", "impute_mode",
-    "cleaning_report", "numeric_analysis_gaps", "outliers_z", "correlations_gaps", "monthly_trend", "best_worst_month",
-    "order_kpis", "filter_range", "filter_eq", "histogram", "box_stats", "line_series_strict", "insight_category",
-    "forecast_by_group", "forecast_errors", "csv_round_trip",
-]
-
-
 @pytest.fixture(scope="module")
 def db(folder):
     return connect(folder)
@@ -35,7 +20,7 @@ def test_every_sql_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", QUERIES if os.environ.get("AUTOLENS_ALL_QUERIES") else QUICK)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_agrees_with_sql(spark, db, folder, name):
     verdict, _ = compare(spark, db, folder, name)
     assert verdict.startswith(("ok", "rows only")), verdict
