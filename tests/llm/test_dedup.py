@@ -156,15 +156,67 @@ def test_one_anchor_group_over_many_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def jaccard(a, b, words=5):
+    x, y = (set(simhash.shingle_hashes(t, words).tolist()) for t in (a, b))
+    return len(x & y) / max(1, len(x | y))
+
+
+def near_corpus(seed=11):
+    """Texts of 30 to 400 words, most with a copy in which some words are changed."""
+    rng = random.Random(seed)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    texts, pairs = [], []
+    for i in range(150):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(30, 400))]
+        texts.append(" ".join(base))
+        if i % 3:
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 45))):
+                copy[rng.randrange(len(copy))] = "changed"
+            texts.append(" ".join(copy))
+            pairs.append((len(texts) - 2, len(texts) - 1))
+    return texts, pairs
+
+
+def test_near_copies_by_similarity(spark):
+    texts, pairs = near_corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    assert set(found) == set(range(len(texts)))
+    linked = [(found[a] == found[b], jaccard(texts[a], texts[b])) for a, b in pairs]
+    high = [hit for hit, j in linked if j >= 0.85]
+    assert len(high) > 50 and np.mean(high) > 0.97
+    assert np.mean([hit for hit, j in linked if j >= 0.8]) > 0.9
+    group = {}
+    for d, c in found.items():
+        group.setdefault(c, []).append(d)
+    partners = dict(pairs)
+    for members in group.values():  # nothing but planted copies is linked
+        assert len(members) == 1 or len(members) == 2 and partners[min(members)] == max(members)
+        assert len(members) == 1 or jaccard(texts[members[0]], texts[members[1]]) > 0.6
+
+
+def test_wide_distance_follows_similarity():
+    texts, pairs = near_corpus(3)
+    for a, b in pairs:
+        x, y = (simhash.wide_fingerprint(texts[i], 5) for i in (a, b))
+        d = int(simhash._distance(x, y))
+        j = jaccard(texts[a], texts[b])
+        share = np.arccos(min(1.0, 2 * j / (1 + j))) / np.pi
+        assert abs(d - 256 * share) <= 3 + 4.5 * (256 * share * (1 - share)) ** 0.5
+    assert simhash.wide_bits(1.0) == 0 < simhash.wide_bits(0.9) < simhash.wide_bits(0.8) < 64
+
+
 def test_keep_one(odd_docs):
     left = simhash.keep_one(odd_docs, words=3)
     assert left.columns == odd_docs.columns
-    near = simhash.near_components(odd_docs, words=3)
+    near = simhash.near_copies(odd_docs, words=3)
     rows = left.collect()
     assert len(rows) == near.select("component_id").distinct().count()
     assert {r["doc_id"] for r in rows if r["doc_id"] is not None} == {
         r["component_id"] for r in near.collect() if r["component_id"] is not None
     }
+    assert all(r[c] == c for r in rows for c in CLASHES)
 
 
 def test_query_against_brute_force(spark, folder):
