@@ -20,8 +20,8 @@ from .common import Recent
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Marks that are neither letters nor numbers; the apostrophe has rules of its own.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Entries of one generation; a worker process holds two of each kind.
-KEPT_CHUNKS, KEPT_WORDS = 180_000, 260_000
+#: Entries of one generation; a worker process holds two.
+KEPT_CHUNKS = 420_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -60,9 +60,9 @@ class WordEncoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.by_word = bool(self.spaced or dropping) and not model.get("dropout")
         self.table = _byte_letters()
+        self.before = " " if self.spaced else ""
         self.inner = Recent(self._inner, KEPT_CHUNKS)
-        self.heads = Recent(self._head, KEPT_CHUNKS // 4)
-        self.words = Recent(self._word, KEPT_WORDS)
+        self.heads = Recent(self._head, KEPT_CHUNKS // 8) if self.spaced else self.inner
         self.marks = Recent(self._whole, 10_000)
 
     def _whole(self, text: str) -> bytes:
@@ -79,28 +79,30 @@ class WordEncoder:
         # The model itself marks the word's end.
         return array("I", [t.id for t in self.library.model.tokenize(shown)]).tobytes()
 
-    def _chunk(self, chunk: str, before: str) -> bytes:
-        """A run of characters other than white space: marks, letters, marks, or whatever else."""
+    def _inner(self, chunk: str) -> bytes:
+        """A chunk after a space."""
+        return self._chunk(chunk, self.before, self.inner)
+
+    def _head(self, chunk: str) -> bytes:
+        """A chunk at the start of a line."""
+        return self._chunk(chunk, "", self.heads)
+
+    def _chunk(self, chunk: str, before: str, known: Recent) -> bytes:
+        """A run of characters other than white space: a word, marks around a word, or whatever else."""
+        if chunk.isalpha() if chunk.isascii() else LATIN.fullmatch(chunk):
+            return self._word(before + chunk)
         core = chunk.rstrip(MARKS)
         letters = core.lstrip(MARKS)
-        if letters and not (letters.isalpha() if letters.isascii() else LATIN.fullmatch(letters)):
+        if letters == chunk or any(x in chunk for x in self.special):
             return self._whole(before + chunk)
-        if letters != chunk and any(x in chunk for x in self.special):
+        if letters and not (letters.isalpha() if letters.isascii() else LATIN.fullmatch(letters)):
             return self._whole(before + chunk)
-        ahead, behind = core[: len(core) - len(letters)], chunk[len(core) :]
         if not letters:
             return self.marks[before + chunk]
-        ids = self.marks[before + ahead] + self.words[letters] if ahead else self.words[before + letters]
+        ahead, behind = core[: len(core) - len(letters)], chunk[len(core) :]
+        ids = self.marks[before + ahead] + self.heads[letters] if ahead else known[letters]
         return ids + self.marks[behind] if behind else ids
 
-    def _inner(self, chunk: str) -> bytes:
-        """A chunk after a space."""
-        return self._chunk(chunk, " " if self.spaced else "")
-
-    def _head(self, chunk: str) -> bytes:
-        """A chunk at the start of a line."""
-        return self._chunk(chunk, "")
-
     def encode(self, text: str) -> bytes:
         if not text:
             return b""

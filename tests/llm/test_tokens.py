@@ -37,7 +37,6 @@ def test_words_equal_the_library(path, folder):
 
 def test_word_cache_stays_bounded(monkeypatch):
     monkeypatch.setattr("autolens.llm.words.KEPT_CHUNKS", 5)
-    monkeypatch.setattr("autolens.llm.words.KEPT_WORDS", 5)
     own, library = WordEncoder(BYTE_TOKENIZER), Tokenizer.from_file(BYTE_TOKENIZER)
     text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i % 7)}x" for i in range(500))
     assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
