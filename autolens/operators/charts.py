@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.names import is_geo_name, is_metric_name
+from ..functions.names import col, is_geo_name, is_metric_name
 from . import schema as S
 from .column_types import of_type
 from .correlation import correlation_heatmap
-from .distributions import box_statistics, histogram
+from .distributions import box_statistics, box_tables, histogram
 from .frequency import summarize_counts, value_counts
-from .grouping import detail_table, dimension_metrics, geo_breakdown, line_series, top_groups
-from .sampling import scatter_points
+from .grouping import detail_table, dimension_metrics, geo_breakdown, line_series, numeric_value, top_groups
+from .local import pinned
+from .sampling import scatter_points, stable_sample
 
 # How many metrics and categories a density combines.
 DENSITY = {"balanced": 4, "detailed": 8, "maximum": 12, "all": None}
@@ -94,46 +95,49 @@ def chart_columns(
     }
 
 
+SECTIONS = ("aggregates", "histogram", "box", "scatter", "heatmap", "table")
+
+
 def chart_datasets(
-    df: DataFrame, types: dict[str, str], density: str = "balanced"
+    df: DataFrame, types: dict[str, str], density: str = "balanced", sections: Sequence[str] = SECTIONS
 ) -> dict[str, DataFrame]:
-    """All charts of a table as a few long tables.
+    """All charts of a table as a few long tables; only the `sections` asked for are built.
 
     `aggregates` holds every bar, pie, map and monthly line chart as
-    `(chart, dimension, key, metric, value)` from a single scan.
+    `(chart, dimension, key, metric, value)` from a single scan, `box` the boxes of all
+    metrics by the first category, `scatter` every pair of metrics over one sample of rows.
+    The number of passes does not grow with the number of metrics.
     """
     chosen = chart_columns(df, types, density)
     metrics, categories = chosen["metrics"], chosen["categories"]
     result: dict[str, DataFrame] = {}
-    if categories or chosen["dates"]:
+    if "aggregates" in sections and (categories or chosen["dates"]):
         result["aggregates"] = aggregate_charts(df, chosen)
-    if metrics:
+    if "histogram" in sections and metrics:
         result["histogram"] = histogram(df, metrics)
-        group = categories[0] if categories else None
-        boxes = [
-            box_statistics(df, m, group).withColumnRenamed(group or "group", "key")
-            .withColumn("key", F.col("key").cast("string"))
-            .select(F.lit(m).alias("metric"), "*")
-            for m in metrics
-        ]
-        result["box"] = _union(boxes)
-        pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
-        if pairs:
-            result["scatter"] = _union(
-                [
-                    scatter_points(df, a, b).select(
-                        F.lit(a).alias("x_metric"), F.lit(b).alias("y_metric"),
-                        F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y"),
-                    )
-                    for a, b in pairs
-                ]
-            )
-    if len(chosen["numeric"]) >= 2:
+    if "box" in sections and metrics:
+        result["box"] = box_tables(df, metrics, categories[0] if categories else None)
+    if "scatter" in sections and len(metrics) >= 2:
+        result["scatter"] = scatter_pairs(df, metrics)
+    if "heatmap" in sections and len(chosen["numeric"]) >= 2:
         result["heatmap"] = correlation_heatmap(df, chosen["numeric"])
-    result["table"] = detail_table(df, chosen["dates"][:1] + categories[:3] + metrics[:4], limit=K.TABLE_ROWS)
+    if "table" in sections:
+        result["table"] = detail_table(df, chosen["dates"][:1] + categories[:3] + metrics[:4], limit=K.TABLE_ROWS)
     return result
 
 
+def scatter_pairs(df: DataFrame, metrics: Sequence[str], key: Sequence[str] = (), n: int = K.SCATTER_POINTS) -> DataFrame:
+    """`(x_metric, y_metric, x, y)`: the complete pairs of one sample of rows, for all pairs of metrics."""
+    values = [numeric_value(df, m).alias(f"m{i}") for i, m in enumerate(metrics)]
+    rows = df.select(*values, *[col(k).alias(f"key{i}") for i, k in enumerate(key)])
+    sample = pinned(stable_sample(rows, n, [f"key{i}" for i in range(len(key))]))
+    pairs = [
+        F.struct(F.lit(a).alias("x_metric"), F.lit(b).alias("y_metric"), F.col(f"m{i}").alias("x"), F.col(f"m{j}").alias("y"))
+        for i, a in enumerate(metrics) for j, b in enumerate(metrics) if i < j
+    ]
+    return sample.select(F.inline(F.array(*pairs))).where("x is not null and y is not null")
+
+
 def aggregate_charts(df: DataFrame, chosen: dict[str, list[str]]) -> DataFrame:
     """`(chart, dimension, key, metric, value)` for bar, pie, map and line charts."""
     cells = dimension_metrics(df, chosen["categories"], chosen["dates"], chosen["metrics"])
@@ -155,10 +159,3 @@ def aggregate_charts(df: DataFrame, chosen: dict[str, list[str]]) -> DataFrame:
     return cells.select(F.explode(charts).alias("chart"), "dimension", "key", "metric", "value").where(
         F.col("value").isNotNull()
     )
-
-
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result

@@ -10,7 +10,7 @@ from ..functions import constants as K
 from ..functions.names import col, is_date_name, is_identifier_name, name_in
 from ..functions.scalars import parse_date, parse_number, strip
 from . import schema as S
-from .frequency import value_counts
+from .frequency import family_rows, value_counts
 from .local import local_table
 
 _TOKENS = K.TRUE_TOKENS + K.FALSE_TOKENS
@@ -79,8 +79,6 @@ def text_statistics(counts: DataFrame, text_columns: list[str]) -> DataFrame:
     )
 
 
-# Text columns parsed in one scan; the code of more does not compile to one method.
-TEXT_COLUMNS_PER_PASS = 2
 # 2^16 registers estimate distinct values to within half a percent.
 SKETCH_BITS = 16
 
@@ -94,14 +92,35 @@ def approximate_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     fields = {f.name: f.dataType for f in df.schema.fields}
     text = [c for c in columns if S.is_text(fields[c])]
     other = [c for c in columns if c not in text]
-    batches = [text[i : i + TEXT_COLUMNS_PER_PASS] for i in range(0, len(text), TEXT_COLUMNS_PER_PASS)]
-    result = None
-    for batch in ([other] if other else []) + batches:
-        part = _scan(df, batch, fields)
+    result = _scan(df, other, fields) if other or not text else None
+    if text:
+        part = _text_scan(df, text)
         result = part if result is None else result.unionByName(part)
     return _ratios(result)
 
 
+def _text_scan(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One scan for any number of text columns: a row per cell, combined in each task."""
+    cells, name = family_rows(df, columns, "string")
+    value = F.col("value")
+    marks = cells.select(
+        "v", "value", _token_bit(value).alias("token"), F.length(value).alias("chars"),
+        parse_number(value).isNotNull().cast("int").alias("number"),
+        strip(value).rlike(K.DATE_SEPARATOR_PATTERN).cast("int").alias("separated"),
+        parse_date(value).isNotNull().cast("int").alias("date"),
+    )
+    zero = F.lit(0).cast("bigint")
+    found = marks.groupBy("v").agg(
+        F.count("value").alias("non_null"), F.count_if(value.isNull()).alias("missing"),
+        F.least(F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg("value", SKETCH_BITS)), zero), F.count("value")).alias("nunique"),
+        *[F.coalesce(F.sum(m), zero).alias(n) for m, n in (("number", "numeric_hits"), ("separated", "separator_hits"), ("date", "date_hits"), ("chars", "characters"))],
+        F.bit_or("token").alias("tokens"),
+    )
+    return found.select(
+        name.alias("column"), "non_null", "missing", "nunique", "numeric_hits", "separator_hits", "date_hits", "characters", "tokens"
+    )
+
+
 def _scan(df: DataFrame, columns: list[str], fields: dict) -> DataFrame:
     marks, sums, cells = [], [F.count(F.lit(1)).alias("rows")], []
     for i, c in enumerate(columns):

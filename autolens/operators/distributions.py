@@ -11,7 +11,7 @@ from ..functions import constants as K
 from ..functions.names import col
 from .grouping import numeric_value
 from .quantiles import quantiles
-from .local import local_table
+from .local import local_table, pinned
 
 QUARTILES = {"q25": 0.25, "median": 0.50, "q75": 0.75}
 
@@ -64,8 +64,8 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = K.HISTOGRAM_BIN
 def largest_groups(df: DataFrame, x: str, k: int = K.CHART_CATEGORIES) -> DataFrame:
     """The rows of the k groups with most rows; null groups are dropped."""
     keyed = df.where(col(x).isNotNull())
-    top = keyed.groupBy(col(x)).count().orderBy(F.desc("count"), col(x).asc()).limit(k)
-    # At most k rows are broadcast.
+    # Found once, for all the passes that read the rows; at most k are broadcast.
+    top = pinned(keyed.groupBy(col(x)).count().orderBy(F.desc("count"), col(x).asc()).limit(k))
     return keyed.join(F.broadcast(top.select(col(x))), x, "left_semi")
 
 
@@ -103,3 +103,39 @@ def box_statistics(df: DataFrame, y: str, x: str | None = None) -> DataFrame:
             "whisker_high", "outliers",
         )
     )
+
+
+def box_tables(df: DataFrame, metrics: Sequence[str], x: str | None = None) -> DataFrame:
+    """`box_statistics` of several metrics at once: `(metric, key, count, mean, ...)`.
+
+    The groups are the 30 with the most rows, for all metrics the same; every pass reads
+    all metrics.
+    """
+    names = [f"m{i}" for i in range(len(metrics))]
+    values = [numeric_value(df, m).alias(n) for m, n in zip(metrics, names)]
+    rows = df.select((col(x) if x else F.lit("all")).alias("x"), *values)
+    if x:
+        rows = largest_groups(rows, "x")
+    quarts = quantiles(rows, names, QUARTILES, by=["x"], max_groups=K.CHART_CATEGORIES)
+    spread = F.col("q75") - F.col("q25")
+    bounds = pinned(quarts).select(
+        F.col("x").alias("bx"), F.col("column").alias("bm"), "q25", "median", "q75",
+        (F.col("q25") - 1.5 * spread).alias("low"), (F.col("q75") + 1.5 * spread).alias("high"),
+    )
+    inside = F.col("y").between(F.col("low"), F.col("high"))
+    metric = F.element_at(F.array(*[F.lit(m) for m in metrics]), F.substring("m", 2, 9).cast("int") + 1)
+    # At most 30 rows of each metric are broadcast.
+    return (
+        rows.unpivot(["x"], names, "m", "y").where("y is not null")
+        .join(F.broadcast(bounds), (F.col("x") == F.col("bx")) & (F.col("m") == F.col("bm")))
+        .groupBy("m", "x", "q25", "median", "q75")
+        .agg(
+            F.count(F.lit(1)).alias("count"), F.avg("y").alias("mean"),
+            F.min(F.when(inside, F.col("y"))).alias("whisker_low"), F.max(F.when(inside, F.col("y"))).alias("whisker_high"),
+            F.sum(F.when(inside, 0).otherwise(1)).alias("outliers"),
+        )
+        .select(
+            metric.alias("metric"), F.col("x").cast("string").alias("key"), "count", "mean", "whisker_low", "q25", "median",
+            "q75", "whisker_high", "outliers",
+        )
+    )

@@ -778,6 +778,14 @@ def box_sql(source: str, x: str, y: str) -> str:
 
 ORACLES["box_stats"] = box_sql("events", "event_type", "value")
 ORACLES["box_stats_top_groups"] = box_sql("events", "props", "value")
+ORACLES["chart_boxes"] = union([
+    f"""SELECT '{m}' AS metric, l_returnflag AS key, count, mean, whisker_low, q25, median, q75, whisker_high, outliers
+        FROM ({box_sql("lineitem", "l_returnflag", m)})""" for m in ("l_quantity", "l_extendedprice", "l_discount")
+])
+ORACLES["chart_scatter"] = union([
+    f"SELECT '{a}' AS x_metric, '{b}' AS y_metric, LEAST(5000, COUNT(*)) AS n, {k} AS known FROM customer"
+    for a, b, k in (("c_acctbal", "c_nationkey", "0"), ("c_acctbal", "c_custkey", "LEAST(5000, COUNT(*))"), ("c_nationkey", "c_custkey", "0"))
+])
 ORACLES["chart_box"] = box_sql("orders", "o_orderstatus", "o_totalprice")
 
 

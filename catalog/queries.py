@@ -754,7 +754,24 @@ def box_stats_top_groups(spark, folder):
 @query
 def chart_datasets(spark, folder):
     orders = table(spark, folder, "orders")
-    return tidy(charts.chart_datasets(orders, types_of(orders))["aggregates"], 2)
+    return tidy(charts.chart_datasets(orders, types_of(orders), sections=["aggregates"])["aggregates"], 2)
+
+
+@query
+def chart_boxes(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    return tidy(distributions.box_tables(lines, ["l_quantity", "l_extendedprice", "l_discount"], "l_returnflag"))
+
+
+@query
+def chart_scatter(spark, folder):
+    """All pairs of metrics over one sample of rows; each point is a row of the table."""
+    customers = table(spark, folder, "customer")
+    points = charts.scatter_pairs(customers, ["c_acctbal", "c_nationkey", "c_custkey"], ["c_custkey"])
+    known = customers.selectExpr("cast(c_custkey AS double) AS y", "c_acctbal AS x", "1 AS known")
+    return points.join(known, ["x", "y"], "left").groupBy("x_metric", "y_metric").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.expr("x_metric = 'c_acctbal' AND y_metric = 'c_custkey'"), F.col("known"))).alias("known")
+    )
 
 
 @query
