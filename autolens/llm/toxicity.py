@@ -183,7 +183,7 @@ def choose_voters(x: np.ndarray, toxic: np.ndarray) -> list[int]:
     sign = np.where(toxic == 1, 1, -MIN_RATIO)
     chosen: list[int] = []
     while len(chosen) < min(MAX_VOTERS, x.shape[1]):
-        gain = (sign * (open_rows > 0)) @ x
+        gain = (sign * (open_rows > 0)).astype(x.dtype) @ x  # in the matrix's own type: no copy of it
         gain[chosen] = 0
         j = int(np.argmax(gain))
         if gain[j] < 2:
