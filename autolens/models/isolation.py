@@ -28,6 +28,10 @@ NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, righ
 EULER = 0.5772156649015329
 
 
+#: The row's number in the table, by which rows are drawn.
+AT = "_at"
+
+
 def mean_path(n) -> float:
     """Average path of an unsuccessful search in a tree of n rows."""
     if n <= 1:
@@ -47,12 +51,12 @@ def draw_samples(rows: DataFrame, n: int, trees: int, size: int, seed: int) -> D
     share = min(1.0, (size + 8.0 * math.sqrt(size) + 32.0) / max(n, 1))
     draws = F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.struct(t.alias("tree"), (F.xxhash64(F.col("_at"), t, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("r")),
+        lambda t: F.struct(t.alias("tree"), (F.xxhash64(F.col(AT), t, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("r")),
     )
     copies = (
-        rows.withColumn("_at", F.monotonically_increasing_id())
+        (rows if AT in rows.columns else rows.withColumn(AT, F.monotonically_increasing_id()))
         .withColumn("draw", F.explode(F.filter(draws, lambda d: d["r"] < share)))
-        .select(*[F.col(f"`{c}`") for c in rows.columns], F.col("draw.tree").alias("tree"), F.col("draw.r").alias("r"))
+        .select(*[F.col(f"`{c}`") for c in rows.columns if c != AT], F.col("draw.tree").alias("tree"), F.col("draw.r").alias("r"))
     )
     return (
         copies.withColumn("place", F.row_number().over(Window.partitionBy("tree").orderBy("r")))
@@ -135,13 +139,15 @@ def detect_anomalies(
     features, _ = feature_columns(df, types)
     if len(features) < 2:
         raise ValueError(K.MODEL_SENTENCES["no_anomaly_features"])
-    rows = stage(complete_rows(df, features))
+    # Numbered before the rows are written: the draws do not depend on the files.
+    numbered = stage(complete_rows(df, features).withColumn(AT, F.monotonically_increasing_id()))
+    rows = numbered.drop(AT)
     n = rows.count()
     if n < K.ML_MIN_ROWS:
         raise ValueError(K.MODEL_SENTENCES["few_anomaly_rows"])
     size = min(SAMPLE, n)
     names = [f"f{i}" for i in range(len(features))]
-    nodes = grow_trees(draw_samples(rows, n, trees, size, seed), names, size, seed).toPandas()
+    nodes = grow_trees(draw_samples(numbered, n, trees, size, seed), names, size, seed).toPandas()
     scored = score_rows(rows, names, nodes, size).withColumn("anomaly", F.col("score") > THRESHOLD)
     scored = stage(scored)
     count = scored.agg(F.coalesce(F.sum(F.col("anomaly").cast("bigint")), F.lit(0))).first()[0]
