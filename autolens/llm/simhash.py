@@ -251,11 +251,13 @@ def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 # -- near copies of a given similarity ---------------------------------------------
 
-#: Words of 64 bits of a wide fingerprint, and the tables of sampled bits it is looked up in.
+#: Words of 64 bits of a wide fingerprint; tables of sampled bits it is looked up in.
 WIDE, TABLES, SAMPLED = 4, 64, 20
 SIMILARITY = 0.8
 #: Standard errors that an estimate may be off to the low side.
-SLACK = 1.3
+SLACK = 4.2
+#: Documents of a cloud whose shingles are compared as one block.
+CLOUD_BLOCK = 512
 
 
 def wide_bits(similarity: float) -> int:
@@ -271,10 +273,12 @@ def wide_bits(similarity: float) -> int:
 
 def wide_fingerprint(text: str, words: int) -> np.ndarray:
     """SimHash of WIDE * 64 bits over distinct shingles; their XXH64 is mixed anew for every word."""
-    hashes = shingle_hashes(text, words)
+    return wide_of(np.unique(shingle_hashes(text, words)))
+
+
+def wide_of(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return np.zeros(WIDE, np.int64)
-    hashes = np.unique(hashes)
     counts = np.zeros(64 * WIDE, np.int64)
     with np.errstate(over="ignore"):
         for at in range(0, len(hashes), SLICE):
@@ -286,70 +290,147 @@ def wide_fingerprint(text: str, words: int) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes)).view(np.int64)
 
 
-def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """`(doc_id, w0, w1, ...)`."""
-    names = [f"w{k}" for k in range(WIDE)]
+_RNG = np.random.default_rng(64)
+_CHOICES = np.stack([_RNG.choice(64 * WIDE, SAMPLED, replace=False) for _ in range(TABLES)])
+
+
+def table_keys(wide: np.ndarray) -> np.ndarray:
+    """A key for each table: the setting of SAMPLED bits of the wide fingerprint."""
+    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8)).astype(np.int64)
+    return bits[_CHOICES] @ (1 << np.arange(SAMPLED, dtype=np.int64)) + (np.arange(TABLES, dtype=np.int64) << SAMPLED)
+
+
+_NAMES = [f"w{k}" for k in range(WIDE)]
+#: What tells sets of shingles apart: the fingerprint, their number and the sum of their hashes.
+_IDENTITY = [*_NAMES, "many", "total"]
+
+
+def wide_rows(docs: DataFrame, words: int) -> DataFrame:
+    """`(place, w0, w1, ..., many, total, keys)` of `(place, text)`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([wide_fingerprint(t.as_py(), words) for t in batch.column(1)], np.int64).reshape(-1, WIDE)
-            yield pa.record_batch([batch.column(0), *(pa.array(found[:, k]) for k in range(WIDE))], names=["doc_id", *names])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_text().alias("text")).mapInArrow(
-        run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names)
+            prints, sums, keys = [], [], []
+            for t in batch.column(1):
+                hashes = np.unique(shingle_hashes(t.as_py(), words))
+                prints.append(wide_of(hashes))
+                sums.append((len(hashes), int(hashes.sum(dtype=np.uint64).view(np.int64))))
+                keys.append(table_keys(wide_of(hashes)))
+            found = np.array(prints, np.int64).reshape(-1, WIDE)
+            many, total = zip(*sums, strict=True) if sums else ((), ())
+            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * TABLES), flat)
+            yield pa.record_batch(
+                [batch.column(0), *(pa.array(found[:, k]) for k in range(WIDE)), pa.array(many, pa.int64()), pa.array(total, pa.int64()), lists],
+                names=["place", *_IDENTITY, "keys"],
+            )
+
+    return docs.select("place", plain_text().alias("text")).mapInArrow(
+        run, "place bigint, " + ", ".join(f"{n} bigint" for n in _IDENTITY) + ", keys array<bigint>"
     )
 
 
-def sampled_anchors(nodes: DataFrame) -> DataFrame:
-    """`(anchor, home, id, words...)`: each wide fingerprint at TABLES anchors.
+def _exact_links(names: list[np.ndarray], home: np.ndarray, ids: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect all sets of hashes whose Jaccard similarity reaches `similarity`."""
+    sizes = np.array([len(x) for x in names], np.int64)
+    codes = np.unique(np.concatenate(names), return_inverse=True)[1] if len(names) else np.empty(0, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    parent = list(range(len(names)))
 
-    An anchor is a setting of SAMPLED bits with the others left open: a code that covers
-    the sampled bits with radius 0 and the others with any, so a fingerprint has one
-    anchor for each choice of bits. Two fingerprints meet if they agree in all sampled
-    bits of any choice; the choices are fixed by a seed.
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    result = []
+    has = np.zeros(int(codes.max()) + 1 if len(codes) else 0, bool)
+    for a in np.flatnonzero(home):
+        mine = codes[starts[a] : starts[a] + sizes[a]]
+        has[mine] = True
+        both = np.add.reduceat(has[codes], starts)
+        has[mine] = False
+        for b in np.flatnonzero(both >= similarity * (sizes + sizes[a] - both) - 1e-9).tolist():
+            x, y = root(int(a)), root(b)
+            if x != y:
+                parent[x] = y
+                result.append((int(ids[a]), int(ids[b])))
+    return result
+
+
+def exact_links(docs: DataFrame, clouds: DataFrame, words: int, similarity: float, block: int = CLOUD_BLOCK) -> DataFrame:
+    """`(u, v)`: enough links to connect the documents of each cloud `(place, cloud)` that have the
+    Jaccard similarity of their shingles, all of which are compared.
+
+    A cloud of more than `block` documents is dealt to blocks; each two of them meet in a
+    group of their own, so that no task holds more than two blocks.
     """
-    names = [f"w{k}" for k in range(WIDE)]
-    rng = np.random.default_rng(64)
-    choices = [rng.choice(64 * WIDE, SAMPLED, replace=False) for _ in range(TABLES)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                ids, *columns = (c.to_numpy() for c in part.columns)
-                words = np.stack(columns, axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
-                weights = 1 << np.arange(SAMPLED, dtype=np.int64)
-                keys = np.stack([bits[:, c].astype(np.int64) @ weights + (t << SAMPLED) for t, c in enumerate(choices)])
-                yield pa.record_batch(
-                    [pa.array(keys.ravel()), pa.array(np.ones(keys.size, bool)), pa.array(np.tile(ids, TABLES)),
-                     *(pa.array(np.tile(words[:, k], TABLES)) for k in range(WIDE))],
-                    names=["anchor", "home", "id", *names],
-                )
-
-    columns = ", ".join(f"{n} bigint" for n in names)
-    return nodes.select("id", *names).mapInArrow(run, f"anchor bigint, home boolean, id bigint, {columns}")
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in part.column(2)]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["cloud", "place", "hashes"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        # A set without shingles is one node only, and never in a cloud.
+        found = [np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()]
+        own, i = group["own"].to_numpy(), group["i"].to_numpy()
+        got = _exact_links(found, own == i, group["place"].to_numpy(), similarity)
+        u, v = zip(*got, strict=True) if got else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    sizes = clouds.groupBy("cloud").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    dealt = clouds.join(sizes, "cloud").withColumn("own", F.pmod(F.xxhash64("place"), F.col("parts")).cast("int"))
+    hashed = docs.select("place", plain_text().alias("text")).join(clouds, "place").select("cloud", "place", "text").mapInArrow(
+        sets, "cloud bigint, place bigint, hashes binary"
+    )
+    rows = hashed.join(dealt.select("place", "parts", "own"), "place")
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    rows = rows.select("cloud", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "place", "hashes")
+    return rows.groupBy("cloud", "i", "j").applyInArrow(compare, "u bigint, v bigint")
+
+
+def key_anchors(nodes: DataFrame) -> DataFrame:
+    """`(anchor, home, id, words...)`: each set of shingles at the anchor of each of its keys."""
+    return nodes.select(F.explode("keys").alias("anchor"), F.lit(True).alias("home"), "id", *_NAMES)
+
+
+def candidate_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    return link_rows(key_anchors(nodes), _NAMES, wide_bits(similarity))
+
+
+def _near(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """`(place, group)` of `(place, text)`; places are unique, and stay the same when read again."""
+    found = stage(wide_rows(docs, words))
+    nodes = stage(
+        found.groupBy(*_IDENTITY).agg(F.min(F.struct("place", "keys")).alias("first"))
+        .select(*_IDENTITY, F.col("first.place").alias("id"), F.col("first.keys").alias("keys"))
+    )
+    linked = components(candidate_links(nodes.where("many > 0"), similarity))
+    clouds = linked.select(F.col("node").alias("place"), F.col("root").alias("cloud"))
+    clouds = stage(clouds.unionAll(linked.select("root", "root").distinct().toDF("place", "cloud")))
+    exact = components(exact_links(docs, clouds, words, similarity))
+    rooted = nodes.join(exact, nodes["id"] == exact["node"], "left").select(*_IDENTITY, F.coalesce("root", "id").alias("group"))
+    return found.select("place", *_IDENTITY).join(rooted, _IDENTITY).select("place", "group")
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """`(doc_id, component_id)`: documents linked by an estimated Jaccard similarity of their
-    shingles of at least `similarity`, over wide fingerprints.
-
-    64 bits and three differing ones find copies with hardly a word changed; a similarity
-    of 0.8 is about ten differing bits of 64. This is the same operator with 256 bits,
-    whose estimate is twice as sharp, and anchors on sampled bits: pairs of similarity
-    0.8 meet at one of them with a probability of 0.92, of 0.85 with 0.98, of 0.9 with
-    over 0.999. Null and odd rows as in `near_components`; texts without words are
-    copies of each other.
+    """`(doc_id, component_id)`: documents linked by a Jaccard similarity of their distinct
+    shingles of at least `similarity`.
+
+    Candidates share the key of a table and differ in few bits of a wide fingerprint; what
+    they connect is a cloud, in which the hashed shingles of all documents are compared.
+    Only that comparison links. Null and odd rows as in `near_components`; texts without
+    words are copies of each other.
     """
-    names = [f"w{k}" for k in range(WIDE)]
-    found = stage(wide_fingerprints(docs, words))
-    nodes = stage(found.groupBy(*names).agg(F.min("doc_id").alias("low")).withColumn("id", F.monotonically_increasing_id()))
-    linked = components(link_rows(sampled_anchors(nodes), names, wide_bits(similarity)))
-    rooted = nodes.join(linked, nodes["id"] == linked["node"], "left").select(*names, "low", F.coalesce("root", "id").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select(*names, "component_id")
-    return found.join(named, names).select("doc_id", "component_id")
+    rows = stage(docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place")
+    ))
+    named = rows.select("doc_id", "place").join(_near(rows, words, similarity), "place")
+    lowest = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return named.join(lowest, "group").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -358,10 +439,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     their group has no other id. All columns stay."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("it")
     numbered = stage(docs.select(whole, F.monotonically_increasing_id().alias("place")))
-    near = near_copies(numbered.select(F.col("place").alias("doc_id"), F.col("it.text").alias("text")), words, similarity)
-    named = numbered.select("place", F.col("it.doc_id").alias("doc_id")).join(
-        near.select(F.col("doc_id").alias("place"), "component_id"), "place"
-    )
+    near = _near(numbered.select("place", F.col("it.text").alias("text")), words, similarity)
+    named = numbered.select("place", F.col("it.doc_id").alias("doc_id")).join(near, "place")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "place")).alias("first")
-    best = named.groupBy("component_id").agg(first).select(F.col("first.place").alias("place"))
+    best = named.groupBy("group").agg(first).select(F.col("first.place").alias("place"))
     return numbered.join(best, "place", "left_semi").select("it.*")
