@@ -251,8 +251,8 @@ def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 # -- near copies of a given similarity ---------------------------------------------
 
-#: Words of 64 bits of a wide fingerprint; tables of sampled bits it is looked up in.
-WIDE, TABLES, SAMPLED = 4, 64, 20
+#: Words of 64 bits of a wide fingerprint; tables it is looked up in, and least hashes in a key of them.
+WIDE, TABLES, LEAST = 4, 64, 6
 SIMILARITY = 0.8
 #: Standard errors that an estimate may be off to the low side.
 SLACK = 4.2
@@ -271,6 +271,17 @@ def wide_bits(similarity: float) -> int:
     return round(n * share + SLACK * math.sqrt(n * share * (1 - share)))
 
 
+def candidate_bits(similarity: float) -> int:
+    """Differing bits up to which a pair is a candidate.
+
+    Ties make the bits of small sets differ more often than the angle says, most of all
+    for the smallest set that can have one shingle more at the similarity.
+    """
+    n, m = 64 * WIDE, max(1, math.ceil(similarity / max(1 - similarity, 1e-3) - 1e-9))
+    share = math.exp(math.lgamma(m + 1) - math.lgamma(m // 2 + 1) - math.lgamma(m - m // 2 + 1) - (m + 1) * math.log(2))
+    return max(wide_bits(similarity), round(n * share + 4.5 * math.sqrt(n * share * (1 - share))))
+
+
 def wide_fingerprint(text: str, words: int) -> np.ndarray:
     """SimHash of WIDE * 64 bits over distinct shingles; their XXH64 is mixed anew for every word."""
     return wide_of(np.unique(shingle_hashes(text, words)))
@@ -290,14 +301,23 @@ def wide_of(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes)).view(np.int64)
 
 
-_RNG = np.random.default_rng(64)
-_CHOICES = np.stack([_RNG.choice(64 * WIDE, SAMPLED, replace=False) for _ in range(TABLES)])
+_FACTORS = np.random.default_rng(64).integers(0, 1 << 32, TABLES * LEAST, np.uint32) | np.uint32(1)
+_MIX = np.random.default_rng(65).integers(0, 1 << 63, LEAST, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def table_keys(wide: np.ndarray) -> np.ndarray:
-    """A key for each table: the setting of SAMPLED bits of the wide fingerprint."""
-    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8)).astype(np.int64)
-    return bits[_CHOICES] @ (1 << np.arange(SAMPLED, dtype=np.int64)) + (np.arange(TABLES, dtype=np.int64) << SAMPLED)
+def table_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each table: LEAST minima of the set of shingles, each under a hash of its own.
+
+    Two sets of similarity s have the same key in a table with probability s ** LEAST.
+    """
+    least = np.full(TABLES * LEAST, 0xFFFFFFFF, np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 2048):
+        np.minimum(least, (_FACTORS[:, None] * short[None, at : at + 2048]).min(axis=1), out=least)
+    with np.errstate(over="ignore"):
+        keys = ((least.reshape(TABLES, LEAST).astype(np.uint64) + np.uint64(1)) * _MIX).sum(axis=1, dtype=np.uint64)
+        keys = (keys ^ (keys >> np.uint64(31)) ^ np.arange(TABLES, dtype=np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (keys ^ (keys >> np.uint64(29))).view(np.int64)
 
 
 _NAMES = [f"w{k}" for k in range(WIDE)]
@@ -315,7 +335,7 @@ def wide_rows(docs: DataFrame, words: int) -> DataFrame:
                 hashes = np.unique(shingle_hashes(t.as_py(), words))
                 prints.append(wide_of(hashes))
                 sums.append((len(hashes), int(hashes.sum(dtype=np.uint64).view(np.int64))))
-                keys.append(table_keys(wide_of(hashes)))
+                keys.append(table_keys(hashes))
             found = np.array(prints, np.int64).reshape(-1, WIDE)
             many, total = zip(*sums, strict=True) if sums else ((), ())
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
@@ -398,7 +418,7 @@ def key_anchors(nodes: DataFrame) -> DataFrame:
 
 
 def candidate_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    return link_rows(key_anchors(nodes), _NAMES, wide_bits(similarity))
+    return link_rows(key_anchors(nodes), _NAMES, candidate_bits(similarity))
 
 
 def _near(docs: DataFrame, words: int, similarity: float) -> DataFrame:
