@@ -17,11 +17,10 @@ from .common import Recent, Stage, fold_of, plain_text
 
 #: The one bound on training: at most so many labelled rows, picked by a hash of the id.
 MAX_LABELLED = 20_000
-#: Lexicon voters that are mined, and entries looked at for that: by count, then by strength.
-MAX_VOTERS, MAX_COUNTED, MAX_CANDIDATES = 96, 40_000, 1_000
-#: A voter must be that strongly tied to label 1 (signed root of the likelihood ratio),
-#: and so many times as frequent there as in rows with label 0.
-MIN_Z, MIN_RATIO = 4.0, 20
+#: A term is looked at from so many toxic rows on, whatever the size of the sample. It has to be
+#: that strongly tied to label 1 (signed root of the likelihood ratio), and so many times as
+#: frequent there as in rows with label 0; every one that is becomes a feature.
+MIN_ROWS, MIN_Z, MIN_RATIO = 3, 4.0, 20
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
 #: A term is looked at as occurring so many times or more.
@@ -113,29 +112,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED)
     return Stage(rows.join(F.broadcast(ids), "doc_id"))
 
 
-def _term_counts(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
-    """`(term, least, n)`: documents that have the term so many times or more, added up in
-    each task before the shuffle."""
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """`(term, least, a, b)`: rows with label 1 and 0 that have the term so many times or more,
+    added up in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Recent(lambda chunk: [t for t in terms_of(chunk) if only is None or t in only], KEPT_CHUNKS)
+        cache = Recent(terms_of, KEPT_CHUNKS)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                counts: Counter[tuple[str, int]] = Counter()
-                for text in batch.column(0).slice(at, 200):
+                part = batch.slice(at, 200)
+                counts: tuple[Counter[tuple[str, int]], Counter[tuple[str, int]]] = (Counter(), Counter())
+                for text, toxic in zip(part.column(0), part.column(1).to_pylist(), strict=True):
                     here: Counter[str] = Counter()
                     for chunk, n in Counter(text.as_py().split()).items():
                         for term in cache[chunk]:
                             here[term] += n
-                    counts.update((t, least) for t, n in here.items() for least in LEVELS if n >= least)
-                terms, levels = zip(*counts, strict=True) if counts else ((), ())
+                    counts[toxic].update((t, least) for t, n in here.items() for least in LEVELS if n >= least)
+                keys = list(counts[0].keys() | counts[1].keys())
+                terms, levels = zip(*keys, strict=True) if keys else ((), ())
                 yield pa.record_batch(
-                    [pa.array(terms, pa.string()), pa.array(levels, pa.int32()), pa.array(list(counts.values()), pa.int64())],
-                    names=["term", "least", "n"],
+                    [pa.array(terms, pa.string()), pa.array(levels, pa.int32()),
+                     *(pa.array([counts[y][k] for k in keys], pa.int64()) for y in (1, 0))],
+                    names=["term", "least", "a", "b"],
                 )
 
-    found = rows.select("text").mapInArrow(run, "term string, least int, n bigint")
-    return found.groupBy("term", "least").agg(F.sum("n").alias("n"))
+    found = rows.select("text", "toxic").mapInArrow(run, "term string, least int, a bigint, b bigint")
+    return found.groupBy("term", "least").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 def _strength(a: int, b: int, p: int, n: int) -> float:
@@ -150,51 +152,67 @@ def _strength(a: int, b: int, p: int, n: int) -> float:
 
 
 def candidate_terms(rows: DataFrame) -> list[tuple[str, int]]:
-    """Terms with a least count over-represented in rows with label 1, the strongest first.
+    """All terms with a least count over-represented in rows with label 1, the strongest first.
 
-    The ones most frequent among toxic rows (at most MAX_COUNTED, sorted by count on the
-    cluster) are counted among clean rows too.
+    Every term is counted in toxic and clean rows on the cluster, and what is rare or
+    about as frequent in clean rows is left out there.
     """
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, n = totals.get(1, 0), totals.get(0, 0)
     if not p or not n:
         return []
-    counted = _term_counts(rows.where("toxic = 1")).where(F.col("n") >= max(3, p // 400))
-    first = counted.orderBy(F.desc("n"), "term", "least").limit(MAX_COUNTED).collect()
-    only = frozenset(r["term"] for r in first)
-    second = {(r["term"], r["least"]): r["n"] for r in _term_counts(rows.where("toxic = 0"), only).collect()}
+    counted = _term_counts(rows).where((F.col("a") >= MIN_ROWS) & (F.col("a") * n >= F.col("b") * (MIN_RATIO * p)))
     found = {}
-    for r in first:
-        name, a = (r["term"], r["least"]), r["n"]
-        b = second.get(name, 0)
-        strength = _strength(a, b, p, n)
-        if strength >= MIN_Z and a * n >= MIN_RATIO * b * p:
-            found[name] = strength
-    return sorted(found, key=lambda t: (-found[t], t))[:MAX_CANDIDATES]
+
+    def strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = [_strength(a, b, p, n) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            both = pa.record_batch([batch.column(0), batch.column(1), pa.array(z, pa.float64())], names=["term", "least", "z"])
+            yield both.filter(pa.array([x >= MIN_Z for x in z], pa.bool_()))
+
+    for r in counted.mapInArrow(strong, "term string, least int, z double").toLocalIterator():
+        found[r["term"], r["least"]] = r["z"]
+    return sorted(found, key=lambda t: (-found[t], t))
 
 
-def choose_voters(x: np.ndarray, toxic: np.ndarray) -> list[int]:
-    """Columns of the hit matrix that together cover the toxic rows.
+def families(terms: list[tuple[str, int]]) -> list[int]:
+    """For each term the number of its voter: a word, its beginnings and all their least counts are one.
 
-    Greedily the column with the most toxic rows less clean rows among those with fewer
-    than two voters, the stronger (earlier) one of equals, while that gains two rows.
+    A word belongs to the shortest beginning among the terms.
     """
-    open_rows = np.full(len(x), 2)
-    sign = np.where(toxic == 1, 1, -MIN_RATIO)
+    starts = {t for t, _ in terms if t.endswith("-")}
+    names = [next((f"{t[:k]}-" for k in PREFIXES if len(t) > k and f"{t[:k]}-" in starts), t) for t, _ in terms]
+    numbers = {name: i for i, name in enumerate(dict.fromkeys(names))}
+    return [numbers[name] for name in names]
+
+
+def choose_voters(lists: list[list[int]], gains: np.ndarray, voters: list[int]) -> list[int]:
+    """Features that together cover the toxic rows, as voters of the label model.
+
+    `lists` are the features of each row, `gains` its toxic less its weighed clean rows,
+    `voters` the number of each feature's voter. Greedily the feature that gains most among
+    rows where fewer than two voters fire, the stronger (earlier) one of equals, while that
+    gains two rows. A word and its beginnings are one voter and cover a row once.
+    """
+    columns = np.array([f for row in lists for f in row if f < len(voters)], np.int64)
+    rows = np.repeat(np.arange(len(lists)), [sum(f < len(voters) for f in row) for row in lists])
+    order = np.argsort(columns, kind="stable")
+    ends = np.searchsorted(columns[order], np.arange(len(voters) + 1))
+    fired = np.zeros((len(lists), max(voters, default=-1) + 1), bool)
     chosen: list[int] = []
-    while len(chosen) < min(MAX_VOTERS, x.shape[1]):
-        gain = (sign * (open_rows > 0)).astype(x.dtype) @ x  # in the matrix's own type: no copy of it
+    while voters:
+        gain = np.bincount(columns, np.where(fired.sum(axis=1) < 2, gains, 0)[rows], len(voters))
         gain[chosen] = 0
         j = int(np.argmax(gain))
         if gain[j] < 2:
             break
         chosen.append(j)
-        open_rows = open_rows - x[:, j]
+        fired[rows[order[ends[j] : ends[j + 1]]], voters[j]] = True
     return chosen
 
 
 def fit_label_model(
-    votes: np.ndarray, fires: np.ndarray, share: float, rounds: int = 30, strength: float = 30.0
+    votes: np.ndarray, fires: np.ndarray, share: float, rounds: int = 30, strength: float = 30.0, times: np.ndarray | None = None
 ) -> np.ndarray:
     """Posterior probability of label 1 for each row of the vote matrix (rows x voters, 0/1).
 
@@ -202,30 +220,36 @@ def fit_label_model(
     depends on the label and on one other voter, its nearest by mutual information
     within the labels (a tree, so correlated voters are not counted as independent
     evidence). EM estimates both. `fires` (voters x 2) are first guesses of how often
-    a voter fires under each label, and weigh as `strength` rows.
+    a voter fires under each label, and weigh as `strength` rows. A row counts as often
+    as `times` says.
     """
     rows, voters = votes.shape
-    x = votes.astype(np.float64)
+    times = np.ones(rows) if times is None else times
     share = min(max(share, 1e-3), 1 - 1e-3)
     log1, log0 = np.log(fires), np.log1p(-fires)
-    lean = x @ (log1[:, 1] - log1[:, 0]) + (1 - x) @ (log0[:, 1] - log0[:, 0])
-    post = 1 / (1 + np.exp(-np.clip(lean + np.log(share / (1 - share)), -50, 50)))
+    lean = np.full(rows, float((log0[:, 1] - log0[:, 0]).sum()) + np.log(share / (1 - share)))
+    blocks = [np.arange(at, min(at + 64, voters)) for at in range(0, voters, 64)]  # of voters, to hold few of them as numbers
+    for block in blocks:
+        lean += votes[:, block].astype(np.float64) @ (log1 - log0)[block] @ [-1, 1]
+    post = 1 / (1 + np.exp(-np.clip(lean, -50, 50)))
     for turn in range(rounds):
-        weights = np.stack([1 - post, post])
+        weights = np.stack([1 - post, post]) * times
         if turn % 10 == 0:
-            parent = _tree(x, weights)
+            parent = _tree(votes, weights)
         logs = np.zeros((rows, 2))
-        for y in (0, 1):
-            w = weights[y]
-            for before in (0, 1):
-                # How often each voter fires given the label and what its parent does.
-                sel = x[:, parent] if before else 1 - x[:, parent]
-                sel = np.where(parent == np.arange(voters), float(before), sel)
-                seen = w @ sel
-                rate = (w @ (sel * x) + strength * fires[:, y]) / (seen + strength)
-                rate = np.clip(rate, 1e-6, 1 - 1e-6)
-                logs[:, y] += (sel * (x * np.log(rate) + (1 - x) * np.log1p(-rate))).sum(axis=1)
-        prior = np.clip((post.sum() + share * strength) / (rows + strength), 1e-3, 1 - 1e-3)
+        for block in blocks:
+            x, above = votes[:, block].astype(np.float64), votes[:, parent[block]].astype(np.float64)
+            for y in (0, 1):
+                w = weights[y]
+                for before in (0, 1):
+                    # How often each voter fires given the label and what its parent does.
+                    sel = above if before else 1 - above
+                    sel = np.where(parent[block] == block, float(before), sel)
+                    seen = w @ sel
+                    rate = (w @ (sel * x) + strength * fires[block, y]) / (seen + strength)
+                    rate = np.clip(rate, 1e-6, 1 - 1e-6)
+                    logs[:, y] += (sel * (x * np.log(rate) + (1 - x) * np.log1p(-rate))).sum(axis=1)
+        prior = np.clip(((post * times).sum() + share * strength) / (times.sum() + strength), 1e-3, 1 - 1e-3)
         lean = logs[:, 1] - logs[:, 0] + np.log(prior / (1 - prior))
         new = 1 / (1 + np.exp(-np.clip(lean, -50, 50)))
         done = np.abs(new - post).max() < 1e-5
@@ -241,7 +265,11 @@ def _tree(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     total = np.zeros((x.shape[1], x.shape[1]))
     for w in weights:
         n = w.sum() + 1.0
-        both = ((x * w[:, None]).T @ x + 0.25) / n
+        both = np.zeros_like(total)
+        for at in range(0, len(x), 1024):
+            part = x[at : at + 1024].astype(np.float64)
+            both += (part * w[at : at + 1024, None]).T @ part
+        both = (both + 0.25) / n
         one = (w @ x + 0.5) / n
         for a, b, joint in (
             (one[:, None], one[None, :], both),
@@ -264,17 +292,36 @@ def _tree(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return parent
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, l2: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by Newton steps; the bias is not penalised."""
-    full = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
-    beta = np.zeros(full.shape[1])
-    ridge = np.full(full.shape[1], l2)
-    ridge[-1] = 1e-6
+def fit_linear(
+    lists: list[list[int]], width: int, target: np.ndarray, times: np.ndarray, l2: float = 1.0, rounds: int = 25
+) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets by Newton steps; the bias is not penalised.
+
+    Rows are lists of the features that are 1 and count as often as `times` says. Steps are
+    solved by conjugate gradients, so nothing of features x features is held.
+    """
+    columns = np.array([f for row in lists for f in row], np.int64)
+    rows = np.repeat(np.arange(len(lists)), [len(row) for row in lists])
+    forward = lambda v: np.bincount(rows, v[columns], len(lists)) + v[-1]
+    back = lambda r: np.r_[np.bincount(columns, r[rows], width), r.sum()]
+    beta = np.zeros(width + 1)
+    ridge = np.r_[np.full(width, l2), 1e-6]
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(full @ beta, -30, 30)))
-        grad = full.T @ (p - target) + ridge * beta
-        w = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((full * w[:, None]).T @ full + np.diag(ridge), grad)
+        p = 1 / (1 + np.exp(-np.clip(forward(beta), -30, 30)))
+        grad = back(times * (p - target)) + ridge * beta
+        w = times * np.maximum(p * (1 - p), 1e-6)
+        scale = back(w) + ridge
+        step, left = np.zeros_like(beta), grad.copy()
+        way = left / scale
+        size = left @ way
+        for _ in range(1000):
+            if size <= 1e-24:
+                break
+            bent = back(w * forward(way)) + ridge * way
+            step += (length := size / (way @ bent)) * way
+            left -= length * bent
+            size, old = left @ (left / scale), size
+            way = left / scale + size / old * way
         step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
         beta -= step
         if np.abs(step).max() < 1e-6:
@@ -298,24 +345,25 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Mode
             found = [sorted(draft.features(t.as_py(), cache)) for t in batch.column(0)]
             yield pa.record_batch([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["hits", "toxic"])
 
-    # Hit lists of at most `bound` rows: small integers, few in a row.
-    got = rows.select("doc_id", "text", "toxic").orderBy("doc_id").select("text", "toxic")
-    got = got.mapInArrow(hits, "hits array<int>, toxic int").toPandas()
+    # Equal hit lists of at most `bound` rows are one: small integers, few in a list.
+    got = rows.select("text", "toxic").mapInArrow(hits, "hits array<int>, toxic int").groupBy("hits").agg(
+        F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")
+    ).collect()
     held.drop()
-    fixed = 1 + len(PATTERNS)
-    x = np.zeros((len(got), len(terms) + fixed), np.float32)
-    for i, found in enumerate(got["hits"]):
-        x[i, list(found)] = 1
-    toxic = got["toxic"].to_numpy()
-    p, n = int((toxic == 1).sum()), int((toxic == 0).sum())
+    got = sorted((list(r["hits"]), r["p"], r["n"]) for r in got)
+    lists, toxic, clean = [r[0] for r in got], np.array([r[1] for r in got], float), np.array([r[2] for r in got], float)
+    p, n = int(toxic.sum()), int(clean.sum())
     if not p or not n:
         return Model.of([], np.r_[6.0, np.zeros(len(PATTERNS))], -4.0)
-    chosen = choose_voters(x[:, : len(terms)], toxic)
-    x = np.hstack([x[:, chosen], x[:, len(terms) :]])
-    guess = np.stack([(x[toxic == y].sum(axis=0) + 0.5) / (k + 1.0) for y, k in ((0, n), (1, p))], axis=1)
-    post = fit_label_model(x, guess, p / (p + n))
-    weights, bias = fit_linear(x, post)
-    return Model.of([terms[j] for j in chosen], weights, bias)
+    chosen = choose_voters(lists, toxic - MIN_RATIO * clean, families(terms))
+    fixed = 1 + len(PATTERNS)
+    places = {f: i for i, f in enumerate([*chosen, *range(len(terms), len(terms) + fixed)])}
+    votes = np.zeros((len(lists), len(places)), np.uint8)
+    for i, found in enumerate(lists):
+        votes[i, [places[f] for f in found if f in places]] = 1
+    guess = np.stack([(y @ votes + 0.5) / (k + 1.0) for y, k in ((clean, n), (toxic, p))], axis=1)
+    post = fit_label_model(votes, guess, p / (p + n), times=toxic + clean)
+    return Model.of(terms, *fit_linear(lists, len(terms) + fixed, post, toxic + clean))
 
 
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
