@@ -6,6 +6,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,8 +60,11 @@ SEEDS: dict[str, list[int]] = {}
 for _i, (_, _template) in enumerate(WORDS):
     for _w in sorted(set(_template) - COMMON):
         SEEDS.setdefault(_w, []).append(_i)
-#: How many different seeds a stretch of text needs for each template.
-NEEDED = [max(1, -(-len(set(t) - COMMON) * 6 // 10)) for _, t in WORDS]
+def needed_seeds(template: Sequence[str], coverage: float = COVERAGE) -> int:
+    """Different seeds that a passage of at least `coverage` has: each word that may be missing
+    takes one away at most."""
+    missing = len(template) - ceil(coverage * len(template) - 1e-9)
+    return max(1, len(set(template) - COMMON) - missing)
 
 
 def longest_increasing(places: Sequence[int]) -> list[int]:
@@ -118,26 +122,36 @@ def align(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def windows(places: Sequence[tuple[int, str]], template: Sequence[str], needed: int) -> Iterator[tuple[int, int]]:
+def windows(places: Sequence[tuple[int, str]], template: Sequence[str], needed: int, coverage: float = COVERAGE) -> Iterator[tuple[int, int]]:
     """Stretches of the text that may hold a template.
 
-    `places` are its seeds in the text. From each seed a stretch goes on while the seeds
-    stay within a template and a quarter, and none comes more often than in the template;
-    it counts if it has `needed` different ones. It reaches up to the seeds that are left
-    out before and behind, half a template at most.
+    `places` are its seeds in the text. From each seed a stretch goes on for as many words
+    as a passage may have, whatever seeds repeat; it counts if it has `needed` different
+    ones. It reaches as far before the seed as a passage may. Where a seed comes more
+    often than in the template, the stretch up to there is tried as well, since what follows
+    may be another passage, whose words would hide those of this one; and the same for
+    what lies before the seed.
     """
     size, most = len(template), Counter(template)
-    reach, half = size + size // 4 + 2, size // 2 + 1
-    for a in range(len(places)):
-        seen: Counter[str] = Counter()
-        b = a
-        while b < len(places) and places[b][0] - places[a][0] < reach and seen[places[b][1]] < most[places[b][1]]:
+    longest = int(size / coverage + 1e-9)
+    seen: Counter[str] = Counter()
+    b = 0
+    for a, (at, word) in enumerate(places):
+        while b < len(places) and places[b][0] - at < longest:
             seen[places[b][1]] += 1
             b += 1
         if len(seen) >= needed:
-            before = places[a - 1][0] + 1 if a else 0
-            behind = places[b][0] if b < len(places) else places[b - 1][0] + half + 1
-            yield max(before, places[a][0] - half), min(behind, places[b - 1][0] + half + 1)
+            before, own, c = places[a - 1][0] + 1 if a else 0, Counter(), a
+            while c < b and own[places[c][1]] < most[places[c][1]]:
+                own[places[c][1]] += 1
+                c += 1
+            ends = {at + longest, places[c][0] if c < len(places) else at + longest}
+            for start in {max(0, at - longest), max(before, at - longest)}:
+                for end in ends:
+                    yield start, end
+        seen[word] -= 1
+        if not seen[word]:
+            del seen[word]
 
 
 def scan(text: str, seeds: Sequence[tuple[int, str]], words: list[str], coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
@@ -151,7 +165,7 @@ def scan(text: str, seeds: Sequence[tuple[int, str]], words: list[str], coverage
     for t, (name, template) in enumerate(WORDS):
         own = [(p, w) for p, w in seeds if t in SEEDS[w]]
         found: list[tuple[float, int, int]] = []
-        for a, b in windows(own, template, NEEDED[t]):
+        for a, b in windows(own, template, needed_seeds(template, coverage), coverage):
             pairs = align(words[a:b], template)
             if not pairs:
                 continue
