@@ -102,6 +102,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED)
 
     The ids are picked on the narrow label table; at most `bound` of them are broadcast.
     Rows with a null label or id teach nothing; an id with both labels counts as toxic.
+    A document that repeats teaches once.
     """
     ids = (
         labels.where("doc_id is not null and toxic in (0, 1)").where(fold_of(F.col("doc_id")) != 2)
@@ -109,7 +110,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED)
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_text().alias("text"))
-    return Stage(rows.join(F.broadcast(ids), "doc_id"))
+    return Stage(rows.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "text"]))
 
 
 def _term_counts(rows: DataFrame) -> DataFrame:

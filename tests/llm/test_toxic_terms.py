@@ -51,3 +51,10 @@ def test_a_word_and_its_beginnings_cover_a_row_once():
     terms = [("idio-", 1), ("idiot", 1), ("zorknta", 1)]
     lists = [[0, 1, 2], [0, 1], [2]]
     assert sorted(X.choose_voters(lists, np.array([30.0, 5, 5]), X.families(terms))) == [0, 1, 2]
+
+
+def test_a_labelled_document_that_repeats_teaches_once(spark):
+    docs = spark.range(5000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("same text").alias("text"))
+    docs = docs.unionAll(spark.createDataFrame([(1, "other text"), (3, "x")], docs.schema))
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id bigint, toxic int").where(X.fold_of(F.col("doc_id")) != 2)
+    assert X.training_rows(docs, labels).read().where("doc_id = 1").count() == 2
