@@ -16,6 +16,7 @@ from .packing import pack
 from .sentencepiece_bpe import digests
 from .sharding import shard_report
 from .simhash import near_components
+from .substring_dedup import repeat_report
 from .topk import top_k
 from .toxicity import toxicity
 from .url_filter import verdicts
@@ -65,10 +66,14 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_report(table(spark, folder, "documents"))
 
 
+def op11_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeat_report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_topk, op2_simhash, op3_packing, op4_url_filter, op5_sentencepiece, op6_licenses, op7_token_files,
-        op8_exact_dedup, op9_toxicity, op10_sharding,
+        op8_exact_dedup, op9_toxicity, op10_sharding, op11_repeats,
     )
 }
