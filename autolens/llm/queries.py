@@ -20,6 +20,7 @@ from .substring_dedup import repeat_report
 from .topk import top_k
 from .toxicity import toxicity
 from .url_filter import verdicts
+from .whitening import whiten
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -70,10 +71,14 @@ def op11_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeat_report(table(spark, folder, "documents"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_topk, op2_simhash, op3_packing, op4_url_filter, op5_sentencepiece, op6_licenses, op7_token_files,
-        op8_exact_dedup, op9_toxicity, op10_sharding, op11_repeats,
+        op8_exact_dedup, op9_toxicity, op10_sharding, op11_repeats, op12_whitening,
     )
 }
