@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .cross_tokens import alignment
 from .exact_dedup import exact_groups
 from .huffman import round_trip
 from .licenses import license_passages
@@ -75,10 +76,14 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings"))
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment(table(spark, folder, "documents"), BYTE_TOKENIZER, PIECE_MODEL)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_topk, op2_simhash, op3_packing, op4_url_filter, op5_sentencepiece, op6_licenses, op7_token_files,
-        op8_exact_dedup, op9_toxicity, op10_sharding, op11_repeats, op12_whitening,
+        op8_exact_dedup, op9_toxicity, op10_sharding, op11_repeats, op12_whitening, op13_alignment,
     )
 }
