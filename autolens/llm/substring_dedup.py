@@ -217,29 +217,36 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list
     several = seeds.groupBy("seed").agg(
         F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("reach").alias("a"), F.max("reach").alias("b")
     ).where("lo < hi")
-    shared = _written(seeds.join(several.select("seed", F.expr("a <> b").alias("open")), "seed"))
+    # Aggregates are written before they are joined: Spark splits the rows of a hot key only
+    # where both sides of a join come straight from a shuffle.
+    several = _written(several.select("seed", F.expr("a <> b").alias("open")))
+    shared = _written(seeds.join(several.read(), "seed"))
     seeded.drop()
+    several.drop()
 
     # Equal reach: the least document keeps its words, all others lose them.
-    classes = shared.read().groupBy("seed", "reach").agg(F.min("doc").alias("least"))
+    classes = _written(shared.read().groupBy("seed", "reach").agg(F.min("doc").alias("least")))
     met = _written(
-        shared.read().join(classes, ["seed", "reach"]).where("doc > least OR open")
+        shared.read().join(classes.read(), ["seed", "reach"]).where("doc > least OR open")
         .select("doc", "h", "place", F.expr("doc > least").alias("settled"))
     )
     shared.drop()
+    classes.drop()
 
     # Different reach: the least document of each class, with every passage around the seed.
+    # One row for each text on this side, so this join has no hot key.
     open_places = met.read().where("NOT settled").groupBy("doc", "h").agg(F.collect_set("place").alias("places"))
     around = _written(passages_of(rows.join(open_places, ["doc", "h"]), length))
     passages = around.read().select("doc", "h", F.inline(F.arrays_zip("starts", "a", "b"))).toDF("doc", "h", "start", "a", "b")
-    firsts = passages.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    later = passages.join(firsts, ["a", "b"]).where("doc > least")
+    firsts = _written(passages.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"))
+    later = passages.join(firsts.read(), ["a", "b"]).where("doc > least")
     reach = length - length // 2
     spans = met.read().where("settled").select("doc", "h", F.expr(f"greatest(place - {reach}, 0)").alias("start"), F.expr(f"place + {length}").alias("end"))
     spans = spans.unionByName(later.select("doc", "h", "start", F.expr(f"start + {length}").alias("end")))
     found = _written(spans.groupBy("doc", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     met.drop()
     around.drop()
+    firsts.drop()
     return found.read(), [found]
 
 
