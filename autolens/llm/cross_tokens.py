@@ -19,8 +19,10 @@ import hashlib
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -28,36 +30,58 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, Stage, plain_text
+from .common import Stage, plain_text
 from .sentencepiece_bpe import SPACE, codec
 from .words import _byte_letters
 
 #: Stretches of text in a block, unless one document has more.
-BLOCK_SEGMENTS = 1_200_000
+BLOCK_SEGMENTS = 600_000
 #: Documents of a block: their numbers in it have 16 bits.
 BLOCK_DOCS = 1 << 16
-#: Stretches kept in one generation of a worker's cache.
-KEPT_SEGMENTS = 150_000
 #: White space other than these may be part of a longer piece of B.
 CUT = re.compile(r"\s*\S+(?:(?![ \n])\s+\S*)*|\s+")
+#: Fixed value: how byte-level tokenizers of this family cut words.
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that all regular expression engines put in the same classes.
+CLEAR = re.compile("[\x00-\x7fÀ-ÖØ-öø-ſ]*[\x21-\x7eÀ-ÖØ-öø-ſ]")
 
-Record = tuple[int, int, int, int, bytes, bytes]
-#: A stretch whose tokens do not give its bytes.
-BROKEN: Record = (-1, 0, 0, 0, b"", b"")
+
+@dataclass
+class Stretches:
+    """Distinct stretches of text and what both tokenizers make of them.
+
+    Four numbers for each (tokens of A, tokens of B, groups, links), its groups as text,
+    and its linked pairs, `first` to `first + links`: A's id in the upper half.
+    """
+
+    numbers: np.ndarray
+    broken: np.ndarray
+    texts: list[bytes]
+    pairs: np.ndarray
+    first: np.ndarray
+
+
+def interleaved(first: np.ndarray, counts: np.ndarray, some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Ids in the order of their stretches, from those of the stretches marked `first` and of the others."""
+    of = np.repeat(first, counts)
+    out = np.empty(len(of), np.int64)
+    out[of], out[~of] = some, others
+    return out
 
 
 class Aligner:
-    """Tokens, groups and links of stretches of text, `n_a, n_b, n_groups, n_links, text, pairs`.
+    """Tokens, groups and links of stretches of text.
 
     A text is cut before a space or line feed that follows other characters: neither
-    tokenizer has a token across such a place, so equal stretches have equal tokens. Pairs
-    are 64-bit numbers, A's id in the upper half.
+    tokenizer has a token across such a place, so equal stretches have equal tokens.
     """
 
     def __init__(self, byte_path: str, piece_path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
+        self.library_b = SentencePieceProcessor(model_file=piece_path)
         self.a, self.b = Tokenizer.from_file(byte_path), codec(piece_path)
         self.a.encode_special_tokens = True
         with open(byte_path, encoding="utf-8") as f:
@@ -68,16 +92,28 @@ class Aligner:
         if not self.b.cuts:
             raise ValueError("B must have no longer piece with a line feed")
         byte_of = {c: b for b, c in _byte_letters().items()}
-        names = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        names = {i: t for t, i in model["vocab"].items() if t not in special}
         shown = [bytes(byte_of[c] for c in names.get(i, "")) for i in range(max(names) + 1)]
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
         self.size = np.array([len(x) for x in shown], np.int64)
         self.at = np.cumsum(self.size) - self.size
+        self.ranked = self._ranked(model, shown)
         # Every id with the sign that may follow it.
         m, n = len(shown), len(self.b.shown_size)
         self.signs = [b"%d%s" % (i, s) for size, s in ((m, b","), (m, b"|"), (n, b","), (n, b";")) for i in range(size)]
         self.sign_size = np.array([len(x) for x in self.signs], np.int64)
-        self.known = Recent(None, KEPT_SEGMENTS)
+
+    @staticmethod
+    def _ranked(model: dict, shown: list[bytes]):
+        """The same tokenizer by ranks, faster on long texts; None where merges are not in order of ids."""
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        made = [model["vocab"].get(x + y) for x, y in merges]
+        if made != list(range(len(shown) - len(made), len(shown))) or {len(x) for x in shown[: len(shown) - len(made)]} != {1}:
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks={x: i for i, x in enumerate(shown)}, special_tokens={})
 
     def bytes_a(self, ids: np.ndarray) -> bytes:
         sizes = self.size[ids]
@@ -85,56 +121,85 @@ class Aligner:
         where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.at[ids] - (ends - sizes), sizes)
         return self.shown[where].tobytes()
 
-    def records(self, segments: Sequence[str]) -> list[Record]:
-        """One for each stretch, all at once."""
+    def ids_a(self, segments: Sequence[str], data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all stretches in a row, and how many each has.
+
+        Stretches of well-known characters that end in no white space are encoded as one
+        text; where one ends a token does.
+        """
+        clear = np.zeros(len(segments), bool)
+        if self.ranked:
+            high = np.diff(np.r_[0, np.cumsum(data >= 128)][ends], prepend=0) > 0
+            last = data[ends - 1]
+            clear = ~high & (last > 32) & (last < 127)
+            for i in np.flatnonzero(high).tolist():
+                clear[i] = CLEAR.fullmatch(segments[i]) is not None
+        apart = [e.ids for e in self.a.encode_batch([segments[i] for i in np.flatnonzero(~clear).tolist()], add_special_tokens=False)]
+        together = "".join(segments if clear.all() else [segments[i] for i in np.flatnonzero(clear).tolist()])
+        ids = np.array(self.ranked.encode_ordinary(together) if together else [], np.int64)
+        counts = np.zeros(len(segments), np.int64)
+        last = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(np.diff(ends, prepend=0)[clear])) + 1
+        counts[clear] = np.diff(last, prepend=0)
+        counts[~clear] = np.fromiter(map(len, apart), np.int64, len(apart))
+        return interleaved(clear, counts, ids, np.fromiter(chain.from_iterable(apart), np.int64)), counts
+
+    def ids_b(self, segments: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of B. The library puts a space before what it encodes, so it encodes
+        stretches that begin with one; merge rounds do the others."""
+        spaced = np.fromiter((s[0] == " " and len(s) > 1 for s in segments), bool, len(segments))
+        chosen = spaced.tolist()
+        found = self.library_b.encode([s[1:] for s, c in zip(segments, chosen, strict=True) if c], num_threads=1)
+        other, other_counts = self.b.encode_words([s.replace(" ", SPACE) for s, c in zip(segments, chosen, strict=True) if not c])
+        counts = np.zeros(len(segments), np.int64)
+        counts[spaced] = np.fromiter(map(len, found), np.int64, len(found))
+        counts[~spaced] = other_counts
+        return interleaved(spaced, counts, np.fromiter(chain.from_iterable(found), np.int64), other), counts
+
+    def stretches(self, segments: Sequence[str]) -> Stretches:
         if not segments:
-            return []
-        found = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
-        a_counts = np.fromiter(map(len, found), np.int64, len(found))
-        a = np.fromiter(chain.from_iterable(found), np.int64, int(a_counts.sum()))
-        b, b_counts = self.b.encode_words([s.replace(" ", SPACE) for s in segments])
-        b = b.astype(np.int64)
-        raw = [s.encode() for s in segments]
-        ends = np.cumsum([len(x) for x in raw])
-        if self.bytes_a(a) != b"".join(raw) or self.b.bytes_of(b) != b"".join(raw):
+            none = np.empty(0, np.int64)
+            return Stretches(np.empty((4, 0), np.int64), np.empty(0, bool), [], none, none)
+        array = pa.array(segments, pa.large_string())
+        _, offsets, data = array.buffers()
+        ends = np.frombuffer(offsets, np.int64)[1 : len(segments) + 1]
+        data = np.frombuffer(data, np.uint8)[: ends[-1]]
+        a, a_counts = self.ids_a(segments, data, ends)
+        b, b_counts = self.ids_b(segments)
+        broken = np.zeros(len(segments), bool)
+        whole = data.tobytes()
+        if self.bytes_a(a) != whole or self.b.bytes_of(b) != whole:
             a_parts, b_parts = (np.split(x, np.cumsum(c)[:-1]) for x, c in ((a, a_counts), (b, b_counts)))
-            right = [self.bytes_a(x) == r and self.b.bytes_of(y) == r for x, y, r in zip(a_parts, b_parts, raw, strict=True)]
-            rest = iter(self.records([s for s, ok in zip(segments, right, strict=True) if ok]))
-            return [next(rest) if ok else BROKEN for ok in right]
+            raw = [whole[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            broken = np.array([self.bytes_a(x) != r or self.b.bytes_of(y) != r for x, y, r in zip(a_parts, b_parts, raw, strict=True)])
+            a, b = a[~np.repeat(broken, a_counts)], b[~np.repeat(broken, b_counts)]
+            a_counts, b_counts = np.where(broken, 0, a_counts), np.where(broken, 0, b_counts)
+            ends = np.cumsum(np.where(broken, 0, np.diff(ends, prepend=0)))
+        total = int(ends[-1])
+        # Which bytes end a token, and how many tokens, links and groups have ended before a byte.
         a_ends, b_ends = np.cumsum(self.size[a]), np.cumsum(self.b.shown_size[b])
-        cuts = np.union1d(a_ends, b_ends)
-        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        pairs = (a[np.searchsorted(a_ends, cuts)] << 32 | b[np.searchsorted(b_ends, cuts)]).astype("<i8")
-        link_ends = np.searchsorted(cuts, ends, side="right")
-        group_ends = np.searchsorted(common, ends, side="right")
-        # Tokens by group, A before B, each with its sign.
-        a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        a_mark, b_mark = np.zeros(total, bool), np.zeros(total, bool)
+        a_mark[a_ends - 1] = True
+        b_mark[b_ends - 1] = True
+
+        def ended(mark: np.ndarray) -> np.ndarray:
+            return np.r_[0, np.cumsum(mark)]
+
+        cuts = np.flatnonzero(a_mark | b_mark)
+        common = a_mark & b_mark
+        a_before, b_before, groups_before = ended(a_mark), ended(b_mark), ended(common)
+        pairs = a[a_before[cuts]] << 32 | b[b_before[cuts]]
+        links, groups = (np.diff(ended(x)[ends], prepend=0) for x in (a_mark | b_mark, common))
+        # Tokens by group, A's before B's, each with its sign.
+        edges = np.r_[0, np.flatnonzero(common) + 1]
+        a_group, b_group = groups_before[a_ends - 1], groups_before[b_ends - 1]
         m, n = len(self.size), len(self.b.shown_size)
-        sign = np.concatenate([a + m * (common[a_group] == a_ends), 2 * m + b + n * (common[b_group] == b_ends)])
-        sign = sign[np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")]
+        sign = np.empty(len(a) + len(b), np.int64)
+        sign[np.arange(len(a)) + b_before[edges[a_group]]] = a + m * common[a_ends - 1]
+        sign[np.arange(len(b)) + a_before[edges[b_group + 1]]] = 2 * m + b + n * common[b_ends - 1]
         text = b"".join([self.signs[i] for i in sign.tolist()])
-        text_ends = np.cumsum(self.sign_size[sign])[np.cumsum(a_counts + b_counts) - 1]
-        blob = pairs.tobytes()
-
-        def cut(whole: bytes, at: np.ndarray) -> list[bytes]:
-            places = at.tolist()
-            return [whole[s:e] for s, e in zip([0, *places[:-1]], places, strict=True)]
-
-        return list(
-            zip(a_counts.tolist(), b_counts.tolist(), np.diff(group_ends, prepend=0).tolist(), np.diff(link_ends, prepend=0).tolist(),
-                cut(text, text_ends), cut(blob, 8 * link_ends), strict=True)
-        )
-
-    def lookup(self, segments: Sequence[str]) -> list[Record]:
-        """Records of distinct stretches, most of them kept from earlier blocks."""
-        found = [self.known.get(s) or self.known.old.get(s) for s in segments]
-        missing = [i for i, r in enumerate(found) if r is None]
-        for i, r in zip(missing, self.records([segments[i] for i in missing]), strict=True):
-            found[i] = r
-        for s, r in zip(segments, found, strict=True):
-            if s not in self.known:
-                self.known.put(s, r)
-        return found
+        places = np.r_[0, np.cumsum(self.sign_size[sign])][np.cumsum(a_counts + b_counts)].tolist()
+        texts = [text[s:e] for s, e in zip([0, *places[:-1]], places, strict=True)]
+        return Stretches(np.array([a_counts, b_counts, groups, links]), broken, texts, pairs, np.cumsum(links) - links)
 
 
 @functools.lru_cache(maxsize=2)
@@ -208,39 +273,35 @@ _ARROW = pa.schema(
 def block_row(align: Aligner, number: int, doc_ids: list[int | None], cut: list[list[str]]) -> pa.RecordBatch:
     """Everything known of some documents, given as their stretches."""
     docs = len(cut)
-    place: dict[str, int] = dict.fromkeys(chain.from_iterable(cut), 0)
-    segments = list(place)
-    for i, s in enumerate(segments):
-        place[s] = i
     sizes = np.fromiter(map(len, cut), np.int64, docs)
+    place: defaultdict[str, int] = defaultdict(count().__next__)
     at = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
-    n_a, n_b, n_groups, n_links, texts, blobs = zip(*align.lookup(segments), strict=True) if segments else ((),) * 6
-    columns = [np.array(c, np.int64) for c in (n_a, n_b, n_groups, n_links)]
+    found = align.stretches(list(place))
     ends = np.cumsum(sizes)
+    doc = np.repeat(np.arange(docs), sizes)
     # A document with a broken stretch has no tokens at all.
-    broken = np.add.reduceat(np.r_[columns[0][at] < 0, False], np.minimum(ends - sizes, len(at))) > 0 if docs else np.empty(0, bool)
-    broken &= sizes > 0
+    broken = np.bincount(doc, weights=found.broken[at], minlength=docs) > 0
     digests, listed = [], at.tolist()
     for s, e, bad in zip((ends - sizes).tolist(), ends.tolist(), broken.tolist(), strict=True):
         if bad or s == e:
             digests.append("")
         else:
-            digests.append(hashlib.sha256(b"".join([texts[i] for i in listed[s:e]])[:-1]).hexdigest())
-    doc = np.repeat(np.arange(docs), sizes)
-    use = ~broken[doc]
-    doc, at = doc[use], at[use]
-    totals = [np.bincount(doc, weights=c[at], minlength=docs).astype(np.int64) for c in columns]
-    # Postings: every stretch of a document with its number, then its pairs.
-    stretch, times = np.unique(doc * max(len(segments), 1) + at, return_counts=True)
-    doc, at = np.divmod(stretch, max(len(segments), 1))
-    pairs, pair_of = np.unique(np.frombuffer(b"".join(blobs), "<i8"), return_inverse=True)
-    links = np.maximum(columns[3], 0)
-    first = np.cumsum(links) - links
-    each = links[at]
-    where = np.repeat(first[at] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-    code, back = np.unique(pair_of[where] * max(docs, 1) + np.repeat(doc, each), return_inverse=True)
-    number_of = np.bincount(back, weights=np.repeat(times, each), minlength=len(code)).astype(np.int64)
-    planes = planes_of(code // max(docs, 1), code % max(docs, 1), number_of, docs)
+            digests.append(hashlib.sha256(b"".join([found.texts[i] for i in listed[s:e]])[:-1]).hexdigest())
+    if broken.any():
+        use = ~broken[doc]
+        doc, at = doc[use], at[use]
+    totals = [np.bincount(doc, weights=c[at], minlength=docs).astype(np.int64) for c in found.numbers]
+    # Every link of every document, sorted by pair and document: equal ones are the number.
+    pairs, pair_of = np.unique(found.pairs, return_inverse=True)
+    each = found.numbers[3][at]
+    where = np.repeat(found.first[at] - (np.cumsum(each) - each), each)
+    where += np.arange(len(where))
+    code = pair_of[where] * docs + np.repeat(doc, each)
+    code.sort()
+    new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, np.int64)
+    number_of = np.diff(np.r_[new, len(code)])
+    pair, doc = np.divmod(code[new], max(docs, 1))
+    planes = planes_of(pair, doc, number_of, docs)
     row = [number, doc_ids, *totals, digests, pairs, *([p[i] for p in planes] for i in range(4))]
     return pa.record_batch([pa.array([x], f.type) for x, f in zip(row, _ARROW, strict=True)], schema=_ARROW)
 
