@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Stage, plain_text
 from .sentencepiece_bpe import SPACE, codec
-from .words import _byte_letters
+from .words import _byte_letters, ranked
 
 #: Stretches of text in a block, unless one document has more.
 BLOCK_SEGMENTS = 600_000
@@ -40,9 +40,7 @@ BLOCK_SEGMENTS = 600_000
 BLOCK_DOCS = 1 << 16
 #: White space other than these may be part of a longer piece of B.
 CUT = re.compile(r"\s*\S+(?:(?![ \n])\s+\S*)*|\s+")
-#: Fixed value: how byte-level tokenizers of this family cut words.
-WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters that all regular expression engines put in the same classes.
+#: Stretches of characters that all libraries put in the same classes, and that end in no white space.
 CLEAR = re.compile("[\x00-\x7fÀ-ÖØ-öø-ſ]*[\x21-\x7eÀ-ÖØ-öø-ſ]")
 
 
@@ -98,23 +96,12 @@ class Aligner:
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
         self.size = np.array([len(x) for x in shown], np.int64)
         self.at = np.cumsum(self.size) - self.size
-        self.ranked = self._ranked(model, shown)
+        self.ranked = ranked(model, sorted(special))
         # Every id with the sign that may follow it.
         m, n = len(shown), len(self.b.shown_size)
         self.signs = [b"%d%s" % (i, s) for size, s in ((m, b","), (m, b"|"), (n, b","), (n, b";")) for i in range(size)]
         self.sign_size = np.array([len(x) for x in self.signs], np.int64)
 
-    @staticmethod
-    def _ranked(model: dict, shown: list[bytes]):
-        """The same tokenizer by ranks, faster on long texts; None where merges are not in order of ids."""
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        made = [model["vocab"].get(x + y) for x, y in merges]
-        if made != list(range(len(shown) - len(made), len(shown))) or {len(x) for x in shown[: len(shown) - len(made)]} != {1}:
-            return None
-        import tiktoken
-
-        return tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks={x: i for i, x in enumerate(shown)}, special_tokens={})
-
     def bytes_a(self, ids: np.ndarray) -> bytes:
         sizes = self.size[ids]
         ends = np.cumsum(sizes)

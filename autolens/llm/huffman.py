@@ -137,12 +137,12 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataF
     """`(doc_id, ids)`: little-endian unsigned ids of `width` bytes with the end id, as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [np.frombuffer(encode(t.as_py()) + end, "<u4").astype(f"<u{width}").tobytes() for t in part.column(1)]
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                found = encoder(tokenizer).encode_column(part.column(1))
+                ids = [np.frombuffer(x + end, "<u4").astype(f"<u{width}").tobytes() for _, x in found]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_text().alias("text")).mapInArrow(

@@ -18,8 +18,8 @@ from .words import encoder
 #: Context sizes, longest first; each is half the one before, so every full window is
 #: as long as a power of two and needs no padding.
 TIERS = (2048, 1024, 512, 256)
-#: Ids that a task holds before it plans: 16 MB.
-BLOCK_TOKENS = 4_000_000
+#: Ids and documents that a task holds before it plans: 16 MB of ids, some 100 MB of facts of documents.
+BLOCK_TOKENS, BLOCK_DOCS = 4_000_000, 200_000
 #: Tokens of one training step.
 STEP_TOKENS = 32_768
 
@@ -117,9 +117,9 @@ def pack(
 ) -> DataFrame:
     """The pieces of all documents: what each window takes of which document.
 
-    Every task encodes its own rows, plans whenever it holds `block_tokens` ids, and
-    carries the open end over, so nothing is shuffled, and memory is bounded by the
-    block and one document. Only the last window of a task may be open.
+    Every task encodes its own rows, plans whenever it holds `block_tokens` ids or
+    BLOCK_DOCS documents, and carries the open end over, so nothing is shuffled, and
+    memory is bounded by the block and one document. Only the last window of a task may be open.
 
     Null texts are empty and give the end id alone; a null doc_id stays null; repeated
     rows are packed once each; other columns are ignored; an empty table gives no row.
@@ -129,7 +129,6 @@ def pack(
     tiers = tuple(sorted(tiers, reverse=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
         part = TaskContext.get().partitionId() << 36
         end = end_id.to_bytes(4, "little")
         held: dict[int, tuple[int | None, bytes]] = {}
@@ -156,13 +155,14 @@ def pack(
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
-                held[known] = (doc_id, ids)
+            doc_ids = batch.column(0).to_pylist()
+            for i, ids in encoder(tokenizer).encode_column(batch.column(1)):
+                ids += end
+                held[known] = (doc_ids[i], ids)
                 items.append((len(ids) // 4, known, 0))
                 known += 1
                 waiting += len(ids) // 4
-                if waiting >= block_tokens:
+                if waiting >= block_tokens or len(items) >= BLOCK_DOCS:
                     yield flush(False)
         yield flush(True)
 

@@ -1,8 +1,10 @@
-"""Token ids of whole texts by the tokenizers library, word by word.
+"""Token ids of whole texts, as the tokenizers library gives them.
 
-A byte-pair tokenizer cuts a text into words before it merges, so equal words have
-equal ids. The ids of recent words are kept in a cache of bounded size, which saves
-most of the merging. What is not surely a plain word goes through the library as it is.
+Texts of well-known characters are encoded by the same merges as ranks, which is faster;
+`ranked` says when that is the same. Where the tokenizer drops white space, texts are taken
+together: each distinct stretch between white space is encoded once and its ids are
+gathered. Other texts go one by one, with the ids of recent words kept in a cache of bounded
+size; what is not surely a plain word goes through the library as it is.
 """
 
 from __future__ import annotations
@@ -13,6 +15,12 @@ import os
 import re
 import sys
 from array import array
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from itertools import chain, count
+
+import numpy as np
+import pyarrow as pa
 
 from .common import Recent
 
@@ -32,6 +40,65 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+#: Stands for the end of a word; no clear text has it.
+END = "\x01"
+#: How byte-level tokenizers cut words, with the space before them or without.
+SPACED_WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BARE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts of characters that every library puts in the same classes (letters beyond ASCII
+#: that have one small form), and their words as `BARE_WORDS` cuts them, in small letters.
+CLEAR = re.compile("[\t\n\r -~À-ÖØ-öø-įıĲ-ňŊ-ž]*")
+BARE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įıĲ-ňŊ-ž]+|[0-9]|[^\\sa-z0-9ß-öø-įıĲ-ňŊ-ž]+")
+#: Characters of the texts that are encoded together.
+TOGETHER = 6_000_000
+
+
+def _merged(token: bytes, rank: dict[tuple[bytes, bytes], int]) -> bool:
+    """Whether a token's own bytes merge to it."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 1:
+        best = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), 1 << 31))
+        if (parts[best], parts[best + 1]) not in rank:
+            return False
+        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    return True
+
+
+def ranked(model: dict, special: Sequence[str]):
+    """The merges of a byte-level vocabulary as ranks of byte strings; None where that may differ.
+
+    Ranks merge neighbours by the bytes they make, a list of merges by the two themselves.
+    They agree if ids follow the order of merges and every token's bytes, taken alone,
+    merge to it: then no other two neighbours with these bytes can be left over. The end
+    of a word, where the vocabulary marks it, is a byte of its own that merges first.
+    """
+    byte_of = {c: b for b, c in _byte_letters().items()}
+    suffix = model.get("end_of_word_suffix") or ""
+
+    def raw(token: str) -> bytes:
+        ends = bool(suffix) and token.endswith(suffix)
+        body = token[: len(token) - len(suffix)] if ends else token
+        return bytes(byte_of[c] for c in body) + (END.encode() if ends else b"")
+
+    vocab = {t: i for t, i in model["vocab"].items() if t not in set(special)}
+    if model.get("dropout") or any(c not in byte_of for t in vocab for c in t.removesuffix(suffix)):
+        return None
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ranks = {raw(t): i for t, i in vocab.items()}
+    singles = len(vocab) - len(pairs)
+    if len(ranks) != len(vocab) or [vocab.get(x + y) for x, y in pairs] != list(range(singles, len(vocab))):
+        return None
+    order = {(raw(x), raw(y)): i for i, (x, y) in enumerate(pairs, 256)}
+    if suffix:
+        order |= {(bytes([b]), END.encode()): b for b in range(256)}
+    expected = {bytes([b]) for b in range(256)} | ({bytes([b]) + END.encode() for b in range(256)} if suffix else set())
+    if {t for t, i in ranks.items() if i < singles} != expected or not all(_merged(t, order) for t in ranks):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("ranked", pat_str=f"[^{END}]+{END}" if suffix else SPACED_WORDS, mergeable_ranks=ranks, special_tokens={})
+
+
 class WordEncoder:
     """`encode(text)` gives the ids as little-endian unsigned 32-bit integers.
 
@@ -61,6 +128,12 @@ class WordEncoder:
         self.by_word = bool(self.spaced or dropping) and not model.get("dropout")
         self.table = _byte_letters()
         self.before = " " if self.spaced else ""
+        splits = [p["pattern"].get("Regex") for p in pre.get("pretokenizers", []) if p.get("type") == "Split"]
+        norms = [n.get("type") for n in (norm or {}).get("normalizers", [])]
+        known = self.spaced or (splits == [BARE_WORDS] and norms == ["NFC", "Replace", "Lowercase"])
+        self.ranked = ranked(model, self.special) if self.by_word and known else None
+        if self.ranked and self.ending:
+            self.ends = np.array([self.ranked.decode_single_token_bytes(i).endswith(END.encode()) for i in range(self.ranked.n_vocab)])
         self.inner = Recent(self._inner, KEPT_CHUNKS)
         self.heads = Recent(self._head, KEPT_CHUNKS // 8) if self.spaced else self.inner
         self.marks = Recent(self._whole, 10_000)
@@ -124,6 +197,49 @@ class WordEncoder:
         return b"".join(out)
 
 
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all stretches without white space in a row, and how many each has."""
+        words = [BARE.findall(c) for c in chunks]
+        if not words:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        ids = np.array(self.ranked.encode_ordinary("".join([w + END for w in chain.from_iterable(words)])), np.uint32)
+        ends = np.flatnonzero(self.ends[ids])[np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) - 1]
+        return ids, np.diff(ends, prepend=-1)
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        cut = [t.lower().split() for t in texts]
+        place: defaultdict[str, int] = defaultdict(count().__next__)
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        ids, counts = self._chunks(list(place))
+        first, each = (np.cumsum(counts) - counts)[at], counts[at]
+        ends = np.cumsum(each)
+        where = np.repeat(first - (ends - each), each)
+        where += np.arange(len(where))
+        whole = ids[where].astype("<u4").tobytes()
+        stops = (4 * np.r_[0, ends][np.cumsum(sizes)]).tolist()
+        return [whole[s:e] for s, e in zip([0, *stops], stops, strict=False)]
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """`encode` of each text."""
+        clear = [bool(self.ranked and CLEAR.fullmatch(t)) and not any(x in t for x in self.special) for t in texts]
+        if self.spaced:
+            fast = self.ranked and self.ranked.encode_ordinary
+            return [array("I", fast(t)).tobytes() if c else self.encode(t) for t, c in zip(texts, clear, strict=True)]
+        found = iter(self._together([t for t, c in zip(texts, clear, strict=True) if c]))
+        return [next(found) if c else self.encode(t) for t, c in zip(texts, clear, strict=True)]
+
+    def encode_column(self, texts: pa.Array) -> Iterator[tuple[int, bytes]]:
+        """Number and ids of each text, in order, some millions of characters at a time."""
+        held, first, size = [], 0, 0
+        for i, text in enumerate(texts):
+            held.append(text.as_py())
+            size += len(held[-1])
+            if size >= TOGETHER or i == len(texts) - 1:
+                yield from enumerate(self.encode_all(held), first)
+                held, first, size = [], i + 1, 0
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> WordEncoder:
     """One encoder for each file and worker process."""

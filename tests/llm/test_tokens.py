@@ -251,3 +251,28 @@ def test_piece_query(spark, folder):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op5_sentencepiece"](spark, folder).collect()}
     assert got == {d: piece_digest(library, t) for d, t in texts_of(folder).items()}
+
+
+@pytest.mark.parametrize("path", [BYTE_TOKENIZER, WORD_TOKENIZER])
+def test_texts_taken_together_have_the_ids_of_the_library(path):
+    import random
+
+    from autolens.llm.words import WordEncoder
+
+    library, words = Tokenizer.from_file(path), WordEncoder(path)
+    assert words.ranked is not None
+    rng = random.Random(7)
+    parts = ["the", "The", "DON'T", "'s", "''s", "'", " ", "  ", "\n", "\t", "\r\n", "É", "ß", "straße", "Ÿ", "İ", "中", "7", "1984", "½", ".", "...", "_", "-", "\x01", "ing", "x" * 90, "<|endoftext|>", "à"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 60))) for _ in range(3000)]
+    for t, ids in zip(texts, words.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_ranks_only_where_they_merge_alike():
+    from autolens.llm.words import _byte_letters, ranked
+
+    singles = {c: b for b, c in _byte_letters().items()}
+    assert ranked({"vocab": singles | {"ab": 256}, "merges": [["a", "b"]]}, []) is not None
+    # "abc" is made of "ab" and "c", but its own bytes merge to "a" and "bc" first.
+    odd = {"vocab": singles | {"bc": 256, "ab": 257, "abc": 258}, "merges": [["b", "c"], ["a", "b"], ["ab", "c"]]}
+    assert ranked(odd, []) is None
