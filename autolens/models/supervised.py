@@ -116,9 +116,9 @@ def _importances(model) -> list[float] | None:
 
 
 def feature_importance(
-    model, prepared: DataFrame, numeric: list[str], categories: list[str]
+    model, prepared: DataFrame, numeric: list[str], categories: list[str], k: int | None = TOP_FEATURES
 ) -> DataFrame | None:
-    """`(feature, importance)`: the codes of a category folded into one, shares of 1, 15 best."""
+    """`(feature, importance)`: the codes of a category folded into one, shares of 1, the k best (None: all)."""
     weights = _importances(model)
     if weights is None:
         return None
@@ -130,7 +130,7 @@ def feature_importance(
             name = numeric[int(rest)] if source == "num" else categories[int(source[2:])]
             totals[name] += weights[attribute["idx"]]
     whole = sum(totals.values()) or 1.0
-    ranked = sorted(totals.items(), key=lambda item: (-item[1], item[0]))[:TOP_FEATURES]
+    ranked = sorted(totals.items(), key=lambda item: (-item[1], item[0]))[:k]
     return local_table(prepared.sparkSession, [(name, round(weight / whole, 4)) for name, weight in ranked], "feature string, importance double"
     )
 

@@ -99,7 +99,8 @@ SECTIONS = ("aggregates", "histogram", "box", "scatter", "heatmap", "table")
 
 
 def chart_datasets(
-    df: DataFrame, types: dict[str, str], density: str = "balanced", sections: Sequence[str] = SECTIONS
+    df: DataFrame, types: dict[str, str], density: str = "balanced", sections: Sequence[str] = SECTIONS,
+    date_axes: int | None = DATE_AXES,
 ) -> dict[str, DataFrame]:
     """All charts of a table as a few long tables; only the `sections` asked for are built.
 
@@ -108,7 +109,7 @@ def chart_datasets(
     metrics by the first category, `scatter` every pair of metrics over one sample of rows.
     The number of passes does not grow with the number of metrics.
     """
-    chosen = chart_columns(df, types, density)
+    chosen = chart_columns(df, types, density, date_axes)
     metrics, categories = chosen["metrics"], chosen["categories"]
     result: dict[str, DataFrame] = {}
     if "aggregates" in sections and (categories or chosen["dates"]):

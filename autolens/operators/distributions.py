@@ -64,13 +64,13 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = K.HISTOGRAM_BIN
 def largest_groups(df: DataFrame, x: str, k: int = K.CHART_CATEGORIES) -> DataFrame:
     """The rows of the k groups with most rows; null groups are dropped."""
     keyed = df.where(col(x).isNotNull())
-    # Found once, for all the passes that read the rows; at most k are broadcast.
-    top = pinned(keyed.groupBy(col(x)).count().orderBy(F.desc("count"), col(x).asc()).limit(k))
-    return keyed.join(F.broadcast(top.select(col(x))), x, "left_semi")
+    # Found once, for all the passes that read the rows.
+    top = pinned(keyed.groupBy(col(x)).count().orderBy(F.desc("count"), col(x).asc()).limit(k)).select(col(x))
+    return keyed.join(F.broadcast(top) if k <= K.CHART_CATEGORIES else top, x, "left_semi")
 
 
-def box_statistics(df: DataFrame, y: str, x: str | None = None) -> DataFrame:
-    """Quartiles, whiskers, mean and outliers of y, per group of x (the 30 largest).
+def box_statistics(df: DataFrame, y: str, x: str | None = None, k: int = K.CHART_CATEGORIES) -> DataFrame:
+    """Quartiles, whiskers, mean and outliers of y, per group of x (the k largest).
 
     Whiskers end at the outermost values within 1.5 interquartile ranges.
     """
@@ -78,18 +78,18 @@ def box_statistics(df: DataFrame, y: str, x: str | None = None) -> DataFrame:
     if x is None:
         rows = df.select(F.lit("all").alias("x"), value.alias("y"))
     else:
-        rows = largest_groups(df.select(col(x).alias("x"), value.alias("y")).where("y is not null"), "x")
+        rows = largest_groups(df.select(col(x).alias("x"), value.alias("y")).where("y is not null"), "x", k)
     rows = rows.where(F.col("y").isNotNull())
-    quarts = quantiles(rows, ["y"], QUARTILES, by=["x"], max_groups=K.CHART_CATEGORIES)
+    quarts = quantiles(rows, ["y"], QUARTILES, by=["x"], max_groups=k)
     spread = F.col("q75") - F.col("q25")
     bounds = quarts.select(
         F.col("x").alias("bx"), "q25", "median", "q75",
         (F.col("q25") - 1.5 * spread).alias("low"), (F.col("q75") + 1.5 * spread).alias("high"),
     )
     inside = F.col("y").between(F.col("low"), F.col("high"))
-    # At most 30 rows are broadcast.
+    # A row for each of the k groups, which is broadcast while Spark finds it small.
     return (
-        rows.join(F.broadcast(bounds), F.col("x") == F.col("bx"))
+        rows.join(bounds, F.col("x") == F.col("bx"))
         .groupBy("x", "q25", "median", "q75")
         .agg(
             F.count(F.lit(1)).alias("count"),
@@ -105,18 +105,18 @@ def box_statistics(df: DataFrame, y: str, x: str | None = None) -> DataFrame:
     )
 
 
-def box_tables(df: DataFrame, metrics: Sequence[str], x: str | None = None) -> DataFrame:
+def box_tables(df: DataFrame, metrics: Sequence[str], x: str | None = None, k: int = K.CHART_CATEGORIES) -> DataFrame:
     """`box_statistics` of several metrics at once: `(metric, key, count, mean, ...)`.
 
-    The groups are the 30 with the most rows, for all metrics the same; every pass reads
+    The groups are the k with the most rows, for all metrics the same; every pass reads
     all metrics.
     """
     names = [f"m{i}" for i in range(len(metrics))]
     values = [numeric_value(df, m).alias(n) for m, n in zip(metrics, names)]
     rows = df.select((col(x) if x else F.lit("all")).alias("x"), *values)
     if x:
-        rows = largest_groups(rows, "x")
-    quarts = quantiles(rows, names, QUARTILES, by=["x"], max_groups=K.CHART_CATEGORIES)
+        rows = largest_groups(rows, "x", k)
+    quarts = quantiles(rows, names, QUARTILES, by=["x"], max_groups=k)
     spread = F.col("q75") - F.col("q25")
     bounds = pinned(quarts).select(
         F.col("x").alias("bx"), F.col("column").alias("bm"), "q25", "median", "q75",
@@ -124,10 +124,10 @@ def box_tables(df: DataFrame, metrics: Sequence[str], x: str | None = None) -> D
     )
     inside = F.col("y").between(F.col("low"), F.col("high"))
     metric = F.element_at(F.array(*[F.lit(m) for m in metrics]), F.substring("m", 2, 9).cast("int") + 1)
-    # At most 30 rows of each metric are broadcast.
+    # A row for each metric and group.
     return (
         rows.unpivot(["x"], names, "m", "y").where("y is not null")
-        .join(F.broadcast(bounds), (F.col("x") == F.col("bx")) & (F.col("m") == F.col("bm")))
+        .join(bounds, (F.col("x") == F.col("bx")) & (F.col("m") == F.col("bm")))
         .groupBy("m", "x", "q25", "median", "q75")
         .agg(
             F.count(F.lit(1)).alias("count"), F.avg("y").alias("mean"),

@@ -16,20 +16,23 @@ from pyspark.sql import types as T
 from ..functions import constants as K
 from ..functions.names import col, name_in
 from ..functions.scalars import parse_number, strip
-from .local import collected
+from .local import collected, pinned
+from .staging import stage
 
 # Longer strings are grouped by their SHA-256 with the facts we need of them, so
 # that whole texts are looked at but not shuffled.
 LONG_TEXT = 256
 # A long string that is mostly white space may still be a date.
 LONG_PROBE = 64
+# So much of a string is kept to put equally frequent ones in order.
+START = 32
 
 
 def _family(data_type: T.DataType) -> str:
     """Columns of a family are counted together, in their own type."""
     if isinstance(data_type, T.IntegralType):
         return "bigint"
-    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+    if isinstance(data_type, T.DoubleType):
         return "double"
     if isinstance(data_type, (T.CharType, T.VarcharType)):
         return "string"
@@ -50,8 +53,8 @@ def family_rows(df: DataFrame, columns: Sequence[str], family: str) -> tuple[Dat
     values = []
     for i, c in enumerate(columns):
         v = col(c).cast(family)
-        if family == "double":
-            v = F.when(~F.isnan(v), v + F.lit(0.0))
+        if family in ("double", "float"):
+            v = F.when(~F.isnan(v), v + F.lit(0.0).cast(family))
         values.append(v.alias(f"v{i}"))
     name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.substring("v", 2, 9).cast("int") + 1)
     rows = df.select(*values).unpivot([], [f"v{i}" for i in range(len(columns))], "v", "value")
@@ -71,6 +74,7 @@ def _counted(df: DataFrame, columns: Sequence[str], family: str) -> DataFrame:
             parse_number(value).isNotNull().alias("numeric"),
             stripped.rlike(K.DATE_SEPARATOR_PATTERN).alias("separator"),
             F.when(F.length(stripped) <= LONG_PROBE, stripped).alias("probe"),
+            F.substring(value, 1, START).alias("start"),
         )
         keys += [
             F.when(is_long, F.sha2(value, 256)).otherwise(value).alias("value"),
@@ -80,7 +84,7 @@ def _counted(df: DataFrame, columns: Sequence[str], family: str) -> DataFrame:
         keys.append(value)
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     long = counted["long"] if family == "string" else None
-    nothing = {"length": "int", "numeric": "boolean", "separator": "boolean", "probe": "string"}
+    nothing = {"length": "int", "numeric": "boolean", "separator": "boolean", "probe": "string", "start": "string"}
     return counted.select(
         name.alias("column"),
         value.cast("string").alias("value"),
@@ -93,7 +97,7 @@ def _counted(df: DataFrame, columns: Sequence[str], family: str) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """`(column, value, long_length, long_numeric, long_separator, long_probe, n)`; null is a value.
+    """`(column, value, long_length, long_numeric, long_separator, long_probe, long_start, n)`; null is a value.
 
     The `long_*` fields are set only where `value` is a digest; `top_values` gives the
     strings themselves. Columns of one type
@@ -127,30 +131,42 @@ def top_values(df: DataFrame, counts: DataFrame, k: int, columns: Sequence[str]
     """The k most frequent values per column of `df`, computed now; ties in value order.
 
     `rank <= k` on a row number lets Spark cut each partition to k rows per column
-    before the shuffle. Long strings tie by their digest; of those that made it, at
-    most k in a column, the strings themselves are fetched from `df`.
+    before the shuffle. Long strings are known by digest and first characters. Equally
+    frequent values are put in order by these first, and a long one comes first of those
+    that agree so far: if none gets among the k, the others are right. A column where one
+    does is settled with the strings themselves, fetched from `df` for the digests that may
+    still win.
     """
     present = counts.where(F.col("value").isNotNull())
     if columns is not None:
         present = present.where(name_in(F.col("column"), columns))
-    order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    rows, winners = collected(
-        present.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        .select("column", "rank", "value", F.col("n").alias("count"), F.col("long_length").isNotNull().alias("is_long"))
+    is_long = F.col("long_length").isNotNull()
+    present = present.select(
+        "column", "value", "n", is_long.alias("is_long"), F.coalesce("long_start", F.substring("value", 1, START)).alias("start")
     )
+
+    def first_k(rows: DataFrame, *order: Column) -> DataFrame:
+        by = Window.partitionBy("column").orderBy(F.desc("n"), *order)
+        return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("column", "rank", "value", F.col("n").alias("count"), "is_long")
+
+    rows, winners = collected(first_k(present, F.asc("start"), F.desc("is_long"), F.asc("value")))
     long = sorted({r["column"] for r in rows if r["is_long"]})
+    winners = winners.drop("is_long")
     if not long:
-        return winners.drop("is_long")
+        return winners
+    possible = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("start"))
+    open_rows = stage(present.where(name_in(F.col("column"), long)).withColumn("place", F.rank().over(possible)).where(F.col("place") <= k))
     cells, name = family_rows(df, long, "string")
-    digests = winners.where("is_long").select("column", F.col("value").alias("digest"))
+    digests = open_rows.where("is_long").select("column", F.col("value").alias("digest"), "n")
     texts = (
         cells.where(F.length("value") > LONG_TEXT)
         .select(name.alias("column"), "value", F.sha2("value", 256).alias("digest"))
-        .join(F.broadcast(digests), ["column", "digest"], "left_semi")
-        .groupBy("column", "digest").agg(F.first("value").alias("text"))
+        .join(digests, ["column", "digest"])
+        .groupBy("column", "digest", "n").agg(F.first("value").alias("value"))
     )
-    found = winners.join(texts, (winners["column"] == texts["column"]) & (winners["value"] == texts["digest"]) & F.col("is_long"), "left")
-    return found.select(winners["column"], "rank", F.coalesce("text", "value").alias("value"), "count")
+    strings = open_rows.where("NOT is_long").select("column", "value", "n").unionByName(texts.select("column", "value", "n"))
+    settled = pinned(first_k(strings.withColumn("is_long", F.lit(True)), F.asc("value")).drop("is_long"))
+    return winners.where(~name_in(F.col("column"), long)).unionByName(settled)
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:

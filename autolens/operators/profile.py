@@ -67,12 +67,14 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def profile_categorical(df: DataFrame, columns: list[str], counts: DataFrame | None = None) -> DataFrame:
-    """The ten most frequent values per column with their share of non-null rows."""
+def profile_categorical(
+    df: DataFrame, columns: list[str], counts: DataFrame | None = None, k: int = K.PROFILE_TOP_VALUES
+) -> DataFrame:
+    """The k most frequent values per column with their share of non-null rows."""
     counts = counts if counts is not None else stage(value_counts(df, columns))
     totals = summarize_counts(counts).select("column", "non_null")
     return (
-        top_values(df, counts, K.PROFILE_TOP_VALUES, columns)
+        top_values(df, counts, k, columns)
         .join(F.broadcast(totals), "column")
         .select(
             "column", "rank", "value", "count",

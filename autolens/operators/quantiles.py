@@ -5,10 +5,11 @@ each value goes to a bucket that grows with it, a pass counts the buckets, and t
 next pass opens only the buckets that hold a wanted rank. Counts per bucket combine
 on the map side, so a scan shuffles a few thousand rows per column and task whatever
 the size or skew of the table. Buckets first follow the logarithm (256 per factor of
-two, about a third of a percent wide); after that the range between the smallest and
-the largest value seen in a bucket is divided into 4096 parts until a bucket holds
-one value. Both mappings are monotone, so the result is exact. Prices and whole
-numbers settle in one or two passes; doubles of full precision take up to five.
+two, about a third of a percent wide). Its counts are exact, so it is known how much the
+open buckets hold: where each is small enough for a task, the second pass counts their
+values and is the last. Otherwise it divides the range between the smallest and the
+largest value seen in a bucket into 4096 parts, and a third pass opens one of those. Both
+mappings are monotone, so the result is exact.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ PARTS = 4096
 MAX_RANGES = 32
 # The opened buckets are broadcast only while they are provably this few.
 BROADCAST_ROWS = 200_000
+# Rows of a bucket whose values one task may put in order.
+ORDERED_ROWS = 500_000
 
 
 def _log_bucket(v: Column) -> Column:
@@ -71,13 +74,15 @@ def quantiles(
     probabilities: dict[str, float],
     by: Sequence[str] = (),
     max_groups: int | None = None,
+    ordered_rows: int = ORDERED_ROWS,
 ) -> DataFrame:
     """Linear-interpolated quantiles: one row per group and column.
 
     `probabilities` maps result names to probabilities. Nulls, NaN and infinities
     are left out. `max_groups` is a bound on the number of groups that the caller
     can prove; without one, groups are counted first, and a large number of them
-    is joined by shuffle instead of broadcast.
+    is joined by shuffle instead of broadcast. Buckets of more than `ordered_rows` rows
+    are divided before their values are put in order.
     """
     names = list(probabilities)
     probs = [probabilities[n] for n in names]
@@ -136,7 +141,7 @@ def quantiles(
             ),
         )
         .withColumn("offset", F.col("rank") - F.col("before"))
-        .select(*keys, "b1", "rank", "total", "offset", F.col("first").alias("low"), F.col("last").alias("high"))
+        .select(*keys, "b1", "rank", "total", "offset", "n", F.col("first").alias("low"), F.col("last").alias("high"))
     )
     settled = None
     while True:
@@ -149,25 +154,24 @@ def quantiles(
             for r in found:
                 if r["low"] < r["high"]:
                     spans.setdefault(r["c"], set()).add((r["low"], r["high"]))
-            is_open = bool(spans)
+            largest = max((r["n"] for r in found if r["low"] < r["high"]), default=None)
         else:
             table = stage(picked)
-            is_open = not table.where("low < high").isEmpty()
+            largest = table.where("low < high").agg(F.max("n")).first()[0]
         done = table.where("low = high").select(*keys, "rank", "total", F.col("low").alias("v"))
         settled = done if settled is None else settled.unionByName(done)
-        if not is_open:
+        if largest is None:
             break
-        # Further passes: divide the open buckets. With few groups only the open columns
-        # are read again, and of them only the open ranges.
+        # Further passes: divide the open buckets, into values if these are few enough. With
+        # few groups only the open columns are read again, and of them only the open ranges.
         still = table.where("low < high")
         if few:
             rows = long_rows({c: _at_most(sorted(s), MAX_RANGES) for c, s in spans.items()})
         path = [*keys, "b1"]
         bucket = [*path, "low", "high"]
         inside = F.col("v").between(F.col("low"), F.col("high"))
-        parts = joined(rows, still.select(*bucket).distinct(), path, inside).select(
-            *bucket, "v", "n", _part(F.col("v"), F.col("low"), F.col("high")).alias("part")
-        )
+        part = F.col("v") if largest <= ordered_rows else _part(F.col("v"), F.col("low"), F.col("high"))
+        parts = joined(rows, still.select(*bucket).distinct(), path, inside).select(*bucket, "v", F.col("n").alias("n"), part.alias("part"))
         wanted = still.groupBy(*bucket).agg(
             F.collect_list(F.struct("rank", "offset")).alias("wanted"), F.first("total").alias("total")
         )
@@ -177,7 +181,7 @@ def quantiles(
             .where("w.offset >= before and w.offset < before + n")
             .select(
                 *path, F.col("w.rank").alias("rank"), "total",
-                (F.col("w.offset") - F.col("before")).alias("offset"),
+                (F.col("w.offset") - F.col("before")).alias("offset"), "n",
                 F.col("first").alias("low"), F.col("last").alias("high"),
             )
         )

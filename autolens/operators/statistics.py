@@ -76,8 +76,8 @@ def analyze_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def date_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows per year, and per month for the last 24 months that have rows.
+def date_counts(df: DataFrame, columns: Sequence[str], months: int = K.DATE_MONTHS) -> DataFrame:
+    """Rows per year, and per month for the last `months` that have rows.
 
     `(column, granularity, period, count)`; empty periods are not filled in.
     """
@@ -87,9 +87,9 @@ def date_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("count"))
     )
     latest = Window.partitionBy("column").orderBy(F.desc("month"))
-    months = (
+    recent = (
         monthly.withColumn("age", F.row_number().over(latest))
-        .where(F.col("age") <= K.DATE_MONTHS)
+        .where(F.col("age") <= months)
         .select("column", F.lit("month").alias("granularity"), F.col("month").alias("period"), "count")
     )
     years = (
@@ -97,7 +97,7 @@ def date_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .agg(F.sum("count").alias("count"))
         .select("column", F.lit("year").alias("granularity"), "period", "count")
     )
-    return months.unionByName(years)
+    return recent.unionByName(years)
 
 
 def business_metrics(df: DataFrame, columns: Sequence[str], stats: DataFrame | None = None) -> DataFrame:

@@ -19,8 +19,9 @@ SUMMARY_SECTIONS = [
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Delimited text with a header, one file per partition."""
-    df.write.option("header", True).option("escape", '"').csv(path)
+    """Delimited text with a header, one file per partition; white space around cells stays."""
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(**options).csv(path)
 
 
 def json_ready(df: DataFrame) -> DataFrame:

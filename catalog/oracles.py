@@ -153,6 +153,21 @@ ORACLES["scatter_counts"] = """
     WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL
 """
 ORACLES["fingerprint_changes"] = "SELECT COUNT(*) AS n, TRUE AS same, TRUE AS differs FROM lineitem"
+LONG_KEYS = """
+    SELECT DISTINCT repeat('the same words ', 20) || source || ' ' || lang || ' ' || CAST(doc_id % 50 AS VARCHAR) AS body FROM documents
+"""
+ORACLES["mode_long_ties"] = f"SELECT 'body' AS \"column\", MIN(body) AS mode, CAST(1 AS BIGINT) AS mode_count FROM ({LONG_KEYS})"
+ORACLES["filter_options_ties"] = f"""
+    WITH k AS ({LONG_KEYS}),
+    m AS (SELECT body FROM k UNION ALL SELECT substr(body, 290, 200) FROM k UNION ALL SELECT DISTINCT substr(body, 1, 200) FROM k),
+    c AS (SELECT body AS value, COUNT(*) AS "count" FROM m GROUP BY body)
+    SELECT CAST(row_number() OVER (ORDER BY "count" DESC, value) AS INTEGER) AS rank, value, "count" FROM c QUALIFY rank <= 25
+"""
+ORACLES["mode_float"] = union([
+    f"""SELECT * FROM (SELECT '{name}' AS "column", CAST(row_number() OVER (ORDER BY COUNT(*) DESC, CAST(v AS VARCHAR)) AS INTEGER) AS rank,
+               CAST(v AS VARCHAR) AS value, COUNT(*) AS "count" FROM (SELECT CAST(l_{name} AS FLOAT) AS v FROM lineitem) GROUP BY v) WHERE rank <= 20"""
+    for name in ("discount", "tax")
+])
 ORACLES["filter_options_apply"] = "SELECT MAX(n) AS n FROM (SELECT COUNT(*) AS n FROM documents GROUP BY text)"
 ORACLES["filter_float"] = """
     SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem
@@ -460,7 +475,7 @@ ORACLES["duplicate_texts"] = """
            CAST(SUM((text IS NULL)::INT + (lang IS NULL)::INT + (source IS NULL)::INT) AS BIGINT) AS missing_cells
     FROM documents
 """
-ORACLES["preview_count"] = "SELECT COUNT(*) AS rows FROM (SELECT * FROM orders LIMIT 50)"
+ORACLES["preview_count"] = "SELECT COUNT(*) AS rows, COUNT(*) AS known FROM (SELECT * FROM orders LIMIT 50)"
 
 # --- cleaning ---------------------------------------------------------------
 
@@ -953,6 +968,19 @@ ORACLES["csv_round_trip"] = """
            ROUND(SUM(o_totalprice) + 1e-5, 2) AS total, MIN(o_orderpriority) AS first_priority
     FROM orders GROUP BY o_orderstatus
 """
+ORACLES["csv_quoted"] = """
+    SELECT doc_id, sha256('"quoted", ' || text || ' ;"' || chr(13) || chr(10) || '"end') AS text_sha256, lang FROM documents
+"""
+ORACLES["csv_header_orders"] = """
+    SELECT o_orderkey, o_custkey, o_orderpriority, CASE WHEN o_orderkey % 3 < 2 THEN o_orderstatus END AS o_orderstatus FROM orders
+"""
+ORACLES["csv_row_widths"] = """
+    SELECT CASE WHEN o_orderkey % 11 <> 0 OR o_orderkey % 7 = 0 THEN o_orderstatus END AS o_orderstatus, COUNT(*) AS n,
+           CAST(SUM(o_custkey) AS BIGINT) AS custkeys, MAX(long_rows) AS long_rows, MAX(short_rows) AS short_rows, CAST(2 AS BIGINT) AS warnings
+    FROM orders, (SELECT COUNT(*) FILTER (o_orderkey % 7 = 0) AS long_rows,
+                         COUNT(*) FILTER (o_orderkey % 11 = 0 AND o_orderkey % 7 <> 0) AS short_rows FROM orders)
+    GROUP BY ALL
+"""
 ORACLES["json_round_trip"] = f"""
     SELECT event_type, COUNT(*) AS rows, ROUND(SUM(value) + 1e-5, 2) AS total, {iso('MIN(ts)')} AS first_ts
     FROM events GROUP BY event_type

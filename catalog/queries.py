@@ -351,7 +351,13 @@ def duplicate_texts(spark, folder):
 
 @query
 def preview_count(spark, folder):
-    return sampling.preview(table(spark, folder, "orders"), 50).agg(F.count(F.lit(1)).alias("rows"))
+    """As many rows as asked for, and each of them a row of the table."""
+    orders = table(spark, folder, "orders")
+    rows = sampling.preview(orders, 50)
+    known = rows.join(orders, orders.columns, "left_semi").select(F.lit(1).alias("known"))
+    return rows.select(F.lit(0).alias("known")).unionByName(known).agg(
+        F.count(F.when(F.col("known") == 0, 1)).alias("rows"), F.sum("known").cast("bigint").alias("known")
+    )
 
 
 # --- cleaning ---------------------------------------------------------------
@@ -665,6 +671,33 @@ def filter_options_long(spark, folder):
     return options.selectExpr("cast(rank = 1 AS int) AS first", "length(value) AS size", "count").where("count > 1").select("size", "count")
 
 
+def _long_keys(spark, folder):
+    """Long strings that agree in their beginning, each equally often."""
+    body = F.concat(F.repeat(F.lit("the same words "), 20), "source", F.lit(" "), "lang", F.lit(" "), F.col("doc_id") % 50)
+    return table(spark, folder, "documents").select(body.alias("body")).distinct()
+
+
+@query
+def mode_long_ties(spark, folder):
+    keys = _long_keys(spark, folder)
+    return frequency.modes(keys, frequency.value_counts(keys, ["body"]))
+
+
+@query
+def filter_options_ties(spark, folder):
+    """Of equally frequent strings, long and short, the first in order are offered."""
+    keys = _long_keys(spark, folder)
+    mixed = keys.unionByName(keys.select(F.substring("body", 290, 200).alias("body"))).unionByName(keys.select(F.substring("body", 1, 200).alias("body")).distinct())
+    options = filters.filter_options(mixed, ["body"], limit=25)
+    return options.select("rank", "value", "count")
+
+
+@query
+def mode_float(spark, folder):
+    lines = table(spark, folder, "lineitem").select(F.col("l_discount").cast("float").alias("discount"), F.col("l_tax").cast("float").alias("tax"))
+    return frequency.top_values(lines, frequency.value_counts(lines, lines.columns), 20)
+
+
 @query
 def filter_options_apply(spark, folder):
     """The rows that the first offered option selects are as many as it says."""
@@ -906,7 +939,7 @@ def _model(spark, df, task, **options):
 
 
 def _labelled(spark, folder):
-    return table(spark, folder, "labels").join(table(spark, folder, "documents"), "doc_id").drop("text")
+    return table(spark, folder, "labels").join(table(spark, folder, "documents"), "doc_id")
 
 
 @query
@@ -966,6 +999,45 @@ def csv_round_trip(spark, folder):
     )
 
 
+@query
+def csv_quoted(spark, folder):
+    """All texts, with quotes, separators and line breaks, written and read back."""
+    text = F.concat(F.lit('"quoted", '), "text", F.lit(' ;"\r\n"end'))
+    documents = table(spark, folder, "documents").select("doc_id", text.alias("text"), "lang")
+    path = scratch(spark, ".csv")
+    write_csv(documents, path)
+    back, _ = read_table(spark, path)
+    return back.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang")
+
+
+@query
+def csv_header_orders(spark, folder):
+    """Files of one folder with their columns in other orders, one of them without a column."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    path = scratch(spark, ".csv")
+    for part, columns in enumerate((orders.columns, orders.columns[::-1], orders.columns[1:3] + orders.columns[:1])):
+        orders.where(F.col("o_orderkey") % 3 == part).select(*columns).write.mode("append").option("header", True).csv(path)
+    back, _ = read_table(spark, path)
+    return back.select(*orders.columns)
+
+
+@query
+def csv_row_widths(spark, folder):
+    """Rows with a cell too many or too few are read and counted."""
+    whole = F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus")
+    line = F.when(F.col("o_orderkey") % 7 == 0, F.concat(whole, F.lit(",more,cells")))
+    line = line.when(F.col("o_orderkey") % 11 == 0, F.concat_ws(",", "o_orderkey", "o_custkey")).otherwise(whole)
+    path = scratch(spark, ".csv")
+    rows = table(spark, folder, "orders").select(line.alias("o_orderkey,o_custkey,o_orderstatus"))
+    rows.write.option("header", True).option("sep", "\t").csv(path)
+    back, info = read_table(spark, path)
+    return back.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_custkey").cast("bigint").alias("custkeys"),
+        F.lit(info.long_rows).cast("bigint").alias("long_rows"), F.lit(info.short_rows).cast("bigint").alias("short_rows"),
+        F.lit(len(info.warnings)).cast("bigint").alias("warnings"),
+    )
+
+
 @query
 def json_round_trip(spark, folder):
     path = scratch(spark, ".json")

@@ -65,10 +65,66 @@ def test_size_label():
         "0 B", "5 B", "2.0 KB", "3.00 MB", "100.00 TB", "1048576.00 PB"]
 
 
-def test_multiline(spark, tmp_path):
-    path = save(tmp_path, "t.csv", 'a,b\n"x\ny",1\n')
-    df, _ = read.read_table(spark, path, multiline=True)
-    assert df.first()["a"] == "x\ny"
+def records_of(path):
+    import csv
+
+    with open(path, newline="", encoding="utf-8") as f:
+        return [r for r in csv.reader(f) if r]
+
+
+def test_line_breaks_in_cells(spark, tmp_path):
+    path = save(tmp_path, "t.csv", 'a,b\n"x\ny",1\n"x\r\n\r\ny ""q"", z",2\r\n\n,3\n')
+    df, _ = read.read_table(spark, path)
+    assert {r["b"]: r["a"] for r in df.collect()} == {1: "x\ny", 2: 'x\r\n\r\ny "q", z', 3: None}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_one_file_in_many_blocks(spark, tmp_path, seed):
+    import csv
+    import random
+
+    rng = random.Random(seed)
+    parts = ["a", ",", '"', "\n", "\r\n", "é", "plain words ", "\n\n", '""', "x" * 40]
+    rows = [[str(i), "".join(rng.choice(parts) for _ in range(rng.randrange(0, 30 if i % 50 else 900))) or "e"] for i in range(600)]
+    path = str(tmp_path / "t.csv")
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        csv.writer(f, lineterminator="\n").writerows([["id", 'te"x\nt'], *rows])
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4096")
+    try:
+        df, info = read.read_table(spark, path)
+        assert df.columns == ["id", 'te"x\nt'] and not info.warnings
+        assert read.read_records(spark, path).rows.rdd.getNumPartitions() > 5
+        found = {r[0]: r[1] for r in df.collect()}
+    finally:
+        spark.conf.set(name, before)
+    expected = {int(i): t for i, t in records_of(path)[1:]}
+    null = set(read.K.NULL_CELLS)
+    assert found == {i: (None if t.strip() in null else t) for i, t in expected.items()}
+
+
+def test_headers_in_other_orders(spark, tmp_path):
+    folder = tmp_path / "t.csv"
+    folder.mkdir()
+    for name, text in (("a", "id,city,n\n1,Paris,3\n"), ("b", "city,id,N\nOslo,2,4\n"), ("c", "id,extra\n5,x\n"), ("d", ""), ("e", "id,city,n\n")):
+        (folder / f"{name}.csv").write_text(text)
+    df, info = read.read_table(spark, str(folder))
+    assert df.columns == ["id", "city", "n", "extra"] and "3 different headers" in info.warnings[0]
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "Paris", 3, None), (2, "Oslo", 4, None), (5, None, None, "x")]
+
+
+def test_rows_of_another_width(spark, tmp_path):
+    path = save(tmp_path, "t.csv", 'id,n\n1,2\n2,3,more\n3\n4,"a,b",c,d\n')
+    df, info = read.read_table(spark, path)
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, "2"), (2, "3"), (3, None), (4, "a,b")]
+    assert info.warnings == ["2 rows have more cells than their header.", "1 rows have fewer cells than their header."]
+
+
+def test_a_quote_that_is_never_closed(spark, tmp_path):
+    df, info = read.read_table(spark, save(tmp_path, "t.csv", 'id,size\n1,5" pipe\n2,x\n3,y\n'))
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, '5" pipe'), (2, "x"), (3, "y")]
+    assert "never closed" in info.warnings[0]
 
 
 def test_csv_and_json_round_trip(spark, tmp_path):
