@@ -240,7 +240,9 @@ def popcounts(planes: Sequence[Plane], pairs: int, docs: int) -> tuple[np.ndarra
         links[plane[0]] += np.abs(plane[1]).astype(np.int64) << k
         pair, doc = unpacked(plane, docs)
         codes.append(pair * docs + doc)
-    together = functools.reduce(np.union1d, codes, np.empty(0, np.int64)).astype(np.int64)
+    together = np.concatenate([*codes, np.empty(0, np.int64)]).astype(np.int64)
+    together.sort()
+    together = together[np.flatnonzero(np.diff(together, prepend=-1))]
     return np.bincount(together // max(docs, 1), minlength=pairs), links
 
 
