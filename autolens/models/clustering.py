@@ -80,6 +80,6 @@ def cluster(df: DataFrame, types: dict[str, str], restarts: int = RESTARTS) -> M
         "cluster_summary": table.drop("count"),
         "scatter": scatter,
     }
-    result.message = f"K-Means found {k} clusters (silhouette={score:.3f})."
+    result.message = K.MODEL_SENTENCES["clusters"].format(k, score)
     points.unpersist()
     return result

@@ -231,7 +231,7 @@ def classify(
     )
     if result.importance is not None:
         result.tables["feature_importance"] = result.importance
-    result.message = f"Trained {name} classifier on '{target}'."
+    result.message = K.MODEL_SENTENCES["classifier"].format(name, target)
     prepared.unpersist()
     return result
 
@@ -291,6 +291,6 @@ def regress(
     result.tables["residuals"] = histogram(points, ["residual"])
     if result.importance is not None:
         result.tables["feature_importance"] = result.importance
-    result.message = f"Trained {name} regressor on '{target}'."
+    result.message = K.MODEL_SENTENCES["regressor"].format(name, target)
     prepared.unpersist()
     return result

@@ -128,7 +128,7 @@ def profile(df: DataFrame, types: dict[str, str] | None = None, approx: bool = F
     result = result.join(F.broadcast(profile_date(df, dates)), "column", "left")
     return result.withColumn(
         "note",
-        F.when(F.col("inferred_type") == "identifier", "High-cardinality identifier; avoid as chart dimension."),
+        F.when(F.col("inferred_type") == "identifier", K.IDENTIFIER_NOTE),
     )
 
 

@@ -196,11 +196,11 @@ def quantiles(
         return below + (above - below) * share
 
     result = settled.groupBy(*keys).agg(
-        F.max("total").alias("n"), *[interpolated(p).alias(n) for n, p in zip(names, probs)]
+        F.max("total").alias("n"), *[interpolated(p).alias(f"q{i}") for i, p in enumerate(probs)]
     )
     label = F.element_at(F.array(*[F.lit(c) for c in columns]), F.substring("c", 2, 10).cast("int") + 1)
     return result.select(
-        *[F.col(g).alias(b) for b, g in zip(by, groups)], label.alias("column"), "n", *names
+        *[F.col(g).alias(b) for b, g in zip(by, groups)], label.alias("column"), "n", *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)]
     )
 
 

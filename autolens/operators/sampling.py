@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.names import col
@@ -15,6 +16,12 @@ from .grouping import numeric_value
 _DRAW = "autolens_draw"
 
 
+def hashable(df: DataFrame, name: str) -> Column:
+    """A column in a form that Spark hashes and orders; maps as their sorted entries."""
+    c = col(name)
+    return F.sort_array(F.map_entries(c)) if isinstance(df.schema[name].dataType, T.MapType) else c
+
+
 def preview(df: DataFrame, n: int = K.PREVIEW_ROWS) -> DataFrame:
     return df.limit(n)
 
@@ -24,16 +31,17 @@ def stable_sample(df: DataFrame, n: int, key: Sequence[str] = (), seed: int = K.
 
     With a `key` that tells rows apart the draw goes by its hash: the same rows
     whatever the partitioning or file order. Without one it goes by a seeded random
-    number, the same for the same files. The rows are counted first, so that only a
-    few more than n leave the tasks.
+    number, the same for the same files, since copies of a row must have chances of
+    their own. The rows are counted first, so that only a few more than n leave the tasks.
     """
     total = df.count()
     if total <= n:
         return df
     if key:
-        bits = F.xxhash64(F.lit(seed), *[col(c) for c in key]).bitwiseAND(F.lit((1 << 53) - 1))
+        parts = [hashable(df, c) for c in key]
+        bits = F.xxhash64(F.lit(seed), *parts).bitwiseAND(F.lit((1 << 53) - 1))
         drawn = df.withColumn(_DRAW, bits / float(1 << 53))
-        order = [F.col(_DRAW), *[col(c) for c in key]]
+        order = [F.col(_DRAW), *parts]
     else:
         drawn = df.withColumn(_DRAW, F.rand(seed))
         order = [F.col(_DRAW)]
@@ -69,7 +77,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
     fields = []
     for f in df.schema.fields:
         # Hash functions pass over nulls, so say where they are.
-        fields += [col(f.name).isNull(), col(f.name)]
+        fields += [col(f.name).isNull(), hashable(df, f.name)]
     row = F.xxhash64(*fields)
     return df.agg(
         F.count(F.lit(1)).alias("rows"),

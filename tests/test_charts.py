@@ -212,3 +212,10 @@ def test_eligibility(many):
     rows = {r["column"]: r for r in kpis.eligibility(many, infer_types(many)).collect()}
     assert rows["x"]["can_group"] and not rows["x"]["can_pie"] and rows["x"]["can_filter"]
     assert rows["y"]["can_measure"] and not rows["y"]["can_group"]
+
+
+def test_fingerprint_of_a_map(spark):
+    one = spark.sql("SELECT map('a', 1, 'b', 2) AS m UNION ALL SELECT NULL")
+    two = spark.sql("SELECT map('b', 2, 'a', 1) AS m UNION ALL SELECT NULL")
+    assert sampling.fingerprint(one).first() == sampling.fingerprint(two).first()
+    assert sampling.fingerprint(one).first() != sampling.fingerprint(two.where("m is not null")).first()

@@ -86,3 +86,22 @@ def test_any_numbers(spark, values):
 def test_approximate(spark):
     row = Q.approximate_quantiles(frame(spark, CASES["whole numbers"]), ["v"], {"median": 0.5}).first()
     assert row["n"] == 5000 and abs(row["median"] - 499.5) <= 1
+
+
+def test_a_dominant_group_of_full_precision(spark):
+    """Two scans where the open buckets are small, three where they have to be divided first."""
+    import numpy as np
+
+    from autolens.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(4)
+    rows = [("hot", float(x)) for x in rng.lognormal(3, 2, 20_000)] + [("hot", 7.25)] * 3000 + [("cold", float(x)) for x in rng.normal(0, 1, 500)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    wanted = {"a": 0.01, "b": 0.5, "c": 0.975}
+    for ordered_rows in (500_000, 40, 0):
+        for groups in (2, 10**9):
+            found = quantiles(df, ["x"], wanted, by=["g"], max_groups=groups, ordered_rows=ordered_rows).collect()
+            assert len(found) == 2
+            for r in found:
+                values = [x for g, x in rows if g == r["g"]]
+                assert [r[k] for k in wanted] == pytest.approx(np.quantile(values, list(wanted.values())).tolist(), rel=1e-12)
