@@ -167,6 +167,33 @@ def test_url_model_tells_unseen_hosts_apart(spark):
     assert [r["verdict"] for r in got.orderBy("page_id").collect()] == ["block"] * 3 + ["allow"] * 3
 
 
+def test_url_model_on_labelled_hosts_held_out(spark):
+    rows = url_filter.label_rows()
+    assert len({url.split("/")[2] for url, _ in rows}) == len(rows)
+
+    def held(url):
+        return zlib.crc32(url.split("/")[2].encode()) % 5 == 0
+
+    kind = "url string, blocked double"
+    weights, intercept = url_filter.train(spark.createDataFrame([r for r in rows if not held(r[0])], kind))
+    host, path = url_filter.host_and_path(F.col("url"))
+    got = spark.createDataFrame([r for r in rows if held(r[0])], kind).select(
+        "blocked", (url_filter.score(host, path, weights, intercept) >= 0.5).alias("found")
+    ).collect()
+    bad, good = [r["found"] for r in got if r["blocked"]], [r["found"] for r in got if not r["blocked"]]
+    assert len(bad) > 60 and sum(bad) >= 0.9 * len(bad)
+    assert len(good) > 60 and sum(good) <= 0.1 * len(good)
+
+
+def test_url_labels_hold_no_host_of_the_pages_and_the_model_finds_theirs(spark, folder):
+    pages = [(r["host"], r["verdict"]) for r in QUERIES["op4_url_filter"](spark, folder).where("rule is null").collect()]
+    names = {name for url, _ in url_filter.label_rows() for name in [url.split("/")[2].rsplit(".", 1)[0]]}
+    assert not any(host.startswith(name + ".") for host, _ in pages for name in names)
+    planted = [v == "block" for h, v in pages if "-" in h]  # the unwanted hosts of the pages have a hyphen
+    others = [v == "block" for h, v in pages if "-" not in h]
+    assert sum(planted) >= 0.9 * len(planted) and sum(others) <= 0.03 * len(others)
+
+
 def test_url_no_rows_and_no_python(spark, folder):
     assert url_filter.verdicts(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
     for name in ("op4_url_filter", "op8_exact_dedup"):
@@ -237,6 +264,34 @@ def test_license_scan_of_planted_passages(spark, no_docs):
     assert licenses.license_passages(no_docs).count() == 0
 
 
+def test_each_notice_is_found_as_its_own_license():
+    for name, template in licenses.WORDS:
+        words = ["before", *template, "behind"]
+        seeds = [(p, w) for p, w in enumerate(words) if w in licenses.SEEDS]
+        assert licenses.settled(licenses.passages(seeds, words)) == [(name, 1.0, 1, len(template))]
+
+
+def test_of_kindred_licenses_the_longer_or_closer_is_kept():
+    isc = next(t for n, t in licenses.WORDS if n == "ISC")
+    words = [*isc[:-2], "every", "copy"]
+    seeds = [(p, w) for p, w in enumerate(words) if w in licenses.SEEDS]
+    assert {n for n, *_ in licenses.scan("", seeds, words)} == {"ISC", "0BSD"}
+    assert [n for n, *_ in licenses.settled(licenses.passages(seeds, words))] == ["ISC"]
+    apart = [("B", 0.8, 6, 10, 8), ("C", 1.0, 6, 9, 9), ("A", 0.9, 0, 11, 10)]
+    assert licenses.settled(apart) == [("A", 0.9, 0, 11), ("B", 0.8, 6, 10)]  # five of nine words are shared, five of ten
+    assert licenses.settled([*apart[:2], ("A", 0.9, 0, 10, 10)]) == [("A", 0.9, 0, 10), ("C", 1.0, 6, 9)]
+
+
+def test_license_templates_are_an_argument(spark):
+    own = {"House": ["These pages may be copied by members of the house during the summer months"]}
+    rows = [(1, "x these pages may be copied by members of the house during the summer y"), (2, "Released under the MIT License.")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [(r["doc_id"], r["license"]) for r in licenses.license_passages(docs, templates=own).collect()] == [(1, "House")]
+    for wrong in ({"A": ["of the"]}, {"A": ["x" * (licenses.MAX_TEMPLATE_CHARS + 1)]}):
+        with pytest.raises(ValueError, match="template"):
+            licenses.license_passages(docs, templates=wrong)
+
+
 def test_license_query_finds_all_lines(spark, folder):
     lines = {"Released under the MIT License": "MIT", "Licensed under CC BY-NC": "CC-BY-NC", "GNU General Public License": "GPL", "Apache License, Version": "Apache"}
     want = sorted((d, name) for d, t in texts_of(folder).items() for line, name in lines.items() for _ in range((t or "").count(line)))
