@@ -318,8 +318,8 @@ def settled(found: Sequence[tuple[str, float, int, int, int]]) -> list[tuple[str
     """Of `passages` those that share no more than half of the shorter one's words with a better passage.
 
     Licenses of one family differ in a word or two, so that a text of one covers the templates of
-    its kin as well. The higher coverage is better, then the longer passage, then what
-    comes first and by name.
+    its kin as well, and one notice may begin like another. The more words are aligned the better,
+    then the higher coverage, then what comes first and by name.
     """
     kept: list[tuple[str, float, int, int]] = []
     for *row, _ in sorted(found, key=lambda x: (-x[4], -x[1], x[2], x[0])):
