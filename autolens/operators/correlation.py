@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.names import col
 from ..functions.scalars import correlation_direction, correlation_strength, finite
+from .gram import column_facts, pair_sums
 from .local import local_table
 from .moments import moments
 
-# Pairs per job: each is a few sums in generated code.
+# Pairs per job: each is a few sums in generated code. More pairs are summed by matrix products.
 PAIRS_PER_PASS = 200
+# Where less of the squares than this is left after centring on the common rows, the pair is
+# looked at again for a column that is constant on them.
+UNCERTAIN_SPREAD = 1e-9
 
 _PAIRS = "column_1 string, column_2 string, r double"
 
@@ -43,16 +47,42 @@ def pair_correlations(
 
     Values are centred on their mean (`stats` from `moments`, found in a first scan if
     not given), so that plain sums are accurate. Columns without gaps share their own
-    sums and need one product per pair; nothing but running sums is shuffled. A column
-    that is constant, also on just the rows a pair has in common, has no correlation.
+    sums and need one product per pair; nothing but running sums is shuffled. More than
+    `PAIRS_PER_PASS` pairs are summed in one scan by matrix products. A column that is
+    constant, also on just the rows a pair has in common, has no correlation.
     """
     wanted = list(columns)[:limit]
-    known = stats if stats is not None else moments(df, wanted)
-    facts = {r["column"]: r for r in known.collect()}
+    if stats is not None or len(wanted) * (len(wanted) - 1) // 2 <= PAIRS_PER_PASS:
+        known = stats if stats is not None else moments(df, wanted)
+        facts = {r["column"]: r for r in known.collect()}
+    else:
+        facts = column_facts(df, wanted)
     varying = [c for c in wanted if c in facts and facts[c]["count"] and facts[c]["min"] < facts[c]["max"]]
-    full = {c for c in varying if not facts[c]["missing"]}
-    index = {c: f"c{i}" for i, c in enumerate(varying)}
     pairs = list(combinations(varying, 2))
+    if len(pairs) <= PAIRS_PER_PASS:
+        result = _by_sums(df, facts, pairs)
+    else:
+        result, uncertain = [], []
+        for i, j, n, xy, x, y, xx, yy in pair_sums(df, varying, [float(facts[c]["mean"]) for c in varying]):
+            a, b = varying[i], varying[j]
+            across, down = xx - x * x / n, yy - y * y / n
+            if across <= UNCERTAIN_SPREAD * xx or down <= UNCERTAIN_SPREAD * yy:
+                uncertain.append((a, b))
+            else:
+                result.append((a, b, _bounded((xy - x * y / n) / (across * down) ** 0.5)))
+        result += _by_sums(df, facts, uncertain)
+    return local_table(df.sparkSession, result, _PAIRS)
+
+
+def _bounded(r: float) -> float:
+    return max(-1.0, min(1.0, r))
+
+
+def _by_sums(df: DataFrame, facts: dict, pairs: Sequence[tuple[str, str]]) -> list[tuple[str, str, float]]:
+    """`(column_1, column_2, r)` of the pairs, some at a time in generated code."""
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    full = {c for c in names if not facts[c]["missing"]}
+    index = {c: f"c{i}" for i, c in enumerate(names)}
     result = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         batch = pairs[start : start + PAIRS_PER_PASS]
@@ -81,9 +111,8 @@ def pair_correlations(
                     continue
             spread = (xx - x * x / n) * (yy - y * y / n)
             if spread > 0:
-                r = (row[f"p{i}xy"] - x * y / n) / spread**0.5
-                result.append((a, b, max(-1.0, min(1.0, r))))
-    return local_table(df.sparkSession, result, _PAIRS)
+                result.append((a, b, _bounded((row[f"p{i}xy"] - x * y / n) / spread**0.5)))
+    return result
 
 
 def _copies(df: DataFrame, pairs: DataFrame) -> set[tuple[str, str]]:

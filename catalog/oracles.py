@@ -129,6 +129,12 @@ ORACLES["correlations_wide"] = f"""
     p AS (SELECT unnest([{", ".join(f"{{'a': 'c{i}', 'b': 'c{j}', 'r': corr(c{i}, c{j})}}" for i in WIDE for j in WIDE if i < j)}]) AS p FROM w)
     SELECT p.a AS column_1, p.b AS column_2, {r('p.r', 3)} AS r FROM p
 """
+BLOCKED = range(30)
+ORACLES["correlations_blocked"] = f"""
+    WITH w AS (SELECT {", ".join(f"CASE WHEN (l_orderkey + l_linenumber) % {i + 3} <> 1 THEN l_quantity * {i % 5} + (l_partkey * {i + 2}) % {i + 17} END AS c{i}" for i in BLOCKED)} FROM lineitem),
+    p AS (SELECT unnest([{", ".join(f"{{'a': 'c{i}', 'b': 'c{j}', 'r': corr(c{i}, c{j})}}" for i in BLOCKED for j in BLOCKED if i < j)}]) AS p FROM w)
+    SELECT p.a AS column_1, p.b AS column_2, {r('p.r', 4)} AS r FROM p
+"""
 ORACLES["header_repair"] = union([
     f"SELECT '{name}' AS header, COUNT(DISTINCT {c}) AS n FROM part"
     for name, c in (("P key", "p_partkey"), ("name", "p_name"), ("NAME_1", "p_brand"), ("name_2", "p_type"),

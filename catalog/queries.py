@@ -593,6 +593,16 @@ def correlations_wide(spark, folder):
     return tidy(correlation.pair_correlations(lines, lines.columns), 3)
 
 
+@query
+def correlations_blocked(spark, folder):
+    """30 columns with gaps of their own, so 435 pairs by matrix products."""
+    lines = table(spark, folder, "lineitem").selectExpr(*[
+        f"CASE WHEN (l_orderkey + l_linenumber) % {i + 3} <> 1 THEN l_quantity * {i % 5} + (l_partkey * {i + 2}) % {i + 17} END AS c{i}"
+        for i in range(30)
+    ])
+    return tidy(correlation.pair_correlations(lines, lines.columns), 4)
+
+
 @query
 def corr_heatmap(spark, folder):
     return tidy(correlation.correlation_heatmap(table(spark, folder, "lineitem"), NUMERIC["lineitem"]))

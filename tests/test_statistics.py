@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from autolens.operators import correlation, moments, outliers, statistics, trends
+from autolens.operators import correlation, gram, moments, outliers, statistics, trends
 
 
 @pytest.fixture(scope="module")
@@ -200,3 +200,29 @@ def test_business_metrics_and_important_columns(spark):
         ("numerical", "other"), ("numerical", "plain"),
     ]
     assert result.where("kind = 'date'").count() == 5
+
+
+def test_many_pairs_by_matrix_products(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = rng.normal(1e6, 3, (3000, 26)) + rng.normal(0, 3, (3000, 1))
+    values[rng.random(values.shape) < 0.3] = np.nan
+    pdf = pd.DataFrame(values, columns=[f"a.{i}" for i in range(26)])
+    pdf["gone"] = np.nan
+    pdf["same"] = 4.0
+    half = np.arange(3000) % 2
+    pdf["first"] = np.where(half, rng.normal(size=3000), np.nan)
+    pdf["second"] = np.where(half, 7.0, rng.normal(size=3000))  # constant where `first` is there
+    pdf["other"] = np.where(half, np.nan, rng.normal(size=3000))  # never together with `first`
+    df = spark.createDataFrame(pdf).repartition(5)
+    varying = [c for c in pdf.columns if c not in ("gone", "same")]
+    want = pdf[varying].corr()
+    expected = {
+        (a, b): want.loc[a, b] for i, a in enumerate(varying) for b in varying[i + 1 :]
+        if (a, b) not in (("first", "second"), ("first", "other"))
+    }
+    for side in (1024, 10):  # one scan, or one for each two groups of columns
+        monkeypatch.setattr(gram, "COLUMNS_PER_SIDE", side)
+        got = {(r["column_1"], r["column_2"]): r["r"] for r in correlation.pair_correlations(df, list(pdf.columns)).collect()}
+        assert got.keys() == expected.keys()
+        assert all(abs(got[k] - r) < 1e-9 for k, r in expected.items())
+    assert correlation.pair_correlations(df.limit(0), list(pdf.columns)).collect() == []
