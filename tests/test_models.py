@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from autolens.models import isolation
+from autolens.models import clustering, isolation
 from autolens.models.run import TASKS, chart_tables, report_rows, run_ml
 from autolens.models.screening import feature_columns, screen_targets
 from autolens.models.supervised import classify, regress, weighted_scores
@@ -104,6 +104,39 @@ def test_clusters(blobs):
     assert result.tables["scatter"].count() == 300 and result.tables["elbow"].count() == 7
 
 
+def test_clusters_of_a_coreset_lose_little_on_all_rows(spark):
+    """Loss and silhouette of all rows against Spark's on all rows, with a coreset of a tenth."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 6, (5, 3))
+    x = centres[rng.integers(0, 5, 4000)] + rng.normal(size=(4000, 3))
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=["f0", "f1", "f2"])).repartition(6)
+    points, varying = clustering.standardised(rows, ["f0", "f1", "f2"])
+    core = clustering.coreset(points, 3, 4000, varying, 400).toPandas()
+    assert 300 < len(core) < 500 and abs(core["weight"].sum() - 4000) < 600
+    models = clustering.fitted(spark.createDataFrame(core), 3, [(5, 0), (5, 1), (3, 0), (3, 1)])
+    sums = clustering.cluster_sums(points, 3, models)
+    vectors = VectorAssembler(inputCols=["s0", "s1", "s2"], outputCol="features").transform(points)
+    for k, centres in models.items():
+        spark_loss = min(KMeans(k=k, seed=i).fit(vectors).summary.trainingCost for i in range(3))
+        assert sums[k]["n"].sum() == 4000 and sums[k]["loss"].sum() <= 1.1 * spark_loss
+        judged = vectors.withColumn("prediction", clustering.nearest_centre(centres))
+        want = ClusteringEvaluator(featuresCol="features").evaluate(judged)
+        assert abs(clustering.silhouettes(points, 3, models, sums)[k] - want) < 1e-9
+
+
+def test_clusters_of_equal_rows(spark):
+    rows = spark.createDataFrame([(1.0, 2.0)] * 50, "f0 double, f1 double")
+    points, varying = clustering.standardised(rows, ["f0", "f1"])
+    models = clustering.fitted(clustering.coreset(points, 2, 50, varying), 2, [(2, 0)])
+    sums = clustering.cluster_sums(points, 2, models)
+    assert varying == 0 and sums[2]["loss"].sum() == 0 and sums[2]["n"].max() == 50
+    assert clustering.silhouettes(points, 2, models, sums) == {2: -1.0}
+
+
 def test_anomalies(blobs):
     _, df = blobs
     result = run_ml(df, infer_types(df), "anomaly")
