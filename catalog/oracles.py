@@ -129,6 +129,33 @@ ORACLES["correlations_wide"] = f"""
     p AS (SELECT unnest([{", ".join(f"{{'a': 'c{i}', 'b': 'c{j}', 'r': corr(c{i}, c{j})}}" for i in WIDE for j in WIDE if i < j)}]) AS p FROM w)
     SELECT p.a AS column_1, p.b AS column_2, {r('p.r', 3)} AS r FROM p
 """
+ORACLES["anomaly_rows_kept"] = f"""
+    SELECT l_quantity >= 45 AS flagged,
+           CASE WHEN l_quantity >= 45 THEN COUNT(*) ELSE LEAST(COUNT(*), {K.ANOMALY_PLOT_NORMALS}) END AS n,
+           CASE WHEN l_quantity >= 45 THEN {r('SUM(l_extendedprice)', 2)} END AS price
+    FROM (SELECT CASE WHEN l_quantity >= 45 THEN 45 ELSE 0 END AS l_quantity, l_extendedprice FROM lineitem) GROUP BY l_quantity
+"""
+ORACLES["shortened_texts"] = """
+    SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE substr(text, 1, 77) || '...' END AS text FROM documents
+"""
+ORACLES["priority_bands"] = """
+    WITH p AS (SELECT event_type, CASE WHEN event_id % 7 <> 0 THEN event_id % 101 - CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 0 END END AS given
+               FROM events),
+    q AS (SELECT event_type, CASE WHEN given IS NULL OR given = 0 THEN 50 ELSE given END AS p FROM p)
+    SELECT event_type, CASE WHEN p >= 90 THEN 'critical' WHEN p >= 70 THEN 'important' WHEN p >= 50 THEN 'supporting'
+                            WHEN p >= 30 THEN 'optional' ELSE 'low' END AS band, COUNT(*) AS n
+    FROM q GROUP BY 1, 2
+"""
+ORACLES["nan_values"] = f"""
+    SELECT event_id, event_id % 5 = 0 OR value IS NULL AND event_id % 7 <> 0 AS gap,
+           CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN {r('value', 6)} END AS value
+    FROM events
+"""
+ORACLES["read_facts"] = """
+    SELECT COUNT(*) AS n, CAST(3 AS BIGINT) AS n_columns, ';' AS separator, 'UTF-8' AS encoding, CAST(0 AS BIGINT) AS n_warnings,
+           CAST(SUM(o_custkey) AS BIGINT) AS custkeys
+    FROM orders
+"""
 BLOCKED = range(30)
 ORACLES["correlations_blocked"] = f"""
     WITH w AS (SELECT {", ".join(f"CASE WHEN (l_orderkey + l_linenumber) % {i + 3} <> 1 THEN l_quantity * {i % 5} + (l_partkey * {i + 2}) % {i + 17} END AS c{i}" for i in BLOCKED)} FROM lineitem),

@@ -988,9 +988,63 @@ def iforest(spark, folder):
     return chart_tables(_model(spark, table(spark, folder, "lineitem"), "anomaly"))["scores"]
 
 
+@query
+def anomaly_rows_kept(spark, folder):
+    """Every flagged row and as many others as a plot takes."""
+    lines = table(spark, folder, "lineitem").withColumn("flagged", F.col("l_quantity") >= 45)
+    kept = sampling.anomaly_plot_rows(lines, "flagged")
+    return tidy(kept.groupBy("flagged").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("flagged"), F.col("l_extendedprice"))).alias("price"),
+    ), 2)
+
+
+# --- values -----------------------------------------------------------------------
+
+
+@query
+def shortened_texts(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", scalars.shorten(F.col("text"), 80).alias("text"))
+
+
+@query
+def priority_bands(spark, folder):
+    """Bands from critical to low, with gaps, zeros and both sides of each limit."""
+    events = table(spark, folder, "events")
+    priority = F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 101 - F.when(F.col("event_id") % 2 == 0, 0.5).otherwise(0.0))
+    banded = events.select("event_type", scalars.priority_band(priority).alias("band"))
+    return banded.groupBy("event_type", "band").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def nan_values(spark, folder):
+    """NaN is a gap; infinities too, where a number is computed with."""
+    events = table(spark, folder, "events")
+    value = (
+        F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).when(F.col("event_id") % 7 == 0, F.lit(float("-inf")))
+        .otherwise(F.col("value"))
+    )
+    cleaned = scalars.clean_value("value", T.DoubleType(), value)
+    return tidy(events.select("event_id", cleaned.isNull().alias("gap"), scalars.finite(value).alias("value")))
+
+
 # --- sources and sinks ------------------------------------------------------------
 
 
+@query
+def read_facts(spark, folder):
+    """What the reader says of a file, beside what is in it."""
+    path = scratch(spark, ".csv")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    orders.write.option("header", True).option("sep", ";").csv(path)
+    back, info = read_table(spark, path)
+    return back.agg(
+        F.count(F.lit(1)).alias("n"), F.lit(info.columns).cast("bigint").alias("n_columns"), F.lit(info.separator).alias("separator"),
+        F.lit(info.encoding).alias("encoding"), F.lit(len(info.warnings)).cast("bigint").alias("n_warnings"),
+        F.sum("o_custkey").cast("bigint").alias("custkeys"),
+    )
+
+
+
 @query
 def fingerprint(spark, folder):
     return sampling.fingerprint(table(spark, folder, "orders"))
