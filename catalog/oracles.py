@@ -1049,3 +1049,45 @@ ORACLES["cleaning_actions"] = f"""
 ORACLES["scatter_pairs"] = """
     SELECT CAST(p_size AS DOUBLE) AS p_size, ROUND(p_retailprice, 6) AS p_retailprice, p_brand FROM part
 """
+
+
+# --- models: what the definition fixes -----------------------------------------------
+
+
+def hashed(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+ORACLES["regress_line"] = f"""
+    WITH t AS (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y,
+                      {hashed("CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)")} AS h FROM lineitem),
+    m AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM t WHERE h >= 0.25),
+    e AS (SELECT y, y - (a * x + b) AS d FROM t, m WHERE h < 0.25),
+    q AS (SELECT AVG(ABS(d)) AS mae, SQRT(AVG(d * d)) AS rmse, 1 - AVG(d * d) / VAR_POP(y) AS r2, COUNT(*) AS n FROM e)
+    SELECT {r('mae', 3)} AS mae, {r('rmse', 3)} AS rmse, {r('r2', 3)} AS r2, {r('r2', 3)} AS fact_r2, LEAST(n, {K.RESIDUAL_POINTS}) AS points FROM q
+"""
+ORACLES["class_test_sizes"] = f"""
+    WITH t AS (SELECT CASE WHEN o_orderkey < 5 THEN 'rare' ELSE o_orderstatus END AS class, {hashed("CAST(o_orderkey AS VARCHAR)")} AS h FROM orders),
+    e AS (SELECT class, MIN(h) AS low, MAX(h) AS high FROM t GROUP BY class HAVING COUNT(*) >= {K.ML_MIN_CLASS_ROWS})
+    SELECT class AS actual, COUNT(*) FILTER ((h < 0.25 OR h <= low) AND h < high) AS n FROM t JOIN e USING (class) GROUP BY class
+"""
+ORACLES["importance_first"] = """
+    WITH t AS (SELECT l_linenumber > 3 AS late, unnest([
+        {'feature': 'step', 'x': CAST(l_linenumber AS DOUBLE)}, {'feature': 'size', 'x': CAST(l_quantity AS DOUBLE)},
+        {'feature': 'tax', 'x': CAST(l_tax AS DOUBLE)}, {'feature': 'discount', 'x': CAST(l_discount AS DOUBLE)}]) AS v FROM lineitem)
+    SELECT v.feature AS feature, CASE WHEN MAX(v.x) FILTER (NOT late) < MIN(v.x) FILTER (late) THEN 1.0 ELSE 0.0 END AS importance
+    FROM t GROUP BY 1
+"""
+ORACLES["cluster_totals"] = f"""
+    SELECT COUNT(*) AS n, {r('AVG(p_size)', 4)} AS size, {r('AVG(p_retailprice)', 4)} AS price
+    FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL
+"""
+ORACLES["anomaly_totals"] = f"""
+    SELECT COUNT(*) AS n, COUNT(*) AS in_range, COUNT(*) AS consistent, {r('SUM(CAST(p_size AS DOUBLE))', 2)} AS size,
+           {r('SUM(CAST(p_retailprice AS DOUBLE))', 2)} AS price
+    FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL
+"""
+ORACLES["model_refusals"] = """
+    SELECT task, false AS used, 1 AS warnings, 0 AS charts, COUNT(*) AS rows
+    FROM orders, (SELECT unnest(['classification', 'clustering', 'anomaly', 'forecasting', 'other']) AS task) GROUP BY task
+"""

@@ -988,6 +988,88 @@ def iforest(spark, folder):
     return chart_tables(_model(spark, table(spark, folder, "lineitem"), "anomaly"))["scores"]
 
 
+@query
+def regress_line(spark, folder):
+    """One feature, ordinary least squares: errors on the test rows, the plotted points, the stated fact."""
+    lines = table(spark, folder, "lineitem").selectExpr("l_orderkey AS id", "l_linenumber AS line", "l_quantity AS size", "l_extendedprice AS price")
+    types = {"id": "identifier", "line": "identifier", "size": "numerical", "price": "numerical"}
+    result = supervised.regress(lines, types, "price", models=["linear_regression"], key=["id", "line"])
+    fact = insights.model_insights(result).where("subject = 'r2'").first()["value"]
+    shown = chart_tables(result)["actual_vs_predicted"].agg(F.count(F.lit(1)).alias("points"))
+    found = result.metrics
+    return tidy(shown.select(
+        F.lit(found["mae"]).alias("mae"), F.lit(found["rmse"]).alias("rmse"), F.lit(found["r2"]).alias("r2"),
+        F.lit(fact).alias("fact_r2"), "points",
+    ), 3)
+
+
+@query
+def class_test_sizes(spark, folder):
+    """Test rows of each class in the matrix, whatever the model says; a class of few rows is none."""
+    orders = table(spark, folder, "orders").selectExpr(
+        "o_orderkey AS id", "o_totalprice AS price", "CASE WHEN o_orderkey < 5 THEN 'rare' ELSE o_orderstatus END AS class"
+    )
+    types = {"id": "identifier", "price": "numerical", "class": "categorical"}
+    result = supervised.classify(orders, types, "class", models=["decision_tree"], key=["id"])
+    return chart_tables(result)["confusion_matrix"].groupBy("actual").agg(F.sum("count").alias("n"))
+
+
+@query
+def importance_first(spark, folder):
+    """A class that one feature tells: it has the whole importance."""
+    lines = table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey AS id", "l_linenumber AS step", "l_quantity AS size", "l_tax AS tax", "l_discount AS discount",
+        "CASE WHEN l_linenumber > 3 THEN 'late' ELSE 'early' END AS class",
+    )
+    types = {"id": "identifier", **dict.fromkeys(["step", "size", "tax", "discount"], "numerical"), "class": "categorical"}
+    result = supervised.classify(lines, types, "class", models=["decision_tree"])
+    return tidy(result.importance)
+
+
+def _sized_parts(spark, folder):
+    parts = table(spark, folder, "part").selectExpr("p_size AS size", "p_retailprice AS price")
+    return parts, {"size": "numerical", "price": "numerical"}
+
+
+@query
+def cluster_totals(spark, folder):
+    """Sizes and means of the clusters add up to those of all rows."""
+    charts = chart_tables(run_ml(*_sized_parts(spark, folder), "clustering"))
+    both = charts["cluster_summary"].join(F.broadcast(charts["cluster_distribution"]), "cluster")  # one row per cluster
+    n = F.sum("count")
+    return tidy(both.agg(
+        n.alias("n"), (F.sum(F.col("size") * F.col("count")) / n).alias("size"),
+        (F.sum(F.col("price") * F.col("count")) / n).alias("price"),
+    ), 4)
+
+
+@query
+def anomaly_totals(spark, folder):
+    """Every row is scored once, between 0 and 1, and flagged beyond one half."""
+    rows = chart_tables(run_ml(*_sized_parts(spark, folder), "anomaly"))["scores"]
+    return tidy(rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("score").between(0, 1), 1)).alias("in_range"),
+        F.count(F.when(F.col("anomaly") == (F.col("score") > 0.5), 1)).alias("consistent"),
+        F.sum("size").alias("size"), F.sum("price").alias("price"),
+    ), 2)
+
+
+@query
+def model_refusals(spark, folder):
+    """A task that the table does not serve gives a reason and no result."""
+    orders = table(spark, folder, "orders").selectExpr("o_orderkey AS id", "o_orderstatus AS status", "length(o_orderpriority) > 0 AS given")
+    types = {"id": "identifier", "status": "categorical", "given": "boolean"}
+    rows = None
+    for task in ("classification", "clustering", "anomaly", "forecasting", "other"):
+        result = run_ml(orders, types, task, "given" if task == "classification" else None)
+        one = orders.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(task).alias("task"), F.lit(result.used).alias("used"), F.lit(len(result.warnings)).cast("bigint").alias("warnings"),
+            F.lit(len(chart_tables(result))).cast("bigint").alias("charts"), "rows",
+        )
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 @query
 def anomaly_rows_kept(spark, folder):
     """Every flagged row and as many others as a plot takes."""
