@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
@@ -35,6 +36,7 @@ BOOST_DEPTH = 3
 BOOST_ROUNDS = 20
 TOP_FEATURES = 15
 MAX_CLASSES = 100
+PARALLEL_FITS = 4
 
 
 def hash_fraction(columns: Sequence[Column]) -> Column:
@@ -81,13 +83,15 @@ def _feature_rows(
     return stage(split(rows, names or rows.columns, "label" if stratified else None).drop(*names))
 
 
-def _preparation(rows: DataFrame, numeric: list[str], categories: list[str]) -> PipelineModel:
-    """Impute and standardise numbers, one-hot encode categories."""
-    stages, inputs = [], []
+def _preparation(rows: DataFrame, numeric: list[str], categories: list[str]) -> tuple[PipelineModel, list[str]]:
+    """Impute and standardise numbers, one-hot encode categories; with the numbers that have values."""
+    stages, inputs, present = [], [], []
     train = rows.where("train")
     if numeric:
         counts = train.agg(*[F.count(f"n{i}").alias(f"n{i}") for i in range(len(numeric))]).first()
         plain = [f"n{i}" for i in range(len(numeric)) if counts[f"n{i}"]]
+        present = [numeric[int(c[1:])] for c in plain]
+    if present:
         filled = [f"f{c}" for c in plain]
         stages += [
             Imputer(inputCols=plain, outputCols=filled, strategy="median"),
@@ -105,7 +109,18 @@ def _preparation(rows: DataFrame, numeric: list[str], categories: list[str]) ->
         ]
         inputs += codes
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    return Pipeline(stages=stages).fit(train)
+    return Pipeline(stages=stages).fit(train), present
+
+
+def _tried(candidates: dict, models: Sequence[str] | None, judge: Callable, parallel: int = PARALLEL_FITS) -> list:
+    """`(name, *judge(estimator))` of the wanted candidates, fitted side by side, in their order.
+
+    The jobs of one model leave executors idle between its rounds; another's fill the gaps.
+    """
+    wanted = [name for name in candidates if models is None or name in models]
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        running = [pool.submit(inheritable_thread_target(judge), candidates[name]) for name in wanted]
+        return [(name, *task.result()) for name, task in zip(wanted, running, strict=True)]
 
 
 def _importances(model) -> list[float] | None:
@@ -135,13 +150,6 @@ def feature_importance(
     )
 
 
-def _numeric_present(rows: DataFrame, numeric: list[str]) -> list[str]:
-    if not numeric:
-        return []
-    counts = rows.where("train").agg(*[F.count(f"n{i}").alias(f"n{i}") for i in range(len(numeric))]).first()
-    return [c for i, c in enumerate(numeric) if counts[f"n{i}"]]
-
-
 def weighted_scores(confusion: list[tuple[float, float, int]]) -> dict[str, float]:
     """Accuracy and class-weighted precision, recall and F1 from (actual, predicted, count)."""
     total = sum(n for _, _, n in confusion) or 1
@@ -190,8 +198,7 @@ def classify(
     # Class numbers in alphabetical order; rare classes have none and drop out.
     number = F.array_position(F.array(*[F.lit(c) for c in classes]), label)
     rows = _feature_rows(df, numeric, categories, F.when(number > 0, (number - 1).cast("double")), key, stratified=True)
-    numeric_used = _numeric_present(rows, numeric)
-    preparation = _preparation(rows, numeric, categories)
+    preparation, numeric_used = _preparation(rows, numeric, categories)
     prepared = preparation.transform(rows).select("features", "label", "train").persist(
         StorageLevel.MEMORY_AND_DISK
     )
@@ -203,15 +210,14 @@ def classify(
         "random_forest": RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=K.SEED),
         "gradient_boosting": boost if len(classes) == 2 else OneVsRest(classifier=boost),
     }
-    best = None
-    for name, estimator in candidates.items():
-        if models is not None and name not in models:
-            continue
+
+    def judge(estimator):
         model = estimator.fit(train)
         cells = model.transform(test).groupBy("label", "prediction").count().collect()
-        scores = weighted_scores([(r["label"], r["prediction"], r["count"]) for r in cells])
-        if best is None or scores["f1"] > best[2]["f1"]:
-            best = (name, model, scores, cells)
+        return model, weighted_scores([(r["label"], r["prediction"], r["count"]) for r in cells]), cells
+
+    # The first of equals.
+    best = max(_tried(candidates, models, judge), key=lambda found: found[2]["f1"])
     name, model, scores, cells = best
     session = df.sparkSession
     counted = {(int(r["label"]), int(r["prediction"])): r["count"] for r in cells}
@@ -251,8 +257,7 @@ def regress(
     rows = _feature_rows(df, numeric, categories, numeric_value(df, target), key)
     if rows.count() < K.ML_MIN_ROWS:
         raise ValueError(K.MODEL_SENTENCES["few_regression_rows"])
-    numeric_used = _numeric_present(rows, numeric)
-    preparation = _preparation(rows, numeric, categories)
+    preparation, numeric_used = _preparation(rows, numeric, categories)
     prepared = preparation.transform(rows).select("features", "label", "train").persist(
         StorageLevel.MEMORY_AND_DISK
     )
@@ -263,19 +268,17 @@ def regress(
         "gradient_boosting": GBTRegressor(maxIter=boost_rounds, maxDepth=BOOST_DEPTH, stepSize=0.1, seed=K.SEED),
     }
     error = F.col("label") - F.col("prediction")
-    best = None
-    for name, estimator in candidates.items():
-        if models is not None and name not in models:
-            continue
+
+    def judge(estimator):
         model = estimator.fit(train)
         row = model.transform(test).agg(
             F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"),
             F.var_pop("label").alias("spread"),
         ).first()
         r2 = 1 - row["mse"] / row["spread"] if row["spread"] else 0.0
-        scores = {"mae": row["mae"], "mse": row["mse"], "rmse": row["mse"] ** 0.5, "r2": r2}
-        if best is None or r2 > best[2]["r2"]:
-            best = (name, model, scores)
+        return model, {"mae": row["mae"], "mse": row["mse"], "rmse": row["mse"] ** 0.5, "r2": r2}
+
+    best = max(_tried(candidates, models, judge), key=lambda found: found[2]["r2"])
     name, model, scores = best
     predictions = model.transform(test).select(
         F.col("label").alias("actual"), F.col("prediction").alias("predicted"), error.alias("residual")
