@@ -112,14 +112,14 @@ def _preparation(rows: DataFrame, numeric: list[str], categories: list[str]) ->
     return Pipeline(stages=stages).fit(train), present
 
 
-def _tried(candidates: dict, models: Sequence[str] | None, judge: Callable, parallel: int = PARALLEL_FITS) -> list:
+def _tried(session, candidates: dict, models: Sequence[str] | None, judge: Callable, parallel: int = PARALLEL_FITS) -> list:
     """`(name, *judge(estimator))` of the wanted candidates, fitted side by side, in their order.
 
     The jobs of one model leave executors idle between its rounds; another's fill the gaps.
     """
     wanted = [name for name in candidates if models is None or name in models]
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        running = [pool.submit(inheritable_thread_target(judge), candidates[name]) for name in wanted]
+        running = [pool.submit(inheritable_thread_target(session)(judge), candidates[name]) for name in wanted]
         return [(name, *task.result()) for name, task in zip(wanted, running, strict=True)]
 
 
@@ -217,7 +217,7 @@ def classify(
         return model, weighted_scores([(r["label"], r["prediction"], r["count"]) for r in cells]), cells
 
     # The first of equals.
-    best = max(_tried(candidates, models, judge), key=lambda found: found[2]["f1"])
+    best = max(_tried(df.sparkSession, candidates, models, judge), key=lambda found: found[2]["f1"])
     name, model, scores, cells = best
     session = df.sparkSession
     counted = {(int(r["label"]), int(r["prediction"])): r["count"] for r in cells}
@@ -278,7 +278,7 @@ def regress(
         r2 = 1 - row["mse"] / row["spread"] if row["spread"] else 0.0
         return model, {"mae": row["mae"], "mse": row["mse"], "rmse": row["mse"] ** 0.5, "r2": r2}
 
-    best = max(_tried(candidates, models, judge), key=lambda found: found[2]["r2"])
+    best = max(_tried(df.sparkSession, candidates, models, judge), key=lambda found: found[2]["r2"])
     name, model, scores = best
     predictions = model.transform(test).select(
         F.col("label").alias("actual"), F.col("prediction").alias("predicted"), error.alias("residual")
