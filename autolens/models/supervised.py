@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -25,6 +26,7 @@ from ..operators.distributions import histogram
 from ..operators.grouping import numeric_value
 from ..operators.sampling import stable_sample
 from ..operators.staging import stage
+from .forest import Forest
 from .screening import ModelResult, feature_columns
 from ..operators.local import collected, local_table
 
@@ -37,6 +39,9 @@ BOOST_ROUNDS = 20
 TOP_FEATURES = 15
 MAX_CLASSES = 100
 PARALLEL_FITS = 4
+#: Beyond so many rows they are dealt to tasks evenly and a forest is grown on binned rows.
+MANY_ROWS = 200_000
+TASK_ROWS, FEW_TASKS = 250_000, 24
 
 
 def hash_fraction(columns: Sequence[Column]) -> Column:
@@ -112,6 +117,18 @@ def _preparation(rows: DataFrame, numeric: list[str], categories: list[str]) ->
     return Pipeline(stages=stages).fit(train), present
 
 
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """The `n` rows in equal partitions of a bounded size, however few files hold them."""
+    if n <= MANY_ROWS:
+        return rows
+    return rows.repartition(math.ceil(max(n / TASK_ROWS, min(n * 5 / TASK_ROWS, FEW_TASKS))))
+
+
+def forest(estimator, n: int, classes: int = 0):
+    """Spark's forest, or for many rows one that is grown on binned rows."""
+    return Forest(FOREST_TREES, FOREST_DEPTH, K.SEED, classes) if n > MANY_ROWS else estimator
+
+
 def _tried(session, candidates: dict, models: Sequence[str] | None, judge: Callable, parallel: int = PARALLEL_FITS) -> list:
     """`(name, *judge(estimator))` of the wanted candidates, fitted side by side, in their order.
 
@@ -199,7 +216,7 @@ def classify(
     number = F.array_position(F.array(*[F.lit(c) for c in classes]), label)
     rows = _feature_rows(df, numeric, categories, F.when(number > 0, (number - 1).cast("double")), key, stratified=True)
     preparation, numeric_used = _preparation(rows, numeric, categories)
-    prepared = preparation.transform(rows).select("features", "label", "train").persist(
+    prepared = preparation.transform(dealt(rows, n)).select("features", "label", "train").persist(
         StorageLevel.MEMORY_AND_DISK
     )
     train, test = prepared.where("train"), prepared.where("not train")
@@ -207,7 +224,7 @@ def classify(
     candidates = {
         "logistic_regression": LogisticRegression(maxIter=100, regParam=1.0 / n),
         "decision_tree": DecisionTreeClassifier(maxDepth=TREE_DEPTH, seed=K.SEED),
-        "random_forest": RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=K.SEED),
+        "random_forest": forest(RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=K.SEED), n, len(classes)),
         "gradient_boosting": boost if len(classes) == 2 else OneVsRest(classifier=boost),
     }
 
@@ -255,16 +272,17 @@ def regress(
     if not numeric + categories:
         raise ValueError(K.MODEL_SENTENCES["no_regression_features"])
     rows = _feature_rows(df, numeric, categories, numeric_value(df, target), key)
-    if rows.count() < K.ML_MIN_ROWS:
+    n = rows.count()
+    if n < K.ML_MIN_ROWS:
         raise ValueError(K.MODEL_SENTENCES["few_regression_rows"])
     preparation, numeric_used = _preparation(rows, numeric, categories)
-    prepared = preparation.transform(rows).select("features", "label", "train").persist(
+    prepared = preparation.transform(dealt(rows, n)).select("features", "label", "train").persist(
         StorageLevel.MEMORY_AND_DISK
     )
     train, test = prepared.where("train"), prepared.where("not train")
     candidates = {
         "linear_regression": LinearRegression(),
-        "random_forest": RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=K.SEED),
+        "random_forest": forest(RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=K.SEED), n),
         "gradient_boosting": GBTRegressor(maxIter=boost_rounds, maxDepth=BOOST_DEPTH, stepSize=0.1, seed=K.SEED),
     }
     error = F.col("label") - F.col("prediction")
