@@ -32,6 +32,11 @@ class Records:
     heads: DataFrame
     encoding: str
     unbalanced: int
+    files: int
+
+    def with_heads(self, heads: DataFrame) -> DataFrame:
+        """`rows` with columns of their file, without a shuffle by file unless files are very many."""
+        return self.rows.join(F.broadcast(heads) if self.files <= BROADCAST_BLOCKS else heads, "file")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -100,7 +105,7 @@ def read_records(spark: SparkSession, path: str) -> Records:
         F.sum(quotes).alias("quotes"), F.max(quotes % 2).alias("odd"), F.min(F.is_valid_utf8("value")).alias("valid"),
         F.min("line").alias("line"), F.min_by("value", "line").alias("first"),
     ))
-    facts = blocks.agg(F.min("valid").alias("valid"), F.max("odd").alias("odd"), F.count(F.lit(1)).alias("n")).first()
+    facts = blocks.agg(F.min("valid").alias("valid"), F.max("odd").alias("odd"), F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files")).first()
     encoding = "ISO-8859-1" if facts["valid"] is False else "UTF-8"
 
     def decoded(name: str):
@@ -127,8 +132,11 @@ def read_records(spark: SparkSession, path: str) -> Records:
         whole = cut.where("piece = 0").select("file", "line", "value").unionByName(joined_pieces(cut.where("piece > 0")))
         rows = whole.unionByName(rows.where("broken").select("file", "line", "value"))
         # A header may have line breaks too.
-        heads = heads.drop("header").join(rows.withColumnRenamed("value", "header"), ["file", "line"])
+        first = heads.drop("header")
+        first = F.broadcast(first) if facts["files"] <= BROADCAST_BLOCKS else first
+        heads = rows.withColumnRenamed("value", "header").join(first, ["file", "line"])
     rows = rows.select("file", "line", F.regexp_replace("value", "\r\\z", "").alias("value"))
     heads = heads.select("file", "path", "line", decoded("header") if not facts["odd"] else "header")
     heads = heads.withColumn("header", F.regexp_replace("header", "^\ufeff|\r\\z", ""))
-    return Records(rows.where("value <> ''"), heads, encoding, unbalanced)
+    # One row for each file, found once.
+    return Records(rows.where("value <> ''"), stage(heads), encoding, unbalanced, facts["files"])

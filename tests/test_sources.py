@@ -160,3 +160,22 @@ def test_stage_uses_the_shared_folder(spark):
     assert len(set(glob.glob(f"{folder}/autolens-*")) - before) == 1
     assert staged.columns == ["a b", "c.d", "e"] and staged.count() == 1
 
+
+
+def test_rows_are_not_shuffled_to_their_files(spark, tmp_path):
+    """Quoted line breaks or none: the headers go to the rows, not the rows to a task for each file."""
+    from autolens.sources import read
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, cell in (("plain", "x"), ("broken", "x\ny")):
+            path = str(tmp_path / f"{name}.csv")
+            rows = [(i, f"{cell} {i}") for i in range(50)]
+            spark.createDataFrame(rows, "id bigint, note string").repartition(2).write.option("header", True).csv(path)
+            back = read.read_delimited(spark, path)
+            assert sorted(tuple(r) for r in back.collect()) == rows
+            plan = back._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
