@@ -34,8 +34,8 @@ EULER = 0.5772156649015329
 
 #: The row's number in the table, by which rows are drawn, and how many rows share a stream.
 AT, BLOCK = "_at", 4096
-#: Rows scored together: with 100 trees their places in all trees fit in a core's cache.
-SCORED = 1024
+#: Rows scored together: they and their places in a tree fit in a core's cache.
+SCORED = 4096
 
 # What the tasks run is sent with them, so that workers need not find this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -136,17 +136,28 @@ def grow_trees(samples: DataFrame, names: list[str], size: int, seed: int) -> Da
 
 
 def score_rows(rows: DataFrame, names: list[str], nodes: pd.DataFrame, size: int) -> DataFrame:
-    """Rows with `score` (0 to 1, high is anomalous); Arrow batches, all trees at once."""
-    nodes = nodes.sort_values(["tree", "node"])
-    starts = np.flatnonzero(nodes["node"].to_numpy() == 0)
-    offset = np.repeat(starts, np.diff(np.append(starts, len(nodes))))
-    feature = nodes["feature"].to_numpy()
-    threshold = nodes["threshold"].to_numpy()
-    left = nodes["left"].to_numpy() + offset
-    right = nodes["right"].to_numpy() + offset
-    length = nodes["length"].to_numpy()
+    """Rows with `score` (0 to 1, high is anomalous); Arrow batches, tree after tree."""
     depth = max(1, math.ceil(math.log2(max(size, 2))))
-    norm = len(starts) * (mean_path(size) or 1.0)
+    trees = nodes["tree"].nunique()
+    # Trees as arrays by place: the children of place i are 2 i + 1 and 2 i + 2. From a
+    # node that is not split all rows go on to the left.
+    feature = np.zeros((trees, (2 << depth) - 1), np.int64)
+    threshold = np.full(feature.shape, np.inf)
+    length = np.zeros(feature.shape)
+    for t, (_, tree) in enumerate(nodes.sort_values(["tree", "node"]).groupby("tree")):
+        found = list(tree[["feature", "threshold", "left", "right", "length"]].itertuples(index=False, name=None))
+        todo = [(0, 0)]
+        while todo:
+            here, place = todo.pop()
+            f, limit, left, right, path = found[here]
+            if f >= 0:
+                feature[t, place], threshold[t, place] = f, limit
+                todo += [(left, 2 * place + 1), (right, 2 * place + 2)]
+                continue
+            while place < length.shape[1]:
+                length[t, place] = path
+                place = 2 * place + 1
+    norm = trees * (mean_path(size) or 1.0)
     chunk = SCORED
 
     @F.pandas_udf(T.DoubleType())
@@ -154,15 +165,18 @@ def score_rows(rows: DataFrame, names: list[str], nodes: pd.DataFrame, size: int
         values = np.column_stack([c.to_numpy(dtype=float) for c in columns])
         total = np.zeros(len(values))
         for first in range(0, len(values), chunk):
-            part = values[first : first + chunk]
-            # The places of the rows in all trees at once, level by level.
-            node = np.repeat(starts[None, :], len(part), axis=0)
-            row = np.arange(len(part))[:, None]
-            for _ in range(depth):
-                f = feature[node]
-                goes_left = part[row, np.maximum(f, 0)] <= threshold[node]
-                node = np.where(f < 0, node, np.where(goes_left, left[node], right[node]))
-            total[first : first + chunk] = length[node].sum(axis=1)
+            flat = values[first : first + chunk].ravel()
+            base = np.arange(0, len(flat), len(columns))
+            for t in range(trees):
+                # The places of the rows in the tree, level by level.
+                node = np.zeros(len(base), np.int64)
+                for _ in range(depth):
+                    # All places are valid; "clip" saves the check.
+                    right = flat.take(base + feature[t].take(node, mode="clip"), mode="clip") > threshold[t].take(node, mode="clip")
+                    node += node
+                    node += 1
+                    node += right
+                total[first : first + chunk] += length[t].take(node, mode="clip")
         return pd.Series(np.exp2(-total / norm))
 
     return rows.withColumn("score", score(*names))

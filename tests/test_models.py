@@ -198,3 +198,23 @@ def test_unsuitable_data_is_a_warning(spark, staff):
         result = run_ml(tiny, types, task, target)
         assert not result.used and result.warnings and not chart_tables(result)
     assert model_insights(result) is None and len(TASKS) == 5
+
+
+def test_scoring_keeps_its_places_in_cache(monkeypatch, spark, blobs):
+    """Whatever the number of trees, a batch takes little memory; the scores are those of Spark's run."""
+    import tracemalloc
+
+    _, df = blobs
+    rows = df.select(F.col("u").alias("f0"), F.col("v").alias("f1"))
+    nodes = isolation.grow_trees(isolation.draw_samples(rows, 303, 100, 256, 1), ["f0", "f1"], 256, 1).toPandas()
+    want = [r["score"] for r in isolation.score_rows(rows, ["f0", "f1"], nodes, 256).collect()]
+    kept = []
+    monkeypatch.setattr(isolation.F, "pandas_udf", lambda _: lambda f: kept.append(f) or (lambda *columns: None))
+    isolation.score_rows(type("Rows", (), {"withColumn": lambda *_: None})(), ["f0", "f1"], nodes, 256)
+    values = df.toPandas()
+    many = pd.concat([values] * 33, ignore_index=True)
+    tracemalloc.start()
+    got = kept[0](many["u"], many["v"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:303].tolist() == pytest.approx(want) and peak < 2_000_000
