@@ -41,7 +41,10 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
 
 def fingerprint(text: str, words: int) -> int:
     """The unsigned 64-bit SimHash: a bit is 1 if more than half of the shingles' XXH64 have it."""
-    hashes = shingle_hashes(text, words)
+    return fingerprint_of(shingle_hashes(text, words))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)
@@ -321,18 +324,20 @@ def table_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 _NAMES = [f"w{k}" for k in range(WIDE)]
-#: What tells sets of shingles apart: the fingerprint, their number and the sum of their hashes.
-_IDENTITY = [*_NAMES, "many", "total"]
+#: What tells sets of shingles apart: the fingerprints, their number and the sum of their hashes.
+_IDENTITY = [*_NAMES, "fp", "many", "total"]
 
 
 def wide_rows(docs: DataFrame, words: int) -> DataFrame:
-    """`(place, w0, w1, ..., many, total, keys)` of `(place, text)`."""
+    """`(place, w0, w1, ..., fp, many, total, keys)` of `(place, text)`; fp is the fingerprint with repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sums, keys = [], [], []
+            prints, narrow, sums, keys = [], [], [], []
             for t in batch.column(1):
-                hashes = np.unique(shingle_hashes(t.as_py(), words))
+                hashes = shingle_hashes(t.as_py(), words)
+                narrow.append(fingerprint_of(hashes))
+                hashes = np.unique(hashes)
                 prints.append(wide_of(hashes))
                 sums.append((len(hashes), int(hashes.sum(dtype=np.uint64).view(np.int64))))
                 keys.append(table_keys(hashes))
@@ -341,7 +346,7 @@ def wide_rows(docs: DataFrame, words: int) -> DataFrame:
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * TABLES), flat)
             yield pa.record_batch(
-                [batch.column(0), *(pa.array(found[:, k]) for k in range(WIDE)), pa.array(many, pa.int64()), pa.array(total, pa.int64()), lists],
+                [batch.column(0), *(pa.array(found[:, k]) for k in range(WIDE)), pa.array(np.array(narrow, np.uint64).view(np.int64)), pa.array(many, pa.int64()), pa.array(total, pa.int64()), lists],
                 names=["place", *_IDENTITY, "keys"],
             )
 
@@ -421,6 +426,17 @@ def candidate_links(nodes: DataFrame, similarity: float) -> DataFrame:
     return link_rows(key_anchors(nodes), _NAMES, candidate_bits(similarity))
 
 
+def anchor_links(nodes: DataFrame) -> DataFrame:
+    """`(u, v)`: enough links to connect all ids whose fingerprints differ in at most BITS bits.
+
+    Found as `near_components` does, at the anchors of the covering code: none is missed.
+    """
+    lowest = stage(nodes.groupBy("fp").agg(F.min("id").alias("low")))
+    apart = links(lowest.select("fp")).join(lowest.toDF("u", "low_u"), "u").join(lowest.toDF("v", "low_v"), "v")
+    equal = nodes.select("fp", "id").join(lowest, "fp").where("id <> low")
+    return apart.select(F.col("low_u").alias("u"), F.col("low_v").alias("v")).unionAll(equal.select("id", "low"))
+
+
 def _near(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """`(place, group)` of `(place, text)`; places are unique, and stay the same when read again."""
     found = stage(wide_rows(docs, words))
@@ -428,7 +444,8 @@ def _near(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         found.groupBy(*_IDENTITY).agg(F.min(F.struct("place", "keys")).alias("first"))
         .select(*_IDENTITY, F.col("first.place").alias("id"), F.col("first.keys").alias("keys"))
     )
-    linked = components(candidate_links(nodes.where("many > 0"), similarity))
+    sets = nodes.where("many > 0")
+    linked = components(anchor_links(sets).unionAll(candidate_links(sets, similarity)))
     clouds = linked.select(F.col("node").alias("place"), F.col("root").alias("cloud"))
     clouds = stage(clouds.unionAll(linked.select("root", "root").distinct().toDF("place", "cloud")))
     exact = components(exact_links(docs, clouds, words, similarity))
@@ -440,8 +457,11 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     """`(doc_id, component_id)`: documents linked by a Jaccard similarity of their distinct
     shingles of at least `similarity`.
 
-    Candidates share the key of a table and differ in few bits of a wide fingerprint; what
-    they connect is a cloud, in which the hashed shingles of all documents are compared.
+    Candidates are, first, all texts whose SimHash fingerprints differ in at most BITS bits,
+    met at the anchors of the covering code as in `near_components`, and, for the lower
+    similarities that no such code covers, sets that share the key of a table and differ in
+    few bits of a wide fingerprint. What both connect is a cloud, in which the hashed
+    shingles of all documents are compared.
     Only that comparison links. Null and odd rows as in `near_components`; texts without
     words are copies of each other.
     """

@@ -70,3 +70,36 @@ def test_no_pair_below_the_similarity_is_linked(spark):
         texts += [" ".join(base), " ".join(base[cut // 2 : len(base) - (cut - cut // 2)])]  # similarity 0.78
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert all(r["doc_id"] == r["component_id"] for r in simhash.near_copies(docs).collect())
+
+
+def test_anchors_of_the_fingerprints_link_by_themselves(spark, monkeypatch):
+    """Without the tables, what the covering code brings together is linked where the similarity is reached."""
+    monkeypatch.setattr(simhash, "candidate_links", lambda nodes, similarity: nodes.select("id", "id").limit(0).toDF("u", "v"))
+    texts = edited(6)[:400]
+    texts += [f"{t} {t}" for t in texts[:20]] + ["so " * 40 + f"{a} {b}" for a in "abc" for b in "def"]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    n = len(texts)
+
+    def grouped(pairs):
+        low = list(range(n))
+
+        def root(i):
+            while low[i] != i:
+                i = low[i]
+            return i
+
+        for i, j in pairs:
+            a, b = sorted((root(i), root(j)))
+            low[b] = a
+        return [root(i) for i in range(n)]
+
+    pairs = [(i, j) for i in range(n) for j in range(i)]
+    close = [(i, j) for i, j in pairs if (prints[i] ^ prints[j]).bit_count() <= 3]
+    cloud = grouped(close)
+    same = [(i, j) for i, j in pairs if cloud[i] == cloud[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(same) > 20 and any(len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j]) for i, j in close)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    want = grouped(same)
+    assert got == dict(enumerate(want))
