@@ -102,7 +102,8 @@ class Trees:
         feature, limit = self.feature[tree], self.limit[tree]
         node = np.zeros(len(base), np.int64)
         for _ in range(depth):
-            right = flat.take(base + feature.take(node)) > limit.take(node)
+            # All places are valid; "clip" saves the check.
+            right = flat.take(base + feature.take(node, mode="clip"), mode="clip") > limit.take(node, mode="clip")
             node += node
             node += 1
             node += right
@@ -131,14 +132,14 @@ def level_sums(data: DataFrame, grown: Trees, level: int, some: int, classes: in
                 y = y.astype(np.int64) if classes else y - centre
                 stream = np.random.default_rng([seed, 0, block])
                 for t in range(trees):
-                    drawn = DRAWN.take(stream.integers(0, 1 << 16, len(y), np.uint16))
+                    drawn = DRAWN.take(stream.integers(0, 1 << 16, len(y), np.uint16), mode="clip")
                     row = np.flatnonzero(drawn)
-                    weight, base, label = drawn.take(row), row * width, y.take(row)
+                    weight, base, label = drawn.take(row, mode="clip"), row * width, y.take(row, mode="clip")
                     at = (grown.walk(t, flat, base, level) - ((1 << level) - 1)) * some
                     product = None if classes else weight * label
                     for _ in range(some):
                         cell = at * BINS
-                        cell += flat.take(base + chosen[t].take(at))
+                        cell += flat.take(base + chosen[t].take(at, mode="clip"), mode="clip")
                         if classes:
                             cell += label * cells
                             sums[t] += np.bincount(cell, weight, outputs * cells).reshape(outputs, cells)
