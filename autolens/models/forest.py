@@ -3,9 +3,10 @@
 Spark's forest keeps a count for each row and tree in memory and takes about a
 microsecond to add a row to a node. Here the training rows are written once as blocks of
 bins, one byte for each feature. A pass over the blocks adds up, for one level of all
-trees, the labels by node, feature and bin, a tree at a time so that its sums stay in a
-core's cache; the sums of a tree meet in one group, which splits its nodes. How often a
-row is in a tree comes from a stream of its block's own, drawn again in every pass.
+trees, the labels by node, feature and bin. It takes a tree at a time through some blocks
+and divides their rows at each node, so that a node's sums are plain counts of its own
+rows; the sums of a tree meet in one group, which splits its nodes. How often a row is in
+a tree comes from a stream of its block's own, drawn again in every pass.
 
 The rules are those of Spark's forests: bootstrap by Poisson counts, the features of
 each node chosen anew, 32 bins by quantiles, splits by variance or Gini while they gain,
@@ -23,14 +24,17 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.staging import stage
 
 BINS = 32
-#: Rows of a block; a tree's part of them and its sums fit in a core's cache.
-BLOCK = 16_384
+#: Rows of a block, and those that go through a tree together.
+BLOCK, TOGETHER = 65_536, 262_144
+#: A task describes a feature by so many values at most; each such step moves a quantile by one in 32,768 rows at most.
+POINTS, PARTS = 16_384, 32
 NODES = "tree int, node int, feature int, bin int, gain double, left array<double>, right array<double>"
 
 # What the tasks run is sent with them, so that workers need not find this package.
@@ -40,19 +44,105 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DRAWN = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)]), (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float64)
 
 
+#: The least random numbers that mean one time more.
+STEPS = np.repeat(np.arange(1, 1 << 16), np.diff(DRAWN).astype(int)).astype(np.uint16)
+
+
+def times(random: np.ndarray) -> np.ndarray:
+    """`DRAWN` of random numbers, as bytes."""
+    drawn = (random >= STEPS[0]).view(np.uint8)
+    for step in STEPS[1:3]:
+        drawn += random >= step
+    often = np.flatnonzero(random >= STEPS[3])
+    drawn[often] = DRAWN[random[often]]
+    return drawn
+
+
 def matrix(batch: pa.RecordBatch, place: int) -> np.ndarray:
     """A column of arrays of one length as a matrix."""
     return batch.column(place).flatten().to_numpy().reshape(batch.num_rows, -1)
 
 
+def entries(rows: DataFrame) -> Column:
+    """The features as an array, be they one or a vector."""
+    is_array = isinstance(rows.schema["features"].dataType, T.ArrayType)
+    return F.col("features") if is_array else vector_to_array("features")
+
+
+def described(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order with their weights; where they are many, the ends and values at even ranks."""
+    if weights is None:
+        values, weights = np.sort(values), np.ones(len(values))
+    else:
+        order = np.argsort(values, kind="stable")
+        values, weights = values[order], weights[order]
+    last = np.flatnonzero(np.append(values[1:] != values[:-1], True))
+    up_to = weights.cumsum()[last]
+    values = values[last]
+    if len(values) <= POINTS:
+        return values, np.diff(up_to, prepend=0.0)
+    ranks = (np.arange(POINTS) + 0.5) * (up_to[-1] / POINTS)
+    inner = values[np.minimum(np.searchsorted(up_to, ranks), len(values) - 1)]
+    return np.concatenate([values[:1], inner, values[-1:]]), np.concatenate([[0.0], np.full(POINTS, up_to[-1] / POINTS), [0.0]])
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return described(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
 def bin_limits(train: DataFrame, width: int) -> list[np.ndarray]:
-    """Upper limits of the bins of each feature: its least value and quantiles below the greatest."""
-    shares = [k / (BINS - 1) for k in range(1, BINS - 1)]
-    x = vector_to_array("features")
-    found = train.agg(*[
-        F.struct(F.min(x[k]), F.max(x[k]), F.percentile_approx(x[k], shares, 10_000)) for k in range(width)
-    ]).first()
-    return [np.unique([v for v in (low, *inner) if v < high]) for low, high, inner in found]
+    """Upper limits of the bins of each feature: its least value and quantiles below the greatest.
+
+    All rows are sorted, in parts; tasks send what describes theirs, to a group for each feature.
+    """
+    shares = np.arange(1, BINS - 1) / (BINS - 1)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[list] = [[] for _ in range(width)]
+        held, size = [], 0
+
+        def add() -> None:
+            for k, column in enumerate(np.concatenate(held).T):
+                found[k].append(described(column))
+                if len(found[k]) == PARTS:
+                    found[k] = [merged(found[k])]
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(matrix(batch, 0))
+                size += batch.num_rows
+            if size >= TOGETHER:
+                add()
+                held, size = [], 0
+        if size:
+            add()
+        for k, parts in enumerate(found):
+            if parts:
+                values, weights = merged(parts)
+                yield pa.record_batch([
+                    pa.array([k], pa.int32()), pa.array([values.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary())
+                ], names=["feature", "points", "weights"])
+
+    def limits(group: pa.Table) -> pa.Table:
+        # One feature's parts; no task has more than POINTS and two values.
+        parts = [tuple(np.frombuffer(c.as_buffer(), np.float64) for c in pair) for pair in zip(group["points"], group["weights"], strict=True)]
+        values, weights = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(values, kind="stable")
+        values, up_to = values[order], weights[order].cumsum()
+        # Sums of shares may miss a whole number by rounding.
+        inner = values[np.minimum(np.searchsorted(up_to, shares * up_to[-1] * (1 - 1e-12)), len(values) - 1)]
+        found = np.unique(np.append(values[0], inner))
+        return pa.table({"feature": group["feature"][:1], "limits": pa.array([found[found < values[-1]].tolist()], pa.list_(pa.float64()))})
+
+    parts = train.select(entries(train).alias("x")).mapInArrow(describe, "feature int, points binary, weights binary")
+    found = parts.groupBy("feature").applyInArrow(limits, "feature int, limits array<double>").collect()
+    by_feature = {r["feature"]: np.array(r["limits"]) for r in found}
+    return [by_feature[k] for k in range(width)]
+
+
+def binned(values: np.ndarray, limits: list[np.ndarray]) -> np.ndarray:
+    """The bins of a matrix of features, a row for each feature."""
+    return np.stack([np.searchsorted(t, v, side="left").astype(np.uint8) for t, v in zip(limits, np.ascontiguousarray(values.T), strict=True)])
 
 
 def blocks(train: DataFrame, limits: list[np.ndarray]) -> DataFrame:
@@ -69,8 +159,7 @@ def blocks(train: DataFrame, limits: list[np.ndarray]) -> DataFrame:
 
         for batch in batches:
             values, labels = matrix(batch, 0), batch.column(1).to_numpy()
-            bins = np.stack([np.searchsorted(t, v, side="left") for t, v in zip(limits, values.T, strict=True)], axis=1).astype(np.uint8)
-            held.append((bins, labels))
+            held.append((binned(values, limits).T, labels))
             size += len(labels)
             if size >= BLOCK:
                 yield packed()
@@ -78,11 +167,85 @@ def blocks(train: DataFrame, limits: list[np.ndarray]) -> DataFrame:
         if size:
             yield packed()
 
-    return train.select(vector_to_array("features").alias("x"), F.col("label").cast("double")).mapInArrow(
+    return train.select(entries(train).alias("x"), F.col("label").cast("double")).mapInArrow(
         pack, "block bigint, bins binary, labels binary"
     )
 
 
+class Splits:
+    """The rows that go right at a split, a bit for each; trees share the splits of a feature."""
+
+    def __init__(self, columns: np.ndarray) -> None:
+        self.columns, self.count = columns, columns.shape[1]
+        self.every = np.packbits(np.ones(self.count, bool))
+        self.found: dict[tuple[int, int], np.ndarray] = {}
+
+    def right(self, feature: int, limit: int) -> np.ndarray:
+        if (feature, limit) not in self.found:
+            self.found[feature, limit] = np.packbits(self.columns[feature] > limit)
+        return self.found[feature, limit]
+
+
+class Codes:
+    """The bins of rows in fewer columns: features are joined while no more than `BINS` of their bins occur together.
+
+    `places[k]` is the column of feature k; `counts[k]`, of one that is joined, has a row for
+    each code, with a 1 at its bin.
+    """
+
+    def __init__(self, columns: np.ndarray) -> None:
+        top = columns.max(axis=1).tolist()
+        self.places = [0] * len(columns)
+        found: list[np.ndarray] = []
+        joined: dict[int, np.ndarray] = {}  # bins of the features of the last column, by code
+        bins: dict[int, np.ndarray] = {}
+        for k in sorted(range(len(columns)), key=top.__getitem__):
+            code, seen = columns[k], np.arange(top[k] + 1)
+            if joined:
+                code = found[-1].astype(np.int64) * (top[k] + 1) + columns[k]
+                seen = np.flatnonzero(np.bincount(code))
+            if joined and len(seen) <= BINS:
+                dense = np.zeros(seen[-1] + 1, np.uint8)
+                dense[seen] = np.arange(len(seen))
+                found[-1] = dense.take(code)
+                joined = {other: b[seen // (top[k] + 1)] for other, b in joined.items()} | {k: seen % (top[k] + 1)}
+                bins |= joined
+            else:
+                found.append(columns[k])
+                joined = {k: np.arange(top[k] + 1)}
+            self.places[k] = len(found) - 1
+        self.counts = {k: np.pad(np.eye(BINS)[b], ((0, BINS - len(b)), (0, 0))) for k, b in bins.items()}
+        # Rows of 8, 16 or 32 bytes are taken fastest.
+        self.rows = np.zeros((columns.shape[1], max(8, 1 << (len(found) - 1).bit_length())), np.uint8)
+        for c, column in enumerate(found):
+            self.rows[:, c] = column
+
+
+class Plan:
+    """In which order the nodes of a level look at the columns of `Codes`.
+
+    Nodes that look at more columns come first (`rank`), so that each turn takes the first
+    rows. A turn has the column of each node and, by feature, the ranks, nodes and places
+    among the chosen features whose sums it gives.
+    """
+
+    def __init__(self, chosen: list[list[int]], places: tuple[int, ...]) -> None:
+        looked = [sorted({places[k] for k in features}) for features in chosen]
+        order = sorted(range(len(chosen)), key=lambda node: -len(looked[node]))
+        self.rank = np.empty(len(order), np.uint8 if len(order) <= 256 else np.uint16)
+        self.rank[order] = np.arange(len(order))
+        self.turns: list[tuple[list[int], dict[int, tuple[list[int], list[int], list[int]]]]] = []
+        for turn in range(len(looked[order[0]])):
+            part = [node for node in order if len(looked[node]) > turn]
+            wanted: dict[int, tuple[list[int], list[int], list[int]]] = {}
+            for r, node in enumerate(part):
+                for j, k in enumerate(chosen[node]):
+                    if places[k] == looked[node][turn]:
+                        for known, x in zip(wanted.setdefault(k, ([], [], [])), (r, node, j), strict=True):
+                            known.append(x)
+            self.turns.append(([looked[node][turn] for node in part], wanted))
+
+
 class Trees:
     """Trees as arrays by place: the children of node i are 2 i + 1 and 2 i + 2.
 
@@ -97,17 +260,25 @@ class Trees:
         self.value = np.zeros((trees, places, outputs))
         self.gain = np.zeros((trees, width))
 
-    def walk(self, tree: int, flat: np.ndarray, base: np.ndarray, depth: int) -> np.ndarray:
-        """The node of each row after `depth` steps; row i's bins begin at `base[i]`."""
-        feature, limit = self.feature[tree], self.limit[tree]
-        node = np.zeros(len(base), np.int64)
+    def places(self, tree: int, splits: Splits, depth: int) -> np.ndarray:
+        """The place of each row's node among those of a depth, left to right."""
+        feature, limit = self.feature[tree].tolist(), self.limit[tree].tolist()
+        place = np.zeros(splits.count, np.uint8 if depth <= 8 else np.uint16)
+        reach = {0: splits.every}
         for _ in range(depth):
-            # All places are valid; "clip" saves the check.
-            right = flat.take(base + feature.take(node, mode="clip"), mode="clip") > limit.take(node, mode="clip")
-            node += node
-            node += 1
-            node += right
-        return node
+            following, bits = {}, None
+            for node, rows in reach.items():
+                if limit[node] == 255:
+                    following[2 * node + 1] = rows
+                    continue
+                right = rows & splits.right(feature[node], limit[node])
+                following[2 * node + 1], following[2 * node + 2] = rows ^ right, right
+                bits = right if bits is None else bits | right
+            reach = following
+            place <<= 1
+            if bits is not None:
+                place |= np.unpackbits(bits, count=splits.count)
+        return place
 
 
 def choices(seed: int, tree: int, level: int, width: int, some: int) -> np.ndarray:
@@ -119,34 +290,68 @@ def choices(seed: int, tree: int, level: int, width: int, some: int) -> np.ndarr
 def level_sums(data: DataFrame, grown: Trees, level: int, some: int, classes: int, centre: float, seed: int) -> DataFrame:
     """`(tree, sums)`: of each task, weights and labels by node, chosen feature and bin."""
     trees, width, outputs = len(grown.feature), grown.width, classes or 2
-    cells = (1 << level) * some * BINS
+    nodes = 1 << level
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((trees, outputs, cells))
-        chosen = [choices(seed, t, level, width, some).ravel() for t in range(trees)]
-        empty = True
+        sums = np.zeros((trees, outputs, nodes, some, BINS))
+        plans: dict[tuple[int, ...], list[Plan]] = {}
+
+        def add_rows(held: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+            columns = np.ascontiguousarray(np.concatenate([bins for _, bins, _ in held]).reshape(-1, width).T)
+            splits, codes = Splits(columns), Codes(columns)
+            places = tuple(codes.places)
+            if places not in plans:
+                plans[places] = [Plan(choices(seed, t, level, width, some).tolist(), places) for t in range(trees)]
+            y = np.concatenate([labels for _, _, labels in held])
+            y = y.astype(np.intp) if classes else y - centre
+            streams = [(np.random.default_rng([seed, 0, block]), len(labels)) for block, _, labels in held]
+            for t, plan in enumerate(plans[places]):
+                drawn = times(np.concatenate([s.integers(0, 1 << 16, n, np.uint16) for s, n in streams]))
+                at = np.flatnonzero(drawn != 0)
+                if level:
+                    rank = plan.rank.take(grown.places(t, splits, level).take(at, mode="clip"), mode="clip")
+                    at = at.take(rank.argsort(kind="stable"), mode="clip")
+                    count = np.bincount(rank, minlength=nodes)
+                else:
+                    count = np.array([len(at)])
+                ends = count.cumsum().tolist()
+                found, label = codes.rows.take(at, axis=0, mode="clip"), y.take(at, mode="clip")
+                weight = drawn.take(at, mode="clip").astype(np.float64)
+                first = np.repeat(np.arange(nodes) * (BINS * (classes or 1)), count)
+                if classes:
+                    first += label
+                else:
+                    label *= weight
+                cells = np.empty(len(at), np.intp)
+                for looked, wanted in plan.turns:
+                    start = 0
+                    for column, end in zip(looked, ends, strict=False):
+                        if end > start:
+                            cells[start:end] = found[start:end, column]
+                            start = end
+                    cell, size = cells[:start], len(looked) * BINS
+                    if classes:
+                        cell *= classes
+                    cell += first[:start]
+                    if classes:
+                        got = np.moveaxis(np.bincount(cell, weight[:start], size * classes).reshape(-1, BINS, classes), 2, 0)
+                    else:
+                        got = np.stack([np.bincount(cell, x[:start], size).reshape(-1, BINS) for x in (weight, label)])
+                    for k, (ranks, of_nodes, j) in wanted.items():
+                        part = got[:, ranks]
+                        sums[t][:, of_nodes, j] += part @ codes.counts[k] if k in codes.counts else part
+
+        held, size, empty = [], 0, True
         for batch in batches:
-            for block, bins, labels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                empty = False
-                flat, y = np.frombuffer(bins, np.uint8), np.frombuffer(labels, np.float64)
-                y = y.astype(np.int64) if classes else y - centre
-                stream = np.random.default_rng([seed, 0, block])
-                for t in range(trees):
-                    drawn = DRAWN.take(stream.integers(0, 1 << 16, len(y), np.uint16), mode="clip")
-                    row = np.flatnonzero(drawn)
-                    weight, base, label = drawn.take(row, mode="clip"), row * width, y.take(row, mode="clip")
-                    at = (grown.walk(t, flat, base, level) - ((1 << level) - 1)) * some
-                    product = None if classes else weight * label
-                    for _ in range(some):
-                        cell = at * BINS
-                        cell += flat.take(base + chosen[t].take(at, mode="clip"), mode="clip")
-                        if classes:
-                            cell += label * cells
-                            sums[t] += np.bincount(cell, weight, outputs * cells).reshape(outputs, cells)
-                        else:
-                            sums[t, 0] += np.bincount(cell, weight, cells)
-                            sums[t, 1] += np.bincount(cell, product, cells)
-                        at = at + 1
+            for block, bins, labels in zip(*batch.columns, strict=True):
+                labels = np.frombuffer(labels.as_buffer(), np.float64)
+                held.append((block.as_py(), np.frombuffer(bins.as_buffer(), np.uint8), labels))
+                size, empty = size + len(labels), False
+                if size >= TOGETHER:
+                    add_rows(held)
+                    held, size = [], 0
+        if held:
+            add_rows(held)
         if not empty:
             yield pa.record_batch([
                 pa.array(np.arange(trees, dtype=np.int32)), pa.array([s.tobytes() for s in sums], pa.binary())
@@ -211,20 +416,29 @@ class ForestModel:
     def transform(self, rows: DataFrame) -> DataFrame:
         grown, limits, classes, centre = self.grown, self.limits, self.classes, self.centre
 
-        @F.pandas_udf("double")
-        def predict(x):
-            import pandas as pd
+        leaves = grown.value[:, (1 << grown.depth) - 1 :]
+
+        def predicted(held: list[np.ndarray]) -> pa.Array:
+            splits = Splits(np.concatenate(held, axis=1))
+            votes = np.zeros((splits.count, leaves.shape[2]))
+            for t in range(len(leaves)):
+                votes += leaves[t].take(grown.places(t, splits, grown.depth), axis=0, mode="clip")
+            return pa.array(votes.argmax(axis=1).astype(float) if classes else votes[:, 0] / len(leaves) + centre)
 
-            found = []
-            for at in range(0, len(x), BLOCK):
-                values = np.stack(x.iloc[at : at + BLOCK].to_numpy())
-                flat = np.stack([np.searchsorted(t, v, side="left") for t, v in zip(limits, values.T, strict=True)], axis=1).astype(np.uint8).ravel()
-                base = np.arange(len(values)) * len(limits)
-                votes = sum(grown.value[t].take(grown.walk(t, flat, base, grown.depth), axis=0) for t in range(len(grown.value)))
-                found.append(votes.argmax(axis=1).astype(float) if classes else votes[:, 0] / len(grown.value) + centre)
-            return pd.Series(np.concatenate(found) if found else np.empty(0))
+        @F.arrow_udf("double")
+        def predict(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            held, size = [], 0
+            for x in arrays:
+                if len(x):
+                    held.append(binned(x.flatten().to_numpy().reshape(len(x), -1), limits))
+                    size += len(x)
+                if size >= TOGETHER:
+                    yield predicted(held)
+                    held, size = [], 0
+            if size:
+                yield predicted(held)
 
-        return rows.withColumn("prediction", predict(vector_to_array("features")))
+        return rows.withColumn("prediction", predict(entries(rows)))
 
 
 class Forest:
@@ -234,8 +448,7 @@ class Forest:
         self.trees, self.depth, self.seed, self.classes = trees, depth, seed, classes
 
     def fit(self, train: DataFrame) -> ForestModel:
-        facts = train.agg(F.avg("label"), F.first(F.size(vector_to_array("features")))).first()
-        centre, width = float(facts[0]), facts[1]
+        centre, width = float(train.agg(F.avg("label")).first()[0]), len(train.select(entries(train)).first()[0])
         classes = self.classes
         # As many features a node as Spark's forests look at.
         some = max(1, math.ceil(math.sqrt(width)) if classes else math.ceil(width / 3))

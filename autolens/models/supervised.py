@@ -13,7 +13,8 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.feature import (
-    Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
+    Imputer, ImputerModel, OneHotEncoder, OneHotEncoderModel, StandardScaler, StandardScalerModel, StringIndexer,
+    StringIndexerModel, VectorAssembler,
 )
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,7 @@ from ..operators.distributions import histogram
 from ..operators.grouping import numeric_value
 from ..operators.sampling import stable_sample
 from ..operators.staging import stage
-from .forest import Forest
+from .forest import Forest, ForestModel
 from .screening import ModelResult, feature_columns
 from ..operators.local import collected, local_table
 
@@ -89,18 +90,25 @@ def _feature_rows(
 
 
 def _preparation(rows: DataFrame, numeric: list[str], categories: list[str]) -> tuple[PipelineModel, list[str]]:
-    """Impute and standardise numbers, one-hot encode categories; with the numbers that have values."""
+    """Impute and standardise numbers, one-hot encode categories; with the numbers that have values.
+
+    A median is only looked for where a value is missing.
+    """
     stages, inputs, present = [], [], []
     train = rows.where("train")
     if numeric:
-        counts = train.agg(*[F.count(f"n{i}").alias(f"n{i}") for i in range(len(numeric))]).first()
-        plain = [f"n{i}" for i in range(len(numeric)) if counts[f"n{i}"]]
+        counts = rows.agg(*[
+            F.struct(F.count(F.when(F.col("train"), F.col(c))), F.count_if(F.col(c).isNull())).alias(c)
+            for c in (f"n{i}" for i in range(len(numeric)))
+        ]).first()
+        plain = [f"n{i}" for i in range(len(numeric)) if counts[f"n{i}"][0]]
+        gaps = [c for c in plain if counts[c][1]]
         present = [numeric[int(c[1:])] for c in plain]
     if present:
-        filled = [f"f{c}" for c in plain]
+        if gaps:
+            stages.append(Imputer(inputCols=gaps, outputCols=[f"f{c}" for c in gaps], strategy="median"))
         stages += [
-            Imputer(inputCols=plain, outputCols=filled, strategy="median"),
-            VectorAssembler(inputCols=filled, outputCol="numbers"),
+            VectorAssembler(inputCols=[f"f{c}" if c in gaps else c for c in plain], outputCol="numbers"),
             StandardScaler(inputCol="numbers", outputCol="num", withMean=True),
         ]
         inputs.append("num")
@@ -124,6 +132,56 @@ def dealt(rows: DataFrame, n: int) -> DataFrame:
     return rows.repartition(math.ceil(max(n / TASK_ROWS, min(n * 5 / TASK_ROWS, FEW_TASKS))))
 
 
+def plain_features(preparation: PipelineModel) -> Column:
+    """The features of a fitted preparation as an array, by expressions on the numbers and categories.
+
+    They are the entries of its vectors; no row becomes a vector on the way.
+    """
+    found: dict[str, list[Column]] = {}
+    labels: dict[str, tuple[str, list[str]]] = {}
+    for step in preparation.stages:
+        if isinstance(step, ImputerModel):
+            medians = step.surrogateDF.first()
+            for c, out in zip(step.getInputCols(), step.getOutputCols(), strict=True):
+                found[out] = [F.coalesce(F.col(c), F.lit(medians[c]))]
+        elif isinstance(step, VectorAssembler):
+            found[step.getOutputCol()] = [x for c in step.getInputCols() for x in found.get(c, [F.col(c)])]
+        elif isinstance(step, StandardScalerModel):
+            facts = zip(found[step.getInputCol()], step.mean.tolist(), step.std.tolist(), strict=True)
+            found[step.getOutputCol()] = [(x - F.lit(mean)) * F.lit(1 / std if std else 0.0) for x, mean, std in facts]
+        elif isinstance(step, StringIndexerModel):
+            for c, out, known in zip(step.getInputCols(), step.getOutputCols(), step.labelsArray, strict=True):
+                labels[out] = c, list(known)
+        elif isinstance(step, OneHotEncoderModel):
+            for c, out in zip(step.getInputCols(), step.getOutputCols(), strict=True):
+                name, known = labels[c]
+                hits = [F.col(name) == F.lit(x) for x in known] + [~F.col(name).isin(known)]
+                found[out] = [hit.cast("double") for hit in hits]
+        else:
+            raise TypeError(f"No expressions for {type(step).__name__}.")
+    return F.array(*found["features"])
+
+
+def spread(rows: DataFrame, n: int) -> DataFrame:
+    """The rows as they are where a scan has many tasks, else dealt and kept."""
+    if rows.rdd.getNumPartitions() >= FEW_TASKS:
+        return rows
+    return dealt(rows, n).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _prepared(preparation: PipelineModel, rows: DataFrame, n: int, models: Sequence[str] | None) -> tuple[DataFrame, Callable]:
+    """`(features, label, train)` for the models and what frees them.
+
+    Most models go over the rows again and again and get them as vectors that are kept. A
+    forest of many rows reads them three times: alone, it takes them from the staged table.
+    """
+    if n > MANY_ROWS and models is not None and set(models) == {"random_forest"}:
+        kept = spread(rows, n)
+        return kept.select(plain_features(preparation).alias("features"), "label", "train"), kept.unpersist
+    kept = preparation.transform(dealt(rows, n)).select("features", "label", "train").persist(StorageLevel.MEMORY_AND_DISK)
+    return kept, kept.unpersist
+
+
 def forest(estimator, n: int, classes: int = 0):
     """Spark's forest, or for many rows one that is grown on binned rows."""
     return Forest(FOREST_TREES, FOREST_DEPTH, K.SEED, classes) if n > MANY_ROWS else estimator
@@ -216,9 +274,7 @@ def classify(
     number = F.array_position(F.array(*[F.lit(c) for c in classes]), label)
     rows = _feature_rows(df, numeric, categories, F.when(number > 0, (number - 1).cast("double")), key, stratified=True)
     preparation, numeric_used = _preparation(rows, numeric, categories)
-    prepared = preparation.transform(dealt(rows, n)).select("features", "label", "train").persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    prepared, free = _prepared(preparation, rows, n, models)
     train, test = prepared.where("train"), prepared.where("not train")
     boost = GBTClassifier(maxIter=boost_rounds, maxDepth=BOOST_DEPTH, stepSize=0.1, seed=K.SEED)
     candidates = {
@@ -245,7 +301,7 @@ def classify(
     result.model_type = f"classification:{name}"
     result.features = numeric + categories
     result.metrics = scores
-    result.importance = feature_importance(model, prepared, numeric_used, categories)
+    result.importance = feature_importance(model, preparation.transform(rows), numeric_used, categories)
     result.tables["confusion_matrix"] = local_table(session, matrix, "actual string, predicted string, count bigint"
     )
     result.tables["prediction_distribution"] = (
@@ -255,7 +311,7 @@ def classify(
     if result.importance is not None:
         result.tables["feature_importance"] = result.importance
     result.message = K.MODEL_SENTENCES["classifier"].format(name, target)
-    prepared.unpersist()
+    free()
     return result
 
 
@@ -276,9 +332,7 @@ def regress(
     if n < K.ML_MIN_ROWS:
         raise ValueError(K.MODEL_SENTENCES["few_regression_rows"])
     preparation, numeric_used = _preparation(rows, numeric, categories)
-    prepared = preparation.transform(dealt(rows, n)).select("features", "label", "train").persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    prepared, free = _prepared(preparation, rows, n, models)
     train, test = prepared.where("train"), prepared.where("not train")
     candidates = {
         "linear_regression": LinearRegression(),
@@ -289,16 +343,19 @@ def regress(
 
     def judge(estimator):
         model = estimator.fit(train)
-        row = model.transform(test).agg(
+        tested = model.transform(test).select("label", "prediction")
+        if isinstance(model, ForestModel):
+            tested = stage(tested)
+        row = tested.agg(
             F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"),
             F.var_pop("label").alias("spread"),
         ).first()
         r2 = 1 - row["mse"] / row["spread"] if row["spread"] else 0.0
-        return model, {"mae": row["mae"], "mse": row["mse"], "rmse": row["mse"] ** 0.5, "r2": r2}
+        return model, {"mae": row["mae"], "mse": row["mse"], "rmse": row["mse"] ** 0.5, "r2": r2}, tested
 
     best = max(_tried(df.sparkSession, candidates, models, judge), key=lambda found: found[2]["r2"])
-    name, model, scores = best
-    predictions = model.transform(test).select(
+    name, model, scores, tested = best
+    predictions = tested.select(
         F.col("label").alias("actual"), F.col("prediction").alias("predicted"), error.alias("residual")
     )
     shown = stable_sample(predictions, K.RESIDUAL_POINTS)
@@ -307,11 +364,11 @@ def regress(
     result.model_type = f"regression:{name}"
     result.features = numeric + categories
     result.metrics = scores
-    result.importance = feature_importance(model, prepared, numeric_used, categories)
+    result.importance = feature_importance(model, preparation.transform(rows), numeric_used, categories)
     result.tables["actual_vs_predicted"] = points
     result.tables["residuals"] = histogram(points, ["residual"])
     if result.importance is not None:
         result.tables["feature_importance"] = result.importance
     result.message = K.MODEL_SENTENCES["regressor"].format(name, target)
-    prepared.unpersist()
+    free()
     return result
