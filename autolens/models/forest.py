@@ -32,7 +32,7 @@ from ..operators.staging import stage
 
 BINS = 32
 #: Rows of a block, and those that go through a tree together.
-BLOCK, TOGETHER = 65_536, 262_144
+BLOCK, TOGETHER = 65_536, 524_288
 #: A task describes a feature by so many values at most; each such step moves a quantile by one in 32,768 rows at most.
 POINTS, PARTS = 16_384, 32
 NODES = "tree int, node int, feature int, bin int, gain double, left array<double>, right array<double>"
@@ -263,21 +263,23 @@ class Trees:
     def places(self, tree: int, splits: Splits, depth: int) -> np.ndarray:
         """The place of each row's node among those of a depth, left to right."""
         feature, limit = self.feature[tree].tolist(), self.limit[tree].tolist()
+        went_right = [np.zeros_like(splits.every) for _ in range(depth)]
+        # Down the left side first, so that few sets of rows wait.
+        waiting = [(0, 0, splits.every)]
+        while waiting:
+            node, level, rows = waiting.pop()
+            while level < depth:
+                if limit[node] != 255:
+                    right = rows & splits.right(feature[node], limit[node])
+                    went_right[level] |= right
+                    if level + 1 < depth:
+                        waiting.append((2 * node + 2, level + 1, right))
+                        rows = rows ^ right
+                node, level = 2 * node + 1, level + 1
         place = np.zeros(splits.count, np.uint8 if depth <= 8 else np.uint16)
-        reach = {0: splits.every}
-        for _ in range(depth):
-            following, bits = {}, None
-            for node, rows in reach.items():
-                if limit[node] == 255:
-                    following[2 * node + 1] = rows
-                    continue
-                right = rows & splits.right(feature[node], limit[node])
-                following[2 * node + 1], following[2 * node + 2] = rows ^ right, right
-                bits = right if bits is None else bits | right
-            reach = following
+        for right in went_right:
             place <<= 1
-            if bits is not None:
-                place |= np.unpackbits(bits, count=splits.count)
+            place |= np.unpackbits(right, count=splits.count)
         return place
 
 
